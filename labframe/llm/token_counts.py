@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def token_counts(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(vocabulary)
         for batch in by_bytes(batches, "text", batch_bytes):
-            sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
+            sizes = pc.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
             tokens = np.zeros(batch.num_rows, np.int64)
             for rows, index, offsets, parts in distinct_parts(batch.column("text")):
                 sums = np.concatenate([[0], np.cumsum(np.array(count(parts), np.int64)[index])]) if parts else np.zeros(1, np.int64)
