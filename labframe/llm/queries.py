@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labframe.llm import byte_bpe, pii, sharding, token_counts, toxicity
+from labframe.llm import byte_bpe, decontamination, pii, sharding, token_counts, toxicity
 from labframe.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fitted(docs, labels))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rows = byte_bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
