@@ -1,8 +1,7 @@
 """MinHash near-duplicates with tensored banding.
 
-Two small collections of bands are computed, A with A_BANDS bands of A_ROWS minhashes and B with B_BANDS bands of
-B_ROWS. Table (i, j) has the key (A_i, B_j), so A_BANDS * B_BANDS tables come from A_BANDS * A_ROWS + B_BANDS * B_ROWS
-minhashes instead of that many for each table. With the numbers below two sets of similarity 0.8 miss each other in
+Two small collections of bands are computed, A with 12 bands of 3 minhashes and B with 8 bands of 2. Table (i, j) has
+the key (A_i, B_j), so 96 tables of 5 minhashes come from 52 minhashes instead of 480. Two sets of similarity 0.8 miss each other in
 all tables with a probability of about 5 in 10,000, at 0.85 of 2 in 100,000.
 
 Rows with equal sets are one class first, so copies never meet in a table. In each bucket of a table only the link
@@ -18,27 +17,43 @@ text are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labframe.llm.common import ascii_lower, by_bytes, broadcast_if_small, components, guarded, stored
 
 #: Words in a shingle and the least similarity, in hundredths, unless the caller says otherwise.
 SHINGLE, SIMILARITY = 5, 80
-A_BANDS, A_ROWS, B_BANDS, B_ROWS = 12, 3, 8, 2
-HASHES = A_BANDS * A_ROWS + B_BANDS * B_ROWS
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Two collections of bands; every pair of an A band and a B band is a table, or every A band if there are no B bands."""
+
+    a_bands: int
+    a_rows: int
+    b_bands: int = 0
+    b_rows: int = 0
+
+    @property
+    def hashes(self) -> int:
+        return self.a_bands * self.a_rows + self.b_bands * self.b_rows
+
+
+TENSORED = Scheme(12, 3, 8, 2)
 #: Members in a block of the comparison of buckets.
 BLOCK = 256
 BATCH_BYTES = 4_000_000
 #: Estimates below this share of equal minhashes are dropped before verification: at 0.8 over five deviations away.
 LEAST_ESTIMATE = 0.45
-_MIX = np.random.default_rng(20240229).integers(1, 1 << 63, (2, HASHES), np.int64).astype(np.uint64) | np.uint64(1)
+_MIX = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 64), np.int64).astype(np.uint64) | np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -83,25 +98,26 @@ def sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))])
 
 
-def minhashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """HASHES minima for each set; empty sets have zeros."""
-    n, out = np.diff(offsets), np.zeros((len(offsets) - 1, HASHES), np.uint64)
+def minhashes(values: np.ndarray, offsets: np.ndarray, hashes: int) -> np.ndarray:
+    """That many minima for each set; empty sets have zeros."""
+    n, out = np.diff(offsets), np.zeros((len(offsets) - 1, hashes), np.uint64)
     some = np.flatnonzero(n)
     if len(some):
         with np.errstate(over="ignore"):
-            for k in range(HASHES):
+            for k in range(hashes):
                 out[some, k] = np.minimum.reduceat(mixed(values * _MIX[0, k] + _MIX[1, k]), offsets[:-1][some])
     return out
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A_BANDS + B_BANDS keys for each row of minhashes."""
-    edges = [*range(0, A_BANDS * A_ROWS, A_ROWS), *range(A_BANDS * A_ROWS, HASHES, B_ROWS), HASHES]
-    out = np.zeros((len(hashes), len(edges) - 1), np.uint64)
+def bands(hashes: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """The keys of the A bands, then of the B bands, for each row of minhashes."""
+    widths = [scheme.a_rows] * scheme.a_bands + [scheme.b_rows] * scheme.b_bands
+    out, at = np.zeros((len(hashes), len(widths)), np.uint64), 0
     with np.errstate(over="ignore"):
-        for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            for k in range(lo, hi):
+        for b, width in enumerate(widths):
+            for k in range(at, at + width):
                 out[:, b] = mixed(out[:, b] * np.uint64(0x9E3779B97F4A7C15) + hashes[:, k] + np.uint64(b + 1))
+            at += width
     return out
 
 
@@ -116,28 +132,38 @@ def digests(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         return [mixed((d[offsets[1:]] - d[offsets[:-1]]) + np.diff(offsets).astype(np.uint64)).view(np.int64) for d in sums]
 
 
-def signed(df: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
-    """(id, n, class_a, class_b, bands, sketch): set size, a 128-bit digest of the set, band keys, a byte of each minhash."""
+Units = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, pa.Array]]
+
+
+def whole(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, place in the row, text) of what is compared: here each row's whole text."""
+    return np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), batch.column("text")
+
+
+def signed(df: DataFrame, id_column: str, text: str, shingle: int, scheme: Scheme, units: Units = whole) -> DataFrame:
+    """(id, place, n, class_a, class_b, bands, sketch): set size, a 128-bit digest of the set, band keys, a byte of each minhash."""
     kind = df.schema[id_column].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            values, offsets = sets(batch.column("text"), shingle)
-            n, hashes = np.diff(offsets), minhashes(values, offsets)
-            keys = bands(hashes)
-            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(HASHES), len(n), [None, pa.py_buffer(np.ascontiguousarray((hashes & np.uint64(255)).astype(np.uint8)))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), *map(pa.array, digests(values, offsets)), lists(keys.ravel(), np.arange(len(n) + 1) * keys.shape[1]), sketch], ["id", "n", "class_a", "class_b", "bands", "sketch"])
+            row, place, texts = units(batch)
+            values, offsets = sets(texts, shingle)
+            n, hashes = np.diff(offsets), minhashes(values, offsets, scheme.hashes)
+            keys = bands(hashes, scheme)
+            low = np.ascontiguousarray((hashes & np.uint64(255)).astype(np.uint8))
+            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(scheme.hashes), len(n), [None, pa.py_buffer(low)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(place), pa.array(n), *map(pa.array, digests(values, offsets)), lists(keys.ravel(), np.arange(len(n) + 1) * keys.shape[1]), sketch], ["id", "place", "n", "class_a", "class_b", "bands", "sketch"])
 
     rows = df.select(F.col(id_column).alias("id"), ascii_lower(F.col(text)).alias("text"))
-    return rows.mapInArrow(sign, f"id {kind}, n bigint, class_a bigint, class_b bigint, bands array<bigint>, sketch binary")
+    return rows.mapInArrow(sign, f"id {kind}, place bigint, n bigint, class_a bigint, class_b bigint, bands array<bigint>, sketch binary")
 
 
-def similarity_estimate(a: str, b: str):
+def similarity_estimate(a: str, b: str, hashes: int):
     """Share of equal minhashes by their lowest bytes, of two binary columns."""
 
     @F.pandas_udf("double")
     def share(x: pd.Series, y: pd.Series) -> pd.Series:
-        both = [np.frombuffer(b"".join(s), np.uint8).reshape(-1, HASHES) for s in (x, y)]
+        both = [np.frombuffer(b"".join(s), np.uint8).reshape(-1, hashes) for s in (x, y)]
         return pd.Series((both[0] == both[1]).mean(1))
 
     return share(F.col(a), F.col(b))
@@ -150,11 +176,11 @@ def verified(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
     return x.where(100 * common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def compared(members: DataFrame, similarity: int) -> DataFrame:
+def compared(members: DataFrame, similarity: int, scheme: Scheme) -> DataFrame:
     """Links (a, b) inside blocks: members has (bucket, block_a, block_b, role, node, component, bands, members).
 
     Role 1 rows are compared with role 2 rows of another component, if band A of the bucket is the first that they
-    share and some band B is shared too (so each pair is compared in one bucket). One link comes out for each
+    share and some B band, if there are any, is shared too (so each pair is compared in one bucket). One link comes out for each
     role 1 row and component.
     """
 
@@ -169,7 +195,9 @@ def compared(members: DataFrame, similarity: int) -> DataFrame:
             size, component, node = right.members.str.len().to_numpy(), right.component.to_numpy(), right.node.to_numpy()
             band = int(rows.band.iloc[0])
             for i, (own, members, mine) in enumerate(zip(left.node, left.members, left.component, strict=True)):
-                allowed = (component != mine) & (rb[:, band] == lb[i, band]) & ~(rb[:, :band] == lb[i, :band]).any(1) & (rb[:, A_BANDS:] == lb[i, A_BANDS:]).any(1)
+                allowed = (component != mine) & (rb[:, band] == lb[i, band]) & ~(rb[:, :band] == lb[i, :band]).any(1)
+                if scheme.b_bands:
+                    allowed &= (rb[:, scheme.a_bands :] == lb[i, scheme.a_bands :]).any(1)
                 if not allowed.any():
                     continue
                 lo, hi = np.searchsorted(flat, members, "left"), np.searchsorted(flat, members, "right")
@@ -184,54 +212,82 @@ def compared(members: DataFrame, similarity: int) -> DataFrame:
     return members.groupBy("bucket", "band", "block_a", "block_b").applyInPandas(compare, "a bigint, b bigint")
 
 
-def set_table(df: DataFrame, nodes: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
-    """(node, members): the full sets of the given nodes (node, id, class_a, class_b); where an id has several texts, of the right one."""
+def set_table(df: DataFrame, nodes: DataFrame, id_column: str, text: str, shingle: int, units: Units = whole) -> DataFrame:
+    """(node, members): the full sets of the given nodes (node, id, place, class_a, class_b); where an id has several texts, of the right one."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            values, offsets = sets(batch.column("text"), shingle)
-            right = [pc.equal(batch.column(c), pa.array(d)) for c, d in zip(("class_a", "class_b"), digests(values, offsets), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists(values, offsets)], ["node", "members"]).filter(pc.and_(*right))
-
-    rows = df.select(F.col(id_column).alias("id"), ascii_lower(F.col(text)).alias("text")).join(broadcast_if_small(nodes), "id").select("node", "class_a", "class_b", "text")
+            row, place, texts = units(batch)
+            wanted = np.flatnonzero(place == batch.column("place").to_numpy()[row])
+            row, texts = pa.array(row[wanted]), texts.take(pa.array(wanted))
+            values, offsets = sets(texts, shingle)
+            right = [pc.equal(batch.column(c).take(row), pa.array(d)) for c, d in zip(("class_a", "class_b"), digests(values, offsets), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(row), lists(values, offsets)], ["node", "members"]).filter(pc.and_(*right))
+
+    rows = df.select(F.col(id_column).alias("id"), ascii_lower(F.col(text)).alias("text")).join(broadcast_if_small(nodes), "id").select("node", "place", "class_a", "class_b", "text")
     return stored(rows.mapInArrow(collect, "node bigint, members array<bigint>").dropDuplicates(["node"]), "sets")
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row of df; ids are whole numbers. component_id is the least id reachable over links."""
-    guarded(df.columns, [id_column, text], "near_duplicates")
-    rows = stored(signed(df, id_column, text, shingle), "signed")
-    classes = rows.where("n > 0").groupBy("class_a", "class_b").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    # one node a class of equal sets, known by a hash of the digest
-    node = F.xxhash64("class_a", "class_b")
-    nodes = stored(rows.where("n > 0").join(classes, ["class_a", "class_b", "id"], "left_semi").select(node.alias("node"), "id", "class_a", "class_b", "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
-
-    a, b = F.posexplode(F.slice("bands", 1, A_BANDS)).alias("i", "a"), F.posexplode(F.slice("bands", A_BANDS + 1, B_BANDS)).alias("j", "b")
-    keyed = nodes.select("node", "bands", a).select("node", "i", "a", b).select("node", F.xxhash64("i", "a", "j", "b").alias("key"))
+#: A class of equal sets is a node, known by a hash of the digest.
+NODE = ("class_a", "class_b")
+
+
+def node_of() -> Column:
+    return F.xxhash64(*NODE)
+
+
+def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle: int, similarity: int, scheme: Scheme, units: Units = whole) -> tuple[DataFrame, DataFrame]:
+    """(nodes, components of linked nodes) for a table of `signed`. A node without links is in no component."""
+    some = rows.where("n > 0")
+    first = some.groupBy(*NODE).agg(F.min(F.struct("id", "place")).alias("first")).select(*NODE, "first.id", "first.place")
+    nodes = stored(some.join(first, [*NODE, "id", "place"], "left_semi").select(node_of().alias("node"), "id", "place", *NODE, "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
+    place = ["node", "id", "place", *NODE]
+
+    keyed = nodes.select("node", "bands", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias("i", "a"))
+    if scheme.b_bands:
+        keyed = keyed.select("node", "i", "a", F.posexplode(F.slice("bands", scheme.a_bands + 1, scheme.b_bands)).alias("j", "b")).select("node", F.xxhash64("i", "a", "j", "b").alias("key"))
+    else:
+        keyed = keyed.select("node", F.xxhash64("i", "a").alias("key"))
     centres = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
     stars = stored(keyed.join(centres, "key").where("node <> centre").select("key", "centre", "node"), "stars")
 
-    info = nodes.select(F.col("node").alias("nd"), "sketch", "n")
+    info = nodes.select("node", "sketch", "n")
     pairs = stars.select("centre", "node").distinct()
     pairs = pairs.join(info.toDF("centre", "x", "nx"), "centre").join(info.toDF("node", "y", "ny"), "node")
-    pairs = pairs.where((100 * F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")))
-    pairs = stored(pairs.withColumn("estimate", similarity_estimate("x", "y")).where(F.col("estimate") >= LEAST_ESTIMATE).select(F.col("centre").alias("a"), F.col("node").alias("b"), "estimate"), "pairs")
+    pairs = pairs.where(100 * F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
+    pairs = stored(pairs.withColumn("estimate", similarity_estimate("x", "y", scheme.hashes)).where(F.col("estimate") >= LEAST_ESTIMATE).select(F.col("centre").alias("a"), F.col("node").alias("b"), "estimate"), "pairs")
     touched = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    full = set_table(df, nodes.select("node", "id", "class_a", "class_b").join(touched, "node", "left_semi"), id_column, text, shingle)
+    full = set_table(df, nodes.select(*place).join(touched, "node", "left_semi"), id_column, text, shingle, units)
 
     # the most promising link of each member, then those between components that remain
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
     links = stored(verified(best, full, similarity), "links")
-    found = components(links)
-    rest = labelled(pairs.select("a", "b"), found).where("ca <> cb").select("a", "b")
+    rest = labelled(pairs.select("a", "b"), components(links)).where("ca <> cb").select("a", "b")
     links = stored(links.unionByName(verified(rest.join(best, ["a", "b"], "left_anti"), full, similarity)), "links")
     found = components(links)
 
-    links = stored(links.unionByName(residual(stars, pairs, nodes, full, found, df, id_column, text, shingle, similarity)), "links")
-    found = components(links)
+    # components that share a bucket, but whose members were only compared with its centre
+    open_pairs = labelled(pairs.select("a", "b"), found).where("ca <> cb").select("a", "b")
+    keys = stars.toDF("key", "a", "b").join(open_pairs, ["a", "b"], "left_semi").select("key").distinct()
+    inside = stars.join(keys, "key", "left_semi")
+    inside = stored(inside.select("node").unionByName(inside.select(F.col("centre").alias("node"))).distinct(), "open")
+    missing = inside.join(full.select("node"), "node", "left_anti")
+    sets_of = full.join(inside, "node", "left_semi")
+    if missing.limit(1).count():
+        sets_of = sets_of.unionByName(set_table(df, nodes.select(*place).join(missing, "node", "left_semi"), id_column, text, shingle, units))
+    member = nodes.join(inside, "node", "left_semi").select("node", "bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets_of, "node")
+    links = stored(links.unionByName(residual(stored(member, "members"), similarity, scheme)), "links")
+    return nodes, components(links)
+
+
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each row of df; ids are whole numbers. component_id is the least id reachable over links."""
+    guarded(df.columns, [id_column, text], "near_duplicates")
+    rows = stored(signed(df, id_column, text, shingle, TENSORED), "signed")
+    nodes, found = clustered(rows, df, id_column, text, shingle, similarity, TENSORED)
     named = nodes.select("node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = stored(named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("node", "component_id"), "least")
-    out = rows.select("id", "n", F.when(F.col("n") > 0, node).alias("node")).join(least, "node", "left")
+    out = rows.select("id", "n", F.when(F.col("n") > 0, node_of()).alias("node")).join(least, "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
@@ -242,19 +298,9 @@ def labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
-def residual(stars: DataFrame, pairs: DataFrame, nodes: DataFrame, full: DataFrame, found: DataFrame, df: DataFrame, id_column: str, text: str, shingle: int, similarity: int) -> DataFrame:
-    """Links between components that share a bucket but whose members were only compared with its centre."""
-    open_pairs = labelled(pairs.select("a", "b"), found).where("ca <> cb").select("a", "b")
-    keys = stars.toDF("key", "a", "b").join(open_pairs, ["a", "b"], "left_semi").select("key").distinct()
-    inside = stars.join(keys, "key", "left_semi")
-    inside = stored(inside.select("node").unionByName(inside.select(F.col("centre").alias("node"))).distinct(), "open")
-    missing = inside.join(full.select("node"), "node", "left_anti")
-    sets_of = full.join(inside, "node", "left_semi")
-    if missing.limit(1).count():
-        sets_of = sets_of.unionByName(set_table(df, nodes.select("node", "id", "class_a", "class_b").join(missing, "node", "left_semi"), id_column, text, shingle))
-    member = nodes.join(inside, "node", "left_semi").select("node", "bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets_of, "node")
-    member = stored(member, "members")
-    spread = member.select("node", "component", F.posexplode(F.slice("bands", 1, A_BANDS)).alias("band", "bucket"))
+def residual(member: DataFrame, similarity: int, scheme: Scheme) -> DataFrame:
+    """Links (a, b) between components among members (node, bands, component, members) that share a table's key, by blocks."""
+    spread = member.select("node", "component", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias("band", "bucket"))
     sizes = spread.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("band", "bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
     sizes = sizes.select("band", "bucket", F.col("top.component").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks_b"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("blocks_a"))
@@ -262,4 +308,4 @@ def residual(stars: DataFrame, pairs: DataFrame, nodes: DataFrame, full: DataFra
     # role 1: rows outside the bucket's largest component, with every block of role 2; role 2: all rows
     role1 = spread.where("component <> top").select("band", "bucket", "node", F.lit(1).alias("role"), F.pmod(F.xxhash64("node"), "blocks_a").cast("int").alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)).alias("block_b"))
     role2 = spread.select("band", "bucket", "node", F.lit(2).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)).alias("block_a"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks_b").cast("int").alias("block_b"))
-    return compared(role1.unionByName(role2).join(member, "node"), similarity)
+    return compared(role1.unionByName(role2).join(member, "node"), similarity, scheme)
