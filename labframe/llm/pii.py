@@ -184,35 +184,43 @@ def learnt(found: DataFrame) -> dict[tuple[str, tuple[int, ...]], float]:
     return classifier(counts, estimated(counts))
 
 
+def decided(found: DataFrame) -> frozenset[tuple[str, tuple[int, ...]]]:
+    """Combinations whose proposed spans are added."""
+    return frozenset(k for k, p in learnt(found).items() if p >= SURE)
+
+
 def spans(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, spans: array of (kind, start, end, base)) for each row of df, base spans and added ones, by start and kind."""
     guarded(df.columns, [id_column, text], "pii")
     found = stored(candidates(df.select(id_column, text), text), "pii")
-    sure = {k for k, p in learnt(found).items() if p >= SURE}
+    sure = decided(found)
     keys = F.array(*(F.lit(f"{k}:{','.join(map(str, v))}") for k, v in sorted(sure))) if sure else F.array().cast("array<string>")
     keep = F.filter("found", lambda s: s["base"] | F.array_contains(keys, F.concat_ws(":", s["kind"], F.array_join(s["votes"].cast("array<string>"), ","))))
     order = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"))
     return found.select(id_column, F.transform(F.array_sort(F.transform(keep, order)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))).alias("spans"))
 
 
-def redacted(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with every base span of the text replaced by its kind in angle brackets; overlapping ones by the first's."""
+def redacted(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with every base span and added span of the text replaced by its kind in angle brackets; overlapping ones by the first's."""
+    guarded(df.columns, [text], "pii")
+    sure = decided(stored(candidates(df.select(text), text), "pii"))
     position = df.columns.index(text)
 
     def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, position, BATCH_BYTES):
             texts = []
             for t in batch.column(position).to_pylist():
+                base = base_spans(t or "")
+                more = [s for s in (proposed(t, base) if t else ()) if (s[0], votes(t, *s, False)) in sure]
                 out, end = [], 0
-                for kind, a, b in base_spans(t or ""):
+                for kind, a, b in sorted([*base, *more], key=lambda s: (s[1], KINDS.index(s[0]))):
                     if a >= end:
                         out += [t[end:a], f"<{kind.upper()}>"]
                     end = max(end, b)
-                texts.append(t if t is None else "".join([*out, t[end:]]))
+                texts.append("".join([*out, t[end:]]) if out else t)
             columns = list(batch.columns)
             columns[position] = pa.array(texts, columns[position].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    names = [f"c{i}" for i in range(len(df.columns))]
-    plain = df.toDF(*names)
-    return plain.mapInArrow(hide, plain.schema).toDF(*df.columns)
+    named = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return named.mapInArrow(hide, named.schema).toDF(*df.columns)

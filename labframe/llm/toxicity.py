@@ -289,3 +289,15 @@ def scored(df: DataFrame, model: Model, id_column: str = "doc_id", text: str = "
 
     out = df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(score, f"id {kind}, score double")
     return out.select(F.col("id").alias(id_column), (fold(F.col("id")) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of df that score below the threshold, with all their columns."""
+    shipped, position = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, position, BATCH_BYTES):
+            yield batch.filter(pa.array(scores(shipped.value, batch.column(position)) < threshold))
+
+    named = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return named.mapInArrow(keep, named.schema).toDF(*df.columns)
