@@ -1,11 +1,538 @@
-"""The registered queries over the driver's tables and their SQL twins."""
+"""The registered queries over the driver's tables and their SQL twins.
+
+A query applies an operator to whole tables. Amounts leave as doubles rounded by decimal storage, times as they are.
+Durations of the access folds are scaled to the events at hand (two days for a lock); defaults are the real ones.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from labframe.functions import text as fn
+from labframe.operators import access, lookup, mutate, orders, results, search, validate
+from labframe.plans.tables import table, with_tables
+from labframe.sources import io
+from labframe.sources.schema import SPECS
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+DAY = 24 * 60
+#: What the properties of an event may hold; others are dropped.
+PROPS = T.StructType.fromDDL("k BIGINT, absent STRING")
+
+
+class Tables:
+    """t.patients is the derived table or the driver's of that name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
+def query(sql: str | None = None, *names: str):
+    """Registers a function of Tables under its name, with the SQL that gives the same rows over the named derived tables."""
+
+    def put(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _ORACLES[f.__name__] = with_tables(sql, *names)
+        return f
+
+    return put
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def money(c: str | Column) -> Column:
+    return fn.money(F.col(c) if isinstance(c, str) else c).cast("double")
+
+
+def sql_money(x: str) -> str:
+    """Half away from zero in DuckDB, as a double."""
+    return f"CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(10,2)) AS DOUBLE)"
+
+
+# ---- sources and sinks
+
+
+@query("SELECT count(*) AS n, sum(p_size)::BIGINT AS size, count(DISTINCT p_brand) AS brands FROM part")
+def scan_table(t: Tables) -> DataFrame:
+    return t.part.agg(F.count("*").alias("n"), F.sum("p_size").alias("size"), F.count_distinct("p_brand").alias("brands"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, len(json_keys(props)) AS n_present, json_extract_string(props, '$.absent') AS absent FROM events")
+def ingest_json(t: Tables) -> DataFrame:
+    rows = io.parsed(t.events, "props", PROPS)
+    return rows.select("event_id", F.col("record.k").try_cast("bigint").alias("k"), F.size("present").cast("bigint").alias("n_present"), F.col("record.absent").alias("absent"))
+
+
+@query("""SELECT page_id, CASE WHEN m IS NULL THEN 'MISSING' WHEN m NOT IN ('image/jpeg', 'image/png', 'image/webp') THEN 'TYPE' WHEN n > 2097152 THEN 'SIZE' END AS fault FROM (
+ SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'text/html' WHEN 2 THEN 'image/png' ELSE 'image/webp' END AS m, strlen(html) * 2000 AS n FROM pages)""")
+def file_manifest_check(t: Tables) -> DataFrame:
+    mime = F.when(F.col("page_id") % 5 == 0, None).when(F.col("page_id") % 5 == 1, "text/html").when(F.col("page_id") % 5 == 2, "image/png").otherwise("image/webp")
+    return t.pages.select("page_id", io.file_fault(mime, F.octet_length("html").cast("bigint") * 2000).alias("fault"))
+
+
+@query("""SELECT id, CASE WHEN id % 3 = 0 THEN 'other' ELSE coalesce(NULL, 'study') END AS type, 60 AS durationMinutes, 'active' AS status, true AS isActive, TIMESTAMP '2024-01-01 00:00:00' AS createdAt FROM studies""", "studies")
+def insert_defaults(t: Tables) -> DataFrame:
+    batch = t.studies.select("id", "name", "code", F.when(F.col("id") % 3 == 0, "other").alias("type"))
+    out = io.with_defaults(batch, SPECS["studies"], F.lit("2024-01-01").cast("timestamp_ntz"))
+    return out.select("id", "type", "durationMinutes", "status", "isActive", "createdAt")
+
+
+@query("""SELECT o.id, count(i.studyId) AS n_lines, coalesce(max(i.position), -1) AS last_position, sum(i.quantity) AS quantity FROM service_orders o LEFT JOIN (
+ SELECT *, row_number() OVER (PARTITION BY serviceOrderId ORDER BY lineNo, studyId, supplier, quantity, extended) - 1 AS position FROM items) i ON i.serviceOrderId = o.id GROUP BY o.id""", "service_orders", "items")
+def order_header_and_lines(t: Tables) -> DataFrame:
+    nested = search.expanded(t.service_orders, t.items, "serviceOrderId", "items", ["lineNo", "studyId", "supplier", "quantity", "extended"])
+    headers, lines = io.header_and_lines(nested, "items", parent="parent")
+    sums = lines.groupBy(F.col("parent").alias("id")).agg(F.count("studyId").alias("n_lines"), F.max("position").alias("last_position"), F.sum("quantity").alias("quantity"))
+    return headers.select("id").join(sums, "id", "left").select("id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("last_position", F.lit(-1)).cast("bigint").alias("last_position"), "quantity")
+
+
+def _part_rules() -> list:
+    return [validate.text("name", 3, 12), validate.one_of("type", ["STANDARD", "PROMO", "ECONOMY"]), validate.number("normalPrice", 900, 950), validate.integer("size"), validate.matching("code", r"^Brand#[1-3][0-9]*-[0-9]+\z")]
+
+
+def _parts(t: Tables) -> DataFrame:
+    return t.part.selectExpr("p_partkey AS id", "p_name AS name", "p_type AS type", "p_retailprice AS normalPrice", "p_size AS size", "concat(p_brand, '-', p_partkey) AS code")
+
+
+_BROKEN = """SELECT id, list_filter([CASE WHEN NOT (length(name) BETWEEN 3 AND 12) THEN 'name' END, CASE WHEN type NOT IN ('STANDARD', 'PROMO', 'ECONOMY') THEN 'type' END, CASE WHEN NOT (price BETWEEN 900 AND 950) THEN 'normalPrice' END, CASE WHEN NOT regexp_full_match(code, 'Brand#[1-3][0-9]*-[0-9]+') THEN 'code' END], lambda x: x IS NOT NULL) AS e FROM (SELECT p_partkey AS id, p_name AS name, p_type AS type, p_retailprice AS price, concat(p_brand, '-', p_partkey) AS code FROM part)"""
+
+
+@query(f"SELECT id, len(e) AS n_errors, array_to_string(e, ',') AS fields FROM ({_BROKEN})")
+def validate_flat(t: Tables) -> DataFrame:
+    out = validate.validated(_parts(t), _part_rules())
+    return out.select("id", F.size("errors").cast("bigint").alias("n_errors"), F.array_join(F.transform("errors", lambda e: e["field"]), ",").alias("fields"))
+
+
+@query(f"SELECT len(e) = 0 AS accepted, count(*) AS n, sum(len(e))::BIGINT AS n_errors FROM ({_BROKEN}) GROUP BY 1")
+def reject_split(t: Tables) -> DataFrame:
+    good, bad = validate.split(validate.validated(_parts(t), _part_rules()))
+    rows = good.select(F.lit(True).alias("accepted"), F.lit(0).alias("e")).unionByName(bad.select(F.lit(False).alias("accepted"), F.size("errors").alias("e")))
+    return rows.groupBy("accepted").agg(F.count("*").alias("n"), F.sum("e").alias("n_errors"))
+
+
+@query("""WITH lines AS (SELECT *, row_number() OVER (PARTITION BY serviceOrderId ORDER BY lineNo, studyId, supplier, quantity, extended) - 1 AS i FROM items)
+SELECT o.id, count(f) AS n_errors, coalesce(min(f), '') AS first_field FROM service_orders o LEFT JOIN (
+ SELECT serviceOrderId, 'items.' || i || '.' || unnest(list_filter([CASE WHEN quantity < 2 THEN 'quantity' END, CASE WHEN priceType NOT IN ('normal', 'dif', 'special') THEN 'priceType' END, CASE WHEN discountPercent > 9.5e0 THEN 'discountPercent' END], lambda x: x IS NOT NULL)) AS f FROM lines
+ UNION ALL SELECT id, 'items' FROM service_orders WHERE id NOT IN (SELECT serviceOrderId FROM items)) e ON e.serviceOrderId = o.id GROUP BY o.id""", "service_orders", "items")
+def validate_nested(t: Tables) -> DataFrame:
+    nested = search.expanded(t.service_orders, t.items, "serviceOrderId", "items", ["lineNo", "studyId", "supplier", "quantity", "extended"])
+    each = validate.Each("items", (validate.number("quantity", 2), validate.one_of("priceType", ["normal", "dif", "special"]), validate.number("discountPercent", None, 9.5)), least=1)
+    fields = F.transform("errors", lambda e: e["field"])
+    return validate.validated(nested, [each]).select("id", F.size("errors").cast("bigint").alias("n_errors"), F.coalesce(F.array_min(fields), F.lit("")).alias("first_field"))
+
+
+# ---- searching
+
+
+@query("SELECT id, firstName, documentType FROM patients WHERE isActive AND (firstName LIKE '%0007%' OR documentType LIKE '%0007%') ORDER BY firstName NULLS LAST, id LIMIT 10 OFFSET 10", "patients")
+def patient_search(t: Tables) -> DataFrame:
+    found = search.active(t.patients).where(search.contains("0007", ["firstName", "documentType"]))
+    return search.page(found, search.keys("firstName"), 2, 10).select("id", "firstName", "documentType")
+
+
+@query("SELECT id, firstName, licenseNumber FROM doctors WHERE isActive AND firstName LIKE '%#0%1%' ORDER BY firstName NULLS LAST, id LIMIT 10", "doctors")
+def doctor_search(t: Tables) -> DataFrame:
+    return search.page(search.active(t.doctors).where(search.contains("#0%1", ["firstName"])), search.keys("firstName")).select("id", "firstName", "licenseNumber")
+
+
+@query("SELECT id, name, code, type FROM studies WHERE isActive AND type = (SELECT min(type) FROM studies) AND (name LIKE '%1%' OR code LIKE '%1%') ORDER BY name NULLS LAST, id LIMIT 20 OFFSET 20", "studies")
+def study_search(t: Tables) -> DataFrame:
+    least = t.studies.agg(F.min("type").alias("type"))
+    found = search.active(t.studies).join(least, "type", "left_semi").where(search.contains("1", ["name", "code"])).where(search.equal_to(status=None))
+    return search.page(found, search.keys("name"), 2, 20).select("id", "name", "code", "type")
+
+
+_ORDER_PAGE = """SELECT o.*, p.firstName AS patientName FROM service_orders o LEFT JOIN patients p ON p.id = o.patientId WHERE o.isActive"""
+
+
+@query(f"""WITH page AS ({_ORDER_PAGE} AND (folio LIKE '%1%' OR p.firstName LIKE '%1%') AND status = 'F' ORDER BY createdAt DESC NULLS FIRST, o.id LIMIT 10)
+SELECT page.id, folio, patientName, createdAt, d.firstName AS doctorName, (SELECT count(*) FROM items i WHERE i.serviceOrderId = page.id) AS n_items, (SELECT min(lineNo) FROM items i WHERE i.serviceOrderId = page.id) AS first_line FROM page LEFT JOIN doctors d ON d.id = page.doctorId""", "service_orders", "patients", "doctors", "items")
+def order_search(t: Tables) -> DataFrame:
+    page = search.order_search(t.service_orders, t.patients, t.doctors, t.items, q="1", status="F")
+    return page.select("id", "folio", "patientName", "createdAt", F.col("doctor.firstName").alias("doctorName"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"), F.array_min(F.transform("items", lambda i: i["lineNo"])).alias("first_line"))
+
+
+@query(f"""SELECT id, folio, patientName, createdAt FROM ({_ORDER_PAGE}) WHERE createdAt BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' ORDER BY createdAt DESC NULLS FIRST, id LIMIT 10 OFFSET 20""", "service_orders", "patients")
+def order_search_range(t: Tables) -> DataFrame:
+    found = search.order_matches(t.service_orders, t.patients, low="1995-01-01", high="1996-12-31")
+    return search.page(found, search.keys("-createdAt"), 3).select("id", "folio", "patientName", "createdAt")
+
+
+@query(f"SELECT count(DISTINCT id) AS total FROM ({_ORDER_PAGE} AND (folio LIKE '%12%' OR p.firstName LIKE '%12%'))", "service_orders", "patients")
+def search_total(t: Tables) -> DataFrame:
+    return search.total(search.order_matches(t.service_orders, t.patients, "12"))
+
+
+@query("SELECT id, createdAt FROM service_orders WHERE isActive ORDER BY createdAt DESC NULLS FIRST, id LIMIT 10 OFFSET 40", "service_orders")
+def order_page(t: Tables) -> DataFrame:
+    return search.page(search.active(t.service_orders), search.keys("-createdAt"), 5).select("id", "createdAt")
+
+
+@query("SELECT id, place, CAST(floor(place / 10) AS BIGINT) + 1 AS page FROM (SELECT id, row_number() OVER (ORDER BY createdAt DESC NULLS FIRST, id) - 1 AS place FROM service_orders WHERE isActive)", "service_orders")
+def page_all(t: Tables) -> DataFrame:
+    return search.all_pages(search.active(t.service_orders), search.keys("-createdAt"), 10).select("id", "place", "page")
+
+
+_TERMS = [(1, "1"), (2, "Brand#2"), (3, "9_"), (4, "nothing like it")]
+
+
+@query("SELECT term_id, id, place FROM (SELECT term_id, id, row_number() OVER (PARTITION BY term_id ORDER BY name NULLS LAST, id) AS place FROM studies JOIN (VALUES (1, '1'), (2, 'Brand#2'), (3, '9_'), (4, 'nothing like it')) v(term_id, q) ON name LIKE '%' || q || '%' OR code LIKE '%' || q || '%' WHERE isActive) WHERE place <= 5", "studies")
+def multi_term_topk(t: Tables) -> DataFrame:
+    terms = t.spark.createDataFrame(_TERMS, "term_id int, q string")
+    return search.top_of_terms(search.active(t.studies), terms, ["name", "code"], search.keys("name"), 5).select("term_id", "id", F.col("place").cast("bigint").alias("place"))
+
+
+@query("SELECT k.documentType, min(p.id) AS id FROM (SELECT DISTINCT documentType FROM patients) k LEFT JOIN patients p ON p.documentType = k.documentType GROUP BY 1", "patients")
+def find_by_key(t: Tables) -> DataFrame:
+    return search.first_by_key(t.patients.select("documentType").distinct(), t.patients, ["documentType"]).select("documentType", "id")
+
+
+@query("SELECT id, email, createdAt FROM users WHERE confirmed AND rol = 'recepcionista'", "users")
+def users_by_role(t: Tables) -> DataFrame:
+    return search.users_by_role(t.users).select("id", "email", "createdAt")
+
+
+@query("SELECT id, rol FROM users", "users")
+def role_lookup(t: Tables) -> DataFrame:
+    return t.users.select("id", "rol")
+
+
+@query("SELECT o.id, o.folio, p.firstName AS patientName, count(i.lineNo) AS n_items, min(i.lineNo) AS first_line, max(i.lineNo) AS last_line FROM service_orders o LEFT JOIN patients p ON p.id = o.patientId LEFT JOIN items i ON i.serviceOrderId = o.id WHERE o.isActive GROUP BY ALL", "service_orders", "patients", "items")
+def order_expand(t: Tables) -> DataFrame:
+    rows = search.expanded(search.active(t.service_orders), t.items, "serviceOrderId", "items", ["lineNo"])
+    rows = rows.join(t.patients.select(F.col("id").alias("patientId"), F.col("firstName").alias("patientName")), "patientId", "left")
+    line = F.transform("items", lambda i: i["lineNo"])
+    return rows.select("id", "folio", "patientName", F.size("items").cast("bigint").alias("n_items"), F.get(line, F.lit(0)).alias("first_line"), F.element_at(F.when(F.size(line) > 0, line), -1).alias("last_line"))
+
+
+@query("SELECT s.id, count(d.id) AS n_values, coalesce(string_agg(d.id::VARCHAR, ',' ORDER BY d.sortOrder, d.id), '') AS labels FROM studies s LEFT JOIN study_details d ON d.studyId = s.id GROUP BY s.id", "studies", "study_details")
+def result_expand(t: Tables) -> DataFrame:
+    rows = search.expanded(t.studies.select("id"), t.study_details.select("id", "studyId", "sortOrder"), "studyId", "details", ["sortOrder", "id"])
+    return rows.select("id", F.size("details").cast("bigint").alias("n_values"), F.array_join(F.transform("details", lambda d: d["id"].cast("string")), ",").alias("labels"))
+
+
+@query("SELECT d.studyId, d.id, d.sortOrder FROM study_details d JOIN studies s ON s.id = d.studyId WHERE d.isActive AND s.isActive", "study_details", "studies")
+def study_details_list(t: Tables) -> DataFrame:
+    return search.study_details(t.study_details, t.studies).select("studyId", "id", "sortOrder")
+
+
+@query("""WITH routes AS (SELECT * FROM (VALUES ('click', 1), ('error', 2), ('view', 0)) v(route, kind))
+SELECT event_id, event_type AS route, rol, CASE WHEN kind IS NULL OR kind = 0 THEN true WHEN rol IS NULL THEN false WHEN kind = 1 THEN rol = 'admin' ELSE rol IN ('admin', 'recepcionista') END AS allowed FROM (SELECT event_id, event_type, CASE WHEN known THEN rol END AS rol FROM access) LEFT JOIN routes ON route = event_type""", "access")
+def access_audit(t: Tables) -> DataFrame:
+    routes = t.spark.createDataFrame([("click", ["admin"]), ("error", ["admin", "recepcionista"]), ("view", [])], "route string, roles array<string>")
+    requests = t.access.select("event_id", F.col("event_type").alias("route"), F.when(F.col("known"), F.col("rol")).alias("rol"))
+    return access.authorized(requests, routes).select("event_id", "route", "rol", "allowed")
+
+
+# ---- references and keys
+
+
+@query("SELECT serviceOrderId, lineNo, studyId FROM items WHERE studyId % 1900 IN (SELECT id FROM studies)", "items", "studies")
+def lines_known_study(t: Tables) -> DataFrame:
+    rows = t.items.withColumn("wanted", F.col("studyId") % 1900)
+    return lookup.known(rows, t.studies, "wanted").select("serviceOrderId", "lineNo", "studyId")
+
+
+@query("""SELECT o.id, CASE WHEN o.patientId NOT IN (SELECT id FROM patients WHERE isActive) THEN 'PATIENT' WHEN o.doctorId IS NOT NULL AND o.doctorId NOT IN (SELECT id FROM doctors WHERE isActive) THEN 'DOCTOR' WHEN o.id NOT IN (SELECT serviceOrderId FROM items) THEN 'NO_ITEMS' END AS fault FROM service_orders o""", "service_orders", "patients", "doctors", "items")
+def orders_valid_refs(t: Tables) -> DataFrame:
+    return lookup.reference_faults(t.service_orders, t.patients, t.doctors, t.items).select("id", "fault")
+
+
+@query("SELECT serviceOrderId, count(*) AS sent, count(DISTINCT s.id) AS found, count(*) = count(DISTINCT s.id) AS ok FROM items LEFT JOIN studies s ON s.id = studyId GROUP BY 1", "items", "studies")
+def orders_study_cardinality(t: Tables) -> DataFrame:
+    return lookup.study_cardinality(t.items, t.studies)
+
+
+@query("SELECT c_custkey, k, s.id, s.id IS NOT NULL AS \"exists\" FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey END AS k FROM customer) LEFT JOIN (SELECT licenseNumber, min(id) AS id FROM doctors WHERE isActive GROUP BY 1) s ON s.licenseNumber = k", "doctors")
+def exists_by_key(t: Tables) -> DataFrame:
+    wanted = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, F.col("c_nationkey")).alias("k"))
+    return lookup.exists_by_key(wanted, t.doctors.withColumnRenamed("licenseNumber", "k"), ["k"]).select("c_custkey", "k", "id", "exists")
+
+
+_BATCH = "SELECT c_custkey AS batch_seq, CASE WHEN c_custkey % 13 > 0 THEN concat('Brand#', c_custkey % 55, '-', c_custkey % 1000) END AS code FROM customer"
+
+
+def _batch(t: Tables) -> DataFrame:
+    code = F.when(F.col("c_custkey") % 13 > 0, F.concat(F.lit("Brand#"), F.col("c_custkey") % 55, F.lit("-"), F.col("c_custkey") % 1000))
+    return t.customer.select(F.col("c_custkey").alias("batch_seq"), code.alias("code"))
+
+
+@query(f"SELECT batch_seq, code, CASE WHEN code IN (SELECT code FROM studies) THEN 'TAKEN' WHEN batch_seq > min(batch_seq) OVER (PARTITION BY code) AND code IS NOT NULL THEN 'REPEATED' END AS fault FROM ({_BATCH})", "studies")
+def insert_unique(t: Tables) -> DataFrame:
+    return lookup.unique_batch(_batch(t), t.studies, ["code"]).select("batch_seq", "code", "fault")
+
+
+@query("SELECT c.id, c.licenseNumber, min(d.id) AS other FROM (SELECT id, CAST(id % 25 AS INTEGER) AS licenseNumber FROM doctors) c JOIN doctors d ON d.licenseNumber = c.licenseNumber AND d.id <> c.id GROUP BY 1, 2", "doctors")
+def conflict_on_update(t: Tables) -> DataFrame:
+    changes = t.doctors.select("id", (F.col("id") % 25).cast("int").alias("licenseNumber"))
+    return lookup.conflicts(changes, t.doctors, ["licenseNumber"])
+
+
+@query("SELECT d.id, d.parentId FROM study_details d JOIN study_details p ON p.id = d.parentId AND p.studyId = d.studyId WHERE p.isActive", "study_details")
+def parent_in_study(t: Tables) -> DataFrame:
+    return lookup.same_parent(t.study_details.select("id", "parentId", "studyId"), t.study_details, "parentId", "studyId").select("id", "parentId")
+
+
+@query("SELECT r.id AS wanted, r.o AS serviceOrderId FROM (SELECT id, CASE WHEN id % 6 = 0 THEN serviceOrderId + 1 ELSE serviceOrderId END AS o FROM sheet_items) r JOIN sheet_items i ON i.id = r.id AND i.serviceOrderId = r.o", "sheet_items")
+def item_in_order(t: Tables) -> DataFrame:
+    rows = t.sheet_items.select(F.col("id").alias("wanted"), F.when(F.col("id") % 6 == 0, F.col("serviceOrderId") + 1).otherwise(F.col("serviceOrderId")).alias("serviceOrderId"))
+    return lookup.same_parent(rows, t.sheet_items, "wanted", "serviceOrderId").select("wanted", "serviceOrderId")
+
+
+# ---- pricing
+
+_LINE = "unitPrice * quantity * (1e0 - discountPercent / 100e0)"
+_PRICED = "SELECT i.*, s.name AS studyNameSnapshot, CASE priceType WHEN 'dif' THEN difPrice WHEN 'special' THEN specialPrice WHEN 'hospital' THEN hospitalPrice WHEN 'other' THEN otherPrice ELSE normalPrice END AS unitPrice FROM items i JOIN studies s ON s.id = i.studyId"
+
+
+@query(f"SELECT serviceOrderId, lineNo, studyId, supplier, quantity, studyNameSnapshot, unitPrice, {sql_money(_LINE)} AS subtotalAmount FROM ({_PRICED})", "items", "studies")
+def price_lines(t: Tables) -> DataFrame:
+    return orders.priced_lines(t.items, t.studies).select("serviceOrderId", "lineNo", "studyId", "supplier", "quantity", "studyNameSnapshot", "unitPrice", money("subtotalAmount").alias("subtotalAmount"))
+
+
+@query(f"""WITH s AS (SELECT serviceOrderId AS id, list_reduce(list({_LINE} ORDER BY lineNo, studyId, supplier, quantity, extended), lambda a, x: a + x) AS s FROM ({_PRICED}) GROUP BY 1)
+SELECT s.id, {sql_money("s")} AS subtotalAmount, {sql_money("s * courtesyPercent / 100e0")} AS discountAmount, {sql_money("s - s * courtesyPercent / 100e0")} AS totalAmount FROM s JOIN service_orders o ON o.id = s.id""", "items", "studies", "service_orders")
+def order_totals(t: Tables) -> DataFrame:
+    out = orders.order_amounts(orders.priced_lines(t.items, t.studies), t.service_orders, ["lineNo", "studyId", "supplier", "quantity", "extended"])
+    return out.select("id", *(money(c).alias(c) for c in ("subtotalAmount", "discountAmount", "totalAmount")))
+
+
+@query(f"""SELECT id, CASE WHEN id % 3 = 0 THEN CAST(id % 40 AS DOUBLE) ELSE courtesyPercent END AS courtesyPercent, CASE WHEN id % 3 = 0 THEN {sql_money("subtotalAmount * CAST(id % 40 AS DOUBLE) / 100e0")} ELSE 0 END AS discountAmount, CASE WHEN id % 3 = 0 THEN {sql_money("subtotalAmount - subtotalAmount * CAST(id % 40 AS DOUBLE) / 100e0")} ELSE {sql_money("subtotalAmount")} END AS totalAmount FROM service_orders""", "service_orders")
+def courtesy_recalc(t: Tables) -> DataFrame:
+    rows = t.service_orders.withColumns({"discountAmount": fn.money(F.lit(0.0)), "totalAmount": fn.money(F.col("subtotalAmount"))})
+    patches = t.service_orders.where("id % 3 = 0").select("id", (F.col("id") % 40).alias("courtesyPercent"))
+    return orders.with_courtesy(rows, patches).select("id", F.col("courtesyPercent").cast("double").alias("courtesyPercent"), money("discountAmount").alias("discountAmount"), money("totalAmount").alias("totalAmount"))
+
+
+# ---- result sheets
+
+
+def _results(t: Tables) -> DataFrame:
+    return t.sheet_items.where("id % 4 = 0").select(F.col("id").alias("serviceOrderItemId"), (F.col("id") % 8 == 0).alias("isActive"))
+
+
+@query("""SELECT i.id AS serviceOrderItemId, i.serviceOrderId, o.sampleAt, count(d.id) AS n_values, coalesce(string_agg(d.id::VARCHAR, ',' ORDER BY d.sortOrder, d.id), '') AS detail_ids FROM sheet_items i JOIN service_orders o ON o.id = i.serviceOrderId AND o.isActive LEFT JOIN study_details d ON d.studyId = i.studyId AND d.isActive WHERE i.id % 8 <> 0 GROUP BY 1, 2, 3""", "sheet_items", "service_orders", "study_details")
+def draft_results(t: Tables) -> DataFrame:
+    out = results.drafts(t.sheet_items, t.service_orders, _results(t), t.study_details)
+    return out.select("serviceOrderItemId", "serviceOrderId", "sampleAt", F.size("values").cast("bigint").alias("n_values"), F.array_join(F.transform("values", lambda v: v["studyDetailId"].cast("string")), ",").alias("detail_ids"))
+
+
+@query("SELECT i.id, CASE WHEN d.id IS NOT NULL THEN d.name ELSE 'own' END AS label, CASE WHEN d.id IS NOT NULL THEN CASE WHEN d.id % 2 = 0 THEN d.unit END ELSE 'mg' END AS unit, CASE WHEN d.id IS NOT NULL THEN d.referenceValue END AS referenceValue FROM sheet_items i LEFT JOIN study_details d ON d.id = i.studyId + 900", "sheet_items", "study_details")
+def snapshot_values(t: Tables) -> DataFrame:
+    values = t.sheet_items.select("id", (F.col("studyId") + 900).alias("studyDetailId"), F.lit("own").alias("label"), F.lit("mg").alias("unit"), F.lit(None).cast("string").alias("referenceValue"))
+    details = t.study_details.withColumn("unit", F.when(F.col("id") % 2 == 0, F.col("unit")))
+    return results.snapshot(values, details).select("id", "label", "unit", "referenceValue")
+
+
+@query("""SELECT b.id, CASE WHEN o.id IS NULL THEN 'ORDER' WHEN i.id IS NULL THEN 'ITEM' WHEN b.id % 8 = 0 THEN 'EXISTS' END AS fault, o.sampleAt FROM (SELECT id, CASE WHEN id % 7 = 0 THEN serviceOrderId + 1 ELSE serviceOrderId END AS so FROM sheet_items) b LEFT JOIN service_orders o ON o.id = b.so AND o.isActive LEFT JOIN sheet_items i ON i.id = b.id AND i.serviceOrderId = b.so""", "sheet_items", "service_orders")
+def result_create(t: Tables) -> DataFrame:
+    so = F.when(F.col("id") % 7 == 0, F.col("serviceOrderId") + 1).otherwise(F.col("serviceOrderId"))
+    batch = t.sheet_items.select(F.col("id").alias("batch_seq"), F.col("id").alias("serviceOrderItemId"), so.alias("serviceOrderId"), F.lit(None).cast("timestamp_ntz").alias("sampleAt"), F.lit(None).cast("boolean").alias("isDraft"))
+    return results.created(batch, t.service_orders, t.sheet_items, _results(t)).select(F.col("serviceOrderItemId").alias("id"), "fault", "sampleAt")
+
+
+# ---- text and time
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(trim(lower(strip_accents(text)), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[\t\n\x0B\f\r ]+', ' ', 'g'), '[^A-Za-z0-9_ -]', '', 'g') AS key FROM documents")
+def normalize_name(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", fn.name_key(F.col("text")).alias("key"))
+
+
+@query(r"""SELECT page_id, nullif(regexp_replace(regexp_replace(nullif(split_part(u, '/upload/', 2), ''), '^v[0-9]+/', ''), '\.[^/.]+$', ''), '') AS asset FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url ELSE url || '/upload/v' || page_id || '/img' || page_id || '.png' END AS u FROM pages)""")
+def url_public_id(t: Tables) -> DataFrame:
+    page = F.col("page_id").cast("string")
+    url = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat("url", F.lit("/upload/v"), page, F.lit("/img"), page, F.lit(".png")))
+    return t.pages.select("page_id", fn.url_asset_id(url).alias("asset"))
+
+
+@query("SELECT c_custkey, c_acctbal AS back, TRY_CAST(c_name AS DOUBLE) AS not_a_number FROM customer")
+def decimal_roundtrip(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", fn.text_number(fn.number_text(F.col("c_acctbal"))).alias("back"), fn.text_number(F.col("c_name")).alias("not_a_number"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN date_trunc('day', o_orderdate) WHEN 1 THEN o_orderdate END AS parsed FROM orders")
+def parse_iso(t: Tables) -> DataFrame:
+    text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\") WHEN 2 THEN date_format(o_orderdate, 'yyyy') ELSE 'soon' END")
+    return t.orders.select("o_orderkey", fn.iso_time(text).alias("parsed"))
+
+
+# ---- access
+
+
+def _micros(c: str) -> str:
+    return f"epoch_us({c})"
+
+
+_ACCESS = f"""WITH RECURSIVE e AS (SELECT *, {_micros("ts")} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM access WHERE kind IN ('login', 'mfa')),
+f AS (
+ SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, ''::VARCHAR AS kind, ''::VARCHAR AS outcome, 0::BIGINT AS n, NULL::BIGINT AS lk, NULL::BIGINT AS code, 0::BIGINT AS attempts FROM (SELECT DISTINCT user_id FROM e)
+ UNION ALL
+ SELECT user_id, k, event_id, kind, o, CASE WHEN o IN ('BAD_PASSWORD', 'LOCKED_NOW') THEN n + 1 WHEN kind = 'login' AND o = 'SUCCESS' THEN 0 ELSE n END, CASE WHEN o = 'LOCKED_NOW' THEN t + 172800000000 WHEN kind = 'login' AND o = 'SUCCESS' THEN NULL ELSE lk END,
+  CASE WHEN o = 'MFA_SENT' THEN t + 172800000000 WHEN o IN ('EXPIRED', 'TOO_MANY') OR (kind = 'mfa' AND o = 'SUCCESS') THEN NULL ELSE code END, CASE WHEN o = 'MFA_SENT' THEN 0 WHEN o = 'WRONG' THEN attempts + 1 ELSE attempts END
+ FROM (SELECT e.user_id, e.k, e.event_id, e.kind, e.t, f.n, f.lk, f.code, f.attempts, CASE WHEN e.kind = 'login' THEN
+   CASE WHEN NOT known THEN 'UNKNOWN' WHEN f.lk > t THEN 'LOCKED' WHEN NOT confirmed THEN 'UNCONFIRMED' WHEN NOT ok THEN CASE WHEN f.n + 1 >= 3 THEN 'LOCKED_NOW' ELSE 'BAD_PASSWORD' END WHEN rol = 'unassigned' THEN 'UNASSIGNED' WHEN rol = 'admin' THEN 'MFA_SENT' ELSE 'SUCCESS' END
+   ELSE CASE WHEN NOT known OR rol <> 'admin' THEN 'INVALID' WHEN f.code IS NULL THEN 'NO_PENDING' WHEN f.code < t THEN 'EXPIRED' WHEN f.attempts >= 3 THEN 'TOO_MANY' WHEN NOT ok THEN 'WRONG' ELSE 'SUCCESS' END END AS o
+  FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))"""
+
+
+def _outcomes(t: Tables) -> DataFrame:
+    return access.access_outcomes(t.access.where("kind IN ('login', 'mfa')"), "user_id", lock=2 * DAY, mfa=2 * DAY)
+
+
+@query(f"{_ACCESS} SELECT user_id, event_id, outcome FROM f WHERE kind = 'login'", "access")
+def login_lockout(t: Tables) -> DataFrame:
+    return _outcomes(t).join(t.access.where("kind = 'login'").select("event_id"), "event_id", "left_semi").select("user_id", "event_id", "outcome")
+
+
+@query(f"{_ACCESS} SELECT user_id, event_id, outcome FROM f WHERE kind = 'mfa'", "access")
+def mfa_attempts(t: Tables) -> DataFrame:
+    return _outcomes(t).join(t.access.where("kind = 'mfa'").select("event_id"), "event_id", "left_semi").select("user_id", "event_id", "outcome")
+
+
+@query(f"{_ACCESS} SELECT event_id, CASE WHEN outcome = 'SUCCESS' THEN user_id END AS userId, CASE WHEN outcome <> 'SUCCESS' THEN concat('u', user_id, '@lab.example') END AS emailIntent, outcome = 'SUCCESS' AS success FROM f WHERE k > 0 AND outcome <> 'MFA_SENT'", "access")
+def login_log_rows(t: Tables) -> DataFrame:
+    rows = _outcomes(t).withColumn("email", F.concat(F.lit("u"), "user_id", F.lit("@lab.example")))
+    return access.login_log(rows)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT *, {_micros("ts")} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT event_id, ts, user_id, known, CASE WHEN event_id % 20 = 0 THEN 'reset_done' ELSE kind END AS kind FROM access WHERE kind = 'reset_request')),
+f AS (SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, ''::VARCHAR AS outcome, 0::BIGINT AS n, NULL::BIGINT AS st FROM (SELECT DISTINCT user_id FROM e)
+ UNION ALL
+ SELECT user_id, k, event_id, o, CASE WHEN o = 'UNKNOWN' THEN n WHEN o = 'DONE' THEN 0 WHEN o = 'SENT' THEN c + 1 ELSE c END, CASE WHEN o = 'UNKNOWN' THEN st WHEN o = 'DONE' THEN NULL WHEN fresh THEN t ELSE st END
+ FROM (SELECT *, CASE WHEN NOT known THEN 'UNKNOWN' WHEN kind = 'reset_done' THEN 'DONE' WHEN c < 3 THEN 'SENT' ELSE 'THROTTLED' END AS o FROM (SELECT e.user_id, e.k, e.event_id, e.kind, e.known, e.t, f.n, f.st, f.st IS NULL OR e.t - f.st > 432000000000 AS fresh, CASE WHEN f.st IS NULL OR e.t - f.st > 432000000000 THEN 0 ELSE f.n END AS c FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)))
+SELECT user_id, event_id, outcome FROM f WHERE k > 0""", "access")
+def reset_rate_limit(t: Tables) -> DataFrame:
+    rows = t.access.where("kind = 'reset_request'").withColumn("kind", F.when(F.col("event_id") % 20 == 0, "reset_done").otherwise(F.col("kind")))
+    return access.reset_outcomes(rows, "user_id", window=5 * DAY)
+
+
+_TOKENS = "SELECT user_id, ts, concat('t', event_id) AS token, ts + INTERVAL 2 DAY AS expires_at FROM access WHERE kind = 'reset_request'"
+
+
+@query(f"""WITH i AS ({_TOKENS}), u AS (SELECT event_id, user_id, ts, (SELECT arg_max(i.token, i.ts) FROM i WHERE i.user_id = a.user_id AND i.ts <= a.ts) AS have, (SELECT max(i.ts) FROM i WHERE i.user_id = a.user_id AND i.ts <= a.ts) + INTERVAL 2 DAY AS expires FROM access a WHERE kind = 'mfa')
+SELECT event_id, coalesce(CASE WHEN event_id % 5 = 0 THEN false ELSE have IS NOT NULL END AND expires >= ts, false) AS valid FROM u""", "access")
+def reset_token_check(t: Tables) -> DataFrame:
+    issues = t.access.where("kind = 'reset_request'").select("user_id", "ts", F.concat(F.lit("t"), "event_id").alias("token"), (F.col("ts") + F.expr("INTERVAL '2' DAY")).alias("expires_at"))
+    uses = t.access.where("kind = 'mfa'").select("event_id", "user_id", "ts")
+    latest = uses.join(issues.select("user_id", F.col("ts").alias("at"), "token"), "user_id", "left").where("at IS NULL OR at <= ts").groupBy("event_id").agg(F.max_by("token", "at").alias("token"))
+    uses = uses.join(latest, "event_id", "left").withColumn("token", F.when(F.col("event_id") % 5 == 0, "wrong").otherwise(F.col("token")))
+    return access.reset_token_check(uses, issues).select("event_id", "valid")
+
+
+_SESSIONS = """s AS (SELECT o.*, o.ts + INTERVAL 1 DAY AS expires_at, (SELECT min(l.ts) FROM access l WHERE l.event_type = 'purchase' AND l.user_id = o.user_id AND l.event_id % 3 = 0 AND l.ts >= o.ts) AS revoked_at FROM (SELECT concat('s', event_id) AS jti, user_id, ts FROM access WHERE event_type = 'signup' AND known) o)"""
+
+
+def _sessions(t: Tables) -> DataFrame:
+    opens = t.access.where("event_type = 'signup' AND known").select(F.concat(F.lit("s"), "event_id").alias("jti"), "user_id", "ts")
+    logouts = opens.where(F.lit(False)).select("jti", "ts")
+    every = t.access.where("event_type = 'purchase' AND event_id % 3 = 0").select("user_id", "ts")
+    return access.sessions(opens, logouts, every, DAY)
+
+
+@query(f"WITH {_SESSIONS} SELECT jti, user_id, ts AS opened_at, expires_at, revoked_at FROM s", "access")
+def session_open(t: Tables) -> DataFrame:
+    return _sessions(t)
+
+
+@query(f"WITH {_SESSIONS} SELECT jti, user_id FROM s WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND expires_at >= TIMESTAMP '2024-01-15 12:00:00' AND (revoked_at IS NULL OR revoked_at > TIMESTAMP '2024-01-15 12:00:00')", "access")
+def sessions_active_at(t: Tables) -> DataFrame:
+    return access.active_at(_sessions(t), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")).select("jti", "user_id")
+
+
+@query(f"""WITH {_SESSIONS}, r AS (SELECT a.event_id, a.ts, CASE WHEN a.event_id % 9 = 0 THEN NULL ELSE concat('s', (SELECT max(o.event_id) FROM access o WHERE o.user_id = a.user_id AND o.event_type = 'signup')) END AS jti FROM access a WHERE a.event_type = 'view')
+SELECT r.event_id, r.jti, CASE WHEN r.jti IS NULL THEN 'NO_JTI' WHEN s.user_id IS NULL OR s.ts > r.ts THEN 'NOT_FOUND' WHEN s.revoked_at <= r.ts THEN 'REVOKED' WHEN s.expires_at < r.ts THEN 'EXPIRED' ELSE 'OK' END AS verdict FROM r LEFT JOIN s ON s.jti = r.jti""", "access")
+def session_check(t: Tables) -> DataFrame:
+    last = t.access.where("event_type = 'signup'").groupBy("user_id").agg(F.max("event_id").alias("last"))
+    requests = t.access.where("event_type = 'view'").join(last, "user_id", "left")
+    requests = requests.select("event_id", "ts", F.when(F.col("event_id") % 9 != 0, F.concat(F.lit("s"), F.coalesce(F.col("last").cast("string"), F.lit("")))).alias("jti"))
+    return access.session_check(requests, _sessions(t)).select("event_id", "jti", "verdict")
+
+
+@query("""SELECT email, id, CASE WHEN id IS NULL THEN 'CREATE' WHEN NOT confirmed THEN 'CONFIRM' ELSE 'KEEP' END AS action, coalesce(rol, 'unassigned') AS rol FROM (SELECT DISTINCT concat('u', c_custkey % 300, '@lab.example') AS email FROM customer) LEFT JOIN users USING (email)""", "users")
+def external_user_upsert(t: Tables) -> DataFrame:
+    logins = t.customer.select(F.concat(F.lit("u"), F.col("c_custkey") % 300, F.lit("@lab.example")).alias("email"))
+    return mutate.external_users(t.users, logins)
+
+
+# ---- changes
+
+
+@query("SELECT id, CASE WHEN isActive AND id % 5 = 0 THEN 'renamed' ELSE firstName END AS firstName, CASE WHEN isActive AND id % 5 = 0 AND id % 2 = 0 THEN NULL ELSE documentType END AS documentType FROM patients", "patients")
+def patch_merge(t: Tables) -> DataFrame:
+    fields = F.when(F.col("id") % 2 == 0, F.array(F.lit("firstName"), F.lit("documentType"))).otherwise(F.array(F.lit("firstName")))
+    patches = t.patients.where("id % 5 = 0").select("id", fields.alias("fields"), F.lit("renamed").alias("firstName"), F.lit(None).cast("string").alias("documentType"))
+    return mutate.patched(t.patients, patches, ["firstName", "documentType"]).select("id", "firstName", "documentType")
+
+
+@query("SELECT id, CASE WHEN isActive AND id % 6 = 0 THEN 'X' ELSE status END AS status FROM service_orders", "service_orders")
+def status_update(t: Tables) -> DataFrame:
+    return mutate.with_status(t.service_orders, t.service_orders.where("id % 6 = 0").select("id", F.lit("X").alias("status"))).select("id", "status")
+
+
+@query("SELECT serviceOrderId, lineNo, quantity FROM items WHERE serviceOrderId % 5 <> 0 UNION ALL SELECT id, 1, 7e0 FROM service_orders WHERE id % 5 = 0 AND id % 2 = 0 UNION ALL SELECT serviceOrderId, lineNo, quantity FROM items WHERE serviceOrderId % 5 = 0 AND serviceOrderId % 2 <> 0", "items", "service_orders")
+def replace_children(t: Tables) -> DataFrame:
+    new = t.service_orders.where("id % 5 = 0 AND id % 2 = 0").select(F.col("id").alias("serviceOrderId"), F.lit(1).alias("lineNo"), F.lit(7.0).alias("quantity"))
+    return mutate.replaced_children(t.items.select("serviceOrderId", "lineNo", "quantity"), new, "serviceOrderId")
+
+
+@query("SELECT id, isActive AND id % 8 <> 0 AS isActive FROM patients", "patients")
+def soft_delete(t: Tables) -> DataFrame:
+    return mutate.soft_deleted(t.patients, t.patients.where("id % 8 = 0").select("id")).select("id", "isActive")
+
+
+@query("SELECT w.id, p.id IS NOT NULL AS found FROM (SELECT id + 500 AS id FROM patients) w LEFT JOIN patients p ON p.id = w.id", "patients")
+def hard_delete(t: Tables) -> DataFrame:
+    return lookup.affected(t.patients.select((F.col("id") + 500).alias("id")), t.patients).select("id", "found")
+
+
+@query("""WITH gone AS (SELECT id FROM patients WHERE id % 3 = 0 AND id NOT IN (SELECT patientId FROM service_orders))
+SELECT 'patients' AS "table", count(*) AS n, sum(id)::BIGINT AS ids FROM patients WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'service_orders', count(*), sum(id)::BIGINT FROM service_orders WHERE id % 3 <> 0 UNION ALL SELECT 'service_order_items', count(*), sum(id)::BIGINT FROM sheet_items WHERE serviceOrderId % 3 <> 0""", "patients", "service_orders", "sheet_items")
+def cascade_delete(t: Tables) -> DataFrame:
+    tables = {"patients": t.patients, "service_orders": t.service_orders, "service_order_items": t.sheet_items}
+    after = mutate.cascaded(tables, "patients", t.patients.where("id % 3 = 0"))[0]
+    after |= {k: v for k, v in mutate.cascaded(tables, "service_orders", t.service_orders.where("id % 3 = 0"))[0].items() if k != "patients"}
+    out = None
+    for name in tables:
+        one = after[name].agg(F.lit(name).alias("table"), F.count("*").alias("n"), F.sum("id").alias("ids"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("WITH RECURSIVE s AS (SELECT id FROM study_details WHERE id % 97 = 0 UNION SELECT d.id FROM study_details d JOIN s ON d.parentId = s.id) SELECT id FROM s", "study_details")
+def detail_subtree(t: Tables) -> DataFrame:
+    return mutate.subtree(t.study_details, t.study_details.where("id % 97 = 0"))
+
+
+@query("SELECT id, CASE WHEN confirmed AND id % 2 = 0 THEN 'recepcionista' ELSE rol END AS rol FROM users", "users")
+def role_assign(t: Tables) -> DataFrame:
+    return mutate.roles_assigned(t.users, t.users.where("id % 2 = 0").select("id", F.lit("recepcionista").alias("rol")))[0].select("id", "rol")
+
+
+@query("SELECT id, rol FROM users WHERE id % 3 <> 0 OR rol = 'admin'", "users")
+def delete_users(t: Tables) -> DataFrame:
+    return mutate.users_deleted(t.users, t.users.where("id % 3 = 0")).select("id", "rol")
+
+
+@query("WITH tok AS (SELECT *, concat('k', id % 40) AS token FROM users), f AS (SELECT token, min(id) AS id FROM tok WHERE token IN (SELECT concat('k', n_nationkey) FROM nation) GROUP BY 1) SELECT id, confirmed OR id IN (SELECT id FROM f) AS confirmed, CASE WHEN id NOT IN (SELECT id FROM f) THEN token END AS token FROM tok", "users")
+def confirm_accounts(t: Tables) -> DataFrame:
+    users = t.users.withColumn("token", F.concat(F.lit("k"), F.col("id") % 40))
+    tokens = t.nation.select(F.concat(F.lit("k"), "n_nationkey").alias("token"))
+    return mutate.accounts_confirmed(users, tokens).select("id", "confirmed", "token")
