@@ -23,7 +23,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 DAY = 24 * 60
 #: What the properties of an event may hold; others are dropped.
-PROPS = T.StructType.fromDDL("k BIGINT, absent STRING")
+PROPS = T.StructType().add("k", T.LongType()).add("absent", T.StringType())
 
 
 class Tables:
