@@ -115,11 +115,15 @@ def cut_up(df: DataFrame, id_column: str, text: str, with_bytes: bool) -> DataFr
 def regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a file, which follow each other, to one row: its chunks in order, without the bytes of chunks that another file owns."""
     names = ["row", "id", "n_bytes", "file_sha256", "digests", "lengths", "kept", "bytes"]
-    types = [pa.int64(), None, pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.binary())]
+    types = [pa.int64(), None, pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.binary())]
     held: list[dict] = []
 
     def row() -> list:
-        first, kept = held[0], [x["owner"] is None or x["owner"] == x["row"] for x in held]
+        first, kept, own = held[0], [], set()
+        for x in held:
+            mine = x["owner"] == x["row"] and x["digest"] not in own
+            own |= {x["digest"]} if mine else set()
+            kept.append(UNIQUE if x["owner"] is None else SHARED if mine else ELSEWHERE)
         return [first["row"], first["id"], first["n_bytes"], first["file_sha256"], [x["digest"] for x in held], [len(x["bytes"]) for x in held], kept, [x["bytes"] if k else None for x, k in zip(held, kept, strict=True)]]
 
     for batch in batches:
@@ -136,11 +140,16 @@ def regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row(), types, strict=True)], names)
 
 
-FILES = "row bigint, id {id}, n_bytes bigint, file_sha256 string, digests array<binary>, lengths array<int>, kept array<boolean>, bytes array<binary>"
+#: What a file has of a chunk: a reference, bytes that only it needs, or bytes that others refer to.
+ELSEWHERE, UNIQUE, SHARED = 0, 1, 2
+FILES = "row bigint, id {id}, n_bytes bigint, file_sha256 string, digests array<binary>, lengths array<int>, kept array<tinyint>, bytes array<binary>"
 
 
 def store(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored files (see FILES): ordered chunk lists, each distinct chunk's bytes in one file."""
+    """The stored files (see FILES): ordered chunk lists, each distinct chunk's bytes in one file.
+
+    df is read twice and its rows are known by their place, so it has to be a table read from files (or stored).
+    """
     guarded(df.columns, [id_column, text], "media")
     kind = df.schema[id_column].dataType.simpleString()
     owners = stored(cut_up(df, id_column, text, False).groupBy("digest").agg(F.min("row").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner"), "owners")
@@ -154,14 +163,13 @@ def store(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataF
 
 def rebuilt(files: DataFrame) -> DataFrame:
     """(row, id, n_bytes, file_sha256, bytes: the chunks in order) of each stored file."""
-    whole = F.forall("kept", lambda k: k)
+    whole = F.forall("kept", lambda k: k != ELSEWHERE)
     own = files.where(whole).select("row", "id", "n_bytes", "file_sha256", "bytes")
-    loose = files.where(~whole).select("row", F.posexplode(F.arrays_zip("digests", "kept", "bytes")).alias("at", "c")).select("row", "at", "c.digests", "c.kept", "c.bytes")
-    # chunks of files in `own` can have references too, so the shared ones come from all files
-    wanted = loose.where("not kept").select(F.col("digests").alias("digest"), "row", "at")
-    shared = files.select(F.explode(F.arrays_zip("digests", "kept", "bytes")).alias("c")).where("c.kept").select(F.col("c.digests").alias("digest"), "c.bytes")
-    shared = shared.join(wanted.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
-    found = wanted.join(shared, "digest").select("row", "at", "bytes").unionByName(loose.where("kept").select("row", "at", "bytes"))
+    parts = lambda df: df.select("row", F.posexplode(F.arrays_zip("digests", "kept", "bytes")).alias("at", "c")).select("row", "at", F.col("c.digests").alias("digest"), "c.kept", "c.bytes")
+    loose = parts(files.where(~whole))
+    wanted = loose.where(F.col("kept") == ELSEWHERE).select("digest", "row", "at")
+    shared = parts(files.where(F.exists("kept", lambda k: k == SHARED))).where(F.col("kept") == SHARED).select("digest", "bytes")  # one row a digest
+    found = wanted.join(shared, "digest").select("row", "at", "bytes").unionByName(loose.where(F.col("kept") != ELSEWHERE).select("row", "at", "bytes"))
     put = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "bytes"))).alias("parts")).select("row", F.transform("parts", lambda p: p["bytes"]).alias("bytes"))
     heads = files.where(~whole).select("row", "id", "n_bytes", "file_sha256")
     return own.unionByName(heads.join(put, "row").select("row", "id", "n_bytes", "file_sha256", "bytes"))
