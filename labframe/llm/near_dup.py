@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labframe.llm.common import ascii_lower, by_bytes, broadcast_if_small, components, guarded, stored
+from labframe.llm.pieces import expanded
 
 #: Words in a shingle and the least similarity, in hundredths, unless the caller says otherwise.
 SHINGLE, SIMILARITY = 5, 80
@@ -176,40 +177,48 @@ def verified(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
     return x.where(100 * common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def compared(members: DataFrame, similarity: int, scheme: Scheme) -> DataFrame:
-    """Links (a, b) inside blocks: members has (bucket, block_a, block_b, role, node, component, bands, members).
+def compared(members: DataFrame, groups: int, similarity: int, scheme: Scheme) -> DataFrame:
+    """Links (a, b) inside cells: members has (cell, band, role, node, component, bands, members).
 
-    Role 1 rows are compared with role 2 rows of another component, if band A of the bucket is the first that they
-    share and some B band, if there are any, is shared too (so each pair is compared in one bucket). One link comes out for each
-    role 1 row and component.
+    Role 1 rows are compared with role 2 rows of their cell and another component, if the cell's band is the first
+    that they share and some B band, if there are any, is shared too (so each pair is compared in one cell). One link
+    comes out for each role 1 row and component. Cells are small and many, so a call gets about `groups`-th of them.
     """
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows.role == 1], rows[rows.role == 2]
-        out: list[tuple[int, int]] = []
+        out = [np.zeros((0, 2), np.int64)]
         if len(left) and len(right):
             lb, rb = np.stack(left.bands.to_list()), np.stack(right.bands.to_list())
-            flat = np.concatenate(right.members.to_list())
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], np.repeat(np.arange(len(right)), right.members.str.len())[order]
-            size, component, node = right.members.str.len().to_numpy(), right.component.to_numpy(), right.node.to_numpy()
-            band = int(rows.band.iloc[0])
-            for i, (own, members, mine) in enumerate(zip(left.node, left.members, left.component, strict=True)):
-                allowed = (component != mine) & (rb[:, band] == lb[i, band]) & ~(rb[:, :band] == lb[i, :band]).any(1)
+            ls, rs = left.members.str.len().to_numpy(), right.members.str.len().to_numpy()
+            ln, rn, lc, rc = left.node.to_numpy(), right.node.to_numpy(), left.component.to_numpy(), right.component.to_numpy()
+            lcell, rcell, band = left.cell.to_numpy(), right.cell.to_numpy(), left.band.to_numpy()
+            known, rank = np.unique(np.concatenate([*left.members.to_list(), *right.members.to_list()]), return_inverse=True)
+            have = np.sort(np.repeat(np.arange(len(left)), ls) * len(known) + rank[: ls.sum()])
+            flat, starts = rank[ls.sum() :], np.cumsum(rs) - rs
+            for lo in range(0, len(left), 128):
+                i = slice(lo, lo + 128)
+                a, b = np.nonzero((lcell[i, None] == rcell) & (lc[i, None] != rc) & (100 * np.minimum(ls[i, None], rs) >= similarity * np.maximum(ls[i, None], rs)))
+                a += lo
+                same = lb[a, : scheme.a_bands] == rb[b, : scheme.a_bands]
+                good = same[np.arange(len(a)), band[a]] & (same.argmax(1) == band[a])
                 if scheme.b_bands:
-                    allowed &= (rb[:, scheme.a_bands :] == lb[i, scheme.a_bands :]).any(1)
-                if not allowed.any():
-                    continue
-                lo, hi = np.searchsorted(flat, members, "left"), np.searchsorted(flat, members, "right")
-                n = hi - lo
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                common = np.bincount(owner[at], minlength=len(right))
-                good = np.flatnonzero(allowed & (100 * common >= similarity * (size + len(members) - common)))
-                _, first = np.unique(component[good], return_index=True)
-                out += [(own, node[g]) for g in good[first]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return members.groupBy("bucket", "band", "block_a", "block_b").applyInPandas(compare, "a bigint, b bigint")
+                    good &= (lb[a, scheme.a_bands :] == rb[b, scheme.a_bands :]).any(1)
+                a, b = a[good], b[good]
+                for some in np.array_split(np.arange(len(a)), int(rs[b].sum()) // 1_000_000 + 1):
+                    if not len(some):
+                        continue
+                    x, y = a[some], b[some]
+                    asked = np.repeat(x, rs[y]) * len(known) + flat[expanded(np.arange(len(y)), starts[y], rs[y])]
+                    found = have[np.minimum(np.searchsorted(have, asked), len(have) - 1)] == asked
+                    common = np.add.reduceat(found.astype(np.int64), np.cumsum(rs[y]) - rs[y])
+                    near = 100 * common >= similarity * (ls[x] + rs[y] - common)
+                    x, y = x[near], y[near]
+                    _, first = np.unique(np.stack([x, rc[y]], 1), axis=0, return_index=True)
+                    out.append(np.stack([ln[x[first]], rn[y[first]]], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return members.groupBy(F.pmod("cell", F.lit(groups)).alias("group")).applyInPandas(compare, "a bigint, b bigint")
 
 
 def set_table(df: DataFrame, nodes: DataFrame, id_column: str, text: str, shingle: int, units: Units = whole) -> DataFrame:
@@ -239,7 +248,8 @@ def node_of() -> Column:
 def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle: int, similarity: int, scheme: Scheme, units: Units = whole) -> tuple[DataFrame, DataFrame]:
     """(nodes, components of linked nodes) for a table of `signed`. A node without links is in no component."""
     some = rows.where("n > 0")
-    first = some.groupBy(*NODE).agg(F.min(F.struct("id", "place")).alias("first")).select(*NODE, "first.id", "first.place")
+    # sums by a key are stored before they are joined, so that both sides of the join are exchanges and a hot key can be split
+    first = stored(some.groupBy(*NODE).agg(F.min(F.struct("id", "place")).alias("first")).select(*NODE, "first.id", "first.place"), "first")
     nodes = stored(some.join(first, [*NODE, "id", "place"], "left_semi").select(node_of().alias("node"), "id", "place", *NODE, "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
     place = ["node", "id", "place", *NODE]
 
@@ -248,7 +258,7 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
         keyed = keyed.select("node", "i", "a", F.posexplode(F.slice("bands", scheme.a_bands + 1, scheme.b_bands)).alias("j", "b")).select("node", F.xxhash64("i", "a", "j", "b").alias("key"))
     else:
         keyed = keyed.select("node", F.xxhash64("i", "a").alias("key"))
-    centres = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
+    centres = stored(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "centres")
     stars = stored(keyed.join(centres, "key").where("node <> centre").select("key", "centre", "node"), "stars")
 
     info = nodes.select("node", "sketch", "n")
@@ -286,7 +296,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     rows = stored(signed(df, id_column, text, shingle, TENSORED), "signed")
     nodes, found = clustered(rows, df, id_column, text, shingle, similarity, TENSORED)
     named = nodes.select("node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = stored(named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("node", "component_id"), "least")
+    named = stored(named, "named")
+    ids = stored(named.groupBy("component").agg(F.min("id").alias("component_id")), "ids")
+    least = stored(named.join(ids, "component").select("node", "component_id"), "least")
     out = rows.select("id", "n", F.when(F.col("n") > 0, node_of()).alias("node")).join(least, "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
@@ -304,8 +316,9 @@ def residual(member: DataFrame, similarity: int, scheme: Scheme) -> DataFrame:
     sizes = spread.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("band", "bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
     sizes = sizes.select("band", "bucket", F.col("top.component").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks_b"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("blocks_a"))
-    spread = spread.join(sizes, ["band", "bucket"])
+    spread = spread.join(stored(sizes, "sizes"), ["band", "bucket"])
     # role 1: rows outside the bucket's largest component, with every block of role 2; role 2: all rows
     role1 = spread.where("component <> top").select("band", "bucket", "node", F.lit(1).alias("role"), F.pmod(F.xxhash64("node"), "blocks_a").cast("int").alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)).alias("block_b"))
     role2 = spread.select("band", "bucket", "node", F.lit(2).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)).alias("block_a"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks_b").cast("int").alias("block_b"))
-    return compared(role1.unionByName(role2).join(member, "node"), similarity, scheme)
+    cells = stored(role1.unionByName(role2).select("node", "role", "band", F.xxhash64("band", "bucket", "block_a", "block_b").alias("cell")), "cells")
+    return compared(cells.join(member, "node"), max(1, cells.count() // (2 * BLOCK)), similarity, scheme)

@@ -63,7 +63,7 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_w
     each = rows.select("id", "place", node_of().alias("node")).distinct().join(found, "node", "left").select("id", "place", F.coalesce("component", "node").alias("component"))
     each = stored(each, "each")
     first = each.groupBy("component").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", F.col("first.id").alias("origin"), F.col("first.place").alias("kept"))
-    hits = each.join(first, "component").withColumn("removed", ~(F.col("id").eqNullSafe(F.col("origin")) & (F.col("place") == F.col("kept"))))
+    hits = each.join(stored(first, "first"), "component").withColumn("removed", ~(F.col("id").eqNullSafe(F.col("origin")) & (F.col("place") == F.col("kept"))))
     by_row = hits.groupBy("id").agg(F.count("*").alias("n_repeated"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("place")))).alias("removed"), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("origin")))).alias("origins"))
     out = df.select(F.col(id_column).alias("id")).join(by_row.withColumnRenamed("id", "with"), F.col("id").eqNullSafe(F.col("with")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
