@@ -70,8 +70,8 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False) if len(words) else np.zeros(0, np.uint64)
 
 
-def sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of all texts in turn, offsets by text). Texts are lower-cased already."""
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts in turn, offsets by text). Texts are lower-cased already."""
     lists = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), r"[\x20\x09-\x0D]+")
     offsets, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
     offsets = offsets - offsets[0]
@@ -79,7 +79,12 @@ def sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     at = words.indices.to_numpy()
     keep = at != blank
     kept = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    h = word_hashes(words.dictionary)[at[keep]] if len(at) else np.zeros(0, np.uint64)
+    return word_hashes(words.dictionary)[at[keep]] if len(at) else np.zeros(0, np.uint64), kept
+
+
+def sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct shingle hashes of all texts in turn, offsets by text). Texts are lower-cased already."""
+    h, kept = words_of(texts)
     n = np.diff(kept)
     with np.errstate(over="ignore"):
         # a shingle's hash: Horner's rule over its words' hashes

@@ -1,4 +1,4 @@
-"""Substring dedup of paragraphs: MinHash banding, exact verification, removal by components.
+"""Substring dedup: near copies of paragraphs by MinHash banding, and every exactly repeated passage at any place.
 
 Paragraphs are the lines of a text with at least MIN_WORDS words. `tuned` picks the number of bands for the wanted
 recall; paragraphs of unlike texts share almost no shingles of five words, so short bands bring few false meetings.
@@ -6,27 +6,37 @@ Equal paragraphs are one class before banding, colliding classes are joined, and
 Jaccard similarity of their shingle sets (see near_dup.py, whose buckets are compared whole without emitting all
 pairs). In each component the first paragraph, by key and place, stays; the others are removed.
 
-Defined results: null and empty texts have no paragraphs; repeated rows of one key count as one document's (the first
-stays in all of them); null keys come first; columns other than key and text are ignored; an empty table gives an
+Passages are runs of at least MIN_WORDS words, over the ends of lines and inside longer lines. Every such window of
+words is hashed to 128 bits (polynomials that roll over the text); of equal windows the first, by key and place, stays
+and the words of the others go. Two equal windows have the same least hash of half as many words (winnowing), so only
+windows whose least hash is found more than once become rows. Windows only meet by a sum for each hash, so a passage
+with many copies makes no pairs.
+
+Defined results: null and empty texts have no paragraphs or passages; repeated rows of one key count as one document's
+(the first stays in all of them), for passages if their texts are equal too; null keys come first; columns other than key and text are ignored; an empty table gives an
 empty table.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labframe.llm.common import by_bytes, guarded, stored
-from labframe.llm.near_dup import BATCH_BYTES, SHINGLE, SIMILARITY, Scheme, clustered, node_of, signed
+from labframe.llm.common import ascii_lower, broadcast_if_small, by_bytes, guarded, stored
+from labframe.llm.near_dup import BATCH_BYTES, SHINGLE, SIMILARITY, Scheme, clustered, mixed, node_of, signed, words_of
 
-#: Fewest words of a paragraph that is compared.
+#: Fewest words of a paragraph or passage that is compared.
 MIN_WORDS = 50
+#: Odd bases of the rolling hashes.
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def tuned(similarity: float, miss: float = 3e-4, rows: int = 3) -> Scheme:
@@ -50,11 +60,119 @@ def paragraphs(min_words: int):
     return units
 
 
+def rolling(words: np.ndarray, width: int, base: int) -> np.ndarray:
+    """A 64-bit hash of each `width` neighbouring words."""
+    if len(words) < width:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.full(len(words), base, np.uint64))
+        down = np.cumprod(np.full(len(words) - width + 1, pow(base, -1, 1 << 64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up)])
+        return mixed((sums[width:] - sums[:-width]) * down)
+
+
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours."""
+    held = 1
+    while 2 * held <= width:
+        x, held = np.minimum(x[:-held], x[held:]), 2 * held
+    return np.minimum(x[: len(x) - (width - held)], x[width - held :])
+
+
+def within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, place in the group) of each element of groups of these sizes."""
+    return np.repeat(np.arange(len(counts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def repeated_windows(texts: DataFrame, min_words: int) -> DataFrame:
+    """(wa, wb, id, doc, pos) of the windows of texts (id, doc, text) that may be found more than once: their hash and first word."""
+    half = max(1, min_words // 2)
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            words, offsets = words_of(batch.column("text"))
+            row, start = within(np.maximum(np.diff(offsets) - min_words + 1, 0))
+            if not len(row):
+                continue
+            low = sliding_least(rolling(words, half, BASES[0]), min_words - half + 1)[offsets[:-1][row] + start]
+            new = np.ones(len(row), bool)
+            new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row[at])), pa.array(low[at].view(np.int64)), pa.array(start[at]), pa.array(start[np.append(at[1:], len(row)) - 1] + 1)], ["doc", "anchor", "low", "high"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            words, offsets = words_of(batch.column("text"))
+            found = batch.column("found")
+            low, high = (found.flatten().field(c).to_numpy() for c in ("low", "high"))
+            run, place = within(high - low)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))[run]
+            pos = low[run] + place
+            keys = [rolling(w, min_words, b)[offsets[:-1][row] + pos].view(np.int64) for w, b in zip((words, mixed(words + np.uint64(1))), BASES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), batch.column("id").take(pa.array(row)), batch.column("doc").take(pa.array(row)), pa.array(pos)], ["wa", "wb", "id", "doc", "pos"])
+
+    anchors = stored(texts.select("doc", "text").mapInArrow(anchor, "doc bigint, anchor bigint, low bigint, high bigint"), "anchors")
+    twice = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
+    found = anchors.join(broadcast_if_small(twice), "anchor", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("found"))
+    marked = texts.join(broadcast_if_small(stored(found, "ranges")), "doc").select("id", "doc", "text", "found")
+    return stored(marked.mapInArrow(hashed, f"wa bigint, wb bigint, id {kind}, doc bigint, pos bigint"), "windows")
+
+
+def passages(texts: DataFrame, min_words: int) -> DataFrame:
+    """(doc, lines, cuts, origins) of the texts (id, doc, text) that lose words.
+
+    Words go if a window around them is found before. lines: line numbers that go whole; cuts: the other characters
+    that go, as (low, high); origins: keys of the documents where the windows stay.
+    """
+    windows = repeated_windows(texts, min_words)
+    # repeated rows give equal places, so they are no repetition
+    firsts = windows.groupBy("wa", "wb").agg(F.min(F.struct("id", "doc", "pos")).alias("first"), F.max(F.struct("id", "doc", "pos")).alias("last"))
+    firsts = stored(firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select("wa", "wb", F.col("first.id").alias("origin"), F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")), "firsts")
+    later = windows.join(firsts, ["wa", "wb"]).where("doc <> first_doc OR pos <> first_pos")
+    gone = later.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("gone"), F.collect_set("origin").alias("origins"))
+    p = F.col("gone")
+    low = F.filter(p, lambda x, i: (i == 0) | (x - F.get(p, i - 1) > min_words))
+    high = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) - x > min_words))
+    runs = stored(gone.select("doc", low.alias("low"), high.alias("high"), "origins"), "runs")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            out = []
+            for text, lows, highs in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "high")), strict=True):
+                goes = np.zeros(sum(1 for _ in WORD.finditer(text)), bool)
+                for a, b in zip(lows, highs, strict=True):
+                    goes[a : b + min_words] = True
+                lines, cuts, word, at = [], [], 0, 0
+                for i, line in enumerate(text.split("\n")):
+                    spans = [m.span() for m in WORD.finditer(line)]
+                    own = goes[word : word + len(spans)]
+                    if len(own) and own.all():
+                        lines.append(i)
+                    elif own.any():
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
+                        cuts += [{"low": at + spans[a][0], "high": at + spans[b - 1][1]} for a, b in edge.reshape(-1, 2)]
+                    word, at = word + len(spans), at + len(line) + 1
+                out.append((lines, cuts))
+            kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x for x, _ in out], pa.list_(pa.int64())), pa.array([x for _, x in out], kind), batch.column("origins")], ["doc", "lines", "cuts", "origins"])
+
+    names = texts.select(F.array("id").alias("o")).schema["o"].dataType.simpleString()
+    rows = texts.join(broadcast_if_small(runs), "doc").select("doc", "text", "low", "high", "origins")
+    return stored(rows.mapInArrow(placed, f"doc bigint, lines array<bigint>, cuts array<struct<low:bigint,high:bigint>>, origins {names}").dropDuplicates(["doc"]), "passages")
+
+
+def document(id_column: str, text: str) -> Column:
+    """A digest of key and text: what tells documents apart, also those without a key."""
+    return F.xxhash64(id_column, text)
+
+
 def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """(id, n_repeated, n_removed, removed, origins) for each row of df.
+    """(id, n_repeated, n_removed, removed, origins, cuts, document) for each row of df.
 
-    n_repeated: paragraphs in a component with others; removed: line numbers that go; origins: keys of the documents
-    whose paragraphs stay instead.
+    n_repeated: paragraphs in a component with others; removed: line numbers that go, being near copies of paragraphs
+    or whole in repeated passages; origins: keys of the documents whose paragraphs and passages stay instead; cuts:
+    places (low, high) of the characters in other lines that go; document: digest of key and text.
     """
     guarded(df.columns, [id_column, text], "substring_dedup")
     scheme, units = tuned(similarity / 100), paragraphs(min_words)
@@ -65,25 +183,33 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_w
     first = each.groupBy("component").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", F.col("first.id").alias("origin"), F.col("first.place").alias("kept"))
     hits = each.join(stored(first, "first"), "component").withColumn("removed", ~(F.col("id").eqNullSafe(F.col("origin")) & (F.col("place") == F.col("kept"))))
     by_row = hits.groupBy("id").agg(F.count("*").alias("n_repeated"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("place")))).alias("removed"), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("origin")))).alias("origins"))
-    out = df.select(F.col(id_column).alias("id")).join(by_row.withColumnRenamed("id", "with"), F.col("id").eqNullSafe(F.col("with")), "left")
+    texts = df.select(F.col(id_column).alias("id"), document(id_column, text).alias("doc"), ascii_lower(F.col(text)).alias("text"))
+    parts = passages(texts, min_words).withColumnRenamed("origins", "more")
+    out = texts.select("id", "doc").join(by_row.withColumnRenamed("id", "with"), F.col("id").eqNullSafe(F.col("with")), "left").join(parts, "doc", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    return out.select(F.col("id").alias(id_column), zero(F.col("n_repeated")).alias("n_repeated"), zero(F.size("removed")).alias("n_removed"), F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"), F.coalesce("origins", F.array().cast(hits.select(F.array("origin").alias("o")).schema["o"].dataType)).alias("origins"))
+    names = parts.schema["more"].dataType
+    both = lambda a, b, kind: F.array_sort(F.array_union(F.coalesce(a, F.array().cast(kind)), F.coalesce(b, F.array().cast(kind))))
+    removed = both(F.col("removed"), F.col("lines"), "array<bigint>")
+    # a line that is removed as a near copy needs no cuts, but they do no harm
+    return out.select(F.col("id").alias(id_column), zero(F.col("n_repeated")).alias("n_repeated"), F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed"), both(F.col("origins"), F.col("more"), names).alias("origins"), F.coalesce("cuts", F.array().cast(parts.schema["cuts"].dataType)).alias("cuts"), F.col("doc").alias("document"))
 
 
 def without_repeats(df: DataFrame, marked: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with the removed lines of `repeated` taken out of its texts."""
+    """df with the removed lines and cuts of `repeated` taken out of its texts."""
     fields, position = df.columns, df.columns.index(text)
-    marks = marked.where("n_removed > 0").select(F.col(id_column).alias("mark_id"), F.col("removed").alias("mark"))
+    marks = marked.where("n_removed > 0 OR size(cuts) > 0").select(F.col("document").alias("mark_id"), F.col("removed").alias("mark"), F.col("cuts").alias("mark_cuts")).dropDuplicates(["mark_id"])
     named = df.toDF(*(f"c{i}" for i in range(len(fields))))
-    joined = named.join(marks, named[f"c{fields.index(id_column)}"].eqNullSafe(marks["mark_id"]), "left").drop("mark_id")
+    joined = named.join(marks, document(f"c{fields.index(id_column)}", f"c{position}") == marks["mark_id"], "left").drop("mark_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, position, BATCH_BYTES):
             texts = []
-            for t, gone in zip(batch.column(position).to_pylist(), batch.column(len(fields)).to_pylist(), strict=True):
+            for t, gone, cuts in zip(*(batch.column(c).to_pylist() for c in (position, len(fields), len(fields) + 1)), strict=True):
+                for c in reversed(cuts or []):
+                    t = t[: c["low"]] + t[c["high"] :]
                 texts.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in set(gone)) if t and gone else t)
-            columns = list(batch.columns)[:-1]
+            columns = list(batch.columns)[:-2]
             columns[position] = pa.array(texts, columns[position].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
 
     return joined.mapInArrow(cut, named.schema).toDF(*fields)

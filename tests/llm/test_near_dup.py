@@ -104,3 +104,28 @@ def test_paragraphs_that_repeat(spark):
 def test_tuned_bands():
     scheme = substring_dedup.tuned(0.8)
     assert (1 - 0.8**scheme.a_rows) ** scheme.a_bands <= 3e-4 and scheme.hashes <= 64
+
+
+def windows(t, n=50):
+    w = WORD.findall(low(t))
+    return [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+
+
+def test_passages_over_lines_and_inside_longer_lines(spark):
+    lines, inner = [prose(30 + i, 20) for i in range(4)], prose(40, 60)
+    block = "\n".join(lines)
+    rows = [(1, f"{prose(41, 30)}\n{block}\n{prose(42, 30)}"), (2, f"{prose(43, 10)}\n{block}\nend of it"), (3, f"{prose(44, 90)} {inner} {prose(45, 90)}"), (4, f"{prose(46, 200)} {inner} {prose(47, 100)}"), (5, "no copy " + prose(48, 60)), (None, f"{prose(49, 70)} {inner}"), (None, f"{prose(50, 70)} {inner}"), (6, None), (7, ""), (8, prose(51, 49)), (9, prose(51, 49)), (10, f"{prose(52, 55)} {prose(52, 55)}")]
+    rows += [rows[3], (4, f"{inner} other text of the same key")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    marked = substring_dedup.repeated(df)
+    got = {r.doc_id: (r.removed, r.cuts, r.origins) for r in marked.collect()}
+    assert (got[1], got[2], got[3][1:]) == (([], [], []), ([1, 2, 3, 4], [], [1]), ([(len(prose(44, 90)) + 1, len(prose(44, 90)) + 1 + len(inner))], []))
+    texts = [r.text for r in substring_dedup.without_repeats(df, marked).collect()]
+    assert len(texts) == len(rows)
+    seen = defaultdict(int)
+    for t in {t for t in texts if t}:
+        for w in set(windows(t)):
+            seen[w] += 1
+    assert not [w for w, n in seen.items() if n > 1]
+    assert sum(low(inner) in low(t or "") for t in texts) == 1 and sum(low(lines[0]) in low(t or "") for t in texts) == 1
+    assert sorted(t for t in texts if t and len(t.split()) == 49) == sorted([rows[9][1], rows[10][1]])
