@@ -267,8 +267,8 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
     stars = stored(keyed.join(centres, "key").where("node <> centre").select("key", "centre", "node"), "stars")
 
     info = nodes.select("node", "sketch", "n")
-    pairs = stars.select("centre", "node").distinct()
-    pairs = pairs.join(info.toDF("centre", "x", "nx"), "centre").join(info.toDF("node", "y", "ny"), "node")
+    met = stored(stars.select("centre", "node").distinct(), "met")
+    pairs = met.join(info.toDF("centre", "x", "nx"), "centre").join(info.toDF("node", "y", "ny"), "node")
     pairs = pairs.where(100 * F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
     pairs = stored(pairs.withColumn("estimate", similarity_estimate("x", "y", scheme.hashes)).where(F.col("estimate") >= LEAST_ESTIMATE).select(F.col("centre").alias("a"), F.col("node").alias("b"), "estimate"), "pairs")
     touched = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -281,8 +281,8 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
     links = stored(links.unionByName(verified(rest.join(best, ["a", "b"], "left_anti"), full, similarity)), "links")
     found = components(links)
 
-    # components that share a bucket, but whose members were only compared with its centre
-    open_pairs = labelled(pairs.select("a", "b"), found).where("ca <> cb").select("a", "b")
+    # components that share a bucket, but whose members were only compared with its centre, if at all
+    open_pairs = labelled(met.toDF("a", "b"), found).where("ca <> cb").select("a", "b")
     keys = stars.toDF("key", "a", "b").join(open_pairs, ["a", "b"], "left_semi").select("key").distinct()
     inside = stars.join(keys, "key", "left_semi")
     inside = stored(inside.select("node").unionByName(inside.select(F.col("centre").alias("node"))).distinct(), "open")

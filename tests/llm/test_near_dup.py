@@ -129,3 +129,15 @@ def test_passages_over_lines_and_inside_longer_lines(spark):
     assert not [w for w, n in seen.items() if n > 1]
     assert sum(low(inner) in low(t or "") for t in texts) == 1 and sum(low(lines[0]) in low(t or "") for t in texts) == 1
     assert sorted(t for t in texts if t and len(t.split()) == 49) == sorted([rows[9][1], rows[10][1]])
+
+
+def test_a_bucket_is_compared_if_its_centre_is_unlike_its_members(spark):
+    # c is too short for a and b, but meets them in the only table and may be its centre
+    scheme, rows, bases = near_dup.Scheme(1, 1), [], [" ".join(f"w{k}x{i}" for i in range(100)) for k in range(40)]
+    for k, base in enumerate(bases):
+        rows += [(3 * k, base), (3 * k + 1, base + " one more"), (3 * k + 2, " ".join(base.split(" ")[:75]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    nodes, found = near_dup.clustered(near_dup.stored(near_dup.signed(df, "doc_id", "text", 2, scheme), "signed"), df, "doc_id", "text", 2, 80, scheme)
+    at = {r.id: (r.component or r.node, r.bands[0]) for r in nodes.join(found, "node", "left").collect()}
+    met = [k for k in range(40) if at[3 * k][1] == at[3 * k + 1][1]]
+    assert len(met) > 30 and all(at[3 * k][0] == at[3 * k + 1][0] != at[3 * k + 2][0] for k in met)
