@@ -11,7 +11,8 @@ bounded size are dealt out and compared inside an Arrow function, which returns
 So large groups are compared whole, while no pairs but verified ones and those with centres become rows.
 
 Defined results: null and empty texts and texts without words have an empty set and are linked with nothing; repeated
-rows (also of one key) each get their class; null keys are classed by text like others; columns other than key and
+rows (also of one key) each get their class; null keys are classed by text like others, and a row without a key is
+kept unless its group has a key; columns other than key and
 text are ignored; an empty table gives an empty table.
 """
 
@@ -146,8 +147,13 @@ def whole(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), batch.column("text")
 
 
+def document(id_column: str, text: str) -> Column:
+    """A digest of key and text: what tells documents apart, also those without a key."""
+    return F.xxhash64(id_column, text)
+
+
 def signed(df: DataFrame, id_column: str, text: str, shingle: int, scheme: Scheme, units: Units = whole) -> DataFrame:
-    """(id, place, n, class_a, class_b, bands, sketch): set size, a 128-bit digest of the set, band keys, a byte of each minhash."""
+    """(id, doc, place, n, class_a, class_b, bands, sketch): a digest of key and text, set size, a 128-bit digest of the set, band keys, a byte of each minhash."""
     kind = df.schema[id_column].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +164,10 @@ def signed(df: DataFrame, id_column: str, text: str, shingle: int, scheme: Schem
             keys = bands(hashes, scheme)
             low = np.ascontiguousarray((hashes & np.uint64(255)).astype(np.uint8))
             sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(scheme.hashes), len(n), [None, pa.py_buffer(low)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(place), pa.array(n), *map(pa.array, digests(values, offsets)), lists(keys.ravel(), np.arange(len(n) + 1) * keys.shape[1]), sketch], ["id", "place", "n", "class_a", "class_b", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("id", "doc")), pa.array(place), pa.array(n), *map(pa.array, digests(values, offsets)), lists(keys.ravel(), np.arange(len(n) + 1) * keys.shape[1]), sketch], ["id", "doc", "place", "n", "class_a", "class_b", "bands", "sketch"])
 
-    rows = df.select(F.col(id_column).alias("id"), ascii_lower(F.col(text)).alias("text"))
-    return rows.mapInArrow(sign, f"id {kind}, place bigint, n bigint, class_a bigint, class_b bigint, bands array<bigint>, sketch binary")
+    rows = df.select(F.col(id_column).alias("id"), document(id_column, text).alias("doc"), ascii_lower(F.col(text)).alias("text"))
+    return rows.mapInArrow(sign, f"id {kind}, doc bigint, place bigint, n bigint, class_a bigint, class_b bigint, bands array<bigint>, sketch binary")
 
 
 def similarity_estimate(a: str, b: str, hashes: int):
@@ -227,7 +233,7 @@ def compared(members: DataFrame, groups: int, similarity: int, scheme: Scheme) -
 
 
 def set_table(df: DataFrame, nodes: DataFrame, id_column: str, text: str, shingle: int, units: Units = whole) -> DataFrame:
-    """(node, members): the full sets of the given nodes (node, id, place, class_a, class_b); where an id has several texts, of the right one."""
+    """(node, members): the full sets of the given nodes (node, doc, place, class_a, class_b)."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
@@ -238,7 +244,7 @@ def set_table(df: DataFrame, nodes: DataFrame, id_column: str, text: str, shingl
             right = [pc.equal(batch.column(c).take(row), pa.array(d)) for c, d in zip(("class_a", "class_b"), digests(values, offsets), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node").take(row), lists(values, offsets)], ["node", "members"]).filter(pc.and_(*right))
 
-    rows = df.select(F.col(id_column).alias("id"), ascii_lower(F.col(text)).alias("text")).join(broadcast_if_small(nodes), "id").select("node", "place", "class_a", "class_b", "text")
+    rows = df.select(document(id_column, text).alias("doc"), ascii_lower(F.col(text)).alias("text")).join(broadcast_if_small(nodes), "doc").select("node", "place", "class_a", "class_b", "text")
     return stored(rows.mapInArrow(collect, "node bigint, members array<bigint>").dropDuplicates(["node"]), "sets")
 
 
@@ -254,9 +260,9 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
     """(nodes, components of linked nodes) for a table of `signed`. A node without links is in no component."""
     some = rows.where("n > 0")
     # sums by a key are stored before they are joined, so that both sides of the join are exchanges and a hot key can be split
-    first = stored(some.groupBy(*NODE).agg(F.min(F.struct("id", "place")).alias("first")).select(*NODE, "first.id", "first.place"), "first")
-    nodes = stored(some.join(first, [*NODE, "id", "place"], "left_semi").select(node_of().alias("node"), "id", "place", *NODE, "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
-    place = ["node", "id", "place", *NODE]
+    first = stored(some.groupBy(*NODE).agg(F.min(F.struct("doc", "place")).alias("first"), F.min("id").alias("least")).select(*NODE, "first.doc", "first.place", "least"), "first")
+    nodes = stored(some.join(first, [*NODE, "doc", "place"]).select(node_of().alias("node"), F.col("least").alias("id"), "doc", "place", *NODE, "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
+    place = ["node", "doc", "place", *NODE]
 
     keyed = nodes.select("node", "bands", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias("i", "a"))
     if scheme.b_bands:
@@ -306,7 +312,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     least = stored(named.join(ids, "component").select("node", "component_id"), "least")
     out = rows.select("id", "n", F.when(F.col("n") > 0, node_of()).alias("node")).join(least, "node", "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
 def labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:

@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labframe.llm.common import ascii_lower, broadcast_if_small, by_bytes, guarded, stored
-from labframe.llm.near_dup import BATCH_BYTES, SHINGLE, SIMILARITY, Scheme, clustered, mixed, node_of, signed, words_of
+from labframe.llm.near_dup import BATCH_BYTES, SHINGLE, SIMILARITY, Scheme, clustered, document, mixed, node_of, signed, words_of
 
 #: Fewest words of a paragraph or passage that is compared.
 MIN_WORDS = 50
@@ -162,11 +162,6 @@ def passages(texts: DataFrame, min_words: int) -> DataFrame:
     return stored(rows.mapInArrow(placed, f"doc bigint, lines array<bigint>, cuts array<struct<low:bigint,high:bigint>>, origins {names}").dropDuplicates(["doc"]), "passages")
 
 
-def document(id_column: str, text: str) -> Column:
-    """A digest of key and text: what tells documents apart, also those without a key."""
-    return F.xxhash64(id_column, text)
-
-
 def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """(id, n_repeated, n_removed, removed, origins, cuts, document) for each row of df.
 

@@ -141,3 +141,12 @@ def test_a_bucket_is_compared_if_its_centre_is_unlike_its_members(spark):
     at = {r.id: (r.component or r.node, r.bands[0]) for r in nodes.join(found, "node", "left").collect()}
     met = [k for k in range(40) if at[3 * k][1] == at[3 * k + 1][1]]
     assert len(met) > 30 and all(at[3 * k][0] == at[3 * k + 1][0] != at[3 * k + 2][0] for k in met)
+
+
+def test_rows_without_a_key_are_classed_by_text(spark, twice):
+    want = brute({i: shingles(t, 2) for i, t in corpus()})
+    got = near_dup.near_duplicates(twice, shingle=2).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(i, c, i == c) for i, c in want.items()} | {(None, 20, False)}
+    texts = [prose(60, 80), prose(60, 80), edited(prose(60, 80), 1, 1), prose(61, 80), None]
+    got = near_dup.near_duplicates(spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string"), shingle=2).collect()
+    assert [(r.component_id, r.kept) for r in got] == [(None, True)] * 5
