@@ -15,9 +15,18 @@ from labframe.llm import byte_bpe, decontamination, near_dup, pii, toxicity
 from labframe.llm.common import broadcast_if_small, documents, stored
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but the rows whose doc_id is in ids (broadcast only if counted and few)."""
-    return docs.join(broadcast_if_small(stored(ids.select("doc_id").distinct(), "gone")), "doc_id", "left_anti").select(*docs.columns)
+#: The column that holds a row's number while a stage runs.
+ROW = "pipeline row number"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a stored number for each row, as doc_id may be null or repeated."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs, which are numbered, but the given rows (broadcast only if counted and few), and without the numbers."""
+    return docs.join(broadcast_if_small(stored(rows.select(ROW).distinct(), "gone")), ROW, "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +35,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group, on shingles of five words."""
-    return without(docs, near_dup.near_duplicates(docs).where("not kept"))
+    """Keeps one row of each group, of those with the least doc_id, on shingles of five words; rows without doc_id come last."""
+    rows = numbered(docs)
+    found = stored(near_dup.near_duplicates(rows, id_column=ROW).select(ROW, "component_id").join(rows.select(ROW, "doc_id"), ROW), "found")
+    groups = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"), F.count("*").alias("n"))
+    stays = stored(groups.where("n > 1").select("component_id", F.col("first")[ROW].alias("stays")), "stays")
+    return without(rows, found.join(broadcast_if_small(stays), "component_id").where(F.col(ROW) != F.col("stays")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with an occurrence of a window of a benchmark item."""
-    return without(docs, decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+    rows = numbered(docs)
+    return without(rows, decontamination.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column=ROW).where("contaminated"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from labframe.llm import byte_bpe, decontamination, near_dup, pii, queries, toxicity
 
+from .conftest import edited, prose
 from .test_decontamination import brute as contaminated
 from .test_near_dup import brute as classes
 from .test_near_dup import shingles
@@ -32,3 +33,15 @@ def test_run_is_the_stages_by_brute_force(spark, sf_dir):
         assert r.ids == library.encode_ordinary(r.text) and r.n_chars == len(r.text) and not pii.base_spans(r.text)
         assert r.text == clean[i] or pii.base_spans(clean[i])
     assert decontamination.WINDOW == 10 and docs.select(F.count("*")).first()[0] > len(rows)
+
+
+def test_rows_are_dropped_by_row_and_not_by_key(spark, sf_dir):
+    passage = max((r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()), key=len)
+    a, b, c, d, e = (prose(200 + i, 80) for i in range(5))
+    rows = [(1, a), (1, a), (None, a), (2, b), (2, edited(a, 1, 1)), (None, c), (None, edited(c, 1, 1)), (None, f"{d} {passage}"), (3, f"{e} {passage}"), (3, e + " clean")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted([(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, sf_dir).collect()], key=str)
+    assert [t for i, t in kept if t == a] == [a] and (1, a) in kept and (2, b) in kept and len([t for _, t in kept if t in (rows[5][1], rows[6][1])]) == 1
+    assert rows[4] not in kept and {rows[7], rows[8], rows[9]} <= set(kept) and len(kept) == 6
+    left = corpus_pipeline.drop_contaminated(spark, df, sf_dir)
+    assert left.columns == df.columns and sorted(map(tuple, left.collect()), key=str) == sorted([r for r in rows if passage not in r[1]], key=str)
