@@ -63,14 +63,13 @@ def matches(df: DataFrame, id_column: str = "doc_id", text: str = "text", dice:
     spark, known = df.sparkSession, [(name, i, p) for i, (name, t) in enumerate(templates or TEMPLATES) if (p := word_pairs(t))]
     rows = [(size, name, i, p) for name, i, p in known for size in range(bounds(len(p), dice)[0], bounds(len(p), dice)[1] + 1)]
     table = spark.createDataFrame(rows, "size int, license string, template int, known array<string>")
-    top = max((r[0] for r in rows), default=0)
     low = min((r[0] for r in rows), default=0)
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: F.filter(F.split(F.lower(line), BREAKS), lambda w: w != ""))
     cut = df.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), lines.alias("lines"))
-    # repeated pairs only lower the count, so a text with few words has few pairs; the exact size is joined below
-    whole = F.when((F.size("lines") > 1) & (F.aggregate("lines", F.lit(0), lambda n, w: n + F.size(w)) <= 20 * (top + 1)), F.flatten("lines")).otherwise(F.array().cast("array<string>"))
+    # a text of many words can have few distinct pairs, so only too few words rule a unit out; the exact size is joined below
+    whole = F.when(F.size("lines") > 1, F.flatten("lines")).otherwise(F.array().cast("array<string>"))
     units = cut.select("id", "row", F.posexplode(F.concat(F.array(whole), "lines")).alias("line", "words")).where(F.size("words") > low)
-    sized = units.where(F.size("words") <= 20 * (top + 1)).select("id", "row", (F.col("line") - 1).alias("line"), pairs(F.col("words")).alias("pairs")).withColumn("size", F.size("pairs"))
+    sized = units.select("id", "row", (F.col("line") - 1).alias("line"), pairs(F.col("words")).alias("pairs")).withColumn("size", F.size("pairs"))
     met = sized.join(F.broadcast(table), "size")  # a fixed table of some hundred rows
     score = 2 * F.size(F.array_intersect("pairs", "known")) / (F.col("size") + F.size("known"))
     return met.select("id", "row", "line", "license", "template", score.alias("dice")).where(F.col("dice") >= dice)

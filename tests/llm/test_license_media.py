@@ -33,6 +33,14 @@ def test_licences_are_those_of_all_comparisons(spark):
     assert {r.doc_id for r in license_scan.licenses(df).collect()} == set(want) and license_scan.licenses(df.where("doc_id < 0")).count() == 0
 
 
+def test_a_notice_repeated_often_is_found(spark):
+    mit = license_scan.TEMPLATES[5][1]
+    texts = ["\n".join([mit] * 200), " ".join([mit] * 200)]
+    got = license_scan.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert sorted((r.id, r.line, r.license) for r in got) == sorted((i, *m) for i, t in enumerate(texts) for m in brute(t))
+    assert {(r.id, r.line) for r in got} >= {(0, -1), (1, 0)}
+
+
 def test_size_bounds_drop_no_match():
     for n in range(1, 60):
         lo, hi = license_scan.bounds(n, 0.9)
