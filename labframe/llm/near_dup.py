@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labframe.llm.common import ascii_lower, by_bytes, broadcast_if_small, components, guarded, stored
+from labframe.llm.common import ascii_lower, broadcast_if_small, by_bytes, components, discarded, guarded, stored
 from labframe.llm.pieces import expanded
 
 #: Words in a shingle and the least similarity, in hundredths, unless the caller says otherwise.
@@ -258,9 +258,15 @@ def node_of() -> Column:
 
 def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle: int, similarity: int, scheme: Scheme, units: Units = whole) -> tuple[DataFrame, DataFrame]:
     """(nodes, components of linked nodes) for a table of `signed`. A node without links is in no component."""
+    used: list[DataFrame] = []
+
+    def hold(df: DataFrame, name: str) -> DataFrame:
+        used.append(stored(df, name))
+        return used[-1]
+
     some = rows.where("n > 0")
     # sums by a key are stored before they are joined, so that both sides of the join are exchanges and a hot key can be split
-    first = stored(some.groupBy(*NODE).agg(F.min(F.struct("doc", "place")).alias("first"), F.min("id").alias("least")).select(*NODE, "first.doc", "first.place", "least"), "first")
+    first = hold(some.groupBy(*NODE).agg(F.min(F.struct("doc", "place")).alias("first"), F.min("id").alias("least")).select(*NODE, "first.doc", "first.place", "least"), "first")
     nodes = stored(some.join(first, [*NODE, "doc", "place"]).select(node_of().alias("node"), F.col("least").alias("id"), "doc", "place", *NODE, "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
     place = ["node", "doc", "place", *NODE]
 
@@ -269,36 +275,43 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
         keyed = keyed.select("node", "i", "a", F.posexplode(F.slice("bands", scheme.a_bands + 1, scheme.b_bands)).alias("j", "b")).select("node", F.xxhash64("i", "a", "j", "b").alias("key"))
     else:
         keyed = keyed.select("node", F.xxhash64("i", "a").alias("key"))
-    centres = stored(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "centres")
-    stars = stored(keyed.join(centres, "key").where("node <> centre").select("key", "centre", "node"), "stars")
+    centres = hold(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "centres")
+    stars = hold(keyed.join(centres, "key").where("node <> centre").select("key", "centre", "node"), "stars")
 
     info = nodes.select("node", "sketch", "n")
-    met = stored(stars.select("centre", "node").distinct(), "met")
+    met = hold(stars.select("centre", "node").distinct(), "met")
     pairs = met.join(info.toDF("centre", "x", "nx"), "centre").join(info.toDF("node", "y", "ny"), "node")
     pairs = pairs.where(100 * F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
-    pairs = stored(pairs.withColumn("estimate", similarity_estimate("x", "y", scheme.hashes)).where(F.col("estimate") >= LEAST_ESTIMATE).select(F.col("centre").alias("a"), F.col("node").alias("b"), "estimate"), "pairs")
+    pairs = hold(pairs.withColumn("estimate", similarity_estimate("x", "y", scheme.hashes)).where(F.col("estimate") >= LEAST_ESTIMATE).select(F.col("centre").alias("a"), F.col("node").alias("b"), "estimate"), "pairs")
     touched = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    full = set_table(df, nodes.select(*place).join(touched, "node", "left_semi"), id_column, text, shingle, units)
+    full = set_table(df, hold(nodes.select(*place).join(touched, "node", "left_semi"), "touched"), id_column, text, shingle, units)
+    used.append(full)
 
     # the most promising link of each member, then those between components that remain
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
-    links = stored(verified(best, full, similarity), "links")
-    rest = labelled(pairs.select("a", "b"), components(links)).where("ca <> cb").select("a", "b")
-    links = stored(links.unionByName(verified(rest.join(best, ["a", "b"], "left_anti"), full, similarity)), "links")
+    best = hold(pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b"), "best")
+    links = hold(verified(best, full, similarity), "links")
     found = components(links)
+    rest = labelled(pairs.select("a", "b"), found).where("ca <> cb").select("a", "b")
+    links = hold(links.unionByName(verified(rest.join(best, ["a", "b"], "left_anti"), full, similarity)), "links")
+    used.append(found)
+    found = components(links)
+    used.append(found)
 
     # components that share a bucket, but whose members were only compared with its centre, if at all
     open_pairs = labelled(met.toDF("a", "b"), found).where("ca <> cb").select("a", "b")
     keys = stars.toDF("key", "a", "b").join(open_pairs, ["a", "b"], "left_semi").select("key").distinct()
     inside = stars.join(keys, "key", "left_semi")
-    inside = stored(inside.select("node").unionByName(inside.select(F.col("centre").alias("node"))).distinct(), "open")
+    inside = hold(inside.select("node").unionByName(inside.select(F.col("centre").alias("node"))).distinct(), "open")
     missing = inside.join(full.select("node"), "node", "left_anti")
     sets_of = full.join(inside, "node", "left_semi")
     if missing.limit(1).count():
-        sets_of = sets_of.unionByName(set_table(df, nodes.select(*place).join(missing, "node", "left_semi"), id_column, text, shingle, units))
+        used.append(set_table(df, hold(nodes.select(*place).join(missing, "node", "left_semi"), "missing"), id_column, text, shingle, units))
+        sets_of = sets_of.unionByName(used[-1])
     member = nodes.join(inside, "node", "left_semi").select("node", "bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets_of, "node")
-    links = stored(links.unionByName(residual(stored(member, "members"), similarity, scheme)), "links")
-    return nodes, components(links)
+    links = hold(links.unionByName(residual(hold(member, "members"), similarity, scheme, hold)), "links")
+    found = components(links)
+    discarded(*used)
+    return nodes, found
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -310,6 +323,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     named = stored(named, "named")
     ids = stored(named.groupBy("component").agg(F.min("id").alias("component_id")), "ids")
     least = stored(named.join(ids, "component").select("node", "component_id"), "least")
+    discarded(nodes, found, named, ids)
     out = rows.select("id", "n", F.when(F.col("n") > 0, node_of()).alias("node")).join(least, "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
@@ -321,15 +335,15 @@ def labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
-def residual(member: DataFrame, similarity: int, scheme: Scheme) -> DataFrame:
+def residual(member: DataFrame, similarity: int, scheme: Scheme, hold: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """Links (a, b) between components among members (node, bands, component, members) that share a table's key, by blocks."""
     spread = member.select("node", "component", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias("band", "bucket"))
     sizes = spread.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("band", "bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
     sizes = sizes.select("band", "bucket", F.col("top.component").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks_b"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("blocks_a"))
-    spread = spread.join(stored(sizes, "sizes"), ["band", "bucket"])
+    spread = spread.join(hold(sizes, "sizes"), ["band", "bucket"])
     # role 1: rows outside the bucket's largest component, with every block of role 2; role 2: all rows
     role1 = spread.where("component <> top").select("band", "bucket", "node", F.lit(1).alias("role"), F.pmod(F.xxhash64("node"), "blocks_a").cast("int").alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)).alias("block_b"))
     role2 = spread.select("band", "bucket", "node", F.lit(2).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)).alias("block_a"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks_b").cast("int").alias("block_b"))
-    cells = stored(role1.unionByName(role2).select("node", "role", "band", F.xxhash64("band", "bucket", "block_a", "block_b").alias("cell")), "cells")
+    cells = hold(role1.unionByName(role2).select("node", "role", "band", F.xxhash64("band", "bucket", "block_a", "block_b").alias("cell")), "cells")
     return compared(cells.join(member, "node"), max(1, cells.count() // (2 * BLOCK)), similarity, scheme)

@@ -1,20 +1,24 @@
 """Substring dedup: near copies of paragraphs by MinHash banding, and every exactly repeated passage at any place.
 
-Paragraphs are the lines of a text with at least MIN_WORDS words. `tuned` picks the number of bands for the wanted
+Paragraphs are the lines of a text with at least MIN_WORDS words; runs of shorter lines, up to the next such line or
+blank line, are one paragraph if they have that many words together. `tuned` picks the number of bands for the wanted
 recall; paragraphs of unlike texts share almost no shingles of five words, so short bands bring few false meetings.
 Equal paragraphs are one class before banding, colliding classes are joined, and links are verified by the exact
 Jaccard similarity of their shingle sets (see near_dup.py, whose buckets are compared whole without emitting all
 pairs). In each component the first paragraph, by key and place, stays; the others are removed.
 
-Passages are runs of at least MIN_WORDS words, over the ends of lines and inside longer lines. Every such window of
-words is hashed to 128 bits (polynomials that roll over the text); of equal windows the first, by key and place, stays
-and the words of the others go. Two equal windows have the same least hash of half as many words (winnowing), so only
-windows whose least hash is found more than once become rows. Windows only meet by a sum for each hash, so a passage
-with many copies makes no pairs.
-
-Defined results: null and empty texts have no paragraphs or passages; repeated rows of one key count as one document's
-(the first stays in all of them), for passages if their texts are equal too; null keys come first; columns other than key and text are ignored; an empty table gives an
-empty table.
+Passages are runs of at least MIN_WORDS words, over the ends of lines and inside longer lines. Of equal windows of
+that many words the first, by key and place, stays and the words of the others go. Windows are not compared one by
+one: equal windows have the same least hash of half as many words (winnowing), so a text falls into stretches of some
+dozen windows with one such anchor, whose words have a 128-bit digest. Stretches whose anchor is found once are
+done with; of stretches with equal digests all but the first go; and single windows are hashed only in the first of
+each kind of stretch, where kinds share an anchor. Both only meet by a sum for each digest, so a passage with many
+copies makes no pairs.
+
+Defined results: null and empty texts have no paragraphs or passages; repeated rows of one key and text count as one
+document's (the first stays in all of them), rows of one key with different texts are different documents; null keys
+come first and are documents like others; columns other than key and text are ignored; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -29,11 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labframe.llm.common import ascii_lower, broadcast_if_small, by_bytes, guarded, stored
+from labframe.llm.common import ascii_lower, broadcast_if_small, by_bytes, discarded, guarded, stored
 from labframe.llm.near_dup import BATCH_BYTES, SHINGLE, SIMILARITY, Scheme, clustered, document, mixed, node_of, signed, words_of
 
 #: Fewest words of a paragraph or passage that is compared.
 MIN_WORDS = 50
+#: Bytes of text in a batch.
+PASSAGE_BYTES = 2_000_000
 #: Odd bases of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,31 +50,49 @@ def tuned(similarity: float, miss: float = 3e-4, rows: int = 3) -> Scheme:
     return Scheme(math.ceil(math.log(miss) / math.log(1 - similarity**rows)), rows)
 
 
+#: A paragraph's place is first * LINES + last, of its line numbers.
+LINES = 1 << 31
+
+
 def paragraphs(min_words: int):
-    """A unit function: lines with enough words, their place being the line's number."""
+    """A unit function: lines with enough words, and runs of shorter ones between them and blank lines if they have enough together."""
 
     def units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         lines = pc.split_pattern(pc.fill_null(batch.column("text").cast(pa.large_string()), ""), "\n")
         offsets = lines.offsets.to_numpy().astype(np.int64)
         n = np.diff(offsets)
-        row = np.repeat(np.arange(len(n)), n)
-        place, flat = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), lines.flatten()
-        words = pc.add(pc.count_substring_regex(pc.ascii_trim_whitespace(flat), r"[\x20\x09-\x0D]+"), 1)
-        keep = np.flatnonzero(words.to_numpy() >= min_words)
-        return row[keep], place[keep], flat.take(pa.array(keep))
+        row, line = within(n)
+        flat = lines.flatten()
+        bare = pc.ascii_trim_whitespace(flat)
+        words = np.where(pc.binary_length(bare).to_numpy() > 0, pc.count_substring_regex(bare, r"[\x20\x09-\x0D]+").to_numpy() + 1, 0)
+        # a run goes on where a short line follows a short line of its text
+        short = (words > 0) & (words < min_words)
+        first = np.ones(len(row), bool)
+        first[1:] = ~(short[1:] & short[:-1] & (row[1:] == row[:-1]))
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(row))
+        keep = np.flatnonzero(np.add.reduceat(words, starts) >= min_words) if len(row) else starts
+        starts, ends = starts[keep], ends[keep]
+        run, step = within(ends - starts)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, ends - starts)), pa.int32()), flat.take(pa.array(starts[run] + step)).cast(pa.string())), "\n")
+        return row[starts], line[starts] * LINES + line[ends - 1], texts
 
     return units
 
 
-def rolling(words: np.ndarray, width: int, base: int) -> np.ndarray:
-    """A 64-bit hash of each `width` neighbouring words."""
-    if len(words) < width:
-        return np.zeros(0, np.uint64)
+def rolled(words: np.ndarray, base: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words from low up to high, for each pair of places."""
     with np.errstate(over="ignore"):
         up = np.cumprod(np.full(len(words), base, np.uint64))
-        down = np.cumprod(np.full(len(words) - width + 1, pow(base, -1, 1 << 64), np.uint64))
+        down = np.cumprod(np.full(len(words), pow(base, -1, 1 << 64), np.uint64))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up)])
-        return mixed((sums[width:] - sums[:-width]) * down)
+        return mixed((sums[high] - sums[low]) * down[low])
+
+
+def rolling(words: np.ndarray, width: int, base: int) -> np.ndarray:
+    """A 64-bit hash of each `width` neighbouring words."""
+    low = np.arange(max(0, len(words) - width + 1))
+    return rolled(words, base, low, low + width) if len(low) else np.zeros(0, np.uint64)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -84,13 +108,16 @@ def within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(counts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def repeated_windows(texts: DataFrame, min_words: int) -> DataFrame:
-    """(wa, wb, id, doc, pos) of the windows of texts (id, doc, text) that may be found more than once: their hash and first word."""
+def stretches(texts: DataFrame, min_words: int) -> DataFrame:
+    """(id, doc, anchor, low, high, wa, wb) of texts (id, doc, text): neighbouring windows, from word low up to word high, with the same least hash.
+
+    anchor is that hash, wa and wb are digests of all words of the windows. Equal windows have equal anchors.
+    """
     half = max(1, min_words // 2)
     kind = texts.schema["id"].dataType.simpleString()
 
-    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", BATCH_BYTES):
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", PASSAGE_BYTES):
             words, offsets = words_of(batch.column("text"))
             row, start = within(np.maximum(np.diff(offsets) - min_words + 1, 0))
             if not len(row):
@@ -99,50 +126,77 @@ def repeated_windows(texts: DataFrame, min_words: int) -> DataFrame:
             new = np.ones(len(row), bool)
             new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
             at = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row[at])), pa.array(low[at].view(np.int64)), pa.array(start[at]), pa.array(start[np.append(at[1:], len(row)) - 1] + 1)], ["doc", "anchor", "low", "high"])
+            anchor, row, first, last = low[at], row[at], start[at], start[np.append(at[1:], len(row)) - 1] + 1
+            ends = offsets[:-1][row]
+            digest = [rolled(w, b, ends + first, ends + last - 1 + min_words).view(np.int64) for w, b in zip((words, mixed(words + np.uint64(1))), BASES, strict=True)]
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("doc").take(of), pa.array(anchor.view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), *map(pa.array, digest)], ["id", "doc", "anchor", "low", "high", "wa", "wb"])
+
+    return stored(texts.mapInArrow(anchored, f"id {kind}, doc bigint, anchor bigint, low int, high int, wa bigint, wb bigint"), "stretches")
+
+
+def windows(texts: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+    """(wa, wb, id, doc, low) of the windows of the wanted stretches (doc, low, high): their digest and first word."""
+    kind = texts.schema["id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", BATCH_BYTES):
+        for batch in by_bytes(batches, "text", PASSAGE_BYTES):
             words, offsets = words_of(batch.column("text"))
             found = batch.column("found")
-            low, high = (found.flatten().field(c).to_numpy() for c in ("low", "high"))
-            run, place = within(high - low)
+            low, high = (found.flatten().field(c).to_numpy().astype(np.int64) for c in ("low", "high"))
+            run, step = within(high - low)
             row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))[run]
-            pos = low[run] + place
-            keys = [rolling(w, min_words, b)[offsets[:-1][row] + pos].view(np.int64) for w, b in zip((words, mixed(words + np.uint64(1))), BASES, strict=True)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), batch.column("id").take(pa.array(row)), batch.column("doc").take(pa.array(row)), pa.array(pos)], ["wa", "wb", "id", "doc", "pos"])
+            pos = low[run] + step
+            at = offsets[:-1][row] + pos
+            keys = [rolled(w, b, at, at + min_words).view(np.int64) for w, b in zip((words, mixed(words + np.uint64(1))), BASES, strict=True)] if len(at) else [np.zeros(0, np.int64)] * 2
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), batch.column("id").take(of), batch.column("doc").take(of), pa.array(pos, pa.int32())], ["wa", "wb", "id", "doc", "low"])
 
-    anchors = stored(texts.select("doc", "text").mapInArrow(anchor, "doc bigint, anchor bigint, low bigint, high bigint"), "anchors")
-    twice = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
-    found = anchors.join(broadcast_if_small(twice), "anchor", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("found"))
-    marked = texts.join(broadcast_if_small(stored(found, "ranges")), "doc").select("id", "doc", "text", "found")
-    return stored(marked.mapInArrow(hashed, f"wa bigint, wb bigint, id {kind}, doc bigint, pos bigint"), "windows")
+    found = stored(wanted.groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("found")), "open")
+    marked = texts.join(broadcast_if_small(found), "doc").select("id", "doc", "text", "found")
+    out = stored(marked.mapInArrow(hashed, f"wa bigint, wb bigint, id {kind}, doc bigint, low int"), "windows")
+    discarded(found)
+    return out
 
 
 def passages(texts: DataFrame, min_words: int) -> DataFrame:
     """(doc, lines, cuts, origins) of the texts (id, doc, text) that lose words.
 
     Words go if a window around them is found before. lines: line numbers that go whole; cuts: the other characters
-    that go, as (low, high); origins: keys of the documents where the windows stay.
+    that go, as (low, high); origins: keys of the documents where the windows are found before.
+
+    Stretches with equal words are settled at once: all but the first go. Windows become rows only for the first of
+    each kind of stretch, and only where stretches of several kinds have one anchor, as at the ends of passages.
     """
-    windows = repeated_windows(texts, min_words)
+    place = F.struct("id", "doc", "low", "high")
+    all_of = stretches(texts, min_words)
+    differ = (F.min("wa") != F.max("wa")) | (F.min("wb") != F.max("wb"))
+    twice = stored(all_of.groupBy("anchor").agg(F.count("*").alias("n"), differ.alias("several")).where("n > 1").select("anchor", "several"), "twice")
+    met = stored(all_of.join(broadcast_if_small(twice), "anchor"), "met")
+    discarded(all_of, twice)
     # repeated rows give equal places, so they are no repetition
-    firsts = windows.groupBy("wa", "wb").agg(F.min(F.struct("id", "doc", "pos")).alias("first"), F.max(F.struct("id", "doc", "pos")).alias("last"))
-    firsts = stored(firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select("wa", "wb", F.col("first.id").alias("origin"), F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")), "firsts")
-    later = windows.join(firsts, ["wa", "wb"]).where("doc <> first_doc OR pos <> first_pos")
-    gone = later.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("gone"), F.collect_set("origin").alias("origins"))
-    p = F.col("gone")
-    low = F.filter(p, lambda x, i: (i == 0) | (x - F.get(p, i - 1) > min_words))
-    high = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) - x > min_words))
-    runs = stored(gone.select("doc", low.alias("low"), high.alias("high"), "origins"), "runs")
+    kinds = met.groupBy("wa", "wb").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("several").alias("several"))
+    kinds = stored(kinds.select("wa", "wb", "first", (~F.col("first").eqNullSafe(F.col("last"))).alias("repeats"), "several").where("repeats OR several"), "kinds")
+    firsts = kinds.where("repeats").select("wa", "wb", F.col("first.id").alias("origin"), F.col("first.doc").alias("first_doc"), F.col("first.low").alias("first_low"))
+    copies = met.join(firsts, ["wa", "wb"]).where("doc <> first_doc OR low <> first_low").select("doc", "low", "high", "origin")
+
+    loose = windows(texts, kinds.where("several").select("first.doc", "first.low", "first.high"), min_words)
+    ends = loose.groupBy("wa", "wb").agg(F.min(F.struct("id", "doc", "low")).alias("first"), F.max(F.struct("id", "doc", "low")).alias("last"))
+    ends = stored(ends.where(~F.col("first").eqNullSafe(F.col("last"))).select("wa", "wb", F.col("first.id").alias("origin"), F.col("first.doc").alias("first_doc"), F.col("first.low").alias("first_low")), "ends")
+    later = loose.join(ends, ["wa", "wb"]).where("doc <> first_doc OR low <> first_low").select("doc", "low", (F.col("low") + 1).alias("high"), "origin")
+    runs = stored(copies.unionByName(later).groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("found"), F.collect_set("origin").alias("origins")), "runs")
+    discarded(met, kinds, loose, ends)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", BATCH_BYTES):
+        for batch in by_bytes(batches, "text", PASSAGE_BYTES):
             out = []
-            for text, lows, highs in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "high")), strict=True):
+            found = batch.column("found")
+            low, high = (found.flatten().field(c).to_numpy() for c in ("low", "high"))
+            edges = found.offsets.to_numpy() - found.offsets[0].as_py()
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 goes = np.zeros(sum(1 for _ in WORD.finditer(text)), bool)
-                for a, b in zip(lows, highs, strict=True):
-                    goes[a : b + min_words] = True
+                for a, b in zip(low[edges[k] : edges[k + 1]], high[edges[k] : edges[k + 1]], strict=True):
+                    goes[a : b - 1 + min_words] = True
                 lines, cuts, word, at = [], [], 0, 0
                 for i, line in enumerate(text.split("\n")):
                     spans = [m.span() for m in WORD.finditer(line)]
@@ -158,35 +212,38 @@ def passages(texts: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x for x, _ in out], pa.list_(pa.int64())), pa.array([x for _, x in out], kind), batch.column("origins")], ["doc", "lines", "cuts", "origins"])
 
     names = texts.select(F.array("id").alias("o")).schema["o"].dataType.simpleString()
-    rows = texts.join(broadcast_if_small(runs), "doc").select("doc", "text", "low", "high", "origins")
-    return stored(rows.mapInArrow(placed, f"doc bigint, lines array<bigint>, cuts array<struct<low:bigint,high:bigint>>, origins {names}").dropDuplicates(["doc"]), "passages")
+    rows = texts.join(broadcast_if_small(runs), "doc").select("doc", "text", "found", "origins")
+    out = stored(rows.mapInArrow(placed, f"doc bigint, lines array<bigint>, cuts array<struct<low:bigint,high:bigint>>, origins {names}").dropDuplicates(["doc"]), "passages")
+    discarded(runs)
+    return out
 
 
 def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """(id, n_repeated, n_removed, removed, origins, cuts, document) for each row of df.
 
-    n_repeated: paragraphs in a component with others; removed: line numbers that go, being near copies of paragraphs
-    or whole in repeated passages; origins: keys of the documents whose paragraphs and passages stay instead; cuts:
-    places (low, high) of the characters in other lines that go; document: digest of key and text.
+    n_repeated: paragraphs in a component with others; removed: line numbers that go, being of near copies of
+    paragraphs or whole in repeated passages; origins: keys of the documents whose paragraphs and passages stay
+    instead; cuts: places (low, high) of the characters in other lines that go; document: digest of key and text.
     """
     guarded(df.columns, [id_column, text], "substring_dedup")
     scheme, units = tuned(similarity / 100), paragraphs(min_words)
     rows = stored(signed(df, id_column, text, shingle, scheme, units), "paragraphs")
-    _, found = clustered(rows, df, id_column, text, shingle, similarity, scheme, units)
-    each = rows.select("id", "place", node_of().alias("node")).distinct().join(found, "node", "left").select("id", "place", F.coalesce("component", "node").alias("component"))
+    nodes, found = clustered(rows, df, id_column, text, shingle, similarity, scheme, units)
+    each = rows.select("id", "doc", "place", node_of().alias("node")).distinct().join(found, "node", "left").select("id", "doc", "place", F.coalesce("component", "node").alias("component"))
     each = stored(each, "each")
-    first = each.groupBy("component").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", F.col("first.id").alias("origin"), F.col("first.place").alias("kept"))
-    hits = each.join(stored(first, "first"), "component").withColumn("removed", ~(F.col("id").eqNullSafe(F.col("origin")) & (F.col("place") == F.col("kept"))))
-    by_row = hits.groupBy("id").agg(F.count("*").alias("n_repeated"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("place")))).alias("removed"), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("origin")))).alias("origins"))
+    discarded(rows, nodes, found)
+    first = each.groupBy("component").agg(F.min(F.struct("id", "doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", F.col("first.id").alias("origin"), F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"))
+    hits = each.join(stored(first, "first"), "component").withColumn("goes", (F.col("doc") != F.col("first_doc")) | (F.col("place") != F.col("first_place")))
+    goes = lambda c: F.when(F.col("goes"), c)
+    by_row = hits.groupBy("doc").agg(F.count("*").alias("n_repeated"), F.collect_list(goes(F.col("place"))).alias("places"), F.collect_set(goes(F.col("origin"))).alias("near"))
     texts = df.select(F.col(id_column).alias("id"), document(id_column, text).alias("doc"), ascii_lower(F.col(text)).alias("text"))
     parts = passages(texts, min_words).withColumnRenamed("origins", "more")
-    out = texts.select("id", "doc").join(by_row.withColumnRenamed("id", "with"), F.col("id").eqNullSafe(F.col("with")), "left").join(parts, "doc", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    out = texts.select("id", "doc").join(by_row, "doc", "left").join(parts, "doc", "left")
     names = parts.schema["more"].dataType
     both = lambda a, b, kind: F.array_sort(F.array_union(F.coalesce(a, F.array().cast(kind)), F.coalesce(b, F.array().cast(kind))))
-    removed = both(F.col("removed"), F.col("lines"), "array<bigint>")
+    removed = both(F.flatten(F.transform("places", lambda p: F.sequence(F.floor(p / LINES), F.pmod(p, F.lit(LINES))))), F.col("lines"), "array<bigint>")
     # a line that is removed as a near copy needs no cuts, but they do no harm
-    return out.select(F.col("id").alias(id_column), zero(F.col("n_repeated")).alias("n_repeated"), F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed"), both(F.col("origins"), F.col("more"), names).alias("origins"), F.coalesce("cuts", F.array().cast(parts.schema["cuts"].dataType)).alias("cuts"), F.col("doc").alias("document"))
+    return out.select(F.col("id").alias(id_column), F.coalesce("n_repeated", F.lit(0)).cast("bigint").alias("n_repeated"), F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed"), both(F.col("near"), F.col("more"), names).alias("origins"), F.coalesce("cuts", F.array().cast(parts.schema["cuts"].dataType)).alias("cuts"), F.col("doc").alias("document"))
 
 
 def without_repeats(df: DataFrame, marked: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from labframe.llm import near_dup, substring_dedup
+from labframe.llm import common, near_dup, substring_dedup
 
 from .conftest import corpus, edited, prose
 
@@ -150,3 +150,33 @@ def test_rows_without_a_key_are_classed_by_text(spark, twice):
     texts = [prose(60, 80), prose(60, 80), edited(prose(60, 80), 1, 1), prose(61, 80), None]
     got = near_dup.near_duplicates(spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string"), shingle=2).collect()
     assert [(r.component_id, r.kept) for r in got] == [(None, True)] * 5
+
+
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
+    tables, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: tables.append(name) or stored(df, name))
+    path = np.random.default_rng(1).permutation(5000).tolist()
+    edges = [*zip(path[:-1], path[1:], strict=True), (6001, 6000), (6000, 6001), (6002, 6001), (7000, 7000)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(5000)} | {6000: 6000, 6001: 6000, 6002: 6000}
+    assert tables.count("labels") <= 20
+
+
+def test_a_long_chain_of_revisions_is_one_group(spark):
+    base = " ".join(f"w{i}" for i in range(140)).split(" ")
+    chain = []
+    for k in range(150):  # each differs from the one before in four words
+        for j in range(4):
+            base[(7 * k + j) % 140] = f"r{k}x{j}"
+        chain.append(" ".join(base))
+    got = near_dup.near_duplicates(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(chain)], "doc_id bigint, text string"), shingle=2).collect()
+    want = brute({1000 + k: shingles(t, 2) for k, t in enumerate(chain)})
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) == 1
+
+
+def test_runs_of_short_lines_are_paragraphs(spark):
+    lines = [prose(70 + i, 15) for i in range(6)]
+    near = [*lines[:5], edited(lines[5], 1, 1)]
+    rows = [(1, "\n".join(lines) + "\n\n" + prose(80, 20)), (2, prose(81, 60) + "\n" + "\n".join(near) + "\n\n" + prose(82, 30)), (3, "\n\n".join(lines[:3]))]
+    got = {r.doc_id: r for r in substring_dedup.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[2].removed == [1, 2, 3, 4, 5, 6] and got[2].origins == [1] and got[1].removed == [] == got[3].removed
