@@ -1,91 +1,118 @@
 """Access events: login lockout, second factor, reset requests, sessions. Batch folds over each key's events in order.
 
-Whether an event counts depends on what earlier ones left behind, so these are folds and not windows. Events of a key
-are put in the order (time, event id) and folded by an expression; hot keys belong to the streaming processors, which
-keep only the state (see streaming.processors). Times are those of the events.
+Whether an event counts depends on what earlier ones left behind, so the first three are folds and not windows. Events
+are dealt out by key and sorted by (key, time, event id), which spills; one pass then steps a state of a few numbers,
+so a key with any number of events costs no memory. streaming.processors take the same steps. Times are those of the
+events. Sessions and reset tokens need the nearest event of another kind, which are windows over blocks of time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Real durations in minutes, and attempts.
 LOCK, MFA, SESSION, RESET_WINDOW, RESET_TOKEN = 15, 5, 15, 60, 60
 TRIES = 3
 MINUTE = 60_000_000
+#: Blocks of time in which a key's events are looked at together, in microseconds.
+BLOCK = 24 * 60 * MINUTE
 
 
 def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def _folded(events: DataFrame, key: str, fields: list[str], state: dict[str, str], step) -> DataFrame:
-    """(key, event_id, outcome) of a fold; step(state, event) gives the outcome and the new state's columns."""
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(micros(F.col("ts")).alias("t"), "event_id", *fields))).alias("events"))
-    begin = F.struct(*(F.lit(None).cast(kind).alias(c) if c not in ("n", "attempts") else F.lit(0).alias(c) for c, kind in state.items()), F.array().cast("array<struct<event_id:bigint,outcome:string>>").alias("out"))
-
-    def merge(s: Column, e: Column) -> Column:
-        outcome = step.outcome(s, e)
-        bound = F.transform(F.array(outcome), lambda o: F.struct(*(v.cast(state[c]).alias(c) for c, v in step.state(s, e, o).items()), F.concat(s["out"], F.array(F.struct(e["event_id"].alias("event_id"), o.alias("outcome")))).alias("out")))
-        return F.get(bound, F.lit(0))
-
-    return rows.select(key, F.explode(F.aggregate("events", begin, merge, lambda s: s["out"])).alias("o")).select(key, "o.event_id", "o.outcome")
-
-
-class AccessStep:
-    """Logins and second factors of one user: state n (failures), lock, code (expiry of a pending code), attempts."""
-
-    def __init__(self, lock: int, mfa: int):
-        self.lock, self.mfa = lock * MINUTE, mfa * MINUTE
-
-    def outcome(self, s: Column, e: Column) -> Column:
-        login = F.when(~e["known"], "UNKNOWN").when(s["lock"] > e["t"], "LOCKED").when(~e["confirmed"], "UNCONFIRMED")
-        login = login.when(~e["ok"], F.when(s["n"] + 1 >= TRIES, "LOCKED_NOW").otherwise("BAD_PASSWORD"))
-        login = login.when(e["rol"] == "unassigned", "UNASSIGNED").when(e["rol"] == "admin", "MFA_SENT").otherwise("SUCCESS")
-        mfa = F.when(~e["known"] | (e["rol"] != "admin"), "INVALID").when(s["code"].isNull(), "NO_PENDING").when(s["code"] < e["t"], "EXPIRED")
-        mfa = mfa.when(s["attempts"] >= TRIES, "TOO_MANY").when(~e["ok"], "WRONG").otherwise("SUCCESS")
-        return F.when(e["kind"] == "login", login).otherwise(mfa)
-
-    def state(self, s: Column, e: Column, o: Column) -> dict[str, Column]:
-        login = e["kind"] == "login"
-        return {
-            "n": F.when(o.isin("BAD_PASSWORD", "LOCKED_NOW"), s["n"] + 1).when(login & (o == "SUCCESS"), 0).otherwise(s["n"]),
-            "lock": F.when(o == "LOCKED_NOW", e["t"] + self.lock).when(login & (o == "SUCCESS"), F.lit(None)).otherwise(s["lock"]),
-            "code": F.when(o == "MFA_SENT", e["t"] + self.mfa).when(o.isin("EXPIRED", "TOO_MANY") | (~login & (o == "SUCCESS")), F.lit(None)).otherwise(s["code"]),
-            "attempts": F.when(o == "MFA_SENT", 0).when(o == "WRONG", s["attempts"] + 1).otherwise(s["attempts"]),
-        }
-
-
-class ResetStep:
-    """Reset requests of one user: state n (requests) and start of the window, which the first request opens."""
-
-    def __init__(self, window: int):
-        self.window = window * MINUTE
-
-    def fresh(self, s: Column, e: Column) -> Column:
-        return s["start"].isNull() | (e["t"] - s["start"] > self.window)
-
-    def outcome(self, s: Column, e: Column) -> Column:
-        sent = F.when(self.fresh(s, e) | (s["n"] < TRIES), "SENT").otherwise("THROTTLED")
-        return F.when(~e["known"], "UNKNOWN").when(e["kind"] == "reset_done", "DONE").otherwise(sent)
-
-    def state(self, s: Column, e: Column, o: Column) -> dict[str, Column]:
-        count = F.when(self.fresh(s, e), F.lit(0)).otherwise(s["n"])
-        return {
-            "n": F.when(o == "UNKNOWN", s["n"]).when(o == "DONE", 0).when(o == "SENT", count + 1).otherwise(count),
-            "start": F.when(o == "UNKNOWN", s["start"]).when(o == "DONE", F.lit(None)).when(self.fresh(s, e), e["t"]).otherwise(s["start"]),
-        }
+def access_step(state: tuple, e: dict, lock: int, mfa: int) -> tuple[tuple, str]:
+    """One login or mfa event of a user; state: failures, end of the lock, expiry of a pending code, attempts at it."""
+    n, until, code, attempts = state
+    t = e["t"]
+    if e["kind"] == "login":
+        if not e["known"]:
+            return state, "UNKNOWN"
+        if until is not None and until > t:
+            return state, "LOCKED"
+        if not e["confirmed"]:
+            return state, "UNCONFIRMED"
+        if not e["ok"]:
+            return ((n + 1, t + lock, code, attempts), "LOCKED_NOW") if n + 1 >= TRIES else ((n + 1, until, code, attempts), "BAD_PASSWORD")
+        if e["rol"] == "unassigned":
+            return state, "UNASSIGNED"
+        return ((n, until, t + mfa, 0), "MFA_SENT") if e["rol"] == "admin" else ((0, None, code, attempts), "SUCCESS")
+    if not e["known"] or e["rol"] != "admin":
+        return state, "INVALID"
+    if code is None:
+        return state, "NO_PENDING"
+    if code < t:
+        return (n, until, None, attempts), "EXPIRED"
+    if attempts >= TRIES:
+        return (n, until, None, attempts), "TOO_MANY"
+    return ((n, until, None, attempts), "SUCCESS") if e["ok"] else ((n, until, code, attempts + 1), "WRONG")
+
+
+def reset_step(state: tuple, e: dict, window: int) -> tuple[tuple, str]:
+    """One reset_request or reset_done event of a user; state: requests and start of the window, which the first request opens."""
+    n, start = state
+    if not e["known"]:
+        return state, "UNKNOWN"
+    if e["kind"] == "reset_done":
+        return (0, None), "DONE"
+    if start is None or e["t"] - start > window:
+        n, start = 0, e["t"]
+    return ((n + 1, start), "SENT") if n < TRIES else ((n, start), "THROTTLED")
+
+
+def _folded(events: DataFrame, key: str, fields: list[str], begin: tuple, step: Callable[[tuple, dict], tuple[tuple, str]]) -> DataFrame:
+    """(key, event_id, outcome) of a fold; step(state, event) gives the new state and the outcome."""
+    names = [key, "event_id", "t", *fields]
+    rows = events.select(key, "event_id", micros(F.col("ts")).alias("t"), *fields).repartition(F.col(key)).sortWithinPartitions(key, "t", "event_id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, begin
+        for batch in batches:
+            out = []
+            for values in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if values[0] != at:
+                    at, state = values[0], begin
+                state, outcome = step(state, dict(zip(names, values, strict=True)))
+                out.append(outcome)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("event_id"), pa.array(out, pa.string())], [key, "event_id", "outcome"])
+
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, "event_id")}
+    return rows.mapInArrow(fold, f"`{key}` {kinds[key]}, event_id {kinds['event_id']}, outcome string")
 
 
 def access_outcomes(events: DataFrame, key: str = "email", lock: int = LOCK, mfa: int = MFA) -> DataFrame:
     """(key, event_id, outcome) for login and mfa events (event_id, ts, kind, known, confirmed, rol, ok). Expired locks do not reset the count, nor do administrators' logins."""
-    return _folded(events, key, ["kind", "known", "confirmed", "rol", "ok"], {"n": "int", "lock": "bigint", "code": "bigint", "attempts": "int"}, AccessStep(lock, mfa))
+    return _folded(events, key, ["kind", "known", "confirmed", "rol", "ok"], (0, None, None, 0), lambda s, e: access_step(s, e, lock * MINUTE, mfa * MINUTE))
 
 
 def reset_outcomes(events: DataFrame, key: str = "email", window: int = RESET_WINDOW) -> DataFrame:
     """(key, event_id, outcome) for reset_request and reset_done events (event_id, ts, kind, known)."""
-    return _folded(events, key, ["kind", "known"], {"n": "int", "start": "bigint"}, ResetStep(window))
+    return _folded(events, key, ["kind", "known"], (0, None), lambda s, e: reset_step(s, e, window * MINUTE))
+
+
+def nearest(asks: DataFrame, values: DataFrame, by: str, to: str, later: bool = False, block: int = BLOCK) -> DataFrame:
+    """asks (by, ts, ...) with `to`: the value of the last row of values (by, ts, value) at or before, or of the first at or after if `later`.
+
+    Rows of both meet in blocks of time, so a key with very many events is no single task; what no row of the block
+    answers comes from the blocks before, of which only the last value is known.
+    """
+    sign = -1 if later else 1
+    clock = lambda df: df.withColumn("clock_", sign * micros(F.col("ts"))).withColumn("block_", F.floor(F.col("clock_") / block))
+    right = clock(values.select(by, "ts", "value")).withColumn("side_", F.lit(0))
+    rows = clock(asks).withColumn("side_", F.lit(1)).unionByName(right, allowMissingColumns=True)
+    inside = Window.partitionBy(by, "block_").orderBy("clock_", "side_", "value")
+    rows = rows.withColumn("own_", F.last("value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("side_ = 1")
+    ends = right.groupBy(by, "block_").agg(F.max_by("value", F.struct("clock_", "value")).alias("last_")).unionByName(clock(asks).select(by, "block_").distinct(), allowMissingColumns=True)
+    ends = ends.groupBy(by, "block_").agg(F.max("last_").alias("last_"))
+    before = Window.partitionBy(by).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("carried_", F.last("last_", ignorenulls=True).over(before)).select(F.col(by).alias("by_"), F.col("block_").alias("at_"), "carried_")
+    out = rows.join(ends, F.col(by).eqNullSafe(F.col("by_")) & (F.col("block_") == F.col("at_")))
+    return out.select(*asks.columns, F.coalesce("own_", "carried_").alias(to))
 
 
 def login_log(outcomes: DataFrame) -> DataFrame:
@@ -97,9 +124,8 @@ def login_log(outcomes: DataFrame) -> DataFrame:
 def sessions(opens: DataFrame, logouts: DataFrame, all_logouts: DataFrame, minutes: int = SESSION) -> DataFrame:
     """opens (jti, user_id, ts) with expires_at and revoked_at: the first logout of the session or of all the user's sessions since it was opened."""
     one = logouts.groupBy("jti").agg(F.min("ts").alias("one"))
-    out = opens.join(one, "jti", "left")
-    every = out.join(all_logouts.select("user_id", F.col("ts").alias("all_ts")), "user_id").where("all_ts >= ts").groupBy("jti").agg(F.min("all_ts").alias("every"))
-    out = out.join(every, "jti", "left")
+    every = nearest(opens.select("jti", "user_id", "ts"), all_logouts.select("user_id", "ts", F.col("ts").alias("value")), "user_id", "every", later=True)
+    out = every.join(one, "jti", "left")
     return out.select("jti", "user_id", F.col("ts").alias("opened_at"), (F.col("ts") + F.expr(f"INTERVAL '{minutes}' MINUTE")).alias("expires_at"), F.least("one", "every").alias("revoked_at"))
 
 
@@ -116,12 +142,15 @@ def session_check(requests: DataFrame, found: DataFrame) -> DataFrame:
     return out.select(*requests.columns, "verdict", F.when(F.col("verdict") == "OK", F.col("session_user")).alias("session_user"))
 
 
+def latest_token(uses: DataFrame, issues: DataFrame) -> DataFrame:
+    """uses (user_id, ts, ...) with `last`: token and expiry of the user's latest issue (user_id, ts, token, expires_at) before."""
+    return nearest(uses, issues.select("user_id", "ts", F.struct("token", "expires_at").alias("value")), "user_id", "last")
+
+
 def reset_token_check(uses: DataFrame, issues: DataFrame) -> DataFrame:
     """uses (event_id, user_id, token, ts) with `valid`: the token is the user's latest before the use, its expiry is set and not past."""
-    joined = uses.join(issues.select("user_id", F.col("ts").alias("issued"), F.col("token").alias("have"), "expires_at"), "user_id", "left").where("issued IS NULL OR issued <= ts")
-    last = joined.groupBy("event_id").agg(F.max_by(F.struct("have", "expires_at"), "issued").alias("last"))
-    out = uses.join(last, "event_id", "left")
-    return out.withColumn("valid", F.coalesce((F.col("last.have") == F.col("token")) & (F.col("last.expires_at") >= F.col("ts")), F.lit(False))).drop("last")
+    out = latest_token(uses, issues)
+    return out.withColumn("valid", F.coalesce((F.col("last.token") == F.col("token")) & (F.col("last.expires_at") >= F.col("ts")), F.lit(False))).drop("last")
 
 
 def authorized(requests: DataFrame, routes: DataFrame) -> DataFrame:

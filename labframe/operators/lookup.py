@@ -41,9 +41,15 @@ def exists_by_key(wanted: DataFrame, table: DataFrame, on: list[str]) -> DataFra
 
 
 def conflicts(changes: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """Changes (id, key) whose key another row holds, active or not."""
-    other = table.select(F.col("id").alias("other"), *on)
-    return changes.join(other, on).where(F.col("id") != F.col("other")).groupBy("id", *on).agg(F.min("other").alias("other"))
+    """Changes (id, key) whose key another row holds, active or not, with the least such row.
+
+    Only the two least holders of a key are needed, which Spark picks before the shuffle; so no key meets itself.
+    """
+    place = F.row_number().over(Window.partitionBy(*on).orderBy("id"))
+    two = table.select("id", *on).withColumn("place", place).where("place <= 2")
+    holders = two.groupBy(*on).agg(F.min("id").alias("least"), F.max("id").alias("next"))
+    out = changes.join(holders, on).withColumn("other", F.when(F.col("least") != F.col("id"), F.col("least")).otherwise(F.col("next")))
+    return out.where(F.col("other") != F.col("id")).select("id", *on, "other").distinct()
 
 
 def unique_batch(batch: DataFrame, table: DataFrame, on: list[str], sequence: str = "batch_seq") -> DataFrame:
@@ -68,7 +74,7 @@ def affected(ids: DataFrame, table: DataFrame) -> DataFrame:
     return flagged(ids, table, "id", "found")
 
 
-def numbered(df: DataFrame, start: int, order: list, partitions: int = 32) -> DataFrame:
+def numbered(df: DataFrame, start: int, order: list, partitions: int | None = None) -> DataFrame:
     """df with dense ids after `start`: ranges are numbered apart after the sizes of those before."""
     from labframe.operators.search import all_pages
 

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labframe.functions.text import money
 from labframe.operators.lookup import flagged
+from labframe.operators.orders import courtesy
+from labframe.operators.search import active
 from labframe.sources.io import stored
 from labframe.sources.schema import SPECS, TableSpec
 
+#: Levels of a tree after which those seen are written as one table.
+MERGED_LEVELS = 8
+
 
 def patched(table: DataFrame, patches: DataFrame, columns: Sequence[str], nullable: bool = True) -> DataFrame:
     """The table with patches (id, fields, columns) applied to its active rows.
@@ -41,6 +48,43 @@ def patch_faults(patches: DataFrame, table: DataFrame, key: list[str]) -> DataFr
     return out.withColumn("fault", fault).select(*patches.columns, "fault")
 
 
+#: What a patch of an order can set, and the columns that a present null leaves alone are all of them.
+ORDER_FIELDS = ("folio", "patientId", "doctorId", "branchName", "sampleAt", "deliveryAt", "status", "courtesyPercent", "notes")
+
+
+def orders_patched(orders: DataFrame, patches: DataFrame, patients: DataFrame, doctors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(orders with patches (id, fields, columns of ORDER_FIELDS), patches with the first fault or null).
+
+    Faults: MISSING (no active order), PATIENT, DOCTOR (a changed one has to be active). A patch without faults keeps
+    the old value for a null. If it names courtesyPercent, discount and total are computed anew from the stored
+    subtotal; items are never touched.
+    """
+    columns = [c for c in ORDER_FIELDS if c in patches.columns]
+    old = orders.select("id", F.col("isActive").alias("there"), F.col("patientId").alias("old_patient"), F.col("doctorId").alias("old_doctor"))
+    state = flagged(flagged(patches.join(old, "id", "left"), active(patients), "patientId", "p"), active(doctors), "doctorId", "d")
+    changed = lambda new, was: F.col(new).isNotNull() & ~F.col(new).eqNullSafe(F.col(was))
+    fault = F.when(~F.coalesce("there", F.lit(False)), "MISSING").when(changed("patientId", "old_patient") & ~F.col("p"), "PATIENT").when(changed("doctorId", "old_doctor") & ~F.col("d"), "DOCTOR")
+    state = state.withColumn("fault", fault).select(*patches.columns, "fault")
+    good = state.where("fault IS NULL")
+    out = patched(orders, good, columns, nullable=False)
+    again = flagged(out, good.where(F.array_contains("fields", "courtesyPercent")), "id", "again")
+    subtotal = F.col("subtotalAmount").cast("double")
+    discount = courtesy(subtotal, F.col("courtesyPercent").cast("double"))
+    new = {"discountAmount": discount, "totalAmount": subtotal - discount}
+    out = again.withColumns({c: F.when(F.col("again"), money(v)).otherwise(F.col(c)) for c, v in new.items()})
+    return out.select(*orders.columns), state
+
+
+def details_added(details: DataFrame, batch: DataFrame, studies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(details with the good rows of batch, batch with the first fault or null): STUDY (not active), PARENT (given, but not an active detail of the study)."""
+    state = flagged(batch, active(studies), "studyId", "s")
+    parents = active(details).select(F.col("id").alias("parentId"), "studyId", F.lit(True).alias("p"))
+    state = state.join(parents, ["parentId", "studyId"], "left")
+    fault = F.when(~F.col("s"), "STUDY").when(F.col("parentId").isNotNull() & F.col("p").isNull(), "PARENT")
+    state = state.withColumn("fault", fault).select(*batch.columns, "fault")
+    return details.unionByName(state.where("fault IS NULL").drop("fault").withColumn("isActive", F.lit(True)), allowMissingColumns=True), state
+
+
 def with_status(table: DataFrame, patches: DataFrame) -> DataFrame:
     """Any status to any other, on active rows."""
     new = patches.select("id", F.col("status").alias("new"))
@@ -60,17 +104,21 @@ def hard_deleted(table: DataFrame, ids: DataFrame) -> DataFrame:
     return table.join(ids.select("id").distinct(), "id", "left_anti")
 
 
-def subtree(table: DataFrame, roots: DataFrame, key: str = "id", parent: str = "parentId", rounds: int = 1000) -> DataFrame:
-    """Ids of the roots and all below them. Rows seen once are not walked again, so cycles end; each level is a join with the frontier."""
+def subtree(table: DataFrame, roots: DataFrame, key: str = "id", parent: str = "parentId") -> DataFrame:
+    """Ids of the roots and all below them. Rows seen once are not walked again, so cycles end; each level is a join with the frontier.
+
+    Levels are tables of their own and put together now and then, so a row is not written anew at every level.
+    """
     edges = table.where(F.col(parent).isNotNull()).select(F.col(key).alias("child"), F.col(parent).alias("id"))
-    seen = frontier = stored(table.select(F.col(key).alias("id")).join(roots.select("id").distinct(), "id", "left_semi"), "subtree")
-    for _ in range(rounds):
-        below = edges.join(frontier, "id").select(F.col("child").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = stored(below, "subtree")
-        if not frontier.limit(1).count():
-            return seen
-        seen = stored(seen.unionByName(frontier), "subtree")
-    raise RuntimeError("the tree is deeper than `rounds`")
+    frontier = stored(table.select(F.col(key).alias("id")).join(roots.select("id").distinct(), "id", "left_semi"), "subtree")
+    levels = [frontier]
+    while frontier.limit(1).count():
+        if len(levels) > MERGED_LEVELS:
+            levels = [stored(reduce(DataFrame.unionByName, levels), "subtree")]
+        below = edges.join(frontier, "id").select(F.col("child").alias("id")).distinct()
+        frontier = stored(reduce(lambda left, seen: left.join(seen, "id", "left_anti"), levels, below), "subtree")
+        levels.append(frontier)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def cascaded(tables: dict[str, DataFrame], name: str, ids: DataFrame, specs: dict[str, TableSpec] = SPECS) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -135,7 +183,17 @@ def roles_assigned(users: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Data
 
 def users_deleted(users: DataFrame, ids: DataFrame) -> DataFrame:
     """Users without those of ids that are no administrators."""
-    return users.join(users.join(ids.select("id"), "id", "left_semi").where("rol <> 'admin'").select("id"), "id", "left_anti")
+    return users.join(deletable(users, ids), "id", "left_anti")
+
+
+def deletable(users: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of ids that are users and no administrators."""
+    return users.join(ids.select("id"), "id", "left_semi").where("rol <> 'admin'").select("id")
+
+
+def users_removed(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """users, user_sessions and user_login_logs without those users: their sessions go, their log rows stay without the user."""
+    return cascaded(tables, "users", deletable(tables["users"], ids))[0]
 
 
 def accounts_confirmed(users: DataFrame, tokens: DataFrame) -> DataFrame:

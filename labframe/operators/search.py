@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from labframe.sources.io import stored
 
+#: Rows that one range of all_pages aims at.
+RANGE_ROWS = 1_000_000
+
 
 def active(df: DataFrame) -> DataFrame:
     return df.where("isActive")
@@ -53,18 +56,21 @@ def total(df: DataFrame, key: str = "id") -> DataFrame:
     return df.agg(F.count_distinct(key).alias("total"))
 
 
-def all_pages(df: DataFrame, order: Sequence[Column], size: int, partitions: int = 32) -> DataFrame:
-    """Every row with its page and place. Ranges are numbered apart, after the sizes of the ranges before them.
+def all_pages(df: DataFrame, order: Sequence[Column], size: int, partitions: int | None = None) -> DataFrame:
+    """Every row with its page and place. Ranges of about RANGE_ROWS rows are numbered apart, after the sizes of the ranges before them.
 
     The driver only learns the number of rows in each range; there is no window over the whole table.
     """
+    partitions = partitions or max(8, -(-df.count() // RANGE_ROWS))
     ranged = stored(df.repartitionByRange(partitions, *order).withColumn("range", F.spark_partition_id()), "ranges")
-    counts, before, start = dict(ranged.groupBy("range").count().collect()), [], 0
-    for i in range(partitions):
-        before.append(start)
-        start += counts.get(i, 0)
-    place = F.get(F.array(*map(F.lit, before)), F.col("range")) + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
-    return ranged.withColumn("place", place.cast("bigint")).withColumn("page", F.floor(F.col("place") / size).cast("bigint") + 1).drop("range")
+    before, start = [], 0
+    for r in ranged.groupBy("range").count().orderBy("range").toLocalIterator():
+        before.append((r["range"], start))
+        start += r["count"]
+    ahead = df.sparkSession.createDataFrame(before, "range int, before bigint")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    out = ranged.join(ahead, "range").withColumn("place", place.cast("bigint"))
+    return out.withColumn("page", F.floor(F.col("place") / size).cast("bigint") + 1).select(*df.columns, "place", "page")
 
 
 def top_of_terms(df: DataFrame, terms: DataFrame, columns: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from labframe.functions import text as fn
 from labframe.operators import access, lookup, mutate, orders, results, search, validate
-from labframe.plans.tables import table, with_tables
+from labframe.plans.tables import derived, table, with_tables
 from labframe.sources import io
-from labframe.sources.schema import SPECS
+from labframe.sources.schema import SPECS, TableSpec
+from labframe.streaming import processors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -26,6 +27,10 @@ DAY = 24 * 60
 PROPS = T.StructType().add("k", T.LongType()).add("absent", T.StringType())
 
 
+#: The declared schema that scan_table binds to the table of parts.
+PART = TableSpec("part", "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE", key="p_partkey")
+
+
 class Tables:
     """t.patients is the derived table or the driver's of that name."""
 
@@ -70,7 +75,7 @@ def sql_money(x: str) -> str:
 
 @query("SELECT count(*) AS n, sum(p_size)::BIGINT AS size, count(DISTINCT p_brand) AS brands FROM part")
 def scan_table(t: Tables) -> DataFrame:
-    return t.part.agg(F.count("*").alias("n"), F.sum("p_size").alias("size"), F.count_distinct("p_brand").alias("brands"))
+    return io.read_table(t.spark, f"{t.sf_dir}/part.parquet", PART).agg(F.count("*").alias("n"), F.sum("p_size").alias("size"), F.count_distinct("p_brand").alias("brands"))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, len(json_keys(props)) AS n_present, json_extract_string(props, '$.absent') AS absent FROM events")
@@ -137,6 +142,58 @@ def validate_nested(t: Tables) -> DataFrame:
     return validate.validated(nested, [each]).select("id", F.size("errors").cast("bigint").alias("n_errors"), F.coalesce(F.array_min(fields), F.lit("")).alias("first_field"))
 
 
+_TEXTS = {
+    "mail": "CASE c_custkey % 5 WHEN 0 THEN concat('c', c_custkey, '@lab.example') WHEN 1 THEN concat('c', c_custkey, '@lab') WHEN 2 THEN 'a@@lab.example' WHEN 3 THEN 'a b@lab.example' END",
+    "day": "CASE c_custkey % 4 WHEN 0 THEN concat('2024-02-', 10 + c_custkey % 20) WHEN 1 THEN concat('2024-13-', 10 + c_custkey % 20) WHEN 2 THEN '2024' END",
+    "flag": "CASE c_custkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'maybe' WHEN 3 THEN '' END",
+    "plain": "CASE c_custkey % 3 WHEN 0 THEN concat('<', c_name, '>') ELSE c_name END",
+    "code": "CASE c_custkey % 4 WHEN 0 THEN '123456' WHEN 1 THEN '12345' WHEN 2 THEN concat('123456', chr(10)) ELSE 'abcdef' END",
+    "ref": "CASE c_custkey % 4 WHEN 0 THEN concat('', c_custkey) WHEN 1 THEN concat('-', c_custkey) WHEN 2 THEN concat(c_custkey, '.5') END",
+    "name": "CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE c_name END",
+}
+_TEXT_ROWS = "SELECT c_custkey, " + ", ".join(f"{v} AS {k}" for k, v in _TEXTS.items()) + " FROM customer"
+_BROKEN_TEXTS = {
+    "mail": "NOT regexp_full_match(mail, '[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?([.][A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?)+')",
+    "day": "TRY_CAST(day AS DATE) IS NULL OR length(day) <> 10",
+    "flag": "flag NOT IN ('true', 'false')",
+    "plain": "contains(plain, '<') OR contains(plain, '>')",
+    "code": "NOT regexp_full_match(code, '[0-9]{6}')",
+    "ref": "NOT regexp_full_match(ref, '-?[0-9]+')",
+}
+
+
+def _faults_sql(broken: dict[str, str]) -> str:
+    cases = ", ".join(f"CASE WHEN {k} IS NOT NULL AND ({v}) THEN '{k}' END" if k != "name" else f"CASE WHEN {v} THEN 'name' END" for k, v in broken.items())
+    return f"SELECT c_custkey, array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',') AS fields FROM ({_TEXT_ROWS})"
+
+
+def _text_rules() -> list:
+    return [validate.email("mail"), validate.iso_date("day"), validate.boolean("flag"), validate.no_brackets("plain"), validate.code6("code"), validate.identifier("ref"), validate.required("name")]
+
+
+def _faulty(t: Tables, rules: list) -> DataFrame:
+    rows = t.customer.select("c_custkey", *(F.expr(v).alias(k) for k, v in _TEXTS.items()))
+    return validate.validated(rows, rules).select("c_custkey", F.array_join(F.transform("errors", lambda e: e["field"]), ",").alias("fields"))
+
+
+@query(_faults_sql(_BROKEN_TEXTS | {"name": "coalesce(name, '') = ''"}))
+def validate_formats(t: Tables) -> DataFrame:
+    return _faulty(t, _text_rules())
+
+
+@query(_faults_sql(_BROKEN_TEXTS | {"name": "name = ''"}))
+def validate_partial(t: Tables) -> DataFrame:
+    return _faulty(t, validate.partial(_text_rules()))
+
+
+@query("""SELECT id, array_to_string(list_filter([CASE WHEN name IS NULL OR name = '' THEN 'name' END, CASE WHEN code IS NULL OR code = '' THEN 'code' END, CASE WHEN length(name) > 200 THEN 'name' END, CASE WHEN length(code) > 50 THEN 'code' END, CASE WHEN type NOT IN ('study', 'package', 'other') THEN 'type' END, CASE WHEN price >= 99999999.995 THEN 'normalPrice' END], lambda x: x IS NOT NULL), ',') AS fields
+FROM (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN repeat('n', 201) WHEN 2 THEN NULL ELSE p_name END AS name, CASE WHEN p_partkey % 3 > 0 THEN repeat('c', 30 + p_partkey % 40) END AS code, CASE p_partkey % 4 WHEN 0 THEN 'study' WHEN 1 THEN 'kit' WHEN 2 THEN 'other' END AS type, CASE WHEN p_partkey % 6 = 0 THEN 1e8 ELSE p_retailprice END AS price FROM part)""")
+def validate_storage(t: Tables) -> DataFrame:
+    rows = t.part.selectExpr("p_partkey AS id", "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN repeat('n', 201) WHEN 2 THEN NULL ELSE p_name END AS name", "CASE WHEN p_partkey % 3 > 0 THEN repeat('c', CAST(30 + p_partkey % 40 AS INT)) END AS code", "CASE p_partkey % 4 WHEN 0 THEN 'study' WHEN 1 THEN 'kit' WHEN 2 THEN 'other' END AS type", "CASE WHEN p_partkey % 6 = 0 THEN 1e8 ELSE p_retailprice END AS normalPrice")
+    rules = [r for r in validate.storage_rules(SPECS["studies"]) if r.field in rows.columns]
+    return validate.validated(rows, rules).select("id", F.array_join(F.transform("errors", lambda e: e["field"]), ",").alias("fields"))
+
+
 # ---- searching
 
 
@@ -208,6 +265,21 @@ def users_by_role(t: Tables) -> DataFrame:
     return search.users_by_role(t.users).select("id", "email", "createdAt")
 
 
+@query("SELECT id, email, createdAt FROM users WHERE confirmed", "users")
+def users_confirmed(t: Tables) -> DataFrame:
+    return search.users_by_role(t.users, None).select("id", "email", "createdAt")
+
+
+@query("SELECT id, email, createdAt FROM users WHERE confirmed AND rol = 'unassigned'", "users")
+def users_confirmed_unassigned(t: Tables) -> DataFrame:
+    return search.users_by_role(t.users, ("unassigned",)).select("id", "email", "createdAt")
+
+
+@query("SELECT id, documentType, firstName FROM patients WHERE isActive ORDER BY documentType NULLS LAST, firstName NULLS LAST, id LIMIT 25 OFFSET 50", "patients")
+def patient_list_sorted(t: Tables) -> DataFrame:
+    return search.page(search.active(t.patients), search.keys("documentType", "firstName"), 3, 25).select("id", "documentType", "firstName")
+
+
 @query("SELECT id, rol FROM users", "users")
 def role_lookup(t: Tables) -> DataFrame:
     return t.users.select("id", "rol")
@@ -307,19 +379,58 @@ def price_lines(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT serviceOrderId AS id, list_reduce(list({_LINE} ORDER BY lineNo, studyId, supplier, quantity, extended), lambda a, x: a + x) AS s FROM ({_PRICED}) GROUP BY 1)
-SELECT s.id, {sql_money("s")} AS subtotalAmount, {sql_money("s * courtesyPercent / 100e0")} AS discountAmount, {sql_money("s - s * courtesyPercent / 100e0")} AS totalAmount FROM s JOIN service_orders o ON o.id = s.id""", "items", "studies", "service_orders")
+SELECT s.id, {sql_money("s")} AS subtotalAmount, {sql_money("s * (courtesyPercent / 100e0)")} AS discountAmount, {sql_money("s - s * (courtesyPercent / 100e0)")} AS totalAmount FROM s JOIN service_orders o ON o.id = s.id""", "items", "studies", "service_orders")
 def order_totals(t: Tables) -> DataFrame:
     out = orders.order_amounts(orders.priced_lines(t.items, t.studies), t.service_orders, ["lineNo", "studyId", "supplier", "quantity", "extended"])
     return out.select("id", *(money(c).alias(c) for c in ("subtotalAmount", "discountAmount", "totalAmount")))
 
 
-@query(f"""SELECT id, CASE WHEN id % 3 = 0 THEN CAST(id % 40 AS DOUBLE) ELSE courtesyPercent END AS courtesyPercent, CASE WHEN id % 3 = 0 THEN {sql_money("subtotalAmount * CAST(id % 40 AS DOUBLE) / 100e0")} ELSE 0 END AS discountAmount, CASE WHEN id % 3 = 0 THEN {sql_money("subtotalAmount - subtotalAmount * CAST(id % 40 AS DOUBLE) / 100e0")} ELSE {sql_money("subtotalAmount")} END AS totalAmount FROM service_orders""", "service_orders")
+@query(f"""SELECT id, CASE WHEN id % 3 = 0 THEN CAST(id % 40 AS DOUBLE) ELSE courtesyPercent END AS courtesyPercent, CASE WHEN id % 3 = 0 THEN {sql_money("subtotalAmount * (CAST(id % 40 AS DOUBLE) / 100e0)")} ELSE 0 END AS discountAmount, CASE WHEN id % 3 = 0 THEN {sql_money("subtotalAmount - subtotalAmount * (CAST(id % 40 AS DOUBLE) / 100e0)")} ELSE {sql_money("subtotalAmount")} END AS totalAmount FROM service_orders""", "service_orders")
 def courtesy_recalc(t: Tables) -> DataFrame:
     rows = t.service_orders.withColumns({"discountAmount": fn.money(F.lit(0.0)), "totalAmount": fn.money(F.col("subtotalAmount"))})
     patches = t.service_orders.where("id % 3 = 0").select("id", (F.col("id") % 40).alias("courtesyPercent"))
     return orders.with_courtesy(rows, patches).select("id", F.col("courtesyPercent").cast("double").alias("courtesyPercent"), money("discountAmount").alias("discountAmount"), money("totalAmount").alias("totalAmount"))
 
 
+_STATUS = "CASE WHEN id % 2 = 0 THEN 'completed' END"
+_SAMPLE = "CASE id % 3 WHEN 0 THEN createdAt WHEN 1 THEN date_trunc('day', createdAt) END"
+
+
+@query(f"""WITH b AS (SELECT id, coalesce({_STATUS}, 'pending') AS status, coalesce(CASE WHEN id % 5 > 0 THEN courtesyPercent END, 0e0) AS c, {_SAMPLE} AS sampleAt, CASE WHEN patientId NOT IN (SELECT id FROM patients WHERE isActive) THEN 'PATIENT' WHEN doctorId IS NOT NULL AND doctorId NOT IN (SELECT id FROM doctors WHERE isActive) THEN 'DOCTOR' WHEN id NOT IN (SELECT serviceOrderId FROM items) THEN 'NO_ITEMS' END AS refused FROM service_orders),
+s AS (SELECT serviceOrderId AS id, count(*) <> count(DISTINCT studyId) AS twice, list_reduce(list({_LINE} ORDER BY lineNo, studyId, supplier, quantity, extended), lambda a, x: a + x) AS s FROM ({_PRICED}) GROUP BY 1)
+SELECT b.id, status, c AS courtesyPercent, sampleAt, {sql_money("s")} AS subtotalAmount, {sql_money("s * (c / 100e0)")} AS discountAmount, {sql_money("s - s * (c / 100e0)")} AS totalAmount, coalesce(refused, CASE WHEN twice THEN 'STUDY' END) AS fault FROM b LEFT JOIN s ON s.id = b.id""", "service_orders", "items", "studies", "patients", "doctors")
+def order_create(t: Tables) -> DataFrame:
+    iso = F.expr("CASE id % 3 WHEN 0 THEN date_format(createdAt, \"yyyy-MM-dd'T'HH:mm:ss\") WHEN 1 THEN date_format(createdAt, 'yyyy-MM-dd') ELSE 'soon' END")
+    batch = t.service_orders.select("id", "patientId", "doctorId", F.expr(_STATUS).alias("status"), F.when(F.col("id") % 5 > 0, F.col("courtesyPercent")).alias("courtesyPercent"), iso.alias("sampleAt"), F.lit(None).cast("string").alias("deliveryAt"))
+    out = orders.created(batch, t.items, t.patients, t.doctors, t.studies, ["lineNo", "studyId", "supplier", "quantity", "extended"])
+    return out.select("id", "status", "courtesyPercent", "sampleAt", *(money(c).alias(c) for c in ("subtotalAmount", "discountAmount", "totalAmount")), "fault")
+
+
+def _order_patches(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders with amounts, and patches of every third: a new patient or doctor, a status, a courtesy that may be null."""
+    rows = t.service_orders.withColumns({"subtotalAmount": fn.money(F.col("subtotalAmount")), "discountAmount": fn.money(F.lit(0.0)), "totalAmount": fn.money(F.col("subtotalAmount"))})
+    fields = F.when(F.col("id") % 2 == 0, F.array(*map(F.lit, ("patientId", "status", "courtesyPercent")))).otherwise(F.array(F.lit("doctorId"), F.lit("patientId")))
+    patches = t.service_orders.where("id % 3 = 0").selectExpr("id", "CASE WHEN id % 2 = 0 THEN patientId + 1 ELSE patientId END AS patientId", "CASE WHEN id % 2 = 1 THEN id % 90 END AS doctorId", "CASE WHEN id % 4 = 0 THEN 'X' END AS status", "CASE WHEN id % 8 > 0 THEN id % 40 * 1e0 END AS courtesyPercent")
+    return rows, patches.withColumn("fields", fields)
+
+
+_PATCHED = """WITH p AS (SELECT id, patientId + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS np, CASE WHEN id % 2 = 1 THEN id % 90 END AS nd, CASE WHEN id % 4 = 0 THEN 'X' END AS ns, CASE WHEN id % 8 > 0 AND id % 2 = 0 THEN id % 40 * 1e0 END AS nc FROM service_orders WHERE id % 3 = 0),
+f AS (SELECT p.*, CASE WHEN NOT o.isActive THEN 'MISSING' WHEN np <> o.patientId AND np NOT IN (SELECT id FROM patients WHERE isActive) THEN 'PATIENT' WHEN nd IS NOT NULL AND nd IS DISTINCT FROM o.doctorId AND nd NOT IN (SELECT id FROM doctors WHERE isActive) THEN 'DOCTOR' END AS fault FROM p JOIN service_orders o ON o.id = p.id)"""
+
+
+@query(f"""{_PATCHED}, n AS (SELECT o.id, coalesce(f.np, o.patientId) AS patientId, coalesce(f.nd, o.doctorId) AS doctorId, coalesce(f.ns, o.status) AS status, coalesce(f.nc, o.courtesyPercent) AS c, f.id IS NOT NULL AND o.id % 2 = 0 AS again, CAST({sql_money("o.subtotalAmount")} AS DOUBLE) AS s FROM service_orders o LEFT JOIN f ON f.id = o.id AND f.fault IS NULL)
+SELECT id, patientId, doctorId, status, c AS courtesyPercent, CASE WHEN again THEN {sql_money("s * (c / 100e0)")} ELSE 0 END AS discountAmount, CASE WHEN again THEN {sql_money("s - s * (c / 100e0)")} ELSE s END AS totalAmount FROM n""", "service_orders", "patients", "doctors")
+def order_patch(t: Tables) -> DataFrame:
+    rows, patches = _order_patches(t)
+    out = mutate.orders_patched(rows, patches, t.patients, t.doctors)[0]
+    return out.select("id", "patientId", "doctorId", "status", "courtesyPercent", money("discountAmount").alias("discountAmount"), money("totalAmount").alias("totalAmount"))
+
+
+@query(f"{_PATCHED} SELECT id, fault FROM f", "service_orders", "patients", "doctors")
+def order_patch_faults(t: Tables) -> DataFrame:
+    return mutate.orders_patched(*_order_patches(t), t.patients, t.doctors)[1].select("id", "fault")
+
+
 # ---- result sheets
 
 
@@ -347,6 +458,33 @@ def result_create(t: Tables) -> DataFrame:
     return results.created(batch, t.service_orders, t.sheet_items, _results(t)).select(F.col("serviceOrderItemId").alias("id"), "fault", "sampleAt")
 
 
+def _sheets(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Results with one value each, patches of every third, and the values that half of them bring."""
+    rows = t.sheet_items.selectExpr("id", "serviceOrderId", "id AS serviceOrderItemId", "CAST(NULL AS TIMESTAMP_NTZ) AS sampleAt", "CAST(NULL AS TIMESTAMP_NTZ) AS reportedAt", "'by hand' AS method", "'seen' AS observations", "true AS isDraft", "id % 8 <> 0 AS isActive")
+    values = t.sheet_items.selectExpr("id AS studyResultId", "CAST(NULL AS BIGINT) AS studyDetailId", "'old' AS label", "'mg' AS unit", "'1-2' AS referenceValue", "'7' AS value", "1 AS sortOrder")
+    patches = t.sheet_items.where("id % 3 = 0").selectExpr("id", "CASE WHEN id % 7 = 0 THEN serviceOrderId + 1 END AS serviceOrderId", "CASE WHEN id % 5 = 0 THEN id + 1 ELSE id END AS serviceOrderItemId", "CASE WHEN id % 2 = 0 THEN TIMESTAMP_NTZ'2024-01-02 03:04:05' END AS sampleAt", "CAST(NULL AS TIMESTAMP_NTZ) AS reportedAt", "CAST(NULL AS STRING) AS method", "'new' AS observations", "false AS isDraft")
+    patches = patches.withColumn("fields", F.array(*map(F.lit, ("sampleAt", "reportedAt", "method", "isDraft"))))
+    return rows, values, patches, t.sheet_items.where("id % 6 = 0").selectExpr("id AS studyResultId", "studyId + 900 AS studyDetailId", "'own' AS label", "'g' AS unit", "CAST(NULL AS STRING) AS referenceValue", "'9' AS value", "2 AS sortOrder")
+
+
+_SHEETS = """WITH f AS (SELECT id, studyId, CASE WHEN id % 8 = 0 THEN 'MISSING' WHEN id % 7 = 0 THEN 'ORDER' WHEN id % 5 = 0 THEN 'ITEM' END AS fault FROM sheet_items WHERE id % 3 = 0)"""
+
+
+@query(f"{_SHEETS} SELECT i.id, i.serviceOrderId, CASE WHEN f.id IS NOT NULL AND i.id % 2 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' END AS sampleAt, CASE WHEN f.id IS NULL THEN 'by hand' END AS method, 'seen' AS observations, f.id IS NULL AS isDraft FROM sheet_items i LEFT JOIN f ON f.id = i.id AND f.fault IS NULL", "sheet_items")
+def result_patch(t: Tables) -> DataFrame:
+    return results.results_patched(*_sheets(t), t.study_details)[0].select("id", "serviceOrderId", "sampleAt", "method", "observations", "isDraft")
+
+
+@query(f"{_SHEETS} SELECT i.id AS studyResultId, CASE WHEN n THEN coalesce(d.name, 'own') ELSE 'old' END AS label, CASE WHEN NOT n THEN 'mg' WHEN d.id IS NULL THEN 'g' ELSE d.unit END AS unit, CASE WHEN n THEN '9' ELSE '7' END AS value FROM (SELECT i.*, f.id IS NOT NULL AND i.id % 6 = 0 AS n FROM sheet_items i LEFT JOIN f ON f.id = i.id AND f.fault IS NULL) i LEFT JOIN study_details d ON d.id = i.studyId + 900", "sheet_items", "study_details")
+def result_patch_values(t: Tables) -> DataFrame:
+    return results.results_patched(*_sheets(t), t.study_details)[1].select("studyResultId", "label", "unit", "value")
+
+
+@query(f"{_SHEETS} SELECT id, fault FROM f", "sheet_items")
+def result_patch_faults(t: Tables) -> DataFrame:
+    return results.results_patched(*_sheets(t), t.study_details)[2].select("id", "fault")
+
+
 # ---- text and time
 
 
@@ -423,6 +561,20 @@ def reset_rate_limit(t: Tables) -> DataFrame:
     return access.reset_outcomes(rows, "user_id", window=5 * DAY)
 
 
+def _streamed(t: Tables, kinds: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The outcomes that a stream over the table of events appends to a log in the shared folder."""
+    source = io.read_stream(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema)
+    folder = io.scratch(t.spark, "stream")
+    log = processors.log_sink(make(derived(source, "access").where(F.col("kind").isin(*kinds))), f"{folder}/out", f"{folder}/checkpoint")
+    log.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out")
+
+
+@query(f"{_ACCESS} SELECT user_id, event_id, outcome FROM f WHERE k > 0", "access")
+def stream_access(t: Tables) -> DataFrame:
+    return _streamed(t, ["login", "mfa"], lambda events: processors.access_stream(events, "user_id", 2 * DAY, 2 * DAY)).select("user_id", "event_id", "outcome")
+
+
 _TOKENS = "SELECT user_id, ts, concat('t', event_id) AS token, ts + INTERVAL 2 DAY AS expires_at FROM access WHERE kind = 'reset_request'"
 
 
@@ -431,8 +583,7 @@ SELECT event_id, coalesce(CASE WHEN event_id % 5 = 0 THEN false ELSE have IS NOT
 def reset_token_check(t: Tables) -> DataFrame:
     issues = t.access.where("kind = 'reset_request'").select("user_id", "ts", F.concat(F.lit("t"), "event_id").alias("token"), (F.col("ts") + F.expr("INTERVAL '2' DAY")).alias("expires_at"))
     uses = t.access.where("kind = 'mfa'").select("event_id", "user_id", "ts")
-    latest = uses.join(issues.select("user_id", F.col("ts").alias("at"), "token"), "user_id", "left").where("at IS NULL OR at <= ts").groupBy("event_id").agg(F.max_by("token", "at").alias("token"))
-    uses = uses.join(latest, "event_id", "left").withColumn("token", F.when(F.col("event_id") % 5 == 0, "wrong").otherwise(F.col("token")))
+    uses = access.latest_token(uses, issues).withColumn("token", F.when(F.col("event_id") % 5 == 0, "wrong").otherwise(F.col("last.token"))).drop("last")
     return access.reset_token_check(uses, issues).select("event_id", "valid")
 
 
@@ -471,6 +622,12 @@ def external_user_upsert(t: Tables) -> DataFrame:
     return mutate.external_users(t.users, logins)
 
 
+@query("""SELECT email, id, CASE WHEN id IS NULL THEN 'CREATE' WHEN NOT confirmed THEN 'CONFIRM' WHEN rol = 'unassigned' THEN 'PROMOTE' ELSE 'KEEP' END AS action, CASE WHEN rol IS NULL OR rol = 'unassigned' THEN 'admin' ELSE rol END AS rol FROM (SELECT DISTINCT concat('u', c_custkey % 300, '@lab.example') AS email FROM customer) LEFT JOIN users USING (email)""", "users")
+def external_user_promote(t: Tables) -> DataFrame:
+    logins = t.customer.select(F.concat(F.lit("u"), F.col("c_custkey") % 300, F.lit("@lab.example")).alias("email"))
+    return mutate.external_users(t.users, logins, promote=True)
+
+
 # ---- changes
 
 
@@ -481,6 +638,36 @@ def patch_merge(t: Tables) -> DataFrame:
     return mutate.patched(t.patients, patches, ["firstName", "documentType"]).select("id", "firstName", "documentType")
 
 
+@query("SELECT id, CASE WHEN isActive AND id % 5 = 0 AND id % 2 = 0 THEN 'renamed' ELSE firstName END AS firstName, documentType FROM patients", "patients")
+def patch_coalesce(t: Tables) -> DataFrame:
+    name = F.when(F.col("id") % 2 == 0, "renamed")
+    patches = t.patients.where("id % 5 = 0").select("id", F.array(F.lit("firstName"), F.lit("documentType")).alias("fields"), name.alias("firstName"), F.lit(None).cast("string").alias("documentType"))
+    return mutate.patched(t.patients, patches, ["firstName", "documentType"], nullable=False).select("id", "firstName", "documentType")
+
+
+@query("SELECT id, code, CASE WHEN NOT isActive THEN 'MISSING' WHEN id % 4 <> 1 AND changed IN (SELECT code FROM studies) AND changed <> code THEN 'TAKEN' END AS fault FROM (SELECT id, isActive, CASE id % 4 WHEN 0 THEN code WHEN 1 THEN code ELSE concat('Brand#', id % 55, '-', id) END AS changed, code FROM studies)", "studies")
+def patch_conflicts(t: Tables) -> DataFrame:
+    code = F.when(F.col("id") % 4 < 2, F.col("code")).otherwise(F.concat(F.lit("Brand#"), F.col("id") % 55, F.lit("-"), "id"))
+    patches = t.studies.select("id", F.array(F.lit("code")).alias("fields"), code.alias("code"))
+    out = mutate.patch_faults(patches, t.studies, ["code"])
+    return out.select("id", "fault").join(t.studies.select("id", "code"), "id")
+
+
+@query("""SELECT id, CASE WHEN studyId NOT IN (SELECT id FROM studies WHERE isActive) THEN 'STUDY' WHEN parentId IS NOT NULL AND NOT EXISTS (SELECT 1 FROM study_details p WHERE p.id = b.parentId AND p.studyId = b.studyId AND p.isActive) THEN 'PARENT' END AS fault FROM (SELECT id + 1000000 AS id, CASE WHEN id % 5 = 0 THEN studyId + 1 ELSE studyId END AS studyId, CASE WHEN id % 3 > 0 THEN id END AS parentId FROM study_details) b""", "study_details", "studies")
+def detail_insert_faults(t: Tables) -> DataFrame:
+    return mutate.details_added(t.study_details, _new_details(t), t.studies)[1].select("id", "fault")
+
+
+@query("""WITH b AS (SELECT id + 1000000 AS id, CASE WHEN id % 5 = 0 THEN studyId + 1 ELSE studyId END AS studyId, CASE WHEN id % 3 > 0 THEN id END AS parentId, 'new' AS name FROM study_details)
+SELECT id, studyId, name, isActive FROM study_details UNION ALL SELECT id, studyId, name, true FROM b WHERE studyId IN (SELECT id FROM studies WHERE isActive) AND (parentId IS NULL OR EXISTS (SELECT 1 FROM study_details p WHERE p.id = b.parentId AND p.studyId = b.studyId AND p.isActive))""", "study_details", "studies")
+def detail_insert(t: Tables) -> DataFrame:
+    return mutate.details_added(t.study_details, _new_details(t), t.studies)[0].select("id", "studyId", "name", "isActive")
+
+
+def _new_details(t: Tables) -> DataFrame:
+    return t.study_details.selectExpr("id + 1000000 AS id", "CASE WHEN id % 5 = 0 THEN studyId + 1 ELSE studyId END AS studyId", "CASE WHEN id % 3 > 0 THEN id END AS parentId", "'new' AS name", "1 AS sortOrder")
+
+
 @query("SELECT id, CASE WHEN isActive AND id % 6 = 0 THEN 'X' ELSE status END AS status FROM service_orders", "service_orders")
 def status_update(t: Tables) -> DataFrame:
     return mutate.with_status(t.service_orders, t.service_orders.where("id % 6 = 0").select("id", F.lit("X").alias("status"))).select("id", "status")
@@ -502,6 +689,11 @@ def hard_delete(t: Tables) -> DataFrame:
     return lookup.affected(t.patients.select((F.col("id") + 500).alias("id")), t.patients).select("id", "found")
 
 
+@query("SELECT id, firstName FROM patients WHERE id <= 500", "patients")
+def hard_delete_rows(t: Tables) -> DataFrame:
+    return mutate.hard_deleted(t.patients, t.patients.select((F.col("id") + 500).alias("id"))).select("id", "firstName")
+
+
 @query("""WITH gone AS (SELECT id FROM patients WHERE id % 3 = 0 AND id NOT IN (SELECT patientId FROM service_orders))
 SELECT 'patients' AS "table", count(*) AS n, sum(id)::BIGINT AS ids FROM patients WHERE id NOT IN (SELECT id FROM gone)
 UNION ALL SELECT 'service_orders', count(*), sum(id)::BIGINT FROM service_orders WHERE id % 3 <> 0 UNION ALL SELECT 'service_order_items', count(*), sum(id)::BIGINT FROM sheet_items WHERE serviceOrderId % 3 <> 0""", "patients", "service_orders", "sheet_items")
@@ -531,6 +723,17 @@ def delete_users(t: Tables) -> DataFrame:
     return mutate.users_deleted(t.users, t.users.where("id % 3 = 0")).select("id", "rol")
 
 
+@query("""WITH gone AS (SELECT id FROM users WHERE id % 3 = 0 AND rol <> 'admin')
+SELECT 'users' AS "table", count(*) AS n, sum(id)::BIGINT AS ids FROM users WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'user_sessions', count(*), sum(event_id)::BIGINT FROM access WHERE event_type = 'signup' AND user_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'user_login_logs', count(*), sum(CASE WHEN user_id NOT IN (SELECT id FROM gone) THEN user_id END)::BIGINT FROM access WHERE kind = 'login'""", "users", "access")
+def delete_users_cascade(t: Tables) -> DataFrame:
+    opened = t.access.where("event_type = 'signup'").select(F.col("event_id").alias("id"), F.col("user_id").alias("userId"))
+    logs = t.access.where("kind = 'login'").select(F.col("event_id").alias("id"), F.col("user_id").alias("userId"))
+    after = mutate.users_removed({"users": t.users, "user_sessions": opened, "user_login_logs": logs}, t.users.where("id % 3 = 0"))
+    out = [after[n].agg(F.lit(n).alias("table"), F.count("*").alias("n"), F.sum("userId" if n == "user_login_logs" else "id").alias("ids")) for n in after]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("WITH tok AS (SELECT *, concat('k', id % 40) AS token FROM users), f AS (SELECT token, min(id) AS id FROM tok WHERE token IN (SELECT concat('k', n_nationkey) FROM nation) GROUP BY 1) SELECT id, confirmed OR id IN (SELECT id FROM f) AS confirmed, CASE WHEN id NOT IN (SELECT id FROM f) THEN token END AS token FROM tok", "users")
 def confirm_accounts(t: Tables) -> DataFrame:
     users = t.users.withColumn("token", F.concat(F.lit("k"), F.col("id") % 40))

@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table, or one of the driver's."""
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    source, text = DERIVED[name]
-    df = spark.read.parquet(f"{sf_dir}/{source}.parquet")
-    exprs = split(text)
+    return derived(spark.read.parquet(f"{sf_dir}/{DERIVED[name][0]}.parquet"), name)
+
+
+def derived(df: DataFrame, name: str) -> DataFrame:
+    """The derived table of that name from the rows of the driver's, which may be a stream."""
+    exprs = split(DERIVED[name][1])
     if name in GROUPED:
         aggregates = [e for e in exprs if e.startswith("min(")]
         df = df.groupBy(F.expr(GROUPED[name]).alias("group_")).agg(*map(F.expr, aggregates)) if name != "users" else df.groupBy("user_id").agg(*map(F.expr, aggregates))

@@ -46,6 +46,7 @@ def parsed(df: DataFrame, column: str, schema: T.StructType, to: str = "record")
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
+    """A stream of the files of a folder; one file has to be named by a pattern that it matches."""
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
@@ -73,15 +74,23 @@ def appended(df: DataFrame, path: str, batch: str) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read again; a local session without it gets a temporary folder."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in that of spark.checkpoint.dir, which goes when the application ends; a local session without the setting gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="labframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/labframe/{name}-{uuid.uuid4().hex}"
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/labframe-{spark.sparkContext.applicationId}")
+    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(own)
+    files.deleteOnExit(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch folder and read again, which cuts its lineage and outlives lost executors."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,50 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labframe.operators.access import LOCK, MFA, RESET_WINDOW, TRIES
+from labframe.operators.access import LOCK, MFA, MINUTE, RESET_WINDOW, access_step, reset_step, session_check
 
 OUT = "event_id bigint, outcome string"
 ACCESS_STATE = "n int, lock bigint, code bigint, attempts int, last bigint"
 RESET_STATE = "n int, start bigint, last bigint"
-_MICROS = 60_000_000
-
-
-def access_step(state: tuple, e: dict, lock: int, mfa: int) -> tuple[tuple, str]:
-    """One login or mfa event of a user; the rules are those of operators.access.AccessStep."""
-    n, until, code, attempts = state
-    t = e["t"]
-    if e["kind"] == "login":
-        if not e["known"]:
-            return state, "UNKNOWN"
-        if until is not None and until > t:
-            return state, "LOCKED"
-        if not e["confirmed"]:
-            return state, "UNCONFIRMED"
-        if not e["ok"]:
-            return ((n + 1, t + lock, code, attempts), "LOCKED_NOW") if n + 1 >= TRIES else ((n + 1, until, code, attempts), "BAD_PASSWORD")
-        if e["rol"] == "unassigned":
-            return state, "UNASSIGNED"
-        return ((n, until, t + mfa, 0), "MFA_SENT") if e["rol"] == "admin" else ((0, None, code, attempts), "SUCCESS")
-    if not e["known"] or e["rol"] != "admin":
-        return state, "INVALID"
-    if code is None:
-        return state, "NO_PENDING"
-    if code < t:
-        return (n, until, None, attempts), "EXPIRED"
-    if attempts >= TRIES:
-        return (n, until, None, attempts), "TOO_MANY"
-    return ((n, until, None, attempts), "SUCCESS") if e["ok"] else ((n, until, code, attempts + 1), "WRONG")
-
-
-def reset_step(state: tuple, e: dict, window: int) -> tuple[tuple, str]:
-    n, start = state
-    if not e["known"]:
-        return state, "UNKNOWN"
-    if e["kind"] == "reset_done":
-        return (0, None), "DONE"
-    if start is None or e["t"] - start > window:
-        n, start = 0, e["t"]
-    return ((n + 1, start), "SENT") if n < TRIES else ((n, start), "THROTTLED")
 
 
 def _stateful(events: DataFrame, key: str, fields: list[str], schema: str, begin: tuple, step, delay: str) -> DataFrame:
@@ -83,18 +44,16 @@ def _stateful(events: DataFrame, key: str, fields: list[str], schema: str, begin
 
 def access_stream(events: DataFrame, key: str = "email", lock: int = LOCK, mfa: int = MFA, delay: str = "1 day") -> DataFrame:
     """Outcomes of a stream of login and mfa events (event_id, ts, kind, known, confirmed, rol, ok)."""
-    return _stateful(events, key, ["kind", "known", "confirmed", "rol", "ok"], ACCESS_STATE, (0, None, None, 0), lambda s, e: access_step(s, e, lock * _MICROS, mfa * _MICROS), delay)
+    return _stateful(events, key, ["kind", "known", "confirmed", "rol", "ok"], ACCESS_STATE, (0, None, None, 0), lambda s, e: access_step(s, e, lock * MINUTE, mfa * MINUTE), delay)
 
 
 def reset_stream(events: DataFrame, key: str = "email", window: int = RESET_WINDOW, delay: str = "1 day") -> DataFrame:
     """Outcomes of a stream of reset_request and reset_done events (event_id, ts, kind, known)."""
-    return _stateful(events, key, ["kind", "known"], RESET_STATE, (0, None), lambda s, e: reset_step(s, e, window * _MICROS), delay)
+    return _stateful(events, key, ["kind", "known"], RESET_STATE, (0, None), lambda s, e: reset_step(s, e, window * MINUTE), delay)
 
 
 def session_stream(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """Verdicts of a stream of requests against the sessions of a table: a stream-static join, without state."""
-    from labframe.operators.access import session_check
-
     return session_check(requests, sessions)
 
 

@@ -223,3 +223,28 @@ def test_tables_batches_and_defaults(spark, tmp_path):
     io.appended(batch, str(tmp_path / "t"), "1")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
     assert lookup.numbered(spark.range(5).withColumnRenamed("id", "k"), 10, [F.col("k")], 2).agg(F.min("id"), F.max("id")).first() == (11, 15)
+
+
+def test_courtesy_divides_the_percentage_first(spark):
+    row = spark.createDataFrame([(0.70, 5.0)], "s double, c double").select(fn.money(orders.courtesy(F.col("s"), F.col("c"))).cast("double").alias("d")).first()
+    assert row.d == 0.03
+
+
+def test_a_user_with_very_many_events_is_folded_in_one_pass(spark):
+    n = 200_000
+    events = spark.range(n).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) AS ts", "'u' AS email", "'login' AS kind", "true AS known", "true AS confirmed", "'r' AS rol", "id % 4 = 0 AS ok")
+    got = {r.outcome: r["count"] for r in access.access_outcomes(events).groupBy("outcome").count().collect()}
+    locks = len(range(3, n, 900))  # each lock ends at another failure, which locks at once
+    assert got == {"SUCCESS": 1, "BAD_PASSWORD": 2, "LOCKED_NOW": locks, "LOCKED": n - 3 - locks}
+    asks = events.select("event_id", F.col("email").alias("user_id"), "ts")
+    values = asks.where("event_id % 1000 = 7").select("user_id", "ts", F.col("event_id").alias("value"))
+    last = access.nearest(asks, values, "user_id", "last", block=10 * 60 * 1_000_000)
+    assert last.where("NOT (last <=> CASE WHEN event_id >= 7 THEN (event_id - 7) div 1000 * 1000 + 7 END)").count() == 0
+    later = access.nearest(asks, values, "user_id", "next", later=True, block=10 * 60 * 1_000_000)
+    assert later.where(f"NOT (next <=> CASE WHEN event_id <= {n - 993} THEN (event_id + 992) div 1000 * 1000 + 7 END)").count() == 0
+
+
+def test_only_the_least_other_holder_conflicts(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "id bigint, k string")
+    changes = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (9, "b"), (9, "c")], "id bigint, k string")
+    assert values(lookup.conflicts(changes, table, ["k"]), "id", "k", "other") == [(1, "a", 2), (2, "a", 1), (3, "a", 1), (9, "b", 4)]

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from labframe.operators import access
 from labframe.plans.tables import table
+from labframe.sources import io
 from labframe.streaming import processors
 
 
 def run(spark, events, make, folder, parts):
     for i in range(parts):
         events.where(F.col("part") == i).drop("part").write.parquet(f"{folder}/in", mode="append")
-    source = spark.readStream.schema(events.drop("part").schema).option("maxFilesPerTrigger", 100 if parts == 1 else 1).parquet(f"{folder}/in")
+    source = io.read_stream(spark, f"{folder}/in", events.drop("part").schema, maxFilesPerTrigger="100" if parts == 1 else "1")
     query = processors.log_sink(make(source), f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return sorted((r.event_id, r.outcome) for r in spark.read.parquet(f"{folder}/out").collect())
@@ -42,3 +43,14 @@ def test_repeated_and_late_events(spark, tmp_path):
     rows = [(1, t0, "u", "reset_request", True, 0), (1, t0, "u", "reset_request", True, 0), (3, t0 + dt.timedelta(minutes=9), "u", "reset_request", True, 0), (2, t0 + dt.timedelta(minutes=5), "u", "reset_request", True, 1)]
     events = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, email string, kind string, known boolean, part int").coalesce(1)
     assert run(spark, events, processors.reset_stream, str(tmp_path), 2) == [(1, "SENT"), (2, "LATE"), (3, "SENT")]
+
+
+def test_a_stream_of_requests_is_checked_against_the_table_of_sessions(spark, tmp_path):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    opens = spark.createDataFrame([("a", 1, t0)], "jti string, user_id bigint, ts timestamp_ntz")
+    found = access.sessions(opens, opens.select("jti", "ts").where("false"), opens.select("user_id", "ts").where("false"))
+    asks = spark.createDataFrame([(i, "a", t0 + dt.timedelta(minutes=m), i % 2) for i, m in enumerate((5, 15, 16, -1))], "event_id bigint, jti string, ts timestamp_ntz, part int")
+    got = run(spark, asks, lambda s: processors.session_stream(s, found).select("event_id", F.col("verdict").alias("outcome")), str(tmp_path), 2)
+    assert got == [(0, "OK"), (1, "OK"), (2, "EXPIRED"), (3, "NOT_FOUND")]
