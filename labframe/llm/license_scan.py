@@ -2,12 +2,17 @@
 
 Text and templates are lower-cased and cut into words of letters and digits; what remains is the set of neighbouring
 word pairs. A Dice coefficient of at least t needs sizes within a factor (2 - t) / t of each other, so each template
-is listed under the sizes it can match, and a text only meets templates by an equality join on its size. Every line
-of a text is compared, and the whole text beside, so notices and full licences in one document are both found. The
+is listed under the sizes it can match, and a text only meets templates by an equality join on its size. The
 templates are a small fixed table; it is broadcast. All work is done by DataFrame functions.
 
+Compared are every line, the whole text, and runs of lines: those that begin on a line with one of the first pairs of
+a template, go on for two lines or more and have no more words than the largest set that can match. So notices, full
+licences and headers wrapped over lines of a longer text are found. Whole texts and runs leave out lines that begin
+with a copyright, as these name holders; lines without words count for nothing in a run.
+
 Defined results: null and empty texts match nothing; repeated rows are scanned each; texts of one word have no pairs
-and match nothing; columns other than key and text are ignored; an empty table gives an empty table.
+and match nothing; lines and texts of any number of words are compared, as words may repeat; columns other than key
+and text are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,6 +35,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -57,26 +65,51 @@ def bounds(size: int, dice: float) -> tuple[int, int]:
     return math.ceil(size * dice / (2 - dice) - 1e-9), math.floor(size * (2 - dice) / dice + 1e-9)
 
 
+def first_pairs(templates: list[tuple[str, str]]) -> list[str]:
+    """The first three word pairs of each template, spelled as words between spaces."""
+    words = [[w for w in re.split(BREAKS, text.lower()) if w] for _, text in templates]
+    return sorted({f"{w[i]} {w[i + 1]}" for w in words for i in range(min(3, len(w) - 1))})
+
+
+def named(words: Column) -> Column:
+    """A line of these words begins with a copyright: that word, or a c in front of it or of a number."""
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    return F.coalesce((first == "copyright") | ((first == "c") & ((second == "copyright") | second.rlike("^[0-9]+$"))), F.lit(False))
+
+
 def matches(df: DataFrame, id_column: str = "doc_id", text: str = "text", dice: float = DICE, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(id, row, line, license, template, dice): lines, or -1 for the whole text, that match a template; `row` tells rows of one key apart."""
+    """(id, row, line, license, template, dice): lines, runs by their first line, or -1 for the whole text, that match a template; `row` tells rows of one key apart."""
     guarded(df.columns, [id_column, text], "license_scan")
-    spark, known = df.sparkSession, [(name, i, p) for i, (name, t) in enumerate(templates or TEMPLATES) if (p := word_pairs(t))]
+    spark, chosen = df.sparkSession, templates or TEMPLATES
+    known = [(name, i, p) for i, (name, t) in enumerate(chosen) if (p := word_pairs(t))]
     rows = [(size, name, i, p) for name, i, p in known for size in range(bounds(len(p), dice)[0], bounds(len(p), dice)[1] + 1)]
     table = spark.createDataFrame(rows, "size int, license string, template int, known array<string>")
-    low = min((r[0] for r in rows), default=0)
+    low, top = min((r[0] for r in rows), default=0), max((r[0] for r in rows), default=0)
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: F.filter(F.split(F.lower(line), BREAKS), lambda w: w != ""))
     cut = df.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), lines.alias("lines"))
     # a text of many words can have few distinct pairs, so only too few words rule a unit out; the exact size is joined below
-    whole = F.when(F.size("lines") > 1, F.flatten("lines")).otherwise(F.array().cast("array<string>"))
-    units = cut.select("id", "row", F.posexplode(F.concat(F.array(whole), "lines")).alias("line", "words")).where(F.size("words") > low)
-    sized = units.select("id", "row", (F.col("line") - 1).alias("line"), pairs(F.col("words")).alias("pairs")).withColumn("size", F.size("pairs"))
+    whole = F.when(F.size("lines") > 1, F.flatten(F.filter("lines", lambda x: ~named(x)))).otherwise(F.array().cast("array<string>"))
+    begins = "( |^)(" + "|".join(first_pairs(chosen)) + ")( |$)"
+    # (line, words) of the lines that a run can begin on; few texts have any
+    starts = F.filter(F.transform("lines", lambda x, i: F.when(F.concat_ws(" ", x).rlike(begins) & ~named(x), i)), lambda i: i.isNotNull())
+    single = F.transform(F.concat(F.array(whole), "lines"), lambda x, i: F.struct((i - 1).alias("line"), x.alias("words")))
+    sizes = F.transform("lines", lambda x: F.when(named(x), 0).otherwise(F.size(x)))
+    cut = cut.withColumns({"starts": starts, "sizes": sizes})
+    run = lambda i, j: F.flatten(F.filter(F.slice("lines", i + 1, j + 1), lambda x: ~named(x)))
+    length = lambda i, j: F.aggregate(F.slice("sizes", i + 1, j + 1), F.lit(0), lambda a, n: a + n)
+    steps = lambda i: F.sequence(F.lit(1), F.least(F.lit(top), F.size("lines") - 1 - i))
+    # where a run ends: on a line with words that are not left out, and before it has too many
+    ends = lambda i: F.filter(F.when(i < F.size("lines") - 1, steps(i)).otherwise(F.array().cast("array<int>")), lambda j: (F.get("sizes", i + j) > 0) & length(i, j).between(low + 1, top + 1))
+    runs = F.flatten(F.transform("starts", lambda i: F.transform(ends(i), lambda j: F.struct(i.alias("line"), run(i, j).alias("words")))))
+    units = cut.select("id", "row", F.inline(F.concat(single, runs))).where(F.size("words") > low)
+    sized = units.select("id", "row", "line", pairs(F.col("words")).alias("pairs")).withColumn("size", F.size("pairs"))
     met = sized.join(F.broadcast(table), "size")  # a fixed table of some hundred rows
     score = 2 * F.size(F.array_intersect("pairs", "known")) / (F.col("size") + F.size("known"))
     return met.select("id", "row", "line", "license", "template", score.alias("dice")).where(F.col("dice") >= dice)
 
 
 def licenses(df: DataFrame, id_column: str = "doc_id", text: str = "text", dice: float = DICE, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(id, n_matches, licenses, lines, best) for each row of df that matches some template: names and lines, comma-joined."""
+    """(id, n_matches, licenses, lines, best) for each row of df that matches some template: how many templates match on how many lines, names and lines, comma-joined."""
     found = matches(df, id_column, text, dice, templates)
-    out = found.groupBy("row", "id").agg(F.count("*").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.array_join(F.array_sort(F.collect_set("line")).cast("array<string>"), ",").alias("lines"), F.max("dice").alias("best"))
+    out = found.groupBy("row", "id").agg(F.count_distinct("line", "template").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.array_join(F.array_sort(F.collect_set("line")).cast("array<string>"), ",").alias("lines"), F.max("dice").alias("best"))
     return out.select(F.col("id").alias(id_column), "n_matches", "licenses", "lines", "best")

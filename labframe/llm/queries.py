@@ -89,12 +89,18 @@ def _license_sql() -> str:
     quoted = ", ".join("('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.TEMPLATES))
     words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
     pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
-    return f"""WITH t AS (SELECT license, template, {pairs} AS p FROM (SELECT license, template, {words.format("text")} AS w FROM (VALUES {quoted}) v(license, template, text))),
-lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, coalesce(text, '') AS text FROM documents),
-u AS (SELECT doc_id, unnest(range(0, len(l))) AS line, unnest(l) AS text FROM lines UNION ALL SELECT doc_id, -1, text FROM lines WHERE len(l) > 1),
-p AS (SELECT doc_id, line, {pairs} AS p FROM (SELECT doc_id, line, {words.format("text")} AS w FROM u)),
-m AS (SELECT doc_id, line, license, 2 * len(list_intersect(p.p, t.p)) / (len(p.p) + len(t.p)) AS dice FROM p JOIN t ON len(p.p) BETWEEN len(t.p) * 0.8 AND len(t.p) * 1.25)
-SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines, max(dice) AS best FROM m WHERE dice >= {license_scan.DICE} GROUP BY 1"""
+    return f"""WITH t AS (SELECT license, template, w, {pairs} AS p FROM (SELECT license, template, {words.format("text")} AS w FROM (VALUES {quoted}) v(license, template, text))),
+most AS (SELECT floor(max(len(p)) * 1.1 / 0.9 + 1e-9) AS n, ceil(min(len(p)) * 0.9 / 1.1 - 1e-9) AS low FROM t), f AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS pair FROM (SELECT w, unnest([1, 2, 3]) AS i FROM t) WHERE i < len(w)),
+raw AS (SELECT doc_id, unnest(range(0, len(l))) AS line, len(l) AS lines, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+lw AS (SELECT doc_id, line, lines, w, coalesce(w[1] = 'copyright' OR (w[1] = 'c' AND (w[2] = 'copyright' OR regexp_full_match(w[2], '[0-9]+'))), false) AS named FROM (SELECT doc_id, line, lines, {words.format("text")} AS w FROM raw)),
+l AS (SELECT *, sum(CASE WHEN named THEN 0 ELSE len(w) END) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM lw),
+starts AS (SELECT DISTINCT doc_id, line, upto - len(w) AS before FROM (SELECT *, unnest(range(1, len(w))) AS i FROM l WHERE NOT named) WHERE w[i] || ' ' || w[i + 1] IN (SELECT pair FROM f)),
+runs AS (SELECT s.doc_id, s.line, e.line AS last FROM starts s JOIN l e ON e.doc_id = s.doc_id AND e.line BETWEEN s.line + 1 AND s.line + (SELECT n FROM most) AND len(e.w) > 0 AND NOT e.named AND e.upto - s.before BETWEEN (SELECT low + 1 FROM most) AND (SELECT n + 1 FROM most)),
+u AS (SELECT doc_id, line, w FROM l UNION ALL SELECT doc_id, -1, flatten(list(w ORDER BY line)) FROM l WHERE NOT named AND lines > 1 GROUP BY doc_id
+ UNION ALL SELECT r.doc_id, r.line, flatten(list(l.w ORDER BY l.line)) FROM runs r JOIN l ON l.doc_id = r.doc_id AND l.line BETWEEN r.line AND r.last AND NOT l.named GROUP BY r.doc_id, r.line, r.last),
+p AS (SELECT doc_id, line, {pairs} AS p FROM u),
+m AS (SELECT doc_id, line, license, template, 2 * len(list_intersect(p.p, t.p)) / (len(p.p) + len(t.p)) AS dice FROM p JOIN t ON len(p.p) BETWEEN len(t.p) * 0.8 AND len(t.p) * 1.25)
+SELECT doc_id, count(DISTINCT (line, template)) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines, max(dice) AS best FROM m WHERE dice >= {license_scan.DICE} GROUP BY 1"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -8,16 +9,32 @@ from labframe.llm import license_scan, media
 from .conftest import corpus, prose
 
 
+def copyright(words):
+    return words[:1] == ["copyright"] or (words[:1] == ["c"] and (words[1:2] == ["copyright"] or words[1:2] and words[1].isdigit()))
+
+
 def brute(text, dice=0.9):
-    out = []
-    units = [(i, line) for i, line in enumerate(text.split("\n"))] + ([(-1, text)] if "\n" in text else [])
+    out, lines = [], text.split("\n")
+    words = [license_scan.re.findall("[a-z0-9]+", line.lower()) for line in lines]
+    kept = [[] if copyright(w) else w for w in words]
+    units = [(i, " ".join(w)) for i, w in enumerate(words)] + ([(-1, " ".join(sum(kept, [])))] if len(lines) > 1 else [])
+    firsts = [license_scan.re.findall("[a-z0-9]+", t.lower())[:4] for _, t in license_scan.TEMPLATES]
+    begins = {pair for f in firsts for pair in zip(f, f[1:])}
+    top = max(license_scan.bounds(len(license_scan.word_pairs(t)), dice)[1] for _, t in license_scan.TEMPLATES)
+    for i, w in enumerate(kept):
+        if begins & set(zip(w, w[1:])):
+            units += [(i, " ".join(sum(kept[i : j + 1], []))) for j in range(i + 1, min(len(lines), i + top + 1)) if kept[j] and sum(map(len, kept[i : j + 1])) <= top + 1]
     for at, unit in units:
         a = set(license_scan.word_pairs(unit))
-        for name, t in license_scan.TEMPLATES:
+        for k, (_, t) in enumerate(license_scan.TEMPLATES):
             b = set(license_scan.word_pairs(t))
             if a and 2 * len(a & b) / (len(a) + len(b)) >= dice:
-                out.append((at, name))
-    return sorted(out)
+                out.append((at, k))
+    return sorted(set(out))
+
+
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
 
 
 def test_licences_are_those_of_all_comparisons(spark):
@@ -28,7 +45,7 @@ def test_licences_are_those_of_all_comparisons(spark):
     want = {i: brute(t) for i, t in enumerate(texts) if t and brute(t)}
     found = {}
     for r in got:
-        found.setdefault(r.id, []).append((r.line, r.license))
+        found.setdefault(r.id, set()).add((r.line, r.template))
     assert {i: sorted(v) for i, v in found.items()} == want
     assert {r.doc_id for r in license_scan.licenses(df).collect()} == set(want) and license_scan.licenses(df.where("doc_id < 0")).count() == 0
 
@@ -37,10 +54,26 @@ def test_a_notice_repeated_often_is_found(spark):
     mit = license_scan.TEMPLATES[5][1]
     texts = ["\n".join([mit] * 200), " ".join([mit] * 200)]
     got = license_scan.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
-    assert sorted((r.id, r.line, r.license) for r in got) == sorted((i, *m) for i, t in enumerate(texts) for m in brute(t))
+    assert {(r.id, r.line, r.template) for r in got} == {(i, *m) for i, t in enumerate(texts) for m in brute(t)}
     assert {(r.id, r.line) for r in got} >= {(0, -1), (1, 0)}
 
 
+def test_headers_over_lines_and_full_licences_are_found(spark):
+    apache, mit, bsd = license_scan.TEMPLATES[1][1], license_scan.TEMPLATES[6][1], license_scan.TEMPLATES[8][1]
+    owner = "Copyright (c) 2024 " + "Some Holder With A Long Name " * 6
+    texts = [f"/*\n{wrapped(apache, 70, ' * ')}\n */\nint main() {{\n{prose(5, 300)}", f"MIT License\n\n{owner}\n\n{mit}", f"{prose(6, 90)}\n{prose(7, 80)}\n{wrapped(bsd, 80, '# ')}\n{prose(8, 60)}", f"(c) 2020 me\n\n{wrapped(mit, 60)}\n\n{prose(9, 400)}", f"{prose(10, 20)}\nThis program is\nmuch fun\n{prose(11, 10)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {(r.id, r.line, r.template) for r in license_scan.matches(df).collect()}
+    assert found == {(i, *m) for i, t in enumerate(texts) for m in brute(t)}
+    assert {(i, k) for i, _, k in found} >= {(0, 1), (1, 6), (2, 8), (3, 6)} and {i for i, *_ in found} == {0, 1, 2, 3}
+
+
+def test_repeated_rows_and_a_very_long_line(spark):
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "All rights reserved."), (2, prose(4, 100_000) + "\nAll rights reserved.")]
+    got = license_scan.licenses(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r.doc_id or 0, r.licenses, r.lines) for r in got.collect()) == [(0, "Proprietary", "0"), (1, "MIT", "0"), (1, "MIT", "0"), (2, "Proprietary", "1")]
+
+
 def test_size_bounds_drop_no_match():
     for n in range(1, 60):
         lo, hi = license_scan.bounds(n, 0.9)
