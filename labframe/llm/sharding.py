@@ -2,7 +2,8 @@
 
 With one more shard a key either stays or moves to the new shard, so an appended shard takes its fraction of the
 rows and nothing else moves (law `key`). Slots number a shard's rows without gaps. They come from counts of blocks
-of a shard, so no task holds a whole shard: rows of a block are numbered from the sum of the blocks before it.
+of a shard, so no task holds a whole shard: rows of a block are numbered from the sum of the blocks before it. A block
+is what one partition of the table holds of a shard, so it is never larger than that, however often a key repeats.
 
 Defined results: a null text has size 16 and the checksum of no bytes; a null key counts as one key of its own;
 repeated rows keep their number and get different slots; other columns are not looked at; an empty table gives an
@@ -20,8 +21,6 @@ from labframe.llm.common import broadcast_if_small, guarded, stored
 
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 16
-#: Rows that one block of a shard aims at.
-BLOCK_ROWS = 50_000
 #: Fixed values of jump consistent hashing (Lamping and Veach, 2014): the multiplier of its 64-bit generator and 2^31.
 MULTIPLIER, SPAN = 2862933555777941757, 1 << 31
 
@@ -53,9 +52,8 @@ def sharded(df: DataFrame, shards: int = 40, id_column: str = "doc_id", text: st
     """(id, size, text_crc32, law, shard, slot, grown_shard) for each row of df."""
     guarded(df.columns, [id_column, text], "sharded")
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = stored(df.select(F.col(id_column), (F.octet_length(raw) + ROW_BYTES).cast("bigint").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), shard_of(F.col(id_column), shards).alias("shard"), shard_of(F.col(id_column), shards + 1).alias("grown_shard")), "shards")
-    blocks = max(16, rows.count() // (shards * BLOCK_ROWS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(id_column, F.lit("block")), F.lit(blocks)))
+    columns = [F.col(id_column), (F.octet_length(raw) + ROW_BYTES).cast("bigint").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), shard_of(F.col(id_column), shards).alias("shard"), shard_of(F.col(id_column), shards + 1).alias("grown_shard")]
+    rows = stored(df.select(*columns, F.spark_partition_id().alias("block")), "shards")
     ahead = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy("shard", "block").count().select("shard", "block", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("first"))
     inside = Window.partitionBy("shard", "block").orderBy(id_column, "text_crc32")
