@@ -6,8 +6,8 @@ window of words, attention pools their states, and a logistic unit gives the win
 and cover the whole text; a text scores as its highest window. Labels are of whole texts, so training first
 takes every window for its text's label and then, text by text, the window that scores highest.
 
-Training rows are a bounded sample: the first SAMPLE rows of each class in the order of a hash of the key, texts up
-to SAMPLE_BYTES bytes. Every row is scored, whatever its length; features come from the text alone.
+Training rows are a bounded sample: the first SAMPLE keys of each class in the order of a hash of the key, texts up
+to SAMPLE_BYTES bytes; a key with several labels counts as toxic if one says so, one with several texts has the least. Every row is scored, whatever its length; features come from the text alone.
 
 Defined results: null, empty and blank texts have one empty window, whose score is the network's bias, taken as
 clean; repeated rows score alike; further columns are ignored, also ones named as the results; an empty table gives
@@ -31,7 +31,7 @@ from labframe.llm.common import by_bytes, guarded
 #: Bounds of the training sample: rows of each class, and bytes of a text.
 SAMPLE, SAMPLE_BYTES = {1: 1500, 0: 2500}, 12_000
 #: Words in a window and between the starts of windows.
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 #: Sizes: states each way, word vector, n-gram vector, n-gram buckets, texts a word must be in.
 HIDDEN, WORD, CHAR, BUCKETS, MIN_TEXTS = 8, 12, 12, 1 << 15, 3
 #: Bytes of text scored together, and windows.
@@ -271,10 +271,11 @@ def fold(key: Column) -> Column:
 
 def fitted(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", sample: dict[int, int] | None = None) -> Model:
     """Trains on a bounded sample of the labelled rows outside fold 1 (see SAMPLE), which the driver gathers."""
-    few = labels.where((fold(F.col(id_column)) != 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("key"), F.col(label).cast("int").alias("y"))
+    few = labels.where((fold(F.col(id_column)) != 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("key")).agg(F.max(F.col(label).cast("int")).alias("y"))
     few = [few.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(n) for y, n in (sample or SAMPLE).items()]
     rows = df.select(F.col(id_column).alias("key"), F.col(text).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES).join(F.broadcast(few[0].unionByName(few[1])), "key")
-    rows = sorted({(r.key, r.y, r.t) for r in rows.collect()})  # at most the sample's rows, each of bounded size
+    rows = rows.groupBy("key").agg(F.max("y").alias("y"), F.min("t").alias("t"))  # repeated keys give one row
+    rows = sorted((r.key, r.y, r.t) for r in rows.collect())  # at most the sample's rows, each of bounded size
     return trained([r[2] for r in rows], [r[1] for r in rows])
 
 

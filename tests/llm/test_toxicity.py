@@ -75,6 +75,61 @@ def test_scores_do_not_depend_on_the_batch(model):
     assert whole[0] == whole[1] == whole[2] and (whole[:3] < 0.7).all()
 
 
+def test_scores_are_those_of_a_plain_loop(model):
+    """Word by word, state by state, with plain numbers."""
+    import math
+
+    p, h = {k: v.astype(float) for k, v in model.p.items()}, toxicity.HIDDEN
+
+    def vector(word):
+        raw = f"<{word}>".encode()
+        buckets = []
+        for i in range(len(raw)):
+            key = raw[i]
+            for n in range(2, 6):
+                if i + n <= len(raw):
+                    key = (key * 0x01000193 & 0xFFFFFFFF) ^ raw[i + n - 1]
+                    if n > 2:
+                        buckets.append(((key * 2654435761 & 0xFFFFFFFF) >> 17) % toxicity.BUCKETS)
+        at = model.vocabulary.index(word) + 1 if word in model.vocabulary else 0
+        grams = [sum(p["char"][b][j] for b in buckets) / math.sqrt(max(len(buckets), 1)) for j in range(toxicity.CHAR)]
+        return [*p["word"][at], *grams]
+
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+
+    def layer(xs, way):
+        state, out = [0.0] * h, []
+        for x in xs:
+            wx = [sum(x[i] * p[f"W{way}"][i][j] for i in range(len(x))) + p[f"c{way}"][j] for j in range(3 * h)]
+            uh = [sum(state[i] * p[f"U{way}"][i][j] for i in range(h)) for j in range(3 * h)]
+            z, r = ([logistic(wx[k * h + j] + uh[k * h + j]) for j in range(h)] for k in (0, 1))
+            new = [math.tanh(wx[2 * h + j] + r[j] * uh[2 * h + j]) for j in range(h)]
+            state = [(1 - z[j]) * new[j] + z[j] * state[j] for j in range(h)]
+            out.append(state)
+        return out
+
+    def window(words):
+        xs = [vector(w) for w in words]
+        both = [[*f, *b] for f, b in zip(layer(xs, "f"), layer(xs[::-1], "b")[::-1], strict=True)]
+        e = [math.exp(sum(s * a for s, a in zip(x, p["a"], strict=True))) for x in both]
+        pooled = [sum(e[t] * both[t][j] for t in range(len(both))) / sum(e) for j in range(2 * h)] if both else [0.0] * 2 * h
+        return sum(a * b for a, b in zip(pooled, p["w"], strict=True)) + p["b"][0]
+
+    texts = [t for _, t, _ in labelled(12, 9)] + ["", "scum", "Scum! (vequths)"]
+    for text, got in zip(texts, toxicity.scores(model, pa.array(texts)), strict=True):
+        words = [w.lower().strip(toxicity.EDGES) for w in text.split()]
+        starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+        assert abs(got - logistic(max(window(words[i : i + toxicity.WINDOW]) for i in starts))) < 1e-4
+
+
+def test_repeated_keys_and_labels_give_one_training_row(spark):
+    rows = labelled(120, 6)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    a, b = toxicity.fitted(docs, labels), toxicity.fitted(docs.unionByName(docs), labels.unionByName(labels))
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+
+
 def test_tables(spark, docs, none, twice, model):
     rows = toxicity.scored(docs, model).collect()
     assert len(rows) == len(corpus()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
