@@ -2,14 +2,16 @@
 
 A text's bytes, padded to blocks of 64, are the samples of an 8-bit mono wave file. A rolling gear hash over the
 last 32 bytes cuts the file where its high bits are zero, so equal passages give equal chunks wherever they stand.
-A first pass gives every file's ordered list of chunk digests. Digests that occur more than once get an owner by a
-grouping; a second pass joins the chunks with these, and a file keeps the bytes of its own chunks and of those it
-owns, and refers to the others by digest. So each distinct chunk is stored once and most files need no other. To
-read back, files that refer to others' chunks join them from the stored table, chunks are put in order, the length and
-digest of the file are verified, and the features come from the parsed wave file.
+A first pass gives every file's ordered list of chunk digests. Digests that occur more than once get an owner, the
+first file and place, by a grouping; a join tells each file which of its chunks it owns or has to refer to. A second
+pass cuts the files again and keeps the bytes of a file's own chunks and of those it owns. So each distinct chunk is
+stored once and most files need no other. To read back, files that refer to others' chunks join them from the stored
+table, chunks are put in order, the length and digest of the file are verified, and the features come from the parsed
+wave file.
 
-The digests that repeat are broadcast only if they were counted and are few; otherwise the chunks are joined by a
-shuffle and dealt out by file again.
+Only digests and row numbers are shuffled by digest, never bytes. The second pass meets what the first found by a
+join on the row number: the marks are broadcast if they were counted and are few, otherwise Spark deals out the texts,
+once.
 
 Defined results: null and empty texts give one block of zeros; repeated rows share their chunks and give equal
 values; columns other than key and text are ignored; an empty table gives an empty table. A file that does not match
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labframe.llm.common import BROADCAST_ROWS, by_bytes, guarded, stored
+from labframe.llm.common import BROADCAST_ROWS, by_bytes, discarded, guarded, stored
 
 #: Bytes to pad to; chunk sizes: least, most, and the high bits that are zero at a cut (about 1,024 bytes apart).
 BLOCK, LEAST, MOST, CUT_BITS = 64, 256, 8192, 10
@@ -87,78 +89,60 @@ def chunks(file: bytes) -> list[tuple[bytes, bytes]]:
     return [(hashlib.blake2b(c, digest_size=16).digest(), c) for a, b in zip([0, *ends[:-1]], ends, strict=True) for c in (file[a:b],)]
 
 
-LISTED = "row bigint, id {id}, n_bytes bigint, file_sha256 string, at int, digest binary, bytes binary"
+#: What a file has of a chunk: a reference, bytes that only it needs, or bytes that others refer to.
+ELSEWHERE, UNIQUE, SHARED = 0, 1, 2
+FILES = "row bigint, id {id}, n_bytes bigint, file_sha256 string, digests array<binary>, lengths array<int>, kept array<tinyint>, bytes array<binary>"
 
 
-def cut_up(df: DataFrame, id_column: str, text: str, with_bytes: bool) -> DataFrame:
-    """A row a chunk (see LISTED), the chunks of a file one after the other."""
-    kind = df.schema[id_column].dataType.simpleString()
+def numbered(df: DataFrame, **columns: str) -> DataFrame:
+    """The named columns and `row`, a row's number in a table read from files."""
+    return df.select(F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(to) for to, c in columns.items()))
+
+
+def listed(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(row, at, digest) of the chunks of each file."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "id", "n_bytes", "file_sha256", "at", "digest", "bytes"]
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            of, rows = [], []
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                body = wave(payload(t))
-                sha, n = hashlib.sha256(body).hexdigest(), len((t or "").encode())
-                for at, (digest, part) in enumerate(chunks(body)):
-                    of.append(i)
-                    rows.append((n, sha, at, digest, part if with_bytes else None))
-            n, sha, at, digest, part = zip(*rows, strict=True)
-            of = pa.array(of)
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(of), batch.column("id").take(of), pa.array(n, pa.int64()), pa.array(sha), pa.array(at, pa.int32()), pa.array(digest, pa.binary()), pa.array(part, pa.binary())], names)
-
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(cut, LISTED.format(id=kind))
-
-
-def regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a file, which follow each other, to one row: its chunks in order, without the bytes of chunks that another file owns."""
-    names = ["row", "id", "n_bytes", "file_sha256", "digests", "lengths", "kept", "bytes"]
-    types = [pa.int64(), None, pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.binary())]
-    held: list[dict] = []
-
-    def row() -> list:
-        first, kept, own = held[0], [], set()
-        for x in held:
-            mine = x["owner"] == x["row"] and x["digest"] not in own
-            own |= {x["digest"]} if mine else set()
-            kept.append(UNIQUE if x["owner"] is None else SHARED if mine else ELSEWHERE)
-        return [first["row"], first["id"], first["n_bytes"], first["file_sha256"], [x["digest"] for x in held], [len(x["bytes"]) for x in held], kept, [x["bytes"] if k else None for x, k in zip(held, kept, strict=True)]]
-
-    for batch in batches:
-        types[1] = batch.schema.field("id").type
-        done = []
-        for x in batch.to_pylist():
-            if held and held[0]["row"] != x["row"]:
-                done.append(row())
-                held = []
-            held.append(x)
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row(), types, strict=True)], names)
+            found = [[d for d, _ in chunks(wave(payload(t)))] for t in batch.column("text").to_pylist()]
+            of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            at = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(of)), pa.array(at), pa.array([d for x in found for d in x], pa.binary())], ["row", "at", "digest"])
 
-
-#: What a file has of a chunk: a reference, bytes that only it needs, or bytes that others refer to.
-ELSEWHERE, UNIQUE, SHARED = 0, 1, 2
-FILES = "row bigint, id {id}, n_bytes bigint, file_sha256 string, digests array<binary>, lengths array<int>, kept array<tinyint>, bytes array<binary>"
+    return numbered(df, id=id_column, text=text).mapInArrow(cut, "row bigint, at int, digest binary")
 
 
-def store(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def store(df: DataFrame, id_column: str = "doc_id", text: str = "text", few: int = BROADCAST_ROWS) -> DataFrame:
     """The stored files (see FILES): ordered chunk lists, each distinct chunk's bytes in one file.
 
     df is read twice and its rows are known by their place, so it has to be a table read from files (or stored).
     """
     guarded(df.columns, [id_column, text], "media")
     kind = df.schema[id_column].dataType.simpleString()
-    owners = stored(cut_up(df, id_column, text, False).groupBy("digest").agg(F.min("row").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner"), "owners")
-    parts = cut_up(df, id_column, text, True)
-    if owners.count() <= BROADCAST_ROWS:  # keeps the order of a file's chunks
-        joined = parts.join(F.broadcast(owners), "digest", "left")
-    else:
-        joined = parts.join(owners, "digest", "left").repartition("row").sortWithinPartitions("row", "at")
-    return stored(joined.select("row", "id", "n_bytes", "file_sha256", "at", "digest", "bytes", "owner").mapInArrow(regrouped, FILES.format(id=kind)), "media")
+    every = stored(listed(df, id_column, text), "chunks")
+    owners = every.groupBy("digest").agg(F.min(F.struct("row", "at")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
+    owners = stored(owners, "owners")
+    mine = (F.col("owner.row") == F.col("row")) & (F.col("owner.at") == F.col("at"))
+    marked = every.join(owners, "digest").select("row", "at", F.when(mine, SHARED).otherwise(ELSEWHERE).cast("tinyint").alias("kept"))
+    marks = stored(marked.groupBy("row").agg(F.collect_list(F.struct("at", "kept")).alias("marks")), "marks")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "id", "n_bytes", "file_sha256", "digests", "lengths", "kept", "bytes"]
+        types = [pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.binary())]
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            out = []
+            for t, known in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+                body = wave(payload(t))
+                parts, kept = chunks(body), {m["at"]: m["kept"] for m in known or []}
+                kept = [kept.get(at, UNIQUE) for at in range(len(parts))]
+                out.append((len((t or "").encode()), hashlib.sha256(body).hexdigest(), [d for d, _ in parts], [len(c) for _, c in parts], kept, [c if k else None for (_, c), k in zip(parts, kept, strict=True)]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names)
+
+    n = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
+    rows = numbered(df, id=id_column, text=text).join(F.broadcast(marks) if n <= few else marks, "row", "left")
+    files = stored(rows.select("row", "id", "text", "marks").mapInArrow(write, FILES.format(id=kind)), "media")
+    discarded(every, owners, marks)
+    return files
 
 
 def rebuilt(files: DataFrame) -> DataFrame:

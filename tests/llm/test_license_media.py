@@ -96,12 +96,26 @@ def test_media_is_rebuilt_and_verified(docs, none, twice):
     assert media.features(media.store(twice)).count() == 2 * len(texts) + 1
 
 
-def test_the_shuffled_way_gives_the_same(docs, monkeypatch):
-    monkeypatch.setattr(media, "BROADCAST_ROWS", 0)
-    few = docs.where("doc_id <> 7")
-    a = sorted(map(str, media.features(media.store(few)).collect()))
-    monkeypatch.undo()
-    assert a == sorted(map(str, media.features(media.store(few)).collect()))
+def test_the_shuffled_way_gives_the_same(docs):
+    some = docs.where("doc_id <> 7")
+    a = sorted(map(str, media.features(media.store(some, few=0)).collect()))
+    assert a == sorted(map(str, media.features(media.store(some)).collect()))
+
+
+def test_cuts_are_those_of_a_plain_rolling_hash():
+    def plain(data):
+        h, start, ends = 0, 0, []
+        for i, byte in enumerate(data):
+            h = ((h << 1) + int(media._GEAR[byte])) % 2**32
+            n = i + 1 - start
+            if n == media.MOST and i + 1 < len(data) or n >= media.LEAST and h >> (32 - media.CUT_BITS) == 0:
+                ends.append(i + 1)
+                start = i + 1
+        return ends if ends and ends[-1] == len(data) else [*ends, len(data)]
+
+    r = np.random.default_rng(6)
+    for data in (r.integers(97, 122, 40_000, np.uint8).tobytes(), b"ab" * 9000, b"x" * 70, prose(8, 3000).encode(), bytes(media.MOST)):
+        assert media.cuts(data) == plain(data)
 
 
 def test_cuts_follow_the_content():
