@@ -22,7 +22,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=5)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +73,15 @@ n AS (SELECT DISTINCT len(g) AS n FROM win),
 p AS (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS p FROM d, n),
 h AS (SELECT DISTINCT doc_id, item_id, p, n FROM (SELECT doc_id, p, n, list_slice(w, p, p + n - 1) AS g FROM p) JOIN win USING (g)),
 c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY 1),
-s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
-SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1),
+tw AS (SELECT item_id, w, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM (SELECT DISTINCT item_id, w FROM i) WHERE len(w) > 0),
+post AS (SELECT doc_id, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM d), cnt AS (SELECT word, count(*) AS n FROM post WHERE word IN (SELECT word FROM tw) GROUP BY 1),
+inside AS (SELECT item_id, w, pos, word, n, unnest(range(greatest(0, pos - 9), greatest(0, least(pos, len(w) - 10)) + 1)) AS start FROM tw JOIN cnt USING (word)),
+one AS (SELECT * FROM inside QUALIFY row_number() OVER (PARTITION BY item_id, w, start ORDER BY n, word, pos) = 1),
+two AS (SELECT inside.*, one.pos AS a_at, one.word AS a_word FROM inside JOIN one USING (item_id, w, start) WHERE inside.word <> one.word QUALIFY row_number() OVER (PARTITION BY item_id, w, start ORDER BY inside.n, inside.word, inside.pos) = 1),
+pair AS (SELECT DISTINCT item_id, w, a_at, a_word, pos AS b_at, word AS b_word FROM two),
+q AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT x.doc_id, item_id, w FROM pair JOIN post x ON x.word = a_word JOIN post y ON y.word = b_word AND y.doc_id = x.doc_id AND abs((x.pos - a_at) - (y.pos - b_at)) <= 5) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN q USING (doc_id)"""
 
 NEAR_DUP_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN [[w[1]]] ELSE list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]]) END) AS g FROM d),

@@ -62,6 +62,22 @@ def test_proximity_allows_a_slop(spark):
     assert rows[1] == (True, 1) and rows[2][0] is False and rows[2][1] == 1 and rows[4] == (False, 0)
 
 
+def test_proximity_looks_past_terms_that_no_document_has(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota missing")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "so alpha beta gamma delta epsilon zeta eta theta iota too"), (2, "alpha"), (3, None)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_hit, r.n_near) for r in decontamination.contamination(docs, items, slop=5).collect()) == [(1, 0, 1), (2, 0, 0), (3, 0, 0)]
+
+
+def test_an_index_of_all_tokens_serves_other_items(spark, tmp_path):
+    spark.createDataFrame(planted(), "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    index = decontamination.postings(docs)
+    for items in (ITEMS[:4], ITEMS[4:]):
+        frame = spark.createDataFrame(items, "item_id bigint, text string")
+        got = decontamination.contamination(docs, frame, index=index).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == brute(planted(), items)
+
+
 def test_no_python_runs_on_the_executors(spark):
     docs = spark.createDataFrame(planted(), "doc_id bigint, text string")
     plan = decontamination.contamination(docs, spark.createDataFrame(ITEMS, "item_id bigint, text string"))._jdf.queryExecution().executedPlan().toString()
