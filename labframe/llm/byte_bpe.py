@@ -11,7 +11,8 @@ which for the 15 to 26 million distinct words of such batches in 0.5 GB is beyon
 a long text is cut like any other. Words over LONG_WORD bytes (runs without any break) are merged with a heap.
 
 Defined results: null and empty texts have no tokens and decode to no bytes; repeated rows are encoded each; extra
-columns are carried along as they are, under their own names; an empty table gives an empty table.
+columns are carried along as they are, under their own names, but for one named as the ids, which is replaced; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -173,10 +174,9 @@ def all_merged(words: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarray,
 
 
 def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", to: str = "ids", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """df with a column of token ids for each text; each match of the pattern is encoded by itself."""
+    """df with a column of token ids for each text; each match of the pattern is encoded by itself. A column of that name is replaced."""
     guarded(df.columns, [text], "encoded")
-    if to in df.columns:
-        raise ValueError(f"encoded: the table already has a column {to}")
+    df = df.drop(to)
     schema = T.StructType([*df.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))])
     position = df.columns.index(text)
 

@@ -2,7 +2,8 @@
 
 The pre-tokenizer gives a single space to the token after it. A space between two characters that are not white
 space therefore always begins a token, and a text may be cut before it: the tokens of the parts are those of the
-whole. Parts repeat very often, so callers do their work once for each distinct part of a batch.
+whole. A single line break between two such characters is a token of its own, and a text may be cut before it, too.
+Parts repeat very often, so callers do their work once for each distinct part of a batch.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 _BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _UNEVEN = f"( [{_BLANK}]|[{_BLANK}] |^ | $)"
 _PY_BLANK = re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", _BLANK)
-_SAFE = re.compile(f"(?<=[^{_PY_BLANK}])(?= [^{_PY_BLANK}])")
+_SAFE = re.compile(f"(?<=[^{_PY_BLANK}])(?=[ \n][^{_PY_BLANK}])")
 
 
 def cut(text: str) -> list[str]:
@@ -27,12 +28,13 @@ def cut(text: str) -> list[str]:
 
 
 def distinct_parts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """(rows, part of each place, offsets by row, distinct parts), at most twice: for texts with plain spaces, and others.
+    """(rows, part of each place, offsets by row, distinct parts), at most twice: for texts with plain spaces, and others, or of more lines than words.
 
     Null texts have no parts, as empty ones.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    uneven = pc.or_(pc.match_substring_regex(texts, _UNEVEN), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+    lines = pc.greater(pc.count_substring(texts, "\n"), pc.count_substring(texts, " "))
+    uneven = pc.or_(pc.or_(pc.match_substring_regex(texts, _UNEVEN), pc.equal(texts, "")), lines).to_numpy(zero_copy_only=False)
     even = np.flatnonzero(~uneven)
     if len(even):
         lists = pc.split_pattern(texts.take(pa.array(even)), " ")

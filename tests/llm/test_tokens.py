@@ -2,12 +2,13 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from labframe.llm import byte_bpe, token_counts
+from labframe.llm import byte_bpe, common, pieces, token_counts
 
 from .conftest import corpus
 
@@ -48,8 +49,24 @@ def test_encoding_is_the_librarys_and_decodes(docs, ranks):
 def test_encoding_of_no_rows_and_clashing_names(none, twice, ranks, docs):
     assert byte_bpe.encoded(none, ranks, public_tokenizers.PATTERN).count() == 0
     assert byte_bpe.encoded(twice, ranks, public_tokenizers.PATTERN).count() == 2 * len(corpus()) + 1
-    with pytest.raises(ValueError):
-        byte_bpe.encoded(docs.withColumn("ids", F.lit(1)), ranks, public_tokenizers.PATTERN)
+    again = byte_bpe.encoded(docs.withColumn("ids", F.lit(1)), ranks, public_tokenizers.PATTERN)
+    assert again.columns == [*docs.columns, "ids"] and again.schema["ids"].dataType.simpleString() == "array<int>"
+
+
+def test_texts_of_lines_without_spaces_are_cut():
+    text = "\n".join(f"w{i}" for i in range(500)) + "\n\n end'll\t's\nlast"
+    assert "".join(pieces.cut(text)) == text and max(map(len, pieces.cut(text))) < 20
+    tokenizer = Tokenizer.from_file(PATH)
+    whole = tokenizer.encode(text, add_special_tokens=False).ids
+    assert [i for p in pieces.cut(text) for i in tokenizer.encode(p, add_special_tokens=False).ids] == whole
+    got = [(rows.tolist(), len(parts)) for rows, _, _, parts in pieces.distinct_parts(pa.array([text, "some plain words"]))]
+    assert got[0] == ([1], 4) and got[1][0] == [0] and got[1][1] > 400
+
+
+def test_batches_hold_equal_bytes():
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x" * n for n in sizes], pa.string())], ["t"]) for sizes in ([3, 4, 50], [], [1, 1, 1, 1], [9])]
+    got = [b.column(0).to_pylist() for b in common.by_bytes(batches, "t", 10)]
+    assert [[len(x) for x in b] for b in got] == [[3, 4], [50], [1, 1, 1, 1], [9]] and common.by_bytes([], "t", 10) is not None
 
 
 def test_the_higher_order_fold_merges_as_the_batch_fold(spark, ranks):
