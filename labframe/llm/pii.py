@@ -16,7 +16,9 @@ result is not carried over; an empty table gives an empty table (and nothing to
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ _LOOSE = {
     "phone": re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 }
 #: The gazetteer and the context words.
-DOMAINS = frozenset("com org net edu gov io de fr es uk it nl eu info biz co us ca ch at be".split())
+DOMAINS = frozenset("com org net edu gov mil int info biz name pro io ai app dev co me tv us ca mx br ar cl pe ve uk ie fr de at ch nl be lu es pt it gr pl cz sk hu ro bg se no dk fi is ee lv lt ru ua tr il ae sa za eg ng ke in pk cn hk tw jp kr sg my th vn ph id au nz eu cat example".split())
 CUES = {
     "email": frozenset("mail email contact write address reach".split()),
     "ip": frozenset("ip host server address from login node".split()),
@@ -86,11 +88,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def proposed(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of the looser patterns that no base span overlaps."""
-    found = []
+    """Spans of the looser patterns that no base span (sorted by start) overlaps."""
+    found, starts, reach = [], [a for _, a, _ in base], [*accumulate((b for *_, b in base), max)]
+    free = lambda a, b: not (i := bisect_left(starts, b)) or reach[i - 1] <= a
     for kind, pattern in _LOOSE.items():
         if ("[" in text or "(" in text or "{" in text) if kind in ("email", "ip") else _DIGIT.search(text):
-            found += [(kind, *m.span()) for m in pattern.finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in base)]
+            found += [(kind, *m.span()) for m in pattern.finditer(text) if free(*m.span())]
     return found
 
 
@@ -119,8 +122,9 @@ LABELERS = 5
 
 def estimated(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
     """Posterior of each (kind, votes and features). Two classes, labelers independent given the class, a pseudo-count
-    of 8 votes at a reliability of 0.8. Base spans are known to be personal data; the share of it among proposed spans
-    is estimated apart from them, since strict matches say nothing about what looser patterns bring."""
+    of 8 votes at a reliability of 0.8. The fixed pattern is a labeler like others, so what it finds is weighed by the
+    others' votes too; the shares of personal data among its spans and among proposed ones are estimated apart, since
+    strict matches say nothing about what looser patterns bring."""
     out = {}
     for kind in KINDS:
         rows = sorted((k, n) for k, n in counts.items() if k[0] == kind)
@@ -128,11 +132,12 @@ def estimated(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50)
             continue
         v, n = np.array([k[1][:LABELERS] for k, _ in rows]), np.array([c for _, c in rows], float)
         base = v[:, 0] > 0
-        right, wrong, prior = np.full(LABELERS, 0.8), np.full(LABELERS, 0.2), 0.2
+        right, wrong, prior = np.full(LABELERS, 0.8), np.full(LABELERS, 0.2), np.where(base, 0.9, 0.2)
         for _ in range(rounds):
             like = [np.prod(np.where(v > 0, r, np.where(v < 0, 1 - r, 1.0)), 1) * p for r, p in ((right, prior), (wrong, 1 - prior))]
-            q = np.where(base, 1.0, like[0] / np.maximum(like[0] + like[1], 1e-300))
-            prior = float(np.clip((q @ (n * ~base) + 2) / ((n * ~base).sum() + 10), 0.01, 0.5))
+            q = like[0] / np.maximum(like[0] + like[1], 1e-300)
+            for some, first, low, high in ((base, 0.9, 0.5, 0.99), (~base, 0.2, 0.01, 0.5)):
+                prior[some] = np.clip((q @ (n * some) + 10 * first) / ((n * some).sum() + 10), low, high)
             for rate, weight, first in ((right, q * n, 0.8), (wrong, (1 - q) * n, 0.2)):
                 yes, no = weight @ (v > 0), weight @ (v < 0)
                 rate[:] = (yes + 8 * first) / (yes + no + 8)
