@@ -9,8 +9,7 @@ takes every window for its text's label and then, text by text, the window that
 Training rows are a bounded sample: the first SAMPLE keys of each class in the order of a hash of the key, texts up
 to SAMPLE_BYTES bytes; a key with several labels counts as toxic if one says so, one with several texts has the least. Every row is scored, whatever its length; features come from the text alone.
 
-Defined results: null, empty and blank texts have one empty window, whose score is the network's bias, taken as
-clean; repeated rows score alike; further columns are ignored, also ones named as the results; an empty table gives
+Defined results: null, empty and blank texts have one window of one empty word, which no label has taught to be toxic; repeated rows score alike; further columns are ignored, also ones named as the results; an empty table gives
 an empty table. Without labels of both classes there is nothing to learn, and an error says so.
 """
 
@@ -106,9 +105,9 @@ def windows(index: np.ndarray, offsets: np.ndarray, none: int) -> tuple[np.ndarr
     n = np.diff(offsets)
     count = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
     row = np.repeat(np.arange(len(n)), count)
-    start = offsets[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
-    at = start[:, None] + np.arange(WINDOW)
-    return np.where(at < offsets[row + 1][:, None], np.append(index, none)[np.minimum(at, len(index))], none), row
+    start = (offsets[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))).astype(np.int32)
+    at, end = start[:, None] + np.arange(WINDOW, dtype=np.int32), offsets[row + 1].astype(np.int32)
+    return np.where(at < end[:, None], np.append(index, none).astype(np.int32)[np.minimum(at, len(index))], np.int32(none)), row
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
