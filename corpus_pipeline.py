@@ -3,6 +3,12 @@
 Each stage takes what the one before it kept, written as Parquet and read again, and its decisions take effect:
 toxic documents go, one document of each near-duplicate group stays, documents that hold benchmark passages go,
 personal data is replaced, and the texts are encoded. All stages but the last return the columns of documents.
+
+Defined results of every stage: rows are known by a number of their own, so null and repeated keys lose or keep no
+other row. A null or empty text scores as clean, has no near copies, no benchmark passages and no personal data, and
+encodes to no tokens. Of equal rows, with or without a key, one stays. Further columns are carried along whatever
+their names; the last stage replaces columns named `ids` or `n_tokens`. An empty table gives an empty table (the
+toxicity stage needs labels of both classes for its documents).
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labframe.llm import byte_bpe, decontamination, near_dup, pii, toxicity
-from labframe.llm.common import broadcast_if_small, documents, stored
+from labframe.llm.common import broadcast_if_small, discarded, documents, stored
 
 
 #: The column that holds a row's number while a stage runs.
@@ -50,8 +56,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts and counts their characters anew."""
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Replaces personal data in the texts and counts their characters anew, if the table has them."""
+    out = pii.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    docs = before = documents(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stored(stage(spark, before, sf_dir), name)
+        if i:
+            discarded(before)
+        before = docs
     return docs
