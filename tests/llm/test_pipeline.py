@@ -45,3 +45,28 @@ def test_rows_are_dropped_by_row_and_not_by_key(spark, sf_dir):
     assert rows[4] not in kept and {rows[7], rows[8], rows[9]} <= set(kept) and len(kept) == 6
     left = corpus_pipeline.drop_contaminated(spark, df, sf_dir)
     assert left.columns == df.columns and sorted(map(tuple, left.collect()), key=str) == sorted([r for r in rows if passage not in r[1]], key=str)
+
+
+def test_stages_on_nulls_repeats_clashing_names_and_no_rows(spark, sf_dir, tmp_path):
+    passage = max((r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()), key=len)
+    rows = [(None, None, None), (None, None, None), (1, "", 0), (1, "", 0), (2, prose(300, 60), 1), (2, prose(300, 60), 1), (3, f"{prose(301, 20)} {passage}", None), (None, "write to a.b@mail.example.com", 3), (4, prose(302, 20_000), 9)]
+    odd = ["ids", "n_tokens", "score", "row", "found", "spans", "component", "pipeline", "key", "label", "c0"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars int")
+    for i, c in enumerate(odd):
+        docs = docs.withColumn(c, F.lit(i))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs.write.parquet(str(tmp_path / name))
+        before = spark.read.parquet(str(tmp_path / name))
+        assert stage(spark, before.where("false"), sf_dir).count() == 0
+        docs = stage(spark, before, sf_dir)
+        assert set(docs.columns) == set(before.columns)
+        docs = docs.persist()
+        texts = [r.text for r in docs.collect()]
+        if name == "near_dup":
+            assert len(texts) == 8 and texts.count(rows[4][1]) == 1
+        if name == "decontamination":
+            assert len(texts) == 7 and not any(passage in (t or "") for t in texts)
+        if name == "pii":
+            assert "write to <EMAIL>" in texts and {r.n_chars for r in docs.where("text IS NULL").collect()} == {None}
+    got = {r.text: (r.ids, r.n_tokens) for r in docs.collect()}
+    assert got[None] == ([], 0) == got[""] and got[rows[8][1]][1] > 20_000
