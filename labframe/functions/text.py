@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white space of the name rules.
 SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_SPACES = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{SPACE}]", c))
 ISO = r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])([T ]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{1,9})?)?(Z|[+-]([01][0-9]|2[0-3]):?[0-5][0-9])?)?\z"
 
 
@@ -24,10 +26,15 @@ _FROM, _TO = _plain_letters()
 
 
 def name_key(c: Column) -> Column:
-    """Accent-insensitive key of a name. Symbols go after white space has been collapsed, so "a & b" keeps two spaces."""
-    c = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), _FROM, _TO), r"[\u0300-\u036f]", "")
-    c = F.regexp_replace(F.lower(c), f"^[{SPACE}]+|[{SPACE}]+\\z", "")
-    return F.regexp_replace(F.regexp_replace(c, f"[{SPACE}]+", " "), f"[^A-Za-z0-9_{SPACE}-]", "")
+    """Accent-insensitive key of a name. Symbols go after white space has been collapsed, so "a & b" keeps two spaces.
+
+    Texts of one byte a character have no accents to look for.
+    """
+    c = F.coalesce(c, F.lit(""))
+    bare = F.regexp_replace(F.translate(c, _FROM, _TO), r"[\u0300-\u036f]+", "")
+    c = F.btrim(F.lower(F.when(F.octet_length(c) == F.length(c), c).otherwise(bare)), F.lit(_SPACES))
+    c = F.regexp_replace(c, f"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " ")
+    return F.regexp_replace(c, "[^A-Za-z0-9_ -]+", "")
 
 
 def url_asset_id(c: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labframe.functions.text import ISO
+from labframe.sources.io import appended
 from labframe.sources.schema import TableSpec
 
 FAULT = "struct<field:string,message:string>"
@@ -135,3 +136,10 @@ def storage_rules(spec: TableSpec) -> list[Rule]:
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, rejected rows with their errors)."""
     return df.where(F.size("errors") == 0).drop("errors"), df.where(F.size("errors") > 0)
+
+
+def routed(df: DataFrame, folder: str, batch: str) -> None:
+    """Appends a batch's accepted rows to `folder`/accepted and the rejected ones, with their errors, to `folder`/rejected."""
+    good, bad = split(df)
+    appended(good, f"{folder}/accepted", batch)
+    appended(bad, f"{folder}/rejected", batch)

@@ -131,6 +131,13 @@ def reject_split(t: Tables) -> DataFrame:
     return rows.groupBy("accepted").agg(F.count("*").alias("n"), F.sum("e").alias("n_errors"))
 
 
+@query(f"SELECT id, array_to_string(e, ',') AS fields FROM ({_BROKEN}) WHERE len(e) > 0")
+def reject_quarantine(t: Tables) -> DataFrame:
+    folder = io.scratch(t.spark, "quarantine")
+    validate.routed(validate.validated(_parts(t), _part_rules()), folder, "1")
+    return t.spark.read.parquet(f"{folder}/rejected").select("id", F.array_join(F.transform("errors", lambda e: e["field"]), ",").alias("fields"))
+
+
 @query("""WITH lines AS (SELECT *, row_number() OVER (PARTITION BY serviceOrderId ORDER BY lineNo, studyId, supplier, quantity, extended) - 1 AS i FROM items)
 SELECT o.id, count(f) AS n_errors, coalesce(min(f), '') AS first_field FROM service_orders o LEFT JOIN (
  SELECT serviceOrderId, 'items.' || i || '.' || unnest(list_filter([CASE WHEN quantity < 2 THEN 'quantity' END, CASE WHEN priceType NOT IN ('normal', 'dif', 'special') THEN 'priceType' END, CASE WHEN discountPercent > 9.5e0 THEN 'discountPercent' END], lambda x: x IS NOT NULL)) AS f FROM lines
