@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labframe.llm.common import ascii_lower, broadcast_if_small, by_bytes, components, discarded, guarded, stored
+from labframe.llm.common import broadcast_if_small, by_bytes, components, discarded, guarded, stored
 from labframe.llm.pieces import expanded
 
 #: Words in a shingle and the least similarity, in hundredths, unless the caller says otherwise.
@@ -55,6 +55,9 @@ BLOCK = 256
 BATCH_BYTES = 4_000_000
 #: Estimates below this share of equal minhashes are dropped before verification: at 0.8 over five deviations away.
 LEAST_ESTIMATE = 0.45
+#: Fixed value: an odd base of the words' hashes.
+BASE = 0xD1342543DE82EF95
+_BYTES = np.random.default_rng(20240311).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 64), np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -67,42 +70,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word, from two CRC-like passes of pandas' fixed string hash."""
-    return pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+    """A 64-bit hash of each string: a polynomial over its bytes, taken from sums over all strings at once."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    raw = words.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * np.cumprod(np.full(len(data), BASE, np.uint64)))])
+        down = np.cumprod(np.full(len(data) + 1, pow(BASE, -1, 1 << 64), np.uint64))
+        return mixed((sums[ends[1:]] - sums[ends[:-1]]) * down[ends[:-1]] + np.diff(ends).astype(np.uint64))
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words of all texts in turn, offsets by text). Texts are lower-cased already."""
-    lists = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), r"[\x20\x09-\x0D]+")
+    """(hashes of the words of all texts in turn, A-Z lower-cased, offsets by text)."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     offsets, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
     offsets = offsets - offsets[0]
     blank = pc.index(words.dictionary, pa.scalar("", words.dictionary.type)).as_py()
     at = words.indices.to_numpy()
     keep = at != blank
     kept = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    return word_hashes(words.dictionary)[at[keep]] if len(at) else np.zeros(0, np.uint64), kept
+    # the distinct words are lower-cased: this kernel misreads arrays that begin within a buffer, as slices of batches do
+    return word_hashes(pc.ascii_lower(words.dictionary))[at[keep]] if len(at) else np.zeros(0, np.uint64), kept
 
 
 def sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of all texts in turn, offsets by text). Texts are lower-cased already."""
+    """(sorted distinct shingle hashes of all texts in turn, A-Z lower-cased, offsets by text)."""
     h, kept = words_of(texts)
     n = np.diff(kept)
+    # a shingle's hash: Horner's rule over its words' hashes
+    count = np.where(n == 0, 0, np.maximum(n - shingle + 1, 1))
+    ends = np.cumsum(count)
+    row = np.repeat(np.arange(len(n)), count)
+    first = kept[:-1][row] + np.arange(len(row)) - (ends - count)[row]
+    width = None if (n >= shingle).all() else np.minimum(n, shingle)[row]
+    value = np.zeros(len(row), np.uint64)
+    padded = np.concatenate([h, np.zeros(shingle, np.uint64)])
     with np.errstate(over="ignore"):
-        # a shingle's hash: Horner's rule over its words' hashes
-        width = np.minimum(n, shingle)
-        count = np.where(n == 0, 0, np.maximum(n - shingle + 1, 1))
-        row = np.repeat(np.arange(len(n)), count)
-        first = kept[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        value = np.zeros(len(row), np.uint64)
-        padded = np.concatenate([h, np.zeros(shingle, np.uint64)])
         for k in range(shingle):
-            value = np.where(k < width[row], mixed(value * np.uint64(0x9E3779B97F4A7C15) + padded[first + k] + np.uint64(1)), value)
-    order = np.lexsort((value, row))
-    value, row = value[order], row[order]
+            longer = mixed(value * np.uint64(0x9E3779B97F4A7C15) + padded[first + k] + np.uint64(1))
+            value = longer if width is None else np.where(k < width, longer, value)
+    if len(row) > 50 * len(n):
+        for lo, hi in zip(ends - count, ends, strict=True):
+            value[lo:hi].sort()
+    else:  # the same for many small sets at once
+        value = value[np.lexsort((value, row))]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    value, row = value[new], row[new]
-    return value, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))])
+    return value[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(n)))])
 
 
 def minhashes(values: np.ndarray, offsets: np.ndarray, hashes: int) -> np.ndarray:
@@ -166,7 +183,7 @@ def signed(df: DataFrame, id_column: str, text: str, shingle: int, scheme: Schem
             sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(scheme.hashes), len(n), [None, pa.py_buffer(low)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("id", "doc")), pa.array(place), pa.array(n), *map(pa.array, digests(values, offsets)), lists(keys.ravel(), np.arange(len(n) + 1) * keys.shape[1]), sketch], ["id", "doc", "place", "n", "class_a", "class_b", "bands", "sketch"])
 
-    rows = df.select(F.col(id_column).alias("id"), document(id_column, text).alias("doc"), ascii_lower(F.col(text)).alias("text"))
+    rows = df.select(F.col(id_column).alias("id"), document(id_column, text).alias("doc"), F.col(text).alias("text"))
     return rows.mapInArrow(sign, f"id {kind}, doc bigint, place bigint, n bigint, class_a bigint, class_b bigint, bands array<bigint>, sketch binary")
 
 
@@ -244,7 +261,7 @@ def set_table(df: DataFrame, nodes: DataFrame, id_column: str, text: str, shingl
             right = [pc.equal(batch.column(c).take(row), pa.array(d)) for c, d in zip(("class_a", "class_b"), digests(values, offsets), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node").take(row), lists(values, offsets)], ["node", "members"]).filter(pc.and_(*right))
 
-    rows = df.select(document(id_column, text).alias("doc"), ascii_lower(F.col(text)).alias("text")).join(broadcast_if_small(nodes), "doc").select("node", "place", "class_a", "class_b", "text")
+    rows = df.select(document(id_column, text).alias("doc"), F.col(text).alias("text")).join(broadcast_if_small(nodes), "doc").select("node", "place", "class_a", "class_b", "text")
     return stored(rows.mapInArrow(collect, "node bigint, members array<bigint>").dropDuplicates(["node"]), "sets")
 
 
@@ -291,10 +308,9 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
     best = hold(pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b"), "best")
     links = hold(verified(best, full, similarity), "links")
     found = components(links)
-    rest = labelled(pairs.select("a", "b"), found).where("ca <> cb").select("a", "b")
-    links = hold(links.unionByName(verified(rest.join(best, ["a", "b"], "left_anti"), full, similarity)), "links")
     used.append(found)
-    found = components(links)
+    rest = labelled(pairs.select("a", "b"), found).where("ca <> cb").select("a", "b")
+    found = joined(found, hold(verified(rest.join(best, ["a", "b"], "left_anti"), full, similarity), "links"))
     used.append(found)
 
     # components that share a bucket, but whose members were only compared with its centre, if at all
@@ -308,8 +324,7 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
         used.append(set_table(df, hold(nodes.select(*place).join(missing, "node", "left_semi"), "missing"), id_column, text, shingle, units))
         sets_of = sets_of.unionByName(used[-1])
     member = nodes.join(inside, "node", "left_semi").select("node", "bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets_of, "node")
-    links = hold(links.unionByName(residual(hold(member, "members"), similarity, scheme, hold)), "links")
-    found = components(links)
+    found = joined(found, hold(residual(hold(member, "members"), similarity, scheme, hold), "links"))
     discarded(*used)
     return nodes, found
 
@@ -329,6 +344,17 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `found` after more links (a, b): only the components are linked, so the work grows with what is new."""
+    new = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    known = found.unionByName(new.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+    larger = components(labelled(links, found).select("ca", "cb"), "ca", "cb")
+    out = known.join(larger.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = stored(out, "components")
+    discarded(larger)
+    return out
+
+
 def labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """pairs (a, b) with their components (ca, cb); a node without links is a component of its own."""
     out = pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")

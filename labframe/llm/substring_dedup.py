@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labframe.llm.common import ascii_lower, broadcast_if_small, by_bytes, discarded, guarded, stored
+from labframe.llm.common import broadcast_if_small, by_bytes, discarded, guarded, stored
 from labframe.llm.near_dup import BATCH_BYTES, SHINGLE, SIMILARITY, Scheme, clustered, document, mixed, node_of, signed, words_of
 
 #: Fewest words of a paragraph or passage that is compared.
@@ -64,7 +64,7 @@ def paragraphs(min_words: int):
         row, line = within(n)
         flat = lines.flatten()
         bare = pc.ascii_trim_whitespace(flat)
-        words = np.where(pc.binary_length(bare).to_numpy() > 0, pc.count_substring_regex(bare, r"[\x20\x09-\x0D]+").to_numpy() + 1, 0)
+        words = np.where(pc.binary_length(bare).to_numpy() > 0, pc.list_value_length(pc.ascii_split_whitespace(bare)).to_numpy(), 0)
         # a run goes on where a short line follows a short line of its text
         short = (words > 0) & (words < min_words)
         first = np.ones(len(row), bool)
@@ -108,6 +108,11 @@ def within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(counts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def of_documents(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """texts that have a row in `found`, with its arrays; only the documents' digests are broadcast, if they are few."""
+    return texts.join(broadcast_if_small(found.select("doc")), "doc", "left_semi").join(found, "doc")
+
+
 def stretches(texts: DataFrame, min_words: int) -> DataFrame:
     """(id, doc, anchor, low, high, wa, wb) of texts (id, doc, text): neighbouring windows, from word low up to word high, with the same least hash.
 
@@ -153,7 +158,7 @@ def windows(texts: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(pa.array, keys), batch.column("id").take(of), batch.column("doc").take(of), pa.array(pos, pa.int32())], ["wa", "wb", "id", "doc", "low"])
 
     found = stored(wanted.groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("found")), "open")
-    marked = texts.join(broadcast_if_small(found), "doc").select("id", "doc", "text", "found")
+    marked = of_documents(texts, found).select("id", "doc", "text", "found")
     out = stored(marked.mapInArrow(hashed, f"wa bigint, wb bigint, id {kind}, doc bigint, low int"), "windows")
     discarded(found)
     return out
@@ -212,7 +217,7 @@ def passages(texts: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x for x, _ in out], pa.list_(pa.int64())), pa.array([x for _, x in out], kind), batch.column("origins")], ["doc", "lines", "cuts", "origins"])
 
     names = texts.select(F.array("id").alias("o")).schema["o"].dataType.simpleString()
-    rows = texts.join(broadcast_if_small(runs), "doc").select("doc", "text", "found", "origins")
+    rows = of_documents(texts, runs).select("doc", "text", "found", "origins")
     out = stored(rows.mapInArrow(placed, f"doc bigint, lines array<bigint>, cuts array<struct<low:bigint,high:bigint>>, origins {names}").dropDuplicates(["doc"]), "passages")
     discarded(runs)
     return out
@@ -236,7 +241,7 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_w
     hits = each.join(stored(first, "first"), "component").withColumn("goes", (F.col("doc") != F.col("first_doc")) | (F.col("place") != F.col("first_place")))
     goes = lambda c: F.when(F.col("goes"), c)
     by_row = hits.groupBy("doc").agg(F.count("*").alias("n_repeated"), F.collect_list(goes(F.col("place"))).alias("places"), F.collect_set(goes(F.col("origin"))).alias("near"))
-    texts = df.select(F.col(id_column).alias("id"), document(id_column, text).alias("doc"), ascii_lower(F.col(text)).alias("text"))
+    texts = df.select(F.col(id_column).alias("id"), document(id_column, text).alias("doc"), F.col(text).alias("text"))
     parts = passages(texts, min_words).withColumnRenamed("origins", "more")
     out = texts.select("id", "doc").join(by_row, "doc", "left").join(parts, "doc", "left")
     names = parts.schema["more"].dataType
