@@ -8,7 +8,9 @@ Rows with equal sets are one class first, so copies never meet in a table. In ea
 to its centre, the member of least hash, is looked at; the links are verified on full sets, and components follow.
 Where a bucket then still holds several components, its members are compared with each other all the same: blocks of
 bounded size are dealt out and compared inside an Arrow function, which returns one link for a member and component.
-So large groups are compared whole, while no pairs but verified ones and those with centres become rows.
+In a bucket of more than some blocks, members meet by their rarest shingles instead, of which similar sets share one,
+so the work does not grow with the bucket's square. Large groups are compared whole, while no pairs but verified ones
+and those with centres become rows.
 
 Defined results: null and empty texts and texts without words have an empty set and are linked with nothing; repeated
 rows (also of one key) each get their class; null keys are classed by text like others, and a row without a key is
@@ -50,8 +52,10 @@ class Scheme:
 
 
 TENSORED = Scheme(12, 3, 8, 2)
-#: Members in a block of the comparison of buckets.
-BLOCK = 256
+#: Members in a block of the comparison of buckets; blocks of a bucket that are compared one by one.
+BLOCK, WIDE = 256, 8
+#: Sets and shingles that the order of shingles is taken from, and the band that stands for a rare shingle.
+ORDER_SETS, ORDER_SHINGLES, RARE = 1000, 100_000, -1
 BATCH_BYTES = 4_000_000
 #: Estimates below this share of equal minhashes are dropped before verification: at 0.8 over five deviations away.
 LEAST_ESTIMATE = 0.45
@@ -209,7 +213,8 @@ def compared(members: DataFrame, groups: int, similarity: int, scheme: Scheme) -
     """Links (a, b) inside cells: members has (cell, band, role, node, component, bands, members).
 
     Role 1 rows are compared with role 2 rows of their cell and another component, if the cell's band is the first
-    that they share and some B band, if there are any, is shared too (so each pair is compared in one cell). One link
+    that they share and some B band, if there are any, is shared too (so each pair is compared in one cell), or the
+    cell is one of a rare shingle. One link
     comes out for each role 1 row and component. Cells are small and many, so a call gets about `groups`-th of them.
     """
 
@@ -232,6 +237,7 @@ def compared(members: DataFrame, groups: int, similarity: int, scheme: Scheme) -
                 good = same[np.arange(len(a)), band[a]] & (same.argmax(1) == band[a])
                 if scheme.b_bands:
                     good &= (lb[a, scheme.a_bands :] == rb[b, scheme.a_bands :]).any(1)
+                good |= band[a] == RARE
                 a, b = a[good], b[good]
                 for some in np.array_split(np.arange(len(a)), int(rs[b].sum()) // 1_000_000 + 1):
                     if not len(some):
@@ -361,15 +367,58 @@ def labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
+def rare_members(member: DataFrame, similarity: int) -> DataFrame:
+    """(node, component, bucket): for each set of member (node, component, members) so many of its rarest shingles that two similar sets share one.
+
+    A set of n has to share similarity hundredths of n with a similar one, so n minus these, and one more, are enough,
+    if all sets are ordered alike. The order comes from the counts in a sample of ORDER_SETS sets: it only decides how
+    many sets meet, never which are found.
+    """
+    few = member.orderBy(F.xxhash64("node")).limit(ORDER_SETS).select(F.explode("members").alias("m")).groupBy("m").count().where("count > 1")
+    known = np.array(few.orderBy(F.desc("count"), "m").limit(ORDER_SHINGLES).collect(), np.int64).reshape(-1, 2)
+    known = known[np.argsort(known[:, 0])]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column("members")
+            flat, n = members.flatten().to_numpy(), np.diff(members.offsets.to_numpy())
+            seen = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known[:, 0], flat), len(known) - 1)
+                seen = np.where(known[at, 0] == flat, known[at, 1], 0)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((flat, seen, row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            chosen = place < (n + (-similarity * n) // 100 + 1)[row]
+            of = pa.array(row[chosen])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(of), batch.column("component").take(of), pa.array(flat[order][chosen])], ["node", "component", "bucket"])
+
+    return member.select("node", "component", "members").mapInArrow(cut, "node bigint, component bigint, bucket bigint")
+
+
 def residual(member: DataFrame, similarity: int, scheme: Scheme, hold: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
-    """Links (a, b) between components among members (node, bands, component, members) that share a table's key, by blocks."""
+    """Links (a, b) between components among members (node, bands, component, members) that share a table's key, by blocks.
+
+    A bucket of more than WIDE blocks is not compared block by block, as that grows with its square: its members meet
+    where they share one of their rarest shingles, which all similar ones do.
+    """
+    key = ["band", "bucket"]
     spread = member.select("node", "component", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias("band", "bucket"))
-    sizes = spread.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("band", "bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    sizes = sizes.select("band", "bucket", F.col("top.component").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks_b"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("blocks_a"))
-    spread = spread.join(hold(sizes, "sizes"), ["band", "bucket"])
+
+    def sized(spread: DataFrame, name: str) -> DataFrame:
+        sizes = spread.groupBy(*key, "component").agg(F.count("*").alias("n"))
+        sizes = sizes.groupBy(*key).agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+        return hold(sizes.select(*key, F.col("top.component").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks_b"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("blocks_a")), name)
+
+    sizes = sized(spread, "sizes")
+    wide = sizes.where(F.col("blocks_b") > WIDE).select(*key)
+    spread = spread.join(sizes.where(F.col("blocks_b") <= WIDE), key)
+    if wide.limit(1).count():
+        crowd = hold(member.select("node", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias(*key)).join(wide, key, "left_semi").select("node").distinct(), "crowd")
+        rare = hold(rare_members(hold(member.join(crowd, "node", "left_semi"), "wide"), similarity).withColumn("band", F.lit(RARE)), "rare")
+        spread = spread.unionByName(rare.join(sized(rare, "rare_sizes"), key))
     # role 1: rows outside the bucket's largest component, with every block of role 2; role 2: all rows
-    role1 = spread.where("component <> top").select("band", "bucket", "node", F.lit(1).alias("role"), F.pmod(F.xxhash64("node"), "blocks_a").cast("int").alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)).alias("block_b"))
-    role2 = spread.select("band", "bucket", "node", F.lit(2).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)).alias("block_a"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks_b").cast("int").alias("block_b"))
-    cells = hold(role1.unionByName(role2).select("node", "role", "band", F.xxhash64("band", "bucket", "block_a", "block_b").alias("cell")), "cells")
+    role1 = spread.where("component <> top").select(*key, "node", F.lit(1).alias("role"), F.pmod(F.xxhash64("node"), "blocks_a").cast("int").alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)).alias("block_b"))
+    role2 = spread.select(*key, "node", F.lit(2).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)).alias("block_a"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks_b").cast("int").alias("block_b"))
+    cells = hold(role1.unionByName(role2).select("node", "role", "band", F.xxhash64(*key, "block_a", "block_b").alias("cell")), "cells")
     return compared(cells.join(member, "node"), max(1, cells.count() // (2 * BLOCK)), similarity, scheme)
