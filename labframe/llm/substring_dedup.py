@@ -10,9 +10,9 @@ pairs). In each component the first paragraph, by key and place, stays; the othe
 Passages are runs of at least MIN_WORDS words, over the ends of lines and inside longer lines. Of equal windows of
 that many words the first, by key and place, stays and the words of the others go. Windows are not compared one by
 one: equal windows have the same least hash of half as many words (winnowing), so a text falls into stretches of some
-dozen windows with one such anchor, whose words have a 128-bit digest. Stretches whose anchor is found once are
-done with; of stretches with equal digests all but the first go; and single windows are hashed only in the first of
-each kind of stretch, where kinds share an anchor. Both only meet by a sum for each digest, so a passage with many
+dozen windows with one such anchor, whose words have a 128-bit digest. Stretches whose anchor is found once, and once
+in them, are done with; of stretches with equal digests all but the first go; and single windows are hashed only in the first of
+each kind of stretch, where kinds share an anchor or one repeats it. Both only meet by a sum for each digest, so a passage with many
 copies makes no pairs.
 
 Defined results: null and empty texts have no paragraphs or passages; repeated rows of one key and text count as one
@@ -114,9 +114,10 @@ def of_documents(texts: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def stretches(texts: DataFrame, min_words: int) -> DataFrame:
-    """(id, doc, anchor, low, high, wa, wb) of texts (id, doc, text): neighbouring windows, from word low up to word high, with the same least hash.
+    """(id, doc, anchor, low, high, loops, wa, wb) of texts (id, doc, text): neighbouring windows, from word low up to word high, with the same least hash.
 
-    anchor is that hash, wa and wb are digests of all words of the windows. Equal windows have equal anchors.
+    anchor is that hash, wa and wb are digests of all words of the windows. Equal windows have equal anchors. loops: the
+    anchor is there more than once, so windows of the stretch may equal each other.
     """
     half = max(1, min_words // 2)
     kind = texts.schema["id"].dataType.simpleString()
@@ -127,17 +128,23 @@ def stretches(texts: DataFrame, min_words: int) -> DataFrame:
             row, start = within(np.maximum(np.diff(offsets) - min_words + 1, 0))
             if not len(row):
                 continue
-            low = sliding_least(rolling(words, half, BASES[0]), min_words - half + 1)[offsets[:-1][row] + start]
+            rolled_half, steps = rolling(words, half, BASES[0]), min_words - half + 1
+            low = sliding_least(rolled_half, steps)[offsets[:-1][row] + start]
             new = np.ones(len(row), bool)
             new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
             at = np.flatnonzero(new)
             anchor, row, first, last = low[at], row[at], start[at], start[np.append(at[1:], len(row)) - 1] + 1
             ends = offsets[:-1][row]
+            # the leftmost place of the anchor is in the first window, the rightmost in the last
+            left, right = np.full(len(at), steps), np.zeros(len(at), np.int64)
+            for d in range(steps):
+                left = np.where((left == steps) & (rolled_half[ends + first + d] == anchor), d, left)
+                right = np.where(rolled_half[ends + last - 1 + d] == anchor, d, right)
             digest = [rolled(w, b, ends + first, ends + last - 1 + min_words).view(np.int64) for w, b in zip((words, mixed(words + np.uint64(1))), BASES, strict=True)]
             of = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("doc").take(of), pa.array(anchor.view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), *map(pa.array, digest)], ["id", "doc", "anchor", "low", "high", "wa", "wb"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("doc").take(of), pa.array(anchor.view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(first + left != last - 1 + right), *map(pa.array, digest)], ["id", "doc", "anchor", "low", "high", "loops", "wa", "wb"])
 
-    return stored(texts.mapInArrow(anchored, f"id {kind}, doc bigint, anchor bigint, low int, high int, wa bigint, wb bigint"), "stretches")
+    return stored(texts.mapInArrow(anchored, f"id {kind}, doc bigint, anchor bigint, low int, high int, loops boolean, wa bigint, wb bigint"), "stretches")
 
 
 def windows(texts: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
@@ -175,9 +182,9 @@ def passages(texts: DataFrame, min_words: int) -> DataFrame:
     """
     place = F.struct("id", "doc", "low", "high")
     all_of = stretches(texts, min_words)
-    differ = (F.min("wa") != F.max("wa")) | (F.min("wb") != F.max("wb"))
-    twice = stored(all_of.groupBy("anchor").agg(F.count("*").alias("n"), differ.alias("several")).where("n > 1").select("anchor", "several"), "twice")
-    met = stored(all_of.join(broadcast_if_small(twice), "anchor"), "met")
+    differ = (F.min("wa") != F.max("wa")) | (F.min("wb") != F.max("wb")) | F.max("loops")
+    twice = stored(all_of.groupBy("anchor").agg(F.count("*").alias("n"), differ.alias("several")).where("n > 1 OR several").select("anchor", "several"), "twice")
+    met = stored(all_of.drop("loops").join(broadcast_if_small(twice), "anchor"), "met")
     discarded(all_of, twice)
     # repeated rows give equal places, so they are no repetition
     kinds = met.groupBy("wa", "wb").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("several").alias("several"))

@@ -64,6 +64,19 @@ def test_a_group_around_the_threshold_is_compared_whole(spark, monkeypatch):
     assert len(set(want.values())) > 10
 
 
+@pytest.mark.parametrize("wide", [0, 2])
+def test_wide_buckets_meet_by_rare_shingles(spark, monkeypatch, wide):
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "WIDE", wide)
+    monkeypatch.setattr(near_dup, "ORDER_SETS", 20)
+    shared = prose(6, 100)  # of all texts, which are below the threshold by their own words but for some
+    rows = [(i, f"{shared} {prose(1000 + i // 2 if i % 10 < 2 else 2000 + i, 60)} {'end' * (i % 2)}") for i in range(120)]
+    want = brute({i: shingles(t, 2) for i, t in rows})
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert len(set(want.values())) == 108
+
+
 def test_recall_of_the_tensored_tables_at_the_threshold():
     scheme, r, met = near_dup.TENSORED, np.random.default_rng(3), 0
     for _ in range(300):
@@ -84,6 +97,16 @@ def test_shingle_sets_do_not_depend_on_the_batch():
         assert own.tolist() == whole[0][whole[1][i] : whole[1][i + 1]].tolist()
 
 
+def test_words_of_slices_are_those_of_the_texts():
+    texts = [None, "", "Ä B c", *(prose(900 + i, 30 + i).upper() + " straße\tÉ\n x" for i in range(40))]
+    whole = pa.array(texts, pa.string())
+    for lo, n in ((0, 43), (5, 20), (17, 26), (42, 1)):
+        h, offsets = near_dup.words_of(whole.slice(lo, n))
+        for i in range(n):
+            own = near_dup.words_of(pa.array([low(texts[lo + i])]))[0]
+            assert len(own) == len(WORD.findall(low(texts[lo + i]))) and h[offsets[i] : offsets[i + 1]].tolist() == own.tolist()
+
+
 def test_paragraphs_that_repeat(spark):
     shared, other = prose(1, 60), prose(2, 80)
     rows = [(1, f"{prose(11, 70)}\n{shared}\n{prose(12, 55)}"), (2, f"short line\n{shared}"), (3, f"{edited(shared, 1, 1)}\nshort line"), (4, other), (5, other), (6, None), (7, ""), (8, prose(13, 400)), (9, f"{prose(14, 60)}\n{prose(15, 60)}\n{shared}\n{shared}")]
@@ -180,3 +203,44 @@ def test_runs_of_short_lines_are_paragraphs(spark):
     rows = [(1, "\n".join(lines) + "\n\n" + prose(80, 20)), (2, prose(81, 60) + "\n" + "\n".join(near) + "\n\n" + prose(82, 30)), (3, "\n\n".join(lines[:3]))]
     got = {r.doc_id: r for r in substring_dedup.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[2].removed == [1, 2, 3, 4, 5, 6] and got[2].origins == [1] and got[1].removed == [] == got[3].removed
+
+
+def test_repeats_of_a_table_are_those_of_all_comparisons(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    units, near, gone = {}, defaultdict(set), {}
+    for i, t in texts.items():
+        lines, run = [*t.split("\n"), ""], []
+        for k, line in enumerate(lines):
+            n = len(WORD.findall(line))
+            if run and not 0 < n < 50:
+                if sum(len(WORD.findall(lines[j])) for j in run) >= 50:
+                    units[i, run[0], run[-1]] = shingles("\n".join(lines[j] for j in run), 5)
+                run = []
+            if n >= 50:
+                units[i, k, k] = shingles(line, 5)
+            elif n:
+                run.append(k)
+    for node, root in brute(units).items():
+        if node != root:
+            near[node[0]] |= set(range(node[1], node[2] + 1))
+    seen = set()
+    for i in sorted(texts):
+        gone[i] = np.zeros(len(WORD.findall(texts[i])), bool)
+        for k, w in enumerate(windows(texts[i])):
+            if w in seen:
+                gone[i][k : k + 50] = True
+            seen.add(w)
+    got = {r.doc_id: r for r in substring_dedup.repeated(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    for i, t in texts.items():
+        whole, cuts, at, word = set(), [], 0, 0
+        for k, line in enumerate(t.split("\n")):
+            spans = [m.span() for m in WORD.finditer(line)]
+            own = gone[i][word : word + len(spans)]
+            if len(own) and own.all():
+                whole.add(k)
+            else:
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(int), [0]])))
+                cuts += [(at + spans[a][0], at + spans[b - 1][1]) for a, b in edge.reshape(-1, 2)]
+            at, word = at + len(line) + 1, word + len(spans)
+        assert (got[i].removed, [(c.low, c.high) for c in got[i].cuts]) == (sorted(near[i] | whole), cuts), i
+    assert sum(map(len, near.values())) and any(g.any() for g in gone.values())
