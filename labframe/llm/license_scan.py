@@ -5,8 +5,8 @@ word pairs. A Dice coefficient of at least t needs sizes within a factor (2 - t)
 is listed under the sizes it can match, and a text only meets templates by an equality join on its size. The
 templates are a small fixed table; it is broadcast. All work is done by DataFrame functions.
 
-Compared are every line, the whole text, and runs of lines: those that begin on a line with one of the first pairs of
-a template, go on for two lines or more and have no more words than the largest set that can match. So notices, full
+Compared are every line, the whole text, and runs of lines: those that begin on a line with the first pair of a
+template, go on for two lines or more and have no more words than the largest set that can match. So notices, full
 licences and headers wrapped over lines of a longer text are found. Whole texts and runs leave out lines that begin
 with a copyright, as these name holders; lines without words count for nothing in a run.
 
@@ -66,9 +66,9 @@ def bounds(size: int, dice: float) -> tuple[int, int]:
 
 
 def first_pairs(templates: list[tuple[str, str]]) -> list[str]:
-    """The first three word pairs of each template, spelled as words between spaces."""
+    """The first word pair of each template."""
     words = [[w for w in re.split(BREAKS, text.lower()) if w] for _, text in templates]
-    return sorted({f"{w[i]} {w[i + 1]}" for w in words for i in range(min(3, len(w) - 1))})
+    return sorted({f"{w[0]} {w[1]}" for w in words if len(w) > 1})
 
 
 def named(words: Column) -> Column:

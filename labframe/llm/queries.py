@@ -97,7 +97,7 @@ def _license_sql() -> str:
     words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
     pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""WITH t AS (SELECT license, template, w, {pairs} AS p FROM (SELECT license, template, {words.format("text")} AS w FROM (VALUES {quoted}) v(license, template, text))),
-most AS (SELECT floor(max(len(p)) * 1.1 / 0.9 + 1e-9) AS n, ceil(min(len(p)) * 0.9 / 1.1 - 1e-9) AS low FROM t), f AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS pair FROM (SELECT w, unnest([1, 2, 3]) AS i FROM t) WHERE i < len(w)),
+most AS (SELECT floor(max(len(p)) * 1.1 / 0.9 + 1e-9) AS n, ceil(min(len(p)) * 0.9 / 1.1 - 1e-9) AS low FROM t), f AS (SELECT DISTINCT w[1] || ' ' || w[2] AS pair FROM t WHERE len(w) > 1),
 raw AS (SELECT doc_id, unnest(range(0, len(l))) AS line, len(l) AS lines, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 lw AS (SELECT doc_id, line, lines, w, coalesce(w[1] = 'copyright' OR (w[1] = 'c' AND (w[2] = 'copyright' OR regexp_full_match(w[2], '[0-9]+'))), false) AS named FROM (SELECT doc_id, line, lines, {words.format("text")} AS w FROM raw)),
 l AS (SELECT *, sum(CASE WHEN named THEN 0 ELSE len(w) END) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM lw),

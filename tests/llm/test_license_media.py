@@ -18,7 +18,7 @@ def brute(text, dice=0.9):
     words = [license_scan.re.findall("[a-z0-9]+", line.lower()) for line in lines]
     kept = [[] if copyright(w) else w for w in words]
     units = [(i, " ".join(w)) for i, w in enumerate(words)] + ([(-1, " ".join(sum(kept, [])))] if len(lines) > 1 else [])
-    firsts = [license_scan.re.findall("[a-z0-9]+", t.lower())[:4] for _, t in license_scan.TEMPLATES]
+    firsts = [license_scan.re.findall("[a-z0-9]+", t.lower())[:2] for _, t in license_scan.TEMPLATES]
     begins = {pair for f in firsts for pair in zip(f, f[1:])}
     top = max(license_scan.bounds(len(license_scan.word_pairs(t)), dice)[1] for _, t in license_scan.TEMPLATES)
     for i, w in enumerate(kept):
