@@ -52,8 +52,9 @@ class Scheme:
 
 
 TENSORED = Scheme(12, 3, 8, 2)
-#: Members in a block of the comparison of buckets; blocks of a bucket that are compared one by one.
-BLOCK, WIDE = 256, 8
+#: Members in a block of the comparison of buckets; blocks of a bucket up to which comparing them one by one gives fewer
+#: rows (two for a member and block at most) than meeting by rare shingles (up to a fifth of a set's size for a member).
+BLOCK, WIDE = 256, 64
 #: Sets and shingles that the order of shingles is taken from, and the band that stands for a rare shingle.
 ORDER_SETS, ORDER_SHINGLES, RARE = 1000, 100_000, -1
 BATCH_BYTES = 4_000_000
