@@ -41,17 +41,28 @@ def _file_system(spark: SparkSession, path: str):
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the application's folder, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/labframe-{spark.sparkContext.applicationId}"
+    files, there = _file_system(spark, folder)
+    files.mkdirs(there)
+    files.deleteOnExit(there)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that nothing will read again."""
+    for path in paths:
+        files, there = _file_system(spark, path)
+        files.delete(there, True)
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written to a table in the shared folder and read again, which cuts its lineage and outlives lost executors.
 
     The tables of an application lie in one folder, which goes when the application ends; `discarded` drops one earlier.
     """
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/labframe-{spark.sparkContext.applicationId}"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    files, there = _file_system(spark, folder)
-    files.mkdirs(there)
-    files.deleteOnExit(there)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labframe.llm import byte_bpe, decontamination, license_scan, media, near_dup, pii, sharding, substring_dedup, token_counts, toxicity
+from labframe.llm import byte_bpe, decontamination, license_scan, media, near_dup, pii, sharding, substring_dedup, token_counts, toxicity, warc
 from labframe.llm.common import documents
 
 
@@ -60,6 +60,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(documents(spark, sf_dir)))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -92,6 +96,11 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e
 SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, min(b) = a AS kept FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY a"""
 
 
+WARC_SQL = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
 def _license_sql() -> str:
     quoted = ", ".join("('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.TEMPLATES))
     words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -112,4 +121,4 @@ SELECT doc_id, count(DISTINCT (line, template)) AS n_matches, string_agg(DISTINC
 
 def oracle_sql() -> dict[str, str]:
     """SQL can say these; the others are held against brute force, the tokenizers' libraries or held-out rows in tests/llm."""
-    return {"op2_license_scan": _license_sql(), "op3_decontamination": DECONTAMINATION_SQL, "op7_near_dup": NEAR_DUP_SQL}
+    return {"op2_license_scan": _license_sql(), "op3_decontamination": DECONTAMINATION_SQL, "op7_near_dup": NEAR_DUP_SQL, "op11_warc": WARC_SQL}
