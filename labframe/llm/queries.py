@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labframe.llm import byte_bpe, decontamination, license_scan, media, near_dup, pii, sharding, substring_dedup, token_counts, toxicity, warc
+from labframe.llm import byte_bpe, decontamination, divergence, license_scan, media, near_dup, pii, sharding, substring_dedup, token_counts, toxicity, warc
 from labframe.llm.common import documents
 
 
@@ -64,6 +64,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -101,6 +105,19 @@ f AS (SELECT *, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} THEN min(page_id
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
 
+DIVERGENCE_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+tok AS MATERIALIZED (SELECT row, lang, source, unnest(w) AS term FROM d), g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM tok GROUP BY 1, 2 HAVING count(DISTINCT row) >= {divergence.LEAST}), v AS (SELECT lang, count(*) AS v, sum(total) AS lang_total FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY 1, 2, 3), f AS (SELECT g.lang, g.source, term, total, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS group_total FROM f),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + ({divergence.SCALE}::HUGEINT * (n + {divergence.SMOOTH})) // (group_total + {divergence.SMOOTH} * v) AS p, 1 + ({divergence.SCALE}::HUGEINT * (total + {divergence.SMOOTH})) // (lang_total + {divergence.SMOOTH} * v) AS q FROM s JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+SELECT * FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+
 def _license_sql() -> str:
     quoted = ", ".join("('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.TEMPLATES))
     words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -121,4 +138,4 @@ SELECT doc_id, count(DISTINCT (line, template)) AS n_matches, string_agg(DISTINC
 
 def oracle_sql() -> dict[str, str]:
     """SQL can say these; the others are held against brute force, the tokenizers' libraries or held-out rows in tests/llm."""
-    return {"op2_license_scan": _license_sql(), "op3_decontamination": DECONTAMINATION_SQL, "op7_near_dup": NEAR_DUP_SQL, "op11_warc": WARC_SQL}
+    return {"op2_license_scan": _license_sql(), "op3_decontamination": DECONTAMINATION_SQL, "op7_near_dup": NEAR_DUP_SQL, "op11_warc": WARC_SQL, "op13_divergence": DIVERGENCE_SQL}
