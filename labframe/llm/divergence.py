@@ -144,10 +144,10 @@ def distances(rows: pd.DataFrame) -> pd.DataFrame:
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
     ends = np.repeat(np.append(first[1:], len(word)), np.diff(np.append(first, len(word)))) if len(word) else first
     after = ends - np.arange(len(word)) - 1
-    cuts = np.searchsorted(np.cumsum(after), np.arange(PAIRS, int(after.sum()) + PAIRS, PAIRS))
+    steps = np.append(np.flatnonzero(np.diff(np.cumsum(after) // PAIRS, prepend=-1)), len(word))
     shared = np.zeros(value.size)
-    for lo, hi in zip(np.concatenate([[0], cuts[:-1] + 1]), cuts + 1, strict=True):
-        i = np.arange(lo, min(hi, len(word)))
+    for lo, hi in zip(steps[:-1], steps[1:], strict=True):
+        i = np.arange(lo, hi)
         left = np.repeat(i, after[i])
         right = expanded(np.arange(len(i)), i + 1, after[i])
         cell = np.bitwise_count(bits[left] & bits[right]).astype(np.int64)

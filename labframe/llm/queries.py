@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labframe.llm import byte_bpe, decontamination, divergence, license_scan, media, near_dup, pii, sharding, substring_dedup, token_counts, toxicity, warc
+from labframe.llm import byte_bpe, decontamination, divergence, license_scan, media, near_dup, pii, sharding, substring_dedup, token_counts, toxicity, vector_codes, warc
 from labframe.llm.common import documents
 
 
@@ -64,6 +64,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
@@ -105,6 +109,21 @@ f AS (SELECT *, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} THEN min(page_id
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
 
+def _codes_sql() -> str:
+    """Rounds written out; a part is a list of whole numbers."""
+    n, k, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {vector_codes.SCALE})::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {n} + 1 : (p + 1) * len(v) // {n}] AS x FROM v, range({n}) r(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM x WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, label, p, x, min(d) AS d, arg_min(e, (d, e)) AS e FROM (SELECT vec_id, label, x.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN c{i} c ON c.p = x.p) GROUP BY vec_id, label, p, x)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT p, e, i, sum(x) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS x, unnest(range(len(x))) AS i FROM a{i}) GROUP BY 1, 2, 3), f{i} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM m{i} GROUP BY 1, 2)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(f.c, o.c)::BIGINT[] AS c FROM c{i} o LEFT JOIN f{i} f USING (p, e))")
+    return f"""WITH {", ".join(steps)}, o AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY 1, 2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256 FROM o"""
+
+
 DIVERGENCE_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 tok AS MATERIALIZED (SELECT row, lang, source, unnest(w) AS term FROM d), g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
 kept AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM tok GROUP BY 1, 2 HAVING count(DISTINCT row) >= {divergence.LEAST}), v AS (SELECT lang, count(*) AS v, sum(total) AS lang_total FROM kept GROUP BY 1),
@@ -138,4 +157,4 @@ SELECT doc_id, count(DISTINCT (line, template)) AS n_matches, string_agg(DISTINC
 
 def oracle_sql() -> dict[str, str]:
     """SQL can say these; the others are held against brute force, the tokenizers' libraries or held-out rows in tests/llm."""
-    return {"op2_license_scan": _license_sql(), "op3_decontamination": DECONTAMINATION_SQL, "op7_near_dup": NEAR_DUP_SQL, "op11_warc": WARC_SQL, "op13_divergence": DIVERGENCE_SQL}
+    return {"op2_license_scan": _license_sql(), "op3_decontamination": DECONTAMINATION_SQL, "op7_near_dup": NEAR_DUP_SQL, "op11_warc": WARC_SQL, "op12_vector_codes": _codes_sql(), "op13_divergence": DIVERGENCE_SQL}
