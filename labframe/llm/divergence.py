@@ -169,7 +169,7 @@ def distances(rows: pd.DataFrame) -> pd.DataFrame:
 def bitmaps(counts: DataFrame, terms: DataFrame) -> DataFrame:
     """(lang, word, source, n, bits): the count levels of each group, words of zeros left out."""
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))
-    return counts.join(terms, ["lang", "term"]).groupBy("lang", "word", "source", "n").agg(F.bit_or(bit).alias("bits"))
+    return counts.join(terms.drop("total"), ["lang", "term"]).groupBy("lang", "word", "source", "n").agg(F.bit_or(bit).alias("bits"))
 
 
 def pair_sums(levels: DataFrame, groups: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -194,13 +194,14 @@ def divergence(df: DataFrame, text: str = "text", lang: str = "lang", source: st
     """(lang, source, part, item, value, rank) for each group: the other sources of its language by distance, and the terms it has more of than its language."""
     guarded(df.columns, [text, lang, source], "divergence")
     docs = df.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.col(text).alias("text"))
-    counts = stored(term_counts(docs), "counts")
-    kept = stored(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total")).where(F.col("docs") >= least).select("lang", "term", "total"), "kept")
-    terms = stored(numbered(kept), "terms")
+    term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs).withColumns({"docs": F.sum("docs").over(term), "total": F.sum("n").over(term), "first": F.min("source").over(term)})
+    counts = stored(counts.where(F.col("docs") >= least).select("lang", "source", "term", "n", "total", (F.col("first") == F.col("source")).alias("first")), "counts")
+    terms = stored(numbered(counts.where("first").select("lang", "term", "total")), "terms")
     levels = stored(bitmaps(counts, terms), "levels")
 
     whole = docs.select("lang", "source").distinct()
-    langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_total"))
+    langs = terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_total"))
     sums = levels.groupBy("lang", "source").agg(F.sum(F.col("n") * F.bit_count("bits")).alias("total"))
     groups = whole.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").join(whole.groupBy("lang").agg(F.count("*").alias("sources")), "lang")
     groups = stored(groups.select("lang", "source", "sources", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("total", "kept", "lang_total"))), "groups")
@@ -213,11 +214,10 @@ def divergence(df: DataFrame, text: str = "text", lang: str = "lang", source: st
     value = F.col("kept") * F.abs(F.col("zero") - F.col("other")) + F.coalesce("value", F.lit(0))
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", value.cast("bigint").alias("value")).withColumn("rank", F.row_number().over(by()))
 
-    held = counts.select("lang", "source", "term", "n").join(terms.select("lang", "term", F.col("total").alias("term_total")), ["lang", "term"])
-    held = held.join(broadcast_if_small(groups.select("lang", "source", "total", "kept", "lang_total")), ["lang", "source"])
+    held = counts.withColumnRenamed("total", "term_total").join(broadcast_if_small(groups.select("lang", "source", "total", "kept", "lang_total")), ["lang", "source"])
     more = share(F.col("n"), F.col("total"), F.col("kept")) - share(F.col("term_total"), F.col("lang_total"), F.col("kept"))
     found = held.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), more.alias("value")).where("value > 0")
     found = found.withColumn("rank", F.row_number().over(by())).where(F.col("rank") <= top)
     out = stored(pairs.unionByName(found), "divergence")
-    discarded(counts, kept, terms, levels, groups, added)
+    discarded(counts, terms, levels, groups, added)
     return out
