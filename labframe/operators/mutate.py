@@ -12,61 +12,105 @@ from labframe.functions.text import money
 from labframe.operators.lookup import flagged
 from labframe.operators.orders import courtesy
 from labframe.operators.search import active
+from labframe.operators.tree import above, below
 from labframe.sources.io import stored
-from labframe.sources.schema import SPECS, TableSpec
+from labframe.sources.schema import SPECS, Reference, TableSpec
 
-#: Levels of a tree after which those seen are written as one table.
-MERGED_LEVELS = 8
+#: The column that tells in which order the rows of a batch came.
+SEQUENCE = "batch_seq"
 
 
-def patched(table: DataFrame, patches: DataFrame, columns: Sequence[str], nullable: bool = True) -> DataFrame:
-    """The table with patches (id, fields, columns) applied to its active rows.
+def merged(patches: DataFrame, columns: Sequence[str], nullable: bool = True, sequence: str = SEQUENCE) -> DataFrame:
+    """(id, fields, columns): one patch for each id, of each column what the last patch that gives it says, as if they came one after the other.
+
+    Patches (id, columns) without `fields` give what is not null. Without a column `sequence` a batch has one patch an
+    id, or the job fails; of equal sequences the greatest value stays.
+    """
+    seq = F.col(sequence) if sequence in patches.columns else F.lit(0)
+    last = {}
+    for c in columns:
+        given = F.coalesce(F.array_contains("fields", c), F.lit(False)) if "fields" in patches.columns else F.col(c).isNotNull()
+        given = given if nullable else given & F.col(c).isNotNull()
+        last[c] = F.max(F.when(given, F.struct(seq.alias("seq"), F.col(c).alias("value")))).alias(c)
+    out = patches.groupBy("id").agg(F.count("*").alias("n_"), *last.values())
+    fields = F.filter(F.array(*(F.when(F.col(c).isNotNull(), c) for c in columns)), lambda c: c.isNotNull())
+    if sequence not in patches.columns:
+        fields = F.when(F.col("n_") > 1, F.raise_error(F.lit(f"several patches of one id need a column {sequence}"))).otherwise(fields)
+    return out.select("id", fields.alias("fields"), *(F.col(c)["value"].alias(c) for c in columns))
+
+
+def patched(table: DataFrame, patches: DataFrame, columns: Sequence[str], nullable: bool = True, sequence: str = SEQUENCE) -> DataFrame:
+    """The table with patches (id, fields, columns) applied to its active rows, several of one id in the order of `sequence`.
 
     `fields` lists what the patch has, which tells an explicit null from nothing. nullable=False: a null keeps the old value.
     """
-    new = patches.select("id", "fields", *(F.col(c).alias(f"new_{c}") for c in columns))
+    new = merged(patches, columns, nullable, sequence).select("id", "fields", *(F.col(c).alias(f"new_{c}") for c in columns))
     out, on = table.join(new, "id", "left"), F.col("isActive") if "isActive" in table.columns else F.lit(True)
     for c in columns:
         given = on & F.coalesce(F.array_contains("fields", c), F.lit(False))
-        out = out.withColumn(c, F.when(given if nullable else given & F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c)))
+        out = out.withColumn(c, F.when(given, F.col(f"new_{c}")).otherwise(F.col(c)))
     return out.select(*table.columns)
 
 
-def patch_faults(patches: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
-    """Patches with the first fault or null: MISSING (no active row), TAKEN (another row, active or not, has the key that the patch sets)."""
+def patch_faults(patches: DataFrame, table: DataFrame, key: list[str], sequence: str = SEQUENCE) -> DataFrame:
+    """Patches with the first fault or null: MISSING (no active row), TAKEN (another row, active or not, has the key that the patch sets), REPEATED (an earlier patch of another row sets it).
+
+    Patches are held against the stored rows and each other; a key that the batch frees is free when the batch is stored.
+    """
     rows = table.select("id", F.col("isActive").alias("there"), *(F.col(c).alias(f"old_{c}") for c in key))
     out = patches.join(rows, "id", "left")
     wanted = {c: F.when(F.array_contains("fields", c), F.col(c)).otherwise(F.col(f"old_{c}")) for c in key}
     out = out.withColumns({f"key_{c}": v for c, v in wanted.items()})
     holders = table.groupBy(*(F.col(c).alias(f"key_{c}") for c in key)).agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    out = out.join(holders, [f"key_{c}" for c in key], "left")
+    on = [f"key_{c}" for c in key]
+    out = out.join(holders, on, "left")
     other = (F.col("least") != F.col("id")) | (F.col("most") != F.col("id"))
-    changed = F.lit(False)
+    changed, whole = F.lit(False), F.lit(True)
     for c in key:
-        changed = changed | ~F.col(f"key_{c}").eqNullSafe(F.col(f"old_{c}"))
+        changed, whole = changed | ~F.col(f"key_{c}").eqNullSafe(F.col(f"old_{c}")), whole & F.col(f"key_{c}").isNotNull()
     fault = F.when(~F.coalesce("there", F.lit(False)), "MISSING").when(changed & F.coalesce(other, F.lit(False)), "TAKEN")
-    return out.withColumn("fault", fault).select(*patches.columns, "fault")
+    out = out.withColumns({"fault": fault, "sets": changed & whole})
+    order = F.struct(sequence, "id") if sequence in patches.columns else F.struct("id")
+    first = out.where("fault IS NULL AND sets").groupBy(*on).agg(F.min(order)["id"].alias("first"))
+    out = out.join(first, on, "left")
+    return out.withColumn("fault", F.coalesce("fault", F.when(F.col("sets") & (F.col("first") != F.col("id")), "REPEATED"))).select(*patches.columns, "fault")
 
 
 #: What a patch of an order can set, and the columns that a present null leaves alone are all of them.
 ORDER_FIELDS = ("folio", "patientId", "doctorId", "branchName", "sampleAt", "deliveryAt", "status", "courtesyPercent", "notes")
 
 
-def orders_patched(orders: DataFrame, patches: DataFrame, patients: DataFrame, doctors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def orders_patched(orders: DataFrame, patches: DataFrame, patients: DataFrame, doctors: DataFrame, sequence: str = SEQUENCE) -> tuple[DataFrame, DataFrame]:
     """(orders with patches (id, fields, columns of ORDER_FIELDS), patches with the first fault or null).
 
     Faults: MISSING (no active order), PATIENT, DOCTOR (a changed one has to be active). A patch without faults keeps
     the old value for a null. If it names courtesyPercent, discount and total are computed anew from the stored
-    subtotal; items are never touched.
+    subtotal; items are never touched. Several patches of an order take effect one after the other, each judged by what
+    those before it left.
     """
     columns = [c for c in ORDER_FIELDS if c in patches.columns]
-    old = orders.select("id", F.col("isActive").alias("there"), F.col("patientId").alias("old_patient"), F.col("doctorId").alias("old_doctor"))
+    old = orders.select("id", F.col("isActive").alias("there"), F.col("patientId").alias("old_p"), F.col("doctorId").alias("old_d"))
     state = flagged(flagged(patches.join(old, "id", "left"), active(patients), "patientId", "p"), active(doctors), "doctorId", "d")
-    changed = lambda new, was: F.col(new).isNotNull() & ~F.col(new).eqNullSafe(F.col(was))
-    fault = F.when(~F.coalesce("there", F.lit(False)), "MISSING").when(changed("patientId", "old_patient") & ~F.col("p"), "PATIENT").when(changed("doctorId", "old_doctor") & ~F.col("d"), "DOCTOR")
+    seq = F.col(sequence) if sequence in patches.columns else F.lit(0)
+    state = state.withColumns({"there": F.coalesce("there", F.lit(False)), "at_": seq})
+    # for patient and doctor: nothing to ask, the old one that is not active any more (good until a patch changes it), bad, a change
+    for c, column in (("p", "patientId"), ("d", "doctorId")):
+        given, same = F.col(column).isNotNull(), F.col(column).eqNullSafe(F.col(f"old_{c}"))
+        state = state.withColumns({f"sure_{c}": ~given | F.col(c), f"kept_{c}": given & ~F.col(c) & same, f"bad_{c}": given & ~F.col(c) & ~same, f"new_{c}": given & F.col(c) & ~same})
+    first = lambda good: F.min(F.when(F.col("there") & good, F.col("at_")))
+    turns = state.groupBy("id").agg(first(F.col("new_p") & F.col("sure_d")).alias("tp"), first(F.col("new_d") & F.col("sure_p")).alias("td"), first(F.col("new_p") & F.col("kept_d")).alias("kp"), first(F.col("new_d") & F.col("kept_p")).alias("kd"))
+    # the first accepted change of each; a change beside a kept one is accepted if that has not been changed before
+    before = lambda a, b: F.when(a.isNotNull() & (b.isNull() | (a < b)), a)
+    tp, td, kp, kd = map(F.col, ("tp", "td", "kp", "kd"))
+    p_first = kp.isNotNull() & (kd.isNull() | (kp < kd))
+    p1, d1 = F.least(tp, before(kp, td)), F.least(td, before(kd, tp))
+    turns = turns.select("id", F.when(p_first, p1).otherwise(F.least(tp, before(kp, d1))).alias("turn_p"), F.when(p_first, F.least(td, before(kd, p1))).otherwise(d1).alias("turn_d"))
+    state = state.join(turns, "id")
+    refused = lambda c: F.col(f"bad_{c}") | (F.col(f"kept_{c}") & F.coalesce(F.col("at_") > F.col(f"turn_{c}"), F.lit(False)))
+    fault = F.when(~F.col("there"), "MISSING").when(refused("p"), "PATIENT").when(refused("d"), "DOCTOR")
     state = state.withColumn("fault", fault).select(*patches.columns, "fault")
     good = state.where("fault IS NULL")
-    out = patched(orders, good, columns, nullable=False)
+    out = patched(orders, good, columns, nullable=False, sequence=sequence)
     again = flagged(out, good.where(F.array_contains("fields", "courtesyPercent")), "id", "again")
     subtotal = F.col("subtotalAmount").cast("double")
     discount = courtesy(subtotal, F.col("courtesyPercent").cast("double"))
@@ -75,19 +119,29 @@ def orders_patched(orders: DataFrame, patches: DataFrame, patients: DataFrame, d
     return out.select(*orders.columns), state
 
 
-def details_added(details: DataFrame, batch: DataFrame, studies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(details with the good rows of batch, batch with the first fault or null): STUDY (not active), PARENT (given, but not an active detail of the study)."""
-    state = flagged(batch, active(studies), "studyId", "s")
+def details_added(details: DataFrame, batch: DataFrame, studies: DataFrame, sequence: str = SEQUENCE) -> tuple[DataFrame, DataFrame]:
+    """(details with the good rows of batch, batch with the first fault or null): STUDY (not active), PARENT (given, but no active detail of the study, stored or good and earlier in the batch).
+
+    Without a column `sequence` the batch's ids are its order. Rows of the batch hang together in chains of any length.
+    """
+    seq = F.col(sequence) if sequence in batch.columns else F.col("id")
+    state = flagged(batch.withColumn("at_", seq), active(studies), "studyId", "s")
     parents = active(details).select(F.col("id").alias("parentId"), "studyId", F.lit(True).alias("p"))
     state = state.join(parents, ["parentId", "studyId"], "left")
-    fault = F.when(~F.col("s"), "STUDY").when(F.col("parentId").isNotNull() & F.col("p").isNull(), "PARENT")
-    state = state.withColumn("fault", fault).select(*batch.columns, "fault")
-    return details.unionByName(state.where("fault IS NULL").drop("fault").withColumn("isActive", F.lit(True)), allowMissingColumns=True), state
+    inside = state.select(F.col("id").alias("parentId"), "studyId", F.col("at_").alias("parent_at")).groupBy("parentId", "studyId").agg(F.min("parent_at").alias("parent_at"))
+    state = state.join(inside, ["parentId", "studyId"], "left")
+    hangs = F.col("parentId").isNotNull() & F.col("p").isNull()
+    later = F.coalesce(F.col("parent_at") >= F.col("at_"), F.lit(True))
+    own = F.when(~F.col("s"), "STUDY").when(hangs & later, "PARENT")
+    state = stored(state.withColumns({"fault": own, "link": F.when(hangs & ~later, F.col("parentId"))}), "details")
+    bad = below(state.select("id", "link"), state.where("fault IS NOT NULL"), parent="link").select("id", F.lit(True).alias("below_bad")).distinct()
+    state = state.join(bad, "id", "left").withColumn("fault", F.coalesce("fault", F.when(F.col("below_bad"), "PARENT"))).select(*batch.columns, "fault")
+    return details.unionByName(state.where("fault IS NULL").drop("fault", *({sequence} & set(batch.columns) - set(details.columns))).withColumn("isActive", F.lit(True)), allowMissingColumns=True), state
 
 
 def with_status(table: DataFrame, patches: DataFrame) -> DataFrame:
-    """Any status to any other, on active rows."""
-    new = patches.select("id", F.col("status").alias("new"))
+    """Any status to any other, on active rows; of several for a row the last."""
+    new = merged(patches.drop("fields"), ["status"]).select("id", F.col("status").alias("new"))
     return table.join(new, "id", "left").withColumn("status", F.when(F.col("isActive") & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("status"))).select(*table.columns)
 
 
@@ -105,77 +159,91 @@ def hard_deleted(table: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def subtree(table: DataFrame, roots: DataFrame, key: str = "id", parent: str = "parentId") -> DataFrame:
-    """Ids of the roots and all below them. Rows seen once are not walked again, so cycles end; each level is a join with the frontier.
+    """Ids of the roots and all below them; cycles are no matter."""
+    return below(table, roots.select(F.col("id").alias(key)), key, parent).select(F.col(key).alias("id"))
 
-    Levels are tables of their own and put together now and then, so a row is not written anew at every level.
-    """
-    edges = table.where(F.col(parent).isNotNull()).select(F.col(key).alias("child"), F.col(parent).alias("id"))
-    frontier = stored(table.select(F.col(key).alias("id")).join(roots.select("id").distinct(), "id", "left_semi"), "subtree")
-    levels = [frontier]
-    while frontier.limit(1).count():
-        if len(levels) > MERGED_LEVELS:
-            levels = [stored(reduce(DataFrame.unionByName, levels), "subtree")]
-        below = edges.join(frontier, "id").select(F.col("child").alias("id")).distinct()
-        frontier = stored(reduce(lambda left, seen: left.join(seen, "id", "left_anti"), levels, below), "subtree")
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels)
+
+def _links(name: str, tables: dict[str, DataFrame], specs: dict[str, TableSpec]) -> list[tuple[str, Reference]]:
+    """(child table, reference) of what refers to a table."""
+    return [(child, ref) for child, spec in specs.items() if child in tables for ref in spec.references if ref.table == name]
+
+
+def _order(name: str, tables: dict[str, DataFrame], specs: dict[str, TableSpec]) -> list[str]:
+    """The table and those that a delete in it takes along, parents first."""
+    seen: list[str] = []
+
+    def visit(at: str, path: tuple[str, ...]) -> None:
+        for child, ref in _links(at, tables, specs):
+            if ref.on_delete == "cascade" and child != at:
+                if child in path:
+                    raise ValueError(f"cascading references go round: {' '.join((*path, child))}")
+                visit(child, (*path, child))
+        if at not in seen:
+            seen.append(at)
+
+    visit(name, (name,))
+    return seen[::-1]
+
+
+def taken_along(tables: dict[str, DataFrame], name: str, ids: DataFrame, specs: dict[str, TableSpec] = SPECS) -> dict[str, DataFrame]:
+    """Ids, by table, of the rows that deleting ids would delete along cascading references, those of a table to itself included."""
+    gone = {name: ids.select("id")}
+    for at in _order(name, tables, specs):
+        if at not in gone:
+            continue
+        links = [(child, ref) for child, ref in _links(at, tables, specs) if ref.on_delete == "cascade"]
+        for _, ref in (x for x in links if x[0] == at):
+            gone[at] = below(tables[at], gone[at], parent=ref.column)
+        for child, ref in (x for x in links if x[0] != at):
+            more = tables[child].join(gone[at].select(F.col("id").alias(ref.column)), ref.column, "left_semi").select("id")
+            gone[child] = gone[child].unionByName(more).distinct() if child in gone else more
+    return gone
 
 
 def cascaded(tables: dict[str, DataFrame], name: str, ids: DataFrame, specs: dict[str, TableSpec] = SPECS) -> tuple[dict[str, DataFrame], DataFrame]:
     """Deletes rows of one table along the references. Returns the new tables and the rows of `ids` that are refused.
 
-    A row is refused if a row that would stay refers to it, or to what would go with it, by a restricting reference.
-    Tables that are not given are taken to have no rows.
+    A row is refused if a row refers to it, or to what would go with it, by a restricting reference. What hangs below a
+    row that is refused may itself be asked for and go. Tables that are not given are taken to have no rows.
     """
     refused = restricted(tables, name, ids, specs)
-    gone = {name: ids.select("id").join(refused, "id", "left_anti")}
-    order, out = [name], dict(tables)
-    while order:
-        at = order.pop(0)
-        going = gone[at]
-        for child, spec in specs.items():
-            for ref in spec.references:
-                if ref.table != at or child not in tables:
-                    continue
-                hit = going.select(F.col("id").alias(ref.column))
-                if ref.on_delete == "set_null":
-                    there = flagged(out[child], hit, ref.column, "hit", ref.column)
-                    out[child] = there.withColumn(ref.column, F.when(~F.col("hit"), F.col(ref.column))).select(*out[child].columns)
-                elif ref.on_delete == "cascade" and child == at:
-                    gone[at] = going = subtree(tables[at], going, parent=ref.column)
-                elif ref.on_delete == "cascade":
-                    more = tables[child].join(hit, ref.column, "left_semi").select("id")
-                    gone[child] = gone[child].unionByName(more).distinct() if child in gone else more
-                    order = [t for t in order if t != child] + [child]
+    gone, out = taken_along(tables, name, ids.select("id").join(refused, "id", "left_anti"), specs), dict(tables)
+    for at, going in gone.items():
+        for child, ref in _links(at, tables, specs):
+            if ref.on_delete == "set_null":
+                there = flagged(out[child], going.select(F.col("id").alias(ref.column)), ref.column, "hit", ref.column)
+                out[child] = there.withColumn(ref.column, F.when(~F.col("hit"), F.col(ref.column))).select(*out[child].columns)
     for t, rows in gone.items():
         out[t] = out[t].join(rows, "id", "left_anti").select(*out[t].columns)
     return out, refused
 
 
 def restricted(tables: dict[str, DataFrame], name: str, ids: DataFrame, specs: dict[str, TableSpec] = SPECS) -> DataFrame:
-    """Those of ids that something restricts, directly or below what a delete would take along."""
-    found = ids.select("id", F.col("id").alias("root"))
-    out, reach = None, {name: found}
-    order = [name]
-    while order:
-        at = order.pop(0)
-        for child, spec in specs.items():
-            for ref in spec.references:
-                if ref.table != at or child not in tables or child == at:
-                    continue
-                below = tables[child].select(F.col("id").alias("child"), F.col(ref.column).alias("id")).join(reach[at], "id")
-                if ref.on_delete == "restrict":
-                    out = below.select("root") if out is None else out.unionByName(below.select("root"))
-                elif ref.on_delete == "cascade":
-                    rows = below.select(F.col("child").alias("id"), "root")
-                    reach[child] = reach[child].unionByName(rows) if child in reach else rows
-                    order.append(child)
-    return (ids.select("id").where(F.lit(False)) if out is None else out.distinct().withColumnRenamed("root", "id")).select("id")
+    """Those of ids that something restricts, directly or below what a delete would take along.
+
+    Down: what would go. Up: rows of it that something restricts, and what would have to take these along.
+    """
+    gone, blocked = taken_along(tables, name, ids, specs), {}
+    for at in reversed(_order(name, tables, specs)):
+        if at not in gone:
+            continue
+        found = []
+        for child, ref in _links(at, tables, specs):
+            if ref.on_delete == "restrict":
+                found.append(tables[child].select(F.col(ref.column).alias("id")))
+            elif ref.on_delete == "cascade" and child != at and child in blocked:
+                found.append(tables[child].join(blocked[child], "id", "left_semi").select(F.col(ref.column).alias("id")))
+        if not found:
+            continue
+        blocked[at] = gone[at].distinct().join(reduce(DataFrame.unionByName, found), "id", "left_semi")
+        for _, ref in (x for x in _links(at, tables, specs) if x[0] == at and x[1].on_delete == "cascade"):
+            blocked[at] = above(tables[at].join(gone[at], "id", "left_semi"), blocked[at], parent=ref.column)
+    return ids.select("id").distinct().join(blocked[name], "id", "left_semi") if name in blocked else ids.select("id").where(F.lit(False))
 
 
 def roles_assigned(users: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(users with new roles, refused requests with MISSING or UNCONFIRMED)."""
-    new = wanted.select("id", F.col("rol").alias("new"))
+    """(users with new roles, of several requests for one the last, refused requests with MISSING or UNCONFIRMED)."""
+    new = merged(wanted.drop("fields"), ["rol"]).select("id", F.col("rol").alias("new"))
     out = users.join(new, "id", "left").withColumn("rol", F.when(F.col("confirmed") & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("rol"))).select(*users.columns)
     state = wanted.join(users.select("id", "confirmed"), "id", "left")
     return out, state.withColumn("fault", F.when(F.col("confirmed").isNull(), "MISSING").when(~F.col("confirmed"), "UNCONFIRMED")).where("fault IS NOT NULL").drop("confirmed")

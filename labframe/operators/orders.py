@@ -71,8 +71,13 @@ def created(batch: DataFrame, items: DataFrame, patients: DataFrame, doctors: Da
 
 
 def with_courtesy(orders: DataFrame, patches: DataFrame) -> DataFrame:
-    """Orders whose courtesy a patch (id, courtesyPercent) changes get discount and total anew, from the stored subtotal."""
-    new = patches.select("id", F.col("courtesyPercent").cast("double").alias("new"))
+    """Orders whose courtesy a patch (id, courtesyPercent) changes get discount and total anew, from the stored subtotal.
+
+    Of several patches of an order the last by batch_seq counts; without that column the job fails on them.
+    """
+    from labframe.operators.mutate import merged
+
+    new = merged(patches.drop("fields"), ["courtesyPercent"]).select("id", F.col("courtesyPercent").cast("double").alias("new"))
     subtotal = F.col("subtotalAmount").cast("double")
     discount = courtesy(subtotal, F.col("new"))
     changed = F.col("new").isNotNull()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labframe.operators.lookup import flagged
-from labframe.operators.mutate import patched, replaced_children
+from labframe.operators.mutate import SEQUENCE, patched, replaced_children
 from labframe.operators.search import active
 
 
@@ -44,18 +44,24 @@ def created(batch: DataFrame, orders: DataFrame, items: DataFrame, results: Data
     return out.drop("o", "i", "r", "first", "orderSampleAt")
 
 
-def results_patched(results: DataFrame, values: DataFrame, patches: DataFrame, new_values: DataFrame, details: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def results_patched(results: DataFrame, values: DataFrame, patches: DataFrame, new_values: DataFrame, details: DataFrame, sequence: str = SEQUENCE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, values, patches with the first fault or null) after patches (id, fields, columns) with new values apart.
 
     Faults: MISSING (no active result), ORDER, ITEM (the result's order or item differs; they never change). Times are
     set if given; method, observations and isDraft also to null if the patch names them. A result that brings values
     (studyResultId, ...) loses its old ones, and the new ones snapshot their details; without any it keeps them.
+    Several patches of a result take effect in the order of `sequence`; values then name their patch by it, and those of
+    the last good patch that brings any stay.
     """
     old = results.select("id", F.col("isActive").alias("there"), F.col("serviceOrderId").alias("o"), F.col("serviceOrderItemId").alias("i"))
     other = lambda c, was: F.coalesce(F.col(c) != F.col(was), F.lit(False))
     fault = F.when(~F.coalesce("there", F.lit(False)), "MISSING").when(other("serviceOrderId", "o"), "ORDER").when(other("serviceOrderItemId", "i"), "ITEM")
     state = patches.join(old, "id", "left").withColumn("fault", fault).select(*patches.columns, "fault")
     good = state.where("fault IS NULL")
-    out = patched(patched(results, good, ["sampleAt", "reportedAt"], nullable=False), good, ["method", "observations", "isDraft"])
-    mine = new_values.join(good.select(F.col("id").alias("studyResultId")), "studyResultId", "left_semi")
+    out = patched(patched(results, good, ["sampleAt", "reportedAt"], nullable=False, sequence=sequence), good, ["method", "observations", "isDraft"], sequence=sequence)
+    by = [sequence] if sequence in patches.columns and sequence in new_values.columns else []
+    mine = new_values.join(good.select(F.col("id").alias("studyResultId"), *by), ["studyResultId", *by], "left_semi")
+    if by:
+        last = mine.groupBy("studyResultId").agg(F.max(sequence).alias(sequence))
+        mine = mine.join(last, ["studyResultId", sequence], "left_semi")
     return out, replaced_children(values, snapshot(mine, details).select(*values.columns), "studyResultId"), state

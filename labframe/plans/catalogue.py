@@ -7,6 +7,7 @@ Durations of the access folds are scaled to the events at hand (two days for a l
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -451,9 +452,9 @@ def draft_results(t: Tables) -> DataFrame:
     return out.select("serviceOrderItemId", "serviceOrderId", "sampleAt", F.size("values").cast("bigint").alias("n_values"), F.array_join(F.transform("values", lambda v: v["studyDetailId"].cast("string")), ",").alias("detail_ids"))
 
 
-@query("SELECT i.id, CASE WHEN d.id IS NOT NULL THEN d.name ELSE 'own' END AS label, CASE WHEN d.id IS NOT NULL THEN CASE WHEN d.id % 2 = 0 THEN d.unit END ELSE 'mg' END AS unit, CASE WHEN d.id IS NOT NULL THEN d.referenceValue END AS referenceValue FROM sheet_items i LEFT JOIN study_details d ON d.id = i.studyId + 900", "sheet_items", "study_details")
+@query("SELECT i.id, CASE WHEN d.id IS NOT NULL THEN d.name ELSE 'own' END AS label, CASE WHEN d.id IS NOT NULL THEN CASE WHEN d.id % 2 = 0 THEN d.unit END ELSE 'mg' END AS unit, CASE WHEN d.id IS NOT NULL THEN d.referenceValue END AS referenceValue FROM sheet_items i LEFT JOIN study_details d ON d.id = i.studyId + 100", "sheet_items", "study_details")
 def snapshot_values(t: Tables) -> DataFrame:
-    values = t.sheet_items.select("id", (F.col("studyId") + 900).alias("studyDetailId"), F.lit("own").alias("label"), F.lit("mg").alias("unit"), F.lit(None).cast("string").alias("referenceValue"))
+    values = t.sheet_items.select("id", (F.col("studyId") + 100).alias("studyDetailId"), F.lit("own").alias("label"), F.lit("mg").alias("unit"), F.lit(None).cast("string").alias("referenceValue"))
     details = t.study_details.withColumn("unit", F.when(F.col("id") % 2 == 0, F.col("unit")))
     return results.snapshot(values, details).select("id", "label", "unit", "referenceValue")
 
@@ -471,7 +472,7 @@ def _sheets(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     values = t.sheet_items.selectExpr("id AS studyResultId", "CAST(NULL AS BIGINT) AS studyDetailId", "'old' AS label", "'mg' AS unit", "'1-2' AS referenceValue", "'7' AS value", "1 AS sortOrder")
     patches = t.sheet_items.where("id % 3 = 0").selectExpr("id", "CASE WHEN id % 7 = 0 THEN serviceOrderId + 1 END AS serviceOrderId", "CASE WHEN id % 5 = 0 THEN id + 1 ELSE id END AS serviceOrderItemId", "CASE WHEN id % 2 = 0 THEN TIMESTAMP_NTZ'2024-01-02 03:04:05' END AS sampleAt", "CAST(NULL AS TIMESTAMP_NTZ) AS reportedAt", "CAST(NULL AS STRING) AS method", "'new' AS observations", "false AS isDraft")
     patches = patches.withColumn("fields", F.array(*map(F.lit, ("sampleAt", "reportedAt", "method", "isDraft"))))
-    return rows, values, patches, t.sheet_items.where("id % 6 = 0").selectExpr("id AS studyResultId", "studyId + 900 AS studyDetailId", "'own' AS label", "'g' AS unit", "CAST(NULL AS STRING) AS referenceValue", "'9' AS value", "2 AS sortOrder")
+    return rows, values, patches, t.sheet_items.where("id % 6 = 0").selectExpr("id AS studyResultId", "studyId + 100 AS studyDetailId", "'own' AS label", "'g' AS unit", "CAST(NULL AS STRING) AS referenceValue", "'9' AS value", "2 AS sortOrder")
 
 
 _SHEETS = """WITH f AS (SELECT id, studyId, CASE WHEN id % 8 = 0 THEN 'MISSING' WHEN id % 7 = 0 THEN 'ORDER' WHEN id % 5 = 0 THEN 'ITEM' END AS fault FROM sheet_items WHERE id % 3 = 0)"""
@@ -482,7 +483,7 @@ def result_patch(t: Tables) -> DataFrame:
     return results.results_patched(*_sheets(t), t.study_details)[0].select("id", "serviceOrderId", "sampleAt", "method", "observations", "isDraft")
 
 
-@query(f"{_SHEETS} SELECT i.id AS studyResultId, CASE WHEN n THEN coalesce(d.name, 'own') ELSE 'old' END AS label, CASE WHEN NOT n THEN 'mg' WHEN d.id IS NULL THEN 'g' ELSE d.unit END AS unit, CASE WHEN n THEN '9' ELSE '7' END AS value FROM (SELECT i.*, f.id IS NOT NULL AND i.id % 6 = 0 AS n FROM sheet_items i LEFT JOIN f ON f.id = i.id AND f.fault IS NULL) i LEFT JOIN study_details d ON d.id = i.studyId + 900", "sheet_items", "study_details")
+@query(f"{_SHEETS} SELECT i.id AS studyResultId, CASE WHEN n THEN coalesce(d.name, 'own') ELSE 'old' END AS label, CASE WHEN NOT n THEN 'mg' WHEN d.id IS NULL THEN 'g' ELSE d.unit END AS unit, CASE WHEN n THEN '9' ELSE '7' END AS value FROM (SELECT i.*, f.id IS NOT NULL AND i.id % 6 = 0 AS n FROM sheet_items i LEFT JOIN f ON f.id = i.id AND f.fault IS NULL) i LEFT JOIN study_details d ON d.id = i.studyId + 100", "sheet_items", "study_details")
 def result_patch_values(t: Tables) -> DataFrame:
     return results.results_patched(*_sheets(t), t.study_details)[1].select("studyResultId", "label", "unit", "value")
 
@@ -652,6 +653,73 @@ def patch_coalesce(t: Tables) -> DataFrame:
     return mutate.patched(t.patients, patches, ["firstName", "documentType"], nullable=False).select("id", "firstName", "documentType")
 
 
+def _turns(df: DataFrame, *each: tuple[str, ...]) -> DataFrame:
+    """Several patches for each row of df, numbered in turn: expressions of their columns, the last one of their fields."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.selectExpr("id", f"{i} AS batch_seq", *e) for i, e in enumerate(each)])
+
+
+@query("SELECT id, CASE WHEN isActive AND id % 5 = 0 THEN CASE WHEN id % 3 > 0 THEN concat('n', id) END ELSE firstName END AS firstName, CASE WHEN isActive AND id % 5 = 0 AND id % 2 = 0 THEN NULL ELSE documentType END AS documentType FROM patients", "patients")
+def patch_in_turn(t: Tables) -> DataFrame:
+    patches = _turns(t.patients.where("id % 5 = 0"), ("'first' AS firstName", "array('firstName') AS fields"), ("CAST(NULL AS STRING) AS documentType", "CASE WHEN id % 2 = 0 THEN array('documentType') ELSE array() END AS fields"), ("CASE WHEN id % 3 > 0 THEN concat('n', id) END AS firstName", "array('firstName') AS fields"))
+    return mutate.patched(t.patients, patches, ["firstName", "documentType"]).select("id", "firstName", "documentType")
+
+
+@query("SELECT id, CASE WHEN isActive AND id % 5 = 0 THEN CASE WHEN id % 3 > 0 THEN concat('n', id) ELSE 'first' END ELSE firstName END AS firstName FROM patients", "patients")
+def patch_coalesce_in_turn(t: Tables) -> DataFrame:
+    patches = _turns(t.patients.where("id % 5 = 0"), ("'first' AS firstName", "array('firstName') AS fields"), ("CASE WHEN id % 3 > 0 THEN concat('n', id) END AS firstName", "array('firstName') AS fields"))
+    return mutate.patched(t.patients, patches, ["firstName"], nullable=False).select("id", "firstName")
+
+
+def _order_turns(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders, and four patches for every third: another patient, another doctor, the patient as it was, a courtesy."""
+    rows = t.service_orders.withColumns({"discountAmount": fn.money(F.lit(0)), "totalAmount": fn.money(F.col("subtotalAmount")), "subtotalAmount": fn.money(F.col("subtotalAmount"))})
+    every = t.service_orders.where("id % 3 = 0")
+    return rows, _turns(every, ("patientId + 1 AS patientId", "array('patientId') AS fields"), ("patientId", "id % 90 AS doctorId", "array('patientId', 'doctorId') AS fields"), ("patientId", "array('patientId') AS fields"), ("id % 40 * 1e0 AS courtesyPercent", "doctorId", "array('courtesyPercent', 'doctorId') AS fields"))
+
+
+_ORDER_TURNS = f"""WITH RECURSIVE b AS (SELECT id, s, CASE s WHEN 0 THEN patientId + 1 WHEN 3 THEN NULL ELSE patientId END AS np, CASE s WHEN 1 THEN id % 90 WHEN 3 THEN doctorId END AS nd, CASE s WHEN 3 THEN id % 40 * 1e0 END AS nc FROM service_orders, range(4) r(s) WHERE id % 3 = 0),
+f AS (SELECT id, -1::BIGINT AS s, isActive, patientId AS p, doctorId AS d, courtesyPercent AS c, NULL::VARCHAR AS fault FROM service_orders
+ UNION ALL SELECT id, s, isActive, CASE WHEN fault IS NULL THEN coalesce(np, p) ELSE p END, CASE WHEN fault IS NULL THEN coalesce(nd, d) ELSE d END, CASE WHEN fault IS NULL THEN coalesce(nc, c) ELSE c END, fault FROM (
+  SELECT f.id, b.s, f.isActive, f.p, f.d, f.c, np, nd, nc, CASE WHEN NOT f.isActive THEN 'MISSING' WHEN np <> p AND np NOT IN (SELECT id FROM patients WHERE isActive) THEN 'PATIENT' WHEN nd IS NOT NULL AND nd IS DISTINCT FROM d AND nd NOT IN (SELECT id FROM doctors WHERE isActive) THEN 'DOCTOR' END AS fault FROM f JOIN b ON b.id = f.id AND b.s = f.s + 1))"""
+
+
+@query(f"""{_ORDER_TURNS}, n AS (SELECT f.id, p, d, c, o.id IS NOT NULL AS again, CAST({sql_money("subtotalAmount")} AS DOUBLE) AS s FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC) = 1) f JOIN service_orders USING (id) LEFT JOIN (SELECT id FROM f WHERE s = 3 AND fault IS NULL) o ON o.id = f.id)
+SELECT id, p AS patientId, d AS doctorId, c AS courtesyPercent, CASE WHEN again THEN {sql_money("s - s * (c / 100e0)")} ELSE s END AS totalAmount FROM n""", "service_orders", "patients", "doctors")
+def order_patch_in_turn(t: Tables) -> DataFrame:
+    out = mutate.orders_patched(*_order_turns(t), t.patients, t.doctors)[0]
+    return out.select("id", "patientId", "doctorId", "courtesyPercent", money("totalAmount").alias("totalAmount"))
+
+
+@query(f"{_ORDER_TURNS} SELECT id, s AS batch_seq, fault FROM f WHERE s >= 0", "service_orders", "patients", "doctors")
+def order_patch_in_turn_faults(t: Tables) -> DataFrame:
+    return mutate.orders_patched(*_order_turns(t), t.patients, t.doctors)[1].select("id", F.col("batch_seq").cast("bigint").alias("batch_seq"), "fault")
+
+
+@query("SELECT id, CASE WHEN isActive AND id % 6 = 0 THEN CASE WHEN id % 4 = 0 THEN 'Y' ELSE 'X' END ELSE status END AS status FROM service_orders", "service_orders")
+def status_in_turn(t: Tables) -> DataFrame:
+    return mutate.with_status(t.service_orders, _turns(t.service_orders.where("id % 6 = 0"), ("'X' AS status",), ("CASE WHEN id % 4 = 0 THEN 'Y' END AS status",))).select("id", "status")
+
+
+@query("SELECT id, CASE WHEN confirmed AND id % 2 = 0 THEN CASE WHEN id % 3 = 0 THEN 'admin' ELSE 'recepcionista' END ELSE rol END AS rol FROM users", "users")
+def role_in_turn(t: Tables) -> DataFrame:
+    return mutate.roles_assigned(t.users, _turns(t.users.where("id % 2 = 0"), ("'recepcionista' AS rol",), ("CASE WHEN id % 3 = 0 THEN 'admin' END AS rol",)))[0].select("id", "rol")
+
+
+@query("""WITH f AS (SELECT id, studyId, id % 8 = 0 AS missing FROM sheet_items WHERE id % 3 = 0)
+SELECT i.id AS studyResultId, r.k, CASE WHEN f.id IS NULL OR f.missing THEN 'old' WHEN i.id % 5 = 0 THEN 'first' ELSE 'second' END AS label, CASE WHEN f.id IS NULL OR f.missing THEN 'by hand' WHEN i.id % 5 = 0 THEN 'a' END AS method FROM sheet_items i LEFT JOIN f ON f.id = i.id, range(2) r(k) WHERE r.k = 0 OR (f.id IS NOT NULL AND NOT f.missing AND i.id % 5 <> 0)""", "sheet_items")
+def result_patch_in_turn(t: Tables) -> DataFrame:
+    """Two patches a result, the second of which is refused for every fifth: its two values take the place of the first one's."""
+    rows, values, _, _ = _sheets(t)
+    each = t.sheet_items.where("id % 3 = 0")
+    patches = _turns(each, ("'a' AS method", "serviceOrderId", "id AS serviceOrderItemId", "array('method') AS fields"), ("CAST(NULL AS STRING) AS method", "CASE WHEN id % 5 = 0 THEN serviceOrderId + 1 ELSE serviceOrderId END AS serviceOrderId", "id AS serviceOrderItemId", "array('method') AS fields"))
+    empty = {c: F.lit(None).cast(k) for c, k in (("sampleAt", "timestamp_ntz"), ("reportedAt", "timestamp_ntz"), ("observations", "string"), ("isDraft", "boolean"))}
+    first = each.selectExpr("id AS studyResultId", "0 AS batch_seq", "CAST(NULL AS BIGINT) AS studyDetailId", "'first' AS label", "'g' AS unit", "CAST(NULL AS STRING) AS referenceValue", "'1' AS value", "0 AS sortOrder")
+    second = first.withColumns({"batch_seq": F.lit(1), "label": F.lit("second")})
+    new = first.unionByName(second).unionByName(second.withColumn("sortOrder", F.lit(1)))
+    out, kept, _ = results.results_patched(rows, values.withColumn("sortOrder", F.lit(0)), patches.withColumns(empty), new, t.study_details)
+    return kept.join(out.select(F.col("id").alias("studyResultId"), "method"), "studyResultId").select("studyResultId", F.col("sortOrder").cast("bigint").alias("k"), "label", "method")
+
+
 @query("SELECT id, code, CASE WHEN NOT isActive THEN 'MISSING' WHEN id % 4 <> 1 AND changed IN (SELECT code FROM studies) AND changed <> code THEN 'TAKEN' END AS fault FROM (SELECT id, isActive, CASE id % 4 WHEN 0 THEN code WHEN 1 THEN code ELSE concat('Brand#', id % 55, '-', id) END AS changed, code FROM studies)", "studies")
 def patch_conflicts(t: Tables) -> DataFrame:
     code = F.when(F.col("id") % 4 < 2, F.col("code")).otherwise(F.concat(F.lit("Brand#"), F.col("id") % 55, F.lit("-"), "id"))
@@ -675,6 +743,15 @@ def _new_details(t: Tables) -> DataFrame:
     return t.study_details.selectExpr("id + 1000000 AS id", "CASE WHEN id % 5 = 0 THEN studyId + 1 ELSE studyId END AS studyId", "CASE WHEN id % 3 > 0 THEN id END AS parentId", "'new' AS name", "1 AS sortOrder")
 
 
+@query("""WITH RECURSIVE b AS (SELECT id, CASE WHEN id % 17 = 7 THEN id % 40 + 1 ELSE id % 40 END AS studyId, CASE WHEN id % 29 = 3 THEN id + 40 WHEN id >= 40 THEN id - 40 END AS parentId FROM study_details), a AS (SELECT * FROM b WHERE studyId IN (SELECT id FROM studies WHERE isActive)),
+g AS (SELECT id, studyId FROM a WHERE parentId IS NULL UNION SELECT a.id, a.studyId FROM a JOIN g ON a.parentId = g.id AND a.studyId = g.studyId AND a.id > g.id)
+SELECT b.id + 1000000 AS id, CASE WHEN a.id IS NULL THEN 'STUDY' WHEN g.id IS NULL THEN 'PARENT' END AS fault FROM b LEFT JOIN a ON a.id = b.id LEFT JOIN g ON g.id = b.id""", "study_details", "studies")
+def detail_insert_chains(t: Tables) -> DataFrame:
+    """A batch in which rows hang below earlier rows of the batch."""
+    rows = t.study_details.selectExpr("id + 1000000 AS id", "CASE WHEN id % 17 = 7 THEN id % 40 + 1 ELSE id % 40 END AS studyId", "1000000 + CASE WHEN id % 29 = 3 THEN id + 40 WHEN id >= 40 THEN id - 40 END AS parentId", "'new' AS name", "1 AS sortOrder")
+    return mutate.details_added(t.study_details, rows, t.studies)[1].select("id", "fault")
+
+
 @query("SELECT id, CASE WHEN isActive AND id % 6 = 0 THEN 'X' ELSE status END AS status FROM service_orders", "service_orders")
 def status_update(t: Tables) -> DataFrame:
     return mutate.with_status(t.service_orders, t.service_orders.where("id % 6 = 0").select("id", F.lit("X").alias("status"))).select("id", "status")
@@ -691,14 +768,14 @@ def soft_delete(t: Tables) -> DataFrame:
     return mutate.soft_deleted(t.patients, t.patients.where("id % 8 = 0").select("id")).select("id", "isActive")
 
 
-@query("SELECT w.id, p.id IS NOT NULL AS found FROM (SELECT id + 500 AS id FROM patients) w LEFT JOIN patients p ON p.id = w.id", "patients")
+@query("SELECT w.id, p.id IS NOT NULL AS found FROM (SELECT id + 100 AS id FROM patients) w LEFT JOIN patients p ON p.id = w.id", "patients")
 def hard_delete(t: Tables) -> DataFrame:
-    return lookup.affected(t.patients.select((F.col("id") + 500).alias("id")), t.patients).select("id", "found")
+    return lookup.affected(t.patients.select((F.col("id") + 100).alias("id")), t.patients).select("id", "found")
 
 
-@query("SELECT id, firstName FROM patients WHERE id <= 500", "patients")
+@query("SELECT id, firstName FROM patients WHERE id NOT IN (SELECT id + 100 FROM patients)", "patients")
 def hard_delete_rows(t: Tables) -> DataFrame:
-    return mutate.hard_deleted(t.patients, t.patients.select((F.col("id") + 500).alias("id"))).select("id", "firstName")
+    return mutate.hard_deleted(t.patients, t.patients.select((F.col("id") + 100).alias("id"))).select("id", "firstName")
 
 
 @query("""WITH gone AS (SELECT id FROM patients WHERE id % 3 = 0 AND id NOT IN (SELECT patientId FROM service_orders))
@@ -720,6 +797,18 @@ def detail_subtree(t: Tables) -> DataFrame:
     return mutate.subtree(t.study_details, t.study_details.where("id % 97 = 0"))
 
 
+@query("""WITH RECURSIVE d AS (SELECT id, CASE WHEN id >= 60 AND id % 7 <> 0 THEN id - 60 END AS parentId FROM study_details), w AS (SELECT id AS root, id FROM d WHERE id % 9 = 0 UNION SELECT w.root, d.id FROM w JOIN d ON d.parentId = w.id),
+r AS (SELECT DISTINCT root FROM w WHERE id % 31 = 5), gone AS (SELECT DISTINCT id FROM w WHERE root NOT IN (SELECT root FROM r))
+SELECT id, CASE WHEN id IN (SELECT root FROM r) THEN 'refused' WHEN id IN (SELECT id FROM gone) THEN 'gone' ELSE 'stays' END AS state FROM d""", "study_details")
+def cascade_below_restrict(t: Tables) -> DataFrame:
+    """Details with all that hang below them, unless a result's value refers to one of these."""
+    details = t.study_details.selectExpr("id", "CASE WHEN id >= 60 AND id % 7 <> 0 THEN id - 60 END AS parentId")
+    values = details.where("id % 31 = 5").select("id", F.col("id").alias("studyDetailId"))
+    after, refused = mutate.cascaded({"study_details": details, "study_result_values": values}, "study_details", details.where("id % 9 = 0"))
+    state = lookup.flagged(lookup.flagged(details, refused, "id", "refused"), after["study_details"], "id", "there")
+    return state.select("id", F.when(F.col("refused"), "refused").when(F.col("there"), "stays").otherwise("gone").alias("state"))
+
+
 @query("SELECT id, CASE WHEN confirmed AND id % 2 = 0 THEN 'recepcionista' ELSE rol END AS rol FROM users", "users")
 def role_assign(t: Tables) -> DataFrame:
     return mutate.roles_assigned(t.users, t.users.where("id % 2 = 0").select("id", F.lit("recepcionista").alias("rol")))[0].select("id", "rol")

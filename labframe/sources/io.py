@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from labframe.sources.schema import TableSpec
 IMAGE_TYPES, IMAGE_BYTES = ("image/jpeg", "image/png", "image/webp"), 2 * 1024 * 1024
 
 
+#: Where stored tables lie.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def read_table(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     """A table with its declared schema; columns that nobody asks for are not read."""
     return spark.read.schema(spec.struct).parquet(path)
@@ -93,4 +98,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to a scratch folder and read again, which cuts its lineage and outlives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
