@@ -578,6 +578,13 @@ def _streamed(t: Tables, kinds: list[str], make: Callable[[DataFrame], DataFrame
     return t.spark.read.parquet(f"{folder}/out")
 
 
+def _streamed_from(t: Tables, feed: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The same over a stored table of events."""
+    source, folder = io.read_stream(t.spark, io.folder_of(feed), feed.schema), io.scratch(t.spark, "stream")
+    processors.log_sink(make(source), f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out")
+
+
 @query(f"{_ACCESS} SELECT user_id, event_id, outcome FROM f WHERE k > 0", "access")
 def stream_access(t: Tables) -> DataFrame:
     return _streamed(t, ["login", "mfa"], lambda events: processors.access_stream(events, "user_id", 2 * DAY, 2 * DAY)).select("user_id", "event_id", "outcome")
@@ -595,6 +602,42 @@ def reset_token_check(t: Tables) -> DataFrame:
     return access.reset_token_check(uses, issues).select("event_id", "valid")
 
 
+def _flow(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Requests, and uses that show the token of the user's latest request: two of five only ask, one of five shows a wrong one."""
+    requests = t.access.where("kind = 'reset_request'").select("event_id", "user_id", "ts", "known", F.concat(F.lit("t"), "event_id").alias("token"))
+    uses = access.nearest(t.access.where("kind = 'mfa'").select("event_id", "user_id", "ts", "known"), requests.select("user_id", "ts", F.col("token").alias("value")), "user_id", "token")
+    return requests, uses.withColumns({"token": F.when(F.col("event_id") % 5 == 0, "wrong").otherwise(F.col("token")), "kind": F.when(F.col("event_id") % 5 > 2, "reset_check").otherwise("reset_use")})
+
+
+_FLOW = f"""WITH RECURSIVE r AS (SELECT *, {_micros("ts")} AS t FROM access WHERE kind = 'reset_request'),
+b AS (SELECT user_id, event_id, t, known, 'reset_request' AS kind, concat('t', event_id) AS token FROM r UNION ALL SELECT user_id, event_id, {_micros("ts")}, known, CASE WHEN event_id % 5 > 2 THEN 'reset_check' ELSE 'reset_use' END, CASE WHEN event_id % 5 = 0 THEN 'wrong' ELSE (SELECT concat('t', arg_max(r.event_id, r.t)) FROM r WHERE r.user_id = a.user_id AND r.t <= {_micros("a.ts")}) END FROM access a WHERE kind = 'mfa'),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM b),
+f AS (SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, ''::VARCHAR AS outcome, 0::BIGINT AS n, NULL::BIGINT AS st, NULL::VARCHAR AS have, NULL::BIGINT AS life FROM (SELECT DISTINCT user_id FROM e)
+ UNION ALL SELECT user_id, k, event_id, o, CASE o WHEN 'SENT' THEN c + 1 WHEN 'THROTTLED' THEN c WHEN 'DONE' THEN 0 ELSE n END, CASE WHEN o = 'DONE' THEN NULL WHEN o IN ('SENT', 'THROTTLED') AND fresh THEN t ELSE st END, CASE o WHEN 'SENT' THEN token WHEN 'DONE' THEN NULL ELSE have END, CASE o WHEN 'SENT' THEN t + 172800000000 WHEN 'DONE' THEN NULL ELSE life END
+ FROM (SELECT *, CASE WHEN kind = 'reset_request' THEN CASE WHEN NOT known THEN 'UNKNOWN' WHEN c < 3 THEN 'SENT' ELSE 'THROTTLED' END WHEN known AND have = token AND life >= t THEN CASE kind WHEN 'reset_use' THEN 'DONE' ELSE 'VALID' END ELSE 'INVALID' END AS o
+  FROM (SELECT e.*, f.n, f.st, f.have, f.life, f.st IS NULL OR e.t - f.st > 432000000000 AS fresh, CASE WHEN f.st IS NULL OR e.t - f.st > 432000000000 THEN 0 ELSE f.n END AS c FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)))
+SELECT user_id, event_id, outcome FROM f WHERE k > 0"""
+
+
+@query(_FLOW, "access")
+def reset_flow(t: Tables) -> DataFrame:
+    """Reset tokens that serve once: requests and uses in one fold."""
+    return access.flow_outcomes(*_flow(t), "user_id", window=5 * DAY, life=2 * DAY)
+
+
+@query(_FLOW, "access")
+def reset_flow_stream(t: Tables) -> DataFrame:
+    requests, uses = _flow(t)
+    feed = io.stored(requests.withColumn("kind", F.lit("reset_request")).unionByName(uses), "feed")
+    return _streamed_from(t, feed, lambda events: processors.flow_stream(events, "user_id", 5 * DAY, 2 * DAY, "400 days")).select("user_id", "event_id", "outcome")
+
+
+@query(f"{_ACCESS} SELECT user_id, event_id, outcome FROM f WHERE k > 0", "access")
+def access_in_blocks(t: Tables) -> DataFrame:
+    """Every key as if it had too many events for a task."""
+    return access.access_outcomes(t.access.where("kind IN ('login', 'mfa')"), "user_id", lock=2 * DAY, mfa=2 * DAY, hot=40)
+
+
 _SESSIONS = """s AS (SELECT o.*, o.ts + INTERVAL 1 DAY AS expires_at, (SELECT min(l.ts) FROM access l WHERE l.event_type = 'purchase' AND l.user_id = o.user_id AND l.event_id % 3 = 0 AND l.ts >= o.ts) AS revoked_at FROM (SELECT concat('s', event_id) AS jti, user_id, ts FROM access WHERE event_type = 'signup' AND known) o)"""
 
 
@@ -624,6 +667,41 @@ def session_check(t: Tables) -> DataFrame:
     return access.session_check(requests, _sessions(t)).select("event_id", "jti", "verdict")
 
 
+def _feed(t: Tables) -> DataFrame:
+    """Opens, logouts of the user's latest session, logouts from everywhere, and requests for the latest or, now and then, the user's last session of all."""
+    opens = t.access.where("event_type = 'signup' AND known").select("event_id", "user_id", "ts", F.concat(F.lit("s"), "event_id").alias("jti"))
+    last = opens.groupBy("user_id").agg(F.concat(F.lit("s"), F.max("event_id")).alias("final"))
+    asks = t.access.where("event_type = 'view' OR (event_type = 'error' AND event_id % 2 = 0)").select("event_id", "user_id", "ts", "event_type")
+    asks = access.nearest(asks, opens.select("user_id", "ts", F.col("jti").alias("value")), "user_id", "jti").join(last, "user_id", "left")
+    jti = F.when((F.col("event_type") == "error") | (F.col("event_id") % 9 > 1), F.col("jti")).when(F.col("event_id") % 9 == 1, F.col("final"))
+    asks = asks.select("event_id", "user_id", "ts", jti.alias("jti"), F.when(F.col("event_type") == "error", "logout").otherwise("request").alias("kind"))
+    every = t.access.where("event_type = 'purchase' AND event_id % 3 = 0").select("event_id", "user_id", "ts", F.lit(None).cast("string").alias("jti"), F.lit("logout_all").alias("kind"))
+    return opens.withColumn("kind", F.lit("open")).unionByName(asks).unionByName(every)
+
+
+_FEED = """WITH o AS (SELECT event_id, user_id, ts FROM access WHERE event_type = 'signup' AND known),
+q AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_type = 'error' OR event_id % 9 > 1 THEN (SELECT arg_max(o.event_id, (o.ts, o.event_id)) FROM o WHERE o.user_id = a.user_id AND o.ts <= a.ts) WHEN event_id % 9 = 1 THEN (SELECT max(o.event_id) FROM o WHERE o.user_id = a.user_id) END AS jti FROM access a WHERE event_type = 'view' OR (event_type = 'error' AND event_id % 2 = 0)),
+s AS (SELECT o.*, o.ts + INTERVAL 1 DAY AS expires, least((SELECT min(q.ts) FROM q WHERE q.event_type = 'error' AND q.jti = o.event_id AND q.ts >= o.ts), (SELECT min(l.ts) FROM access l WHERE l.event_type = 'purchase' AND l.event_id % 3 = 0 AND l.user_id = o.user_id AND l.ts >= o.ts)) AS revoked FROM o)
+SELECT q.event_id, CASE WHEN q.jti IS NULL THEN 'NO_JTI' WHEN s.event_id IS NULL OR s.ts > q.ts THEN 'NOT_FOUND' WHEN s.revoked <= q.ts THEN 'REVOKED' WHEN s.expires < q.ts THEN 'EXPIRED' ELSE 'OK' END AS verdict FROM q LEFT JOIN s ON s.event_id = q.jti WHERE q.event_type = 'view'"""
+
+
+@query(_FEED, "access")
+def session_check_logouts(t: Tables) -> DataFrame:
+    """Requests against sessions that single logouts and logouts from everywhere end."""
+    of = {k: _feed(t).where(F.col("kind") == k).drop("kind") for k in ("open", "logout", "logout_all", "request")}
+    found = access.sessions(of["open"].drop("event_id"), of["logout"].select("jti", "ts").where("jti IS NOT NULL"), of["logout_all"].select("user_id", "ts"), DAY)
+    return access.session_check(of["request"].drop("user_id"), found).select("event_id", "verdict")
+
+
+@query(_FEED, "access")
+def session_feed(t: Tables) -> DataFrame:
+    """The same from one stream of opens, logouts and requests, without a table of sessions."""
+    feed = io.stored(_feed(t), "feed")
+    asked = io.stored(feed.where("kind = 'request'").select("event_id"), "asked")
+    out = _streamed_from(t, feed, lambda events: processors.session_feed(events, DAY, "400 days", 10**6))
+    return out.join(asked, "event_id", "left_semi").select("event_id", F.col("outcome").alias("verdict"))
+
+
 @query("""SELECT email, id, CASE WHEN id IS NULL THEN 'CREATE' WHEN NOT confirmed THEN 'CONFIRM' ELSE 'KEEP' END AS action, coalesce(rol, 'unassigned') AS rol FROM (SELECT DISTINCT concat('u', c_custkey % 300, '@lab.example') AS email FROM customer) LEFT JOIN users USING (email)""", "users")
 def external_user_upsert(t: Tables) -> DataFrame:
     logins = t.customer.select(F.concat(F.lit("u"), F.col("c_custkey") % 300, F.lit("@lab.example")).alias("email"))

@@ -103,6 +103,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def folder_of(table: DataFrame) -> str:
+    """Where a stored table lies."""
+    return _PATHS[table]
+
+
 def discarded(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read again."""
     for df in tables:

@@ -54,3 +54,34 @@ def test_a_stream_of_requests_is_checked_against_the_table_of_sessions(spark, tm
     asks = spark.createDataFrame([(i, "a", t0 + dt.timedelta(minutes=m), i % 2) for i, m in enumerate((5, 15, 16, -1))], "event_id bigint, jti string, ts timestamp_ntz, part int")
     got = run(spark, asks, lambda s: processors.session_stream(s, found).select("event_id", F.col("verdict").alias("outcome")), str(tmp_path), 2)
     assert got == [(0, "OK"), (1, "OK"), (2, "EXPIRED"), (3, "NOT_FOUND")]
+
+
+def feed(spark, rows):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(i, t0 + dt.timedelta(minutes=m), "u", kind, jti, part) for i, (m, kind, jti, part) in enumerate(rows)], "event_id bigint, ts timestamp_ntz, user_id string, kind string, jti string, part int").coalesce(1)
+
+
+def test_a_feed_of_sessions_needs_no_table(spark, tmp_path):
+    rows = [(0, "open", "a", 0), (1, "open", "b", 0), (2, "request", "a", 0), (3, "logout", "a", 1), (4, "request", "a", 1), (4, "request", "b", 1), (15, "request", "b", 1), (16, "request", "b", 1), (17, "request", "b", 2)]
+    rows += [(18, "open", "c", 2), (18, "request", "c", 2), (19, "logout_all", None, 2), (19, "request", "c", 2), (20, "request", None, 2), (20, "request", "x", 2), (21, "logout", "never", 2), (19, "open", "d", 2), (22, "request", "d", 2)]
+    got = dict(run(spark, feed(spark, rows), processors.session_feed, str(tmp_path), 3))
+    want = ["OPENED", "OPENED", "OK", "LOGGED_OUT", "REVOKED", "OK", "OK", "OK", "EXPIRED", "OPENED", "OK", "LOGGED_OUT", "REVOKED", "NO_JTI", "NOT_FOUND", "LOGGED_OUT", "OPENED", "REVOKED"]
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_late_events_are_put_where_they_belong_and_old_sessions_forgotten(spark, tmp_path):
+    late = [(5, "logout", "a", 0), (6, "logout_all", None, 0), (1, "open", "a", 1), (4, "request", "a", 1), (5, "request", "a", 1), (2, "open", "b", 1), (5, "request", "b", 1), (7, "request", "b", 1)]
+    got = dict(run(spark, feed(spark, late), processors.session_feed, str(tmp_path / "late"), 2))
+    assert [got[i] for i in range(8)] == ["LOGGED_OUT", "LOGGED_OUT", "OPENED", "OK", "REVOKED", "OPENED", "OK", "REVOKED"]
+    old = [(0, "open", "a", 0), (60, "request", "a", 0), (5000, "open", "b", 1), (5001, "request", "a", 2), (5002, "request", "b", 2)]
+    got = dict(run(spark, feed(spark, old), lambda s: processors.session_feed(s, delay="1 minute", keep=600), str(tmp_path / "old"), 3))
+    assert [got[i] for i in range(5)] == ["OPENED", "EXPIRED", "OPENED", "NOT_FOUND", "OK"]
+
+
+def test_a_stream_lets_a_token_serve_once(spark, tmp_path):
+    rows = [(0, "reset_request", "A", 0), (1, "reset_use", "A", 0), (2, "reset_use", "A", 1), (3, "reset_request", "B", 1), (4, "reset_check", "B", 1), (5, "reset_use", "A", 2), (6, "reset_use", "B", 2), (7, "reset_use", "B", 2)]
+    events = feed(spark, rows).withColumnsRenamed({"jti": "token", "user_id": "email"}).withColumn("known", F.lit(True))
+    got = dict(run(spark, events, processors.flow_stream, str(tmp_path), 3))
+    assert [got[i] for i in range(8)] == ["SENT", "DONE", "INVALID", "SENT", "VALID", "INVALID", "DONE", "INVALID"]
