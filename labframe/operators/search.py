@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labframe.operators import textindex
 from labframe.sources.io import stored
 
 #: Rows that one range of all_pages aims at.
@@ -61,7 +62,9 @@ def all_pages(df: DataFrame, order: Sequence[Column], size: int, partitions: int
 
     The driver only learns the number of rows in each range; there is no window over the whole table.
     """
-    partitions = partitions or max(8, -(-df.count() // RANGE_ROWS))
+    if not partitions:
+        df = stored(df, "rows")  # counted, sampled for its ranges and dealt out: computed once
+        partitions = max(8, -(-df.count() // RANGE_ROWS))
     ranged = stored(df.repartitionByRange(partitions, *order).withColumn("range", F.spark_partition_id()), "ranges")
     before, start = [], 0
     for r in ranged.groupBy("range").count().orderBy("range").toLocalIterator():
@@ -73,11 +76,10 @@ def all_pages(df: DataFrame, order: Sequence[Column], size: int, partitions: int
     return out.withColumn("page", F.floor(F.col("place") / size).cast("bigint") + 1).select(*df.columns, "place", "page")
 
 
-def top_of_terms(df: DataFrame, terms: DataFrame, columns: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """The first k matches of each term (term_id, q). Terms are a stated set of queries and are broadcast if Spark finds them small."""
-    pattern = F.concat(F.lit("%"), F.replace("q", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    hit = reduce(lambda a, b: a | b, [F.like(F.col(c), pattern) for c in columns])
-    return df.join(terms, hit).withColumn("place", F.row_number().over(Window.partitionBy("term_id").orderBy(*order))).where(F.col("place") <= k)
+def top_of_terms(df: DataFrame, terms: DataFrame, columns: Sequence[str], order: Sequence[Column], k: int, index: DataFrame | None = None) -> DataFrame:
+    """The first k matches of each term (term_id, q), found by an index of the columns (see textindex), which is built if none is given."""
+    found = textindex.matches(df, stored(textindex.text_index(df, columns), "index") if index is None else index, terms, columns)
+    return df.join(found, "id").withColumn("place", F.row_number().over(Window.partitionBy("term_id").orderBy(*order))).where(F.col("place") <= k)
 
 
 def first_by_key(wanted: DataFrame, df: DataFrame, on: list[str], tie: str = "id") -> DataFrame:

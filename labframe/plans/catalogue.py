@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labframe.functions import text as fn
-from labframe.operators import access, lookup, mutate, orders, results, search, validate
+from labframe.operators import access, lookup, mutate, orders, results, search, textindex, validate
 from labframe.plans.tables import derived, table, with_tables
 from labframe.sources import io
 from labframe.sources.schema import SPECS, TableSpec
@@ -263,6 +263,19 @@ def multi_term_topk(t: Tables) -> DataFrame:
     return search.top_of_terms(search.active(t.studies), terms, ["name", "code"], search.keys("name"), 5).select("term_id", "id", F.col("place").cast("bigint").alias("place"))
 
 
+#: Wildcards, ends, a backslash, terms of two characters and none, two stretches, a term that is nowhere, overlapping grams.
+_PATTERNS = [(1, "al#0"), (2, "l#0%9"), (3, "#__0%12"), (4, "r#%%00"), (5, "99"), (6, "a\\b"), (7, "zzz"), (8, "0000"), (9, "12_"), (10, ""), (11, "Customer#000000007"), (12, "_"), (13, "MACH%RY"), (14, "er#%er")]
+
+
+@query(f"""SELECT term_id, count(*) AS n, sum(id)::BIGINT AS ids FROM patients JOIN (VALUES {", ".join(f"({i}, '{q}')" for i, q in _PATTERNS)}) v(term_id, q) ON contains_like(firstName, q) OR contains_like(documentType, q) GROUP BY 1""".replace("contains_like(firstName, q)", "firstName LIKE '%' || q || '%'").replace("contains_like(documentType, q)", "documentType LIKE '%' || q || '%'"), "patients")
+def indexed_search(t: Tables) -> DataFrame:
+    """Fourteen terms at once by the index of trigrams."""
+    columns = ["firstName", "documentType"]
+    index = io.stored(textindex.text_index(t.patients, columns), "index")
+    found = textindex.matches(t.patients, index, t.spark.createDataFrame(_PATTERNS, "term_id int, q string"), columns)
+    return found.groupBy("term_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 @query("SELECT k.documentType, min(p.id) AS id FROM (SELECT DISTINCT documentType FROM patients) k LEFT JOIN patients p ON p.documentType = k.documentType GROUP BY 1", "patients")
 def find_by_key(t: Tables) -> DataFrame:
     return search.first_by_key(t.patients.select("documentType").distinct(), t.patients, ["documentType"]).select("documentType", "id")
