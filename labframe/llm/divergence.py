@@ -37,7 +37,7 @@ from labframe.llm.pieces import expanded
 #: Documents of a language that a kept term is in; ranks of the terms that are reported; of the shares: scale and what is added to counts.
 LEAST, TOP, SCALE, SMOOTH = 30, 50, 1_000_000_000, 5
 #: Terms in a word, words in a range, sources in a chunk, bytes of text that are counted together, pairs of rows that are ANDed at once.
-WORD, RANGE, CHUNK, BATCH_BYTES, PAIRS = 64, 128, 64, 12_000_000, 2_000_000
+WORD, RANGE, CHUNK, BATCH_BYTES, PAIRS = 64, 128, 64, 6_000_000, 2_000_000
 _CLASS = np.zeros(256, np.uint8)
 for _b in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)):  # what a term is of, A-Z lower-cased
     _CLASS[_b] = _b + 32 if _b < 0x5B else _b

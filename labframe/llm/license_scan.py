@@ -1,14 +1,18 @@
 """License scans: normalised text compared with licence templates by the Dice coefficient over word bigrams.
 
-Text and templates are lower-cased and cut into words of letters and digits; what remains is the set of neighbouring
-word pairs. A Dice coefficient of at least t needs sizes within a factor (2 - t) / t of each other, so each template
-is listed under the sizes it can match, and a text only meets templates by an equality join on its size. The
-templates are a small fixed table; it is broadcast. All work is done by DataFrame functions.
+Text and templates are lower-cased (A-Z) and cut into words of ASCII letters and digits; what remains is the set of
+neighbouring word pairs. A Dice coefficient of at least t needs sizes within a factor (2 - t) / t of each other, and
+at least t / (2 - t) of a template's pairs: a text that has fewer of them is done with after one look at its pairs.
 
 Compared are every line, the whole text, and runs of lines: those that begin on a line with the first pair of a
-template, go on for two lines or more and have no more words than the largest set that can match. So notices, full
-licences and headers wrapped over lines of a longer text are found. Whole texts and runs leave out lines that begin
-with a copyright, as these name holders; lines without words count for nothing in a run.
+template and go on for two lines or more, to any line after which the run's distinct pairs are no more than a match
+can have. So notices, full licences and headers wrapped over lines of a longer text are found, however often their
+words repeat. Whole texts and runs leave out lines that begin with a copyright, as these name holders; lines without
+words count for nothing in a run.
+
+Batches of Arrow memory: words are coded, a pair is a number, and pairs of templates are looked up. A run's distinct
+pairs are counted by where each pair was seen last before, so a start costs one pass over what follows it, and only
+texts with enough pairs of a template have any.
 
 Defined results: null and empty texts match nothing; repeated rows are scanned each; texts of one word have no pairs
 and match nothing; lines and texts of any number of words are compared, as words may repeat; columns other than key
@@ -19,11 +23,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labframe.llm.common import guarded
+from labframe.llm.common import by_bytes, guarded
 
 #: Least Dice coefficient of a match.
 DICE = 0.9
@@ -49,63 +56,205 @@ TEMPLATES: list[tuple[str, str]] = [
 BREAKS = "[^a-z0-9]+"
 
 
-def word_pairs(text: str) -> list[str]:
-    words = [w for w in re.split(BREAKS, text.lower()) if w]
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+#: Bytes of text that are looked at together.
+BATCH_BYTES = 4_000_000
+_CLASS = np.zeros(256, np.uint8)
+for _b in (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)):  # what a word is of, A-Z lower-cased
+    _CLASS[_b] = _b + 32 if 0x41 <= _b < 0x5B else _b
 
 
-def pairs(words: Column) -> Column:
-    """The distinct neighbouring pairs of an array of words."""
-    n = F.size(words)
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+def plain_words(text: str) -> list[str]:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return [w for w in re.split(BREAKS, text.translate(str.maketrans(upper, upper.lower()))) if w]
+
+
+def word_pairs(text: str) -> list[str]:
+    words = plain_words(text)
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
 def bounds(size: int, dice: float) -> tuple[int, int]:
-    """Sizes that a set can have and reach this coefficient with one of `size`."""
+    """Sizes that a set can have and reach this coefficient with one of `size`; the least is also what they share at least."""
     return math.ceil(size * dice / (2 - dice) - 1e-9), math.floor(size * (2 - dice) / dice + 1e-9)
 
 
-def first_pairs(templates: list[tuple[str, str]]) -> list[str]:
-    """The first word pair of each template."""
-    words = [[w for w in re.split(BREAKS, text.lower()) if w] for _, text in templates]
-    return sorted({f"{w[0]} {w[1]}" for w in words if len(w) > 1})
+class Templates:
+    """The templates' pairs as numbers: of a pair, the templates that have it."""
+
+    def __init__(self, templates: list[tuple[str, str]], dice: float):
+        self.dice = dice
+        self.names = [name for name, _ in templates]
+        pairs = [word_pairs(text) for _, text in templates]
+        self.sizes = np.array([len(p) for p in pairs], np.int64)
+        self.bounds = [bounds(len(p), dice) for p in pairs]
+        self.known = {p: i for i, p in enumerate(sorted({p for x in pairs for p in x}))}
+        self.words = sorted({w for p in self.known for w in p.split(" ")})
+        self.of = [(self.known[p], t) for t, x in enumerate(pairs) for p in x]
+        starts = (plain_words(text)[:2] for _, text in templates)
+        self.first = sorted({self.known[f"{w[0]} {w[1]}"] for w in starts if len(w) > 1})
+        # pairs by their words' places, in order, and the templates of each
+        place = {w: i for i, w in enumerate(self.words)}
+        keys = np.array([place[p.split(" ")[0]] * len(self.words) + place[p.split(" ")[1]] for p in self.known], np.int64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.has = np.zeros((len(templates), len(self.known) + 1), bool)  # the last pair is none
+        for p, t in self.of:
+            self.has[t, p] = True
+
+    def pairs_of(self, words: np.ndarray) -> np.ndarray:
+        """The known pair that each word begins with the next one, or the number that stands for none; words by place, -1 if unknown."""
+        none = len(self.known)
+        out = np.full(max(len(words) - 1, 0), none, np.int64)
+        if len(out) and none:
+            both = (words[:-1] >= 0) & (words[1:] >= 0)
+            key = words[:-1] * len(self.words) + words[1:]
+            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
+            hit = both & (self.keys[at] == key)
+            out[hit] = self.order[at[hit]]
+        return out
+
+
+def cut_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(code, row and line of each word of all texts in turn, the distinct words, lines of each text)."""
+    raw = texts.fill_null("").cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    source = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    data = _CLASS[source]
+    inside = data != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = ends[:-1][ends[:-1] < len(data)]
+    begins[first] = inside[first]
+    starts = np.flatnonzero(begins)
+    letters = np.concatenate([[0], np.cumsum(inside)])
+    offsets = np.append(letters[starts], letters[-1]).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    coded = words.dictionary_encode()
+    row = np.searchsorted(ends, starts, "right") - 1
+    breaks = np.flatnonzero(source == 10)
+    before = np.searchsorted(breaks, ends)
+    line = np.searchsorted(breaks, starts) - before[row]
+    return coded.indices.to_numpy().astype(np.int64), row, line, coded.dictionary, np.diff(before) + 1
 
 
-def named(words: Column) -> Column:
-    """A line of these words begins with a copyright: that word, or a c in front of it or of a number."""
-    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    return F.coalesce((first == "copyright") | ((first == "c") & ((second == "copyright") | second.rlike("^[0-9]+$"))), F.lit(False))
+def named(code: np.ndarray, unit: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Whether each word is of a line (`unit`) that begins with a copyright: that word, or a c in front of it or of a number."""
+    if not len(code):
+        return np.zeros(0, bool)
+    is_name, is_c = (np.array([w == x for w in words]) for x in (b"copyright", b"c"))
+    is_number = np.array([w.isdigit() for w in words])
+    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    n = np.diff(np.append(first, len(unit)))
+    second = code[np.minimum(first + 1, len(code) - 1)]
+    begins = is_name[code[first]] | (is_c[code[first]] & (n > 1) & (is_name[second] | is_number[second]))
+    return np.repeat(begins, n)
+
+
+def distinct_hits(unit: np.ndarray, pair: np.ndarray, t: Templates) -> list[tuple[int, int]]:
+    """(unit, template) where a unit has enough distinct pairs of a template; unit and pair of the places of known pairs."""
+    if not len(unit):
+        return []
+    seen = np.unique(unit * (len(t.known) + 1) + pair)
+    unit, pair = seen // (len(t.known) + 1), seen % (len(t.known) + 1)
+    ids, at = np.unique(unit, return_inverse=True)
+    out = []
+    for k in range(len(t.names)):
+        count = np.bincount(at, t.has[k][pair], len(ids))
+        out += [(int(u), k) for u in ids[count >= max(1, t.bounds[k][0])]]
+    return out
+
+
+def best_of_runs(keys: np.ndarray, mine: np.ndarray, lines: np.ndarray, starts: np.ndarray, size: int, low: int, top: int) -> list[tuple[int, float]]:
+    """(line, best coefficient) of the runs that begin on each of some lines of one text, two lines or more.
+
+    keys: the pair that each word but the last begins; mine: the pair is one of the template, of `size` pairs; lines:
+    the line of each word. A pair counts where it was not seen since the start; runs of `low` to `top` distinct pairs
+    can match, and once one has more, no longer one can.
+    """
+    order = np.argsort(keys, kind="stable")
+    last = np.full(len(keys), -1, np.int64)
+    again = keys[order][1:] == keys[order][:-1]
+    last[order[1:][again]] = order[:-1][again]
+    ends = np.append(lines[1:] != lines[:-1], True)[1:]  # pairs whose second word ends a line
+    out = []
+    for line in starts.tolist():
+        at = int(np.searchsorted(lines, line))
+        width = 4 * top + 64
+        while True:
+            new = last[at : at + width] < at
+            if at + width >= len(keys) or new.sum() > top:
+                break
+            width *= 2
+        total, common = np.cumsum(new), np.cumsum(new & mine[at : at + width])
+        stop = np.flatnonzero(ends[at : at + width] & (total >= low) & (total <= top) & (lines[1:][at : at + width] > line))
+        if len(stop):
+            out.append((line, float((2 * common[stop] / (total[stop] + size)).max())))
+    return out
+
+
+def scanned(texts: pa.Array, t: Templates) -> list[tuple[int, int, int, float]]:
+    """(row, line, template, coefficient) of all matches: lines, runs by their first line, whole texts as line -1."""
+    code, row, line, known, n_lines = cut_words(texts)
+    words = known.to_pylist()
+    place = {w.encode(): i for i, w in enumerate(t.words)}
+    of = np.array([place.get(w, -1) for w in words], np.int64)
+    width = max(int(n_lines.max()) if len(n_lines) else 1, 1)
+    found: list[tuple[int, int, int, float]] = []
+
+    def score(keys: np.ndarray, pair: np.ndarray, k: int) -> float:
+        n, (low, top) = len(np.unique(keys)), t.bounds[k]
+        return 2 * len(np.unique(keys[t.has[k][pair]])) / (n + int(t.sizes[k])) if low <= n <= top else 0.0
+
+    # lines
+    unit = row * width + line
+    same = unit[1:] == unit[:-1]
+    pair = np.where(same, t.pairs_of(of[code]), len(t.known)) if len(code) else np.zeros(0, np.int64)
+    hit = np.flatnonzero(pair < len(t.known))
+    for u, k in distinct_hits(unit[hit], pair[hit], t):
+        a, b = np.searchsorted(unit, [u, u + 1])
+        got = score(code[a : b - 1] * len(words) + code[a + 1 : b], pair[a : b - 1], k)
+        if got >= t.dice:
+            found.append((u // width, u % width, k, got))
+    # whole texts and runs, without lines that name a holder
+    begins = np.isin(pair, t.first)
+    rest = ~named(code, unit, words)
+    starts = np.unique(unit[:-1][begins & rest[:-1]]) if len(code) else unit
+    code, row, line = code[rest], row[rest], line[rest]
+    pair = np.where(row[1:] == row[:-1], t.pairs_of(of[code]), len(t.known)) if len(code) else np.zeros(0, np.int64)
+    hit = np.flatnonzero(pair < len(t.known))
+    for r, k in distinct_hits(row[hit], pair[hit], t):
+        if n_lines[r] < 2:
+            continue
+        a, b = np.searchsorted(row, [r, r + 1])
+        keys, mine = code[a : b - 1] * len(words) + code[a + 1 : b], pair[a : b - 1]
+        got = score(keys, mine, k)
+        if got >= t.dice:
+            found.append((r, -1, k, got))
+        lo, hi = np.searchsorted(starts, [r * width, (r + 1) * width])
+        runs = best_of_runs(keys, t.has[k][mine], line[a:b], starts[lo:hi] - r * width, int(t.sizes[k]), *t.bounds[k])
+        found += [(r, at, k, got) for at, got in runs if got >= t.dice]
+    best: dict[tuple[int, int, int], float] = {}
+    for *at, got in found:  # a line and a run that begins on it
+        best[tuple(at)] = max(got, best.get(tuple(at), 0.0))
+    return [(*at, got) for at, got in best.items()]
 
 
 def matches(df: DataFrame, id_column: str = "doc_id", text: str = "text", dice: float = DICE, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(id, row, line, license, template, dice): lines, runs by their first line, or -1 for the whole text, that match a template; `row` tells rows of one key apart."""
     guarded(df.columns, [id_column, text], "license_scan")
-    spark, chosen = df.sparkSession, templates or TEMPLATES
-    known = [(name, i, p) for i, (name, t) in enumerate(chosen) if (p := word_pairs(t))]
-    rows = [(size, name, i, p) for name, i, p in known for size in range(bounds(len(p), dice)[0], bounds(len(p), dice)[1] + 1)]
-    table = spark.createDataFrame(rows, "size int, license string, template int, known array<string>")
-    low, top = min((r[0] for r in rows), default=0), max((r[0] for r in rows), default=0)
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: F.filter(F.split(F.lower(line), BREAKS), lambda w: w != ""))
-    cut = df.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), lines.alias("lines"))
-    # a text of many words can have few distinct pairs, so only too few words rule a unit out; the exact size is joined below
-    whole = F.when(F.size("lines") > 1, F.flatten(F.filter("lines", lambda x: ~named(x)))).otherwise(F.array().cast("array<string>"))
-    begins = "( |^)(" + "|".join(first_pairs(chosen)) + ")( |$)"
-    # (line, words) of the lines that a run can begin on; few texts have any
-    starts = F.filter(F.transform("lines", lambda x, i: F.when(F.concat_ws(" ", x).rlike(begins) & ~named(x), i)), lambda i: i.isNotNull())
-    single = F.transform(F.concat(F.array(whole), "lines"), lambda x, i: F.struct((i - 1).alias("line"), x.alias("words")))
-    sizes = F.transform("lines", lambda x: F.when(named(x), 0).otherwise(F.size(x)))
-    cut = cut.withColumns({"starts": starts, "sizes": sizes})
-    run = lambda i, j: F.flatten(F.filter(F.slice("lines", i + 1, j + 1), lambda x: ~named(x)))
-    length = lambda i, j: F.aggregate(F.slice("sizes", i + 1, j + 1), F.lit(0), lambda a, n: a + n)
-    steps = lambda i: F.sequence(F.lit(1), F.least(F.lit(top), F.size("lines") - 1 - i))
-    # where a run ends: on a line with words that are not left out, and before it has too many
-    ends = lambda i: F.filter(F.when(i < F.size("lines") - 1, steps(i)).otherwise(F.array().cast("array<int>")), lambda j: (F.get("sizes", i + j) > 0) & length(i, j).between(low + 1, top + 1))
-    runs = F.flatten(F.transform("starts", lambda i: F.transform(ends(i), lambda j: F.struct(i.alias("line"), run(i, j).alias("words")))))
-    units = cut.select("id", "row", F.inline(F.concat(single, runs))).where(F.size("words") > low)
-    sized = units.select("id", "row", "line", pairs(F.col("words")).alias("pairs")).withColumn("size", F.size("pairs"))
-    met = sized.join(F.broadcast(table), "size")  # a fixed table of some hundred rows
-    score = 2 * F.size(F.array_intersect("pairs", "known")) / (F.col("size") + F.size("known"))
-    return met.select("id", "row", "line", "license", "template", score.alias("dice")).where(F.col("dice") >= dice)
+    known, kind = Templates(templates or TEMPLATES, dice), df.schema[id_column].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            rows = scanned(batch.column("text"), known)
+            row, line, template, score = zip(*rows, strict=True) if rows else ((), (), (), ())
+            at = pa.array(row, pa.int64())
+            columns = [batch.column("id").take(at), batch.column("row").take(at), pa.array(line, pa.int32()), pa.array([known.names[k] for k in template], pa.string()), pa.array(template, pa.int32()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "line", "license", "template", "dice"])
+
+    rows = df.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(scan, f"id {kind}, row bigint, line int, license string, template int, dice double")
 
 
 def licenses(df: DataFrame, id_column: str = "doc_id", text: str = "text", dice: float = DICE, templates: list[tuple[str, str]] | None = None) -> DataFrame:

@@ -138,20 +138,24 @@ SELECT * FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}"""
 
 
 def _license_sql() -> str:
+    """Runs may end anywhere: a pair counts from the first line at which it is complete, summed over the lines after a start."""
     quoted = ", ".join("('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.TEMPLATES))
-    words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+    words = f"list_filter(regexp_split_to_array({{}}, '{license_scan.BREAKS}'), lambda x: x <> '')"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
-    return f"""WITH t AS (SELECT license, template, w, {pairs} AS p FROM (SELECT license, template, {words.format("text")} AS w FROM (VALUES {quoted}) v(license, template, text))),
-most AS (SELECT floor(max(len(p)) * 1.1 / 0.9 + 1e-9) AS n, ceil(min(len(p)) * 0.9 / 1.1 - 1e-9) AS low FROM t), f AS (SELECT DISTINCT w[1] || ' ' || w[2] AS pair FROM t WHERE len(w) > 1),
+    return f"""WITH t AS (SELECT license, template, w, {pairs} AS p FROM (SELECT license, template, {words.format(lower.format("text"))} AS w FROM (VALUES {quoted}) v(license, template, text))),
+tp AS (SELECT template, unnest(p) AS pair FROM t), f AS (SELECT DISTINCT w[1] || ' ' || w[2] AS pair FROM t WHERE len(w) > 1),
 raw AS (SELECT doc_id, unnest(range(0, len(l))) AS line, len(l) AS lines, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-lw AS (SELECT doc_id, line, lines, w, coalesce(w[1] = 'copyright' OR (w[1] = 'c' AND (w[2] = 'copyright' OR regexp_full_match(w[2], '[0-9]+'))), false) AS named FROM (SELECT doc_id, line, lines, {words.format("text")} AS w FROM raw)),
-l AS (SELECT *, sum(CASE WHEN named THEN 0 ELSE len(w) END) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM lw),
-starts AS (SELECT DISTINCT doc_id, line, upto - len(w) AS before FROM (SELECT *, unnest(range(1, len(w))) AS i FROM l WHERE NOT named) WHERE w[i] || ' ' || w[i + 1] IN (SELECT pair FROM f)),
-runs AS (SELECT s.doc_id, s.line, e.line AS last FROM starts s JOIN l e ON e.doc_id = s.doc_id AND e.line BETWEEN s.line + 1 AND s.line + (SELECT n FROM most) AND len(e.w) > 0 AND NOT e.named AND e.upto - s.before BETWEEN (SELECT low + 1 FROM most) AND (SELECT n + 1 FROM most)),
-u AS (SELECT doc_id, line, w FROM l UNION ALL SELECT doc_id, -1, flatten(list(w ORDER BY line)) FROM l WHERE NOT named AND lines > 1 GROUP BY doc_id
- UNION ALL SELECT r.doc_id, r.line, flatten(list(l.w ORDER BY l.line)) FROM runs r JOIN l ON l.doc_id = r.doc_id AND l.line BETWEEN r.line AND r.last AND NOT l.named GROUP BY r.doc_id, r.line, r.last),
-p AS (SELECT doc_id, line, {pairs} AS p FROM u),
-m AS (SELECT doc_id, line, license, template, 2 * len(list_intersect(p.p, t.p)) / (len(p.p) + len(t.p)) AS dice FROM p JOIN t ON len(p.p) BETWEEN len(t.p) * 0.8 AND len(t.p) * 1.25)
+l AS MATERIALIZED (SELECT doc_id, line, lines, w, coalesce(w[1] = 'copyright' OR (w[1] = 'c' AND (w[2] = 'copyright' OR regexp_full_match(w[2], '[0-9]+'))), false) AS named FROM (SELECT doc_id, line, lines, {words.format(lower.format("text"))} AS w FROM raw)),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, line FROM (SELECT *, unnest(range(1, len(w))) AS i FROM l WHERE NOT named) WHERE w[i] || ' ' || w[i + 1] IN (SELECT pair FROM f)),
+x AS (SELECT doc_id, line, unnest(w) AS word, unnest(range(len(w))) AS i FROM l WHERE NOT named AND doc_id IN (SELECT doc_id FROM s)),
+y AS MATERIALIZED (SELECT doc_id, line, word || ' ' || lead(word) OVER o AS pair, lead(line) OVER o AS done FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY line, i)),
+fresh AS MATERIALIZED (SELECT s.doc_id, s.line, pair, min(done) AS done FROM s JOIN y ON y.doc_id = s.doc_id AND y.line >= s.line AND pair IS NOT NULL GROUP BY 1, 2, 3),
+n AS (SELECT doc_id, line, done, sum(count(*)) OVER (PARTITION BY doc_id, line ORDER BY done) AS n FROM fresh GROUP BY 1, 2, 3),
+c AS (SELECT doc_id, line, template, done, sum(count(*)) OVER (PARTITION BY doc_id, line, template ORDER BY done) AS c FROM fresh JOIN tp USING (pair) GROUP BY 1, 2, 3, 4),
+e AS (SELECT n.doc_id, n.line, n.done, n.n, t.license, t.template, len(t.p) AS size, (SELECT max(c.c) FROM c WHERE c.doc_id = n.doc_id AND c.line = n.line AND c.template = t.template AND c.done <= n.done) AS c FROM n JOIN t ON n.n BETWEEN len(t.p) * 0.8 AND len(t.p) * 1.25 WHERE n.done > n.line),
+u AS (SELECT doc_id, line, w FROM l UNION ALL SELECT doc_id, -1, flatten(list(w ORDER BY line)) FROM l WHERE NOT named AND lines > 1 GROUP BY doc_id), p AS (SELECT doc_id, line, {pairs} AS p FROM u),
+m AS (SELECT doc_id, line, license, template, 2 * len(list_intersect(p.p, t.p)) / (len(p.p) + len(t.p)) AS dice FROM p JOIN t ON len(p.p) BETWEEN len(t.p) * 0.8 AND len(t.p) * 1.25 UNION ALL SELECT doc_id, line, license, template, 2 * c / (n + size) FROM e)
 SELECT doc_id, count(DISTINCT (line, template)) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines, max(dice) AS best FROM m WHERE dice >= {license_scan.DICE} GROUP BY 1"""
 
 

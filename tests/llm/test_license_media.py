@@ -13,20 +13,19 @@ def copyright(words):
     return words[:1] == ["copyright"] or (words[:1] == ["c"] and (words[1:2] == ["copyright"] or words[1:2] and words[1].isdigit()))
 
 
-def brute(text, dice=0.9):
+def brute(text, dice=0.9, templates=license_scan.TEMPLATES):
     out, lines = [], text.split("\n")
     words = [license_scan.re.findall("[a-z0-9]+", line.lower()) for line in lines]
     kept = [[] if copyright(w) else w for w in words]
     units = [(i, " ".join(w)) for i, w in enumerate(words)] + ([(-1, " ".join(sum(kept, [])))] if len(lines) > 1 else [])
-    firsts = [license_scan.re.findall("[a-z0-9]+", t.lower())[:2] for _, t in license_scan.TEMPLATES]
+    firsts = [license_scan.re.findall("[a-z0-9]+", t.lower())[:2] for _, t in templates]
     begins = {pair for f in firsts for pair in zip(f, f[1:])}
-    top = max(license_scan.bounds(len(license_scan.word_pairs(t)), dice)[1] for _, t in license_scan.TEMPLATES)
     for i, w in enumerate(kept):
         if begins & set(zip(w, w[1:])):
-            units += [(i, " ".join(sum(kept[i : j + 1], []))) for j in range(i + 1, min(len(lines), i + top + 1)) if kept[j] and sum(map(len, kept[i : j + 1])) <= top + 1]
+            units += [(i, " ".join(sum(kept[i : j + 1], []))) for j in range(i + 1, len(lines)) if kept[j]]
     for at, unit in units:
         a = set(license_scan.word_pairs(unit))
-        for k, (_, t) in enumerate(license_scan.TEMPLATES):
+        for k, (_, t) in enumerate(templates):
             b = set(license_scan.word_pairs(t))
             if a and 2 * len(a & b) / (len(a) + len(b)) >= dice:
                 out.append((at, k))
@@ -74,6 +73,46 @@ def test_repeated_rows_and_a_very_long_line(spark):
     assert sorted((r.doc_id or 0, r.licenses, r.lines) for r in got.collect()) == [(0, "Proprietary", "0"), (1, "MIT", "0"), (1, "MIT", "0"), (2, "Proprietary", "1")]
 
 
+def test_a_template_of_many_words_and_few_pairs(spark):
+    """Legal texts repeat themselves: 372 words with 52 pairs are found inside a longer file as well."""
+    clause = "permission is granted to use copy and sell this work or any part of it to any one who keeps this notice and the name of its maker with each copy so made".split()
+    words = (clause[:13] + clause[:13] + clause) * 5
+    words = (words + ["no", "warranty", "is", "given", "by", "the", "maker", "nor", "by", "any", "one", "who", "sells", "it", "on"] + clause)[:372]
+    templates = [("X", " ".join(words)), ("Y", "some other notice of twelve words that none of these texts has inside")]
+    assert len(words) > 300 and len(license_scan.word_pairs(templates[0][1])) < 60
+    texts = [templates[0][1], f"{prose(1, 60)}\n{wrapped(templates[0][1], 60)}\n{prose(2, 300)}", wrapped(templates[0][1], 40, "* ") + "\n" + prose(3, 30), f"{prose(4, 900)}"]
+    found = {(r.id, r.line, r.template) for r in license_scan.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), templates=templates).collect()}
+    assert found == {(i, *m) for i, t in enumerate(texts) for m in brute(t, templates=templates)} and {i for i, *_ in found} == {0, 1, 2}
+
+
+def test_texts_of_many_starts(spark):
+    import time
+
+    gpl = license_scan.TEMPLATES[2][1]
+    poem = "\n".join(f"this work x{i % 7}" for i in range(1500))
+    texts = [poem, poem.replace("this work", "this program"), f"{poem}\n{wrapped(gpl, 30)}\n{poem}", "\n".join(["this work is licensed under"] * 300)]
+    began = time.perf_counter()
+    import pyarrow as pa
+
+    got = license_scan.scanned(pa.array(texts), license_scan.Templates(license_scan.TEMPLATES, 0.9))
+    assert time.perf_counter() - began < 4
+    few = [f"{chr(10).join(t.split(chr(10))[1490:1530])}" for t in texts]
+    found = license_scan.scanned(pa.array(few), license_scan.Templates(license_scan.TEMPLATES, 0.9))
+    assert {(r, line, k) for r, line, k, _ in found} == {(i, *m) for i, t in enumerate(few) for m in brute(t)} and {r for r, *_ in got} == {2}
+
+
+def test_random_texts_of_template_words(spark):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(8)
+    templates = [(f"T{i}", " ".join(r.choice("abc") for _ in range(n))) for i, n in enumerate((2, 4, 9, 20))]
+    texts = ["".join(r.choice(["a ", "b ", "c ", "a ", "b ", "\n", "copyright ", "é"]) for _ in range(r.randrange(60))) for _ in range(400)]
+    got = license_scan.scanned(pa.array(["no", *texts])[1:], license_scan.Templates(templates, 0.5))
+    assert {(i, line, k) for i, line, k, _ in got} == {(i, *m) for i, t in enumerate(texts) for m in brute(t, 0.5, templates)} and len(got) > 200
+
+
 def test_size_bounds_drop_no_match():
     for n in range(1, 60):
         lo, hi = license_scan.bounds(n, 0.9)
