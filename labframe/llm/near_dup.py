@@ -8,9 +8,9 @@ Rows with equal sets are one class first, so copies never meet in a table. In ea
 to its centre, the member of least hash, is looked at; the links are verified on full sets, and components follow.
 Where a bucket then still holds several components, its members are compared with each other all the same: blocks of
 bounded size are dealt out and compared inside an Arrow function, which returns one link for a member and component.
-In a bucket of more than some blocks, members meet by their rarest shingles instead, of which similar sets share one,
-so the work does not grow with the bucket's square. Large groups are compared whole, while no pairs but verified ones
-and those with centres become rows.
+In a bucket of more than some blocks, members meet by their rarest shingles instead, of which similar sets share one
+(and by two of them where one is not rare at all). Large groups are compared whole, while no pairs but verified ones
+and those with centres become rows; a centre's set is sent once to each block of its members.
 
 Defined results: null and empty texts and texts without words have an empty set and are linked with nothing; repeated
 rows (also of one key) each get their class; null keys are classed by text like others, and a row without a key is
@@ -55,8 +55,8 @@ TENSORED = Scheme(12, 3, 8, 2)
 #: Members in a block of the comparison of buckets; blocks of a bucket up to which comparing them one by one gives fewer
 #: rows (two for a member and block at most) than meeting by rare shingles (up to a fifth of a set's size for a member).
 BLOCK, WIDE = 256, 64
-#: Sets and shingles that the order of shingles is taken from, and the band that stands for a rare shingle.
-ORDER_SETS, ORDER_SHINGLES, RARE = 1000, 100_000, -1
+#: The band that stands for a rare shingle.
+RARE = -1
 BATCH_BYTES = 4_000_000
 #: Estimates below this share of equal minhashes are dropped before verification: at 0.8 over five deviations away.
 LEAST_ESTIMATE = 0.45
@@ -203,11 +203,22 @@ def similarity_estimate(a: str, b: str, hashes: int):
     return share(F.col(a), F.col(b))
 
 
-def verified(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets (node, members) are similar enough."""
-    x = pairs.join(full.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return x.where(100 * common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+def verified(pairs: DataFrame, full: DataFrame, similarity: int, scheme: Scheme) -> DataFrame:
+    """Those of pairs (a, b) whose full sets (node, members) are similar enough.
+
+    The members of a centre are dealt out in blocks, and the centre's set is sent once to each block, not once to each pair.
+    """
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = stored(blocks, "blocks")
+    cell = lambda block: F.xxhash64("a", block).alias("cell")
+    left = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select(F.col("a").alias("node"), F.lit(1).alias("role"), cell(F.col("block")))
+    right = pairs.join(blocks, "a").select(F.col("b").alias("node"), F.lit(2).alias("role"), cell(F.pmod(F.xxhash64("b"), "blocks").cast("int")))
+    cells = stored(left.unionByName(right), "pair_cells")
+    groups = max(1, cells.count() // (2 * BLOCK))
+    rows = cells.join(full, "node").select("cell", F.lit(RARE).alias("band"), "role", "node", F.col("node").alias("component"), F.array(F.lit(0).cast("bigint")).alias("bands"), "members")
+    out = stored(compared(rows, groups, similarity, scheme), "verified")
+    discarded(blocks, cells)
+    return out
 
 
 def compared(members: DataFrame, groups: int, similarity: int, scheme: Scheme) -> DataFrame:
@@ -313,11 +324,13 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
 
     # the most promising link of each member, then those between components that remain
     best = hold(pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b"), "best")
-    links = hold(verified(best, full, similarity), "links")
+    links = verified(best, full, similarity, scheme)
+    used.append(links)
     found = components(links)
     used.append(found)
     rest = labelled(pairs.select("a", "b"), found).where("ca <> cb").select("a", "b")
-    found = joined(found, hold(verified(rest.join(best, ["a", "b"], "left_anti"), full, similarity), "links"))
+    used.append(verified(rest.join(best, ["a", "b"], "left_anti"), full, similarity, scheme))
+    found = joined(found, used[-1])
     used.append(found)
 
     # components that share a bucket, but whose members were only compared with its centre, if at all
@@ -368,40 +381,42 @@ def labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
-def rare_members(member: DataFrame, similarity: int) -> DataFrame:
-    """(node, component, bucket): for each set of member (node, component, members) so many of its rarest shingles that two similar sets share one.
+def ordered(member: DataFrame, similarity: int, hold: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(node, component, reach, rare) for each set of member (node, component, members): its rarest shingles (place, m) that others have too.
 
-    A set of n has to share similarity hundredths of n with a similar one, so n minus these, and one more, are enough,
-    if all sets are ordered alike. The order comes from the counts in a sample of ORDER_SETS sets: it only decides how
-    many sets meet, never which are found.
+    Shingles are ordered by how many of these sets have them, exactly. Two similar sets share at least so many that
+    their first common shingle is among the first `reach` of both, and their second among the first reach + 1; places
+    count all shingles of a set, those that nobody else has being the first.
     """
-    few = member.orderBy(F.xxhash64("node")).limit(ORDER_SETS).select(F.explode("members").alias("m")).groupBy("m").count().where("count > 1")
-    known = np.array(few.orderBy(F.desc("count"), "m").limit(ORDER_SHINGLES).collect(), np.int64).reshape(-1, 2)
-    known = known[np.argsort(known[:, 0])]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            members = batch.column("members")
-            flat, n = members.flatten().to_numpy(), np.diff(members.offsets.to_numpy())
-            seen = np.zeros(len(flat), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known[:, 0], flat), len(known) - 1)
-                seen = np.where(known[at, 0] == flat, known[at, 1], 0)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((flat, seen, row))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            chosen = place < (n + (-similarity * n) // 100 + 1)[row]
-            of = pa.array(row[chosen])
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(of), batch.column("component").take(of), pa.array(flat[order][chosen])], ["node", "component", "bucket"])
-
-    return member.select("node", "component", "members").mapInArrow(cut, "node bigint, component bigint, bucket bigint")
+    n = F.size("members")
+    loose = member.select("node", "component", n.alias("n"), F.explode("members").alias("m"))
+    counts = hold(loose.groupBy("m").agg(F.count("*").alias("c")).where("c > 1"), "shingle_counts")
+    shared = loose.join(counts, "m").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("s"))
+    reach = (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") / 100) + 1).cast("int")
+    placed = F.transform("s", lambda x, i: F.struct((F.col("n") - F.size("s") + i).alias("place"), x["m"].alias("m")))
+    return hold(shared.select("node", "component", reach.alias("reach"), F.filter(placed, lambda x: x["place"] <= reach).alias("rare")), "ordered")
+
+
+def first_meetings(sets: DataFrame) -> DataFrame:
+    """(node, component, bucket, place): where a set can meet a similar one by their first common shingle."""
+    return sets.select("node", "component", "reach", F.inline("rare")).where("place < reach").select("node", "component", F.col("m").alias("bucket"), "place")
+
+
+def second_meetings(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """The same for rows of `first_meetings`, by the next common shingle besides."""
+    later = F.filter("rare", lambda x: x["place"] > F.col("place"))
+    rows = met.join(sets.select("node", "rare"), "node").select("node", "component", "bucket", F.inline(F.transform(later, lambda x: F.struct(x["m"].alias("m")))))
+    return rows.select("node", "component", F.xxhash64("bucket", "m").alias("bucket"))
 
 
 def residual(member: DataFrame, similarity: int, scheme: Scheme, hold: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """Links (a, b) between components among members (node, bands, component, members) that share a table's key, by blocks.
 
-    A bucket of more than WIDE blocks is not compared block by block, as that grows with its square: its members meet
-    where they share one of their rarest shingles, which all similar ones do.
+    A bucket of more than WIDE blocks is not compared block by block: its members meet where they share one of their
+    rarest shingles, as all similar ones do, and where that is still a wide bucket, by their two rarest. What is wide
+    even then, sets that are alike in all but few shingles and yet not linked, is compared in blocks. So a row has at
+    most WIDE copies in a bucket of the first two kinds. Members that meet by rare shingles are compared whatever their
+    bands, so a few links more can be found there.
     """
     key = ["band", "bucket"]
     spread = member.select("node", "component", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias("band", "bucket"))
@@ -416,8 +431,14 @@ def residual(member: DataFrame, similarity: int, scheme: Scheme, hold: Callable[
     spread = spread.join(sizes.where(F.col("blocks_b") <= WIDE), key)
     if wide.limit(1).count():
         crowd = hold(member.select("node", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias(*key)).join(wide, key, "left_semi").select("node").distinct(), "crowd")
-        rare = hold(rare_members(hold(member.join(crowd, "node", "left_semi"), "wide"), similarity).withColumn("band", F.lit(RARE)), "rare")
-        spread = spread.unionByName(rare.join(sized(rare, "rare_sizes"), key))
+        sets = ordered(hold(member.join(crowd, "node", "left_semi"), "wide"), similarity, hold)
+        rare = hold(first_meetings(sets).withColumn("band", F.lit(RARE)), "rare")
+        rare_sizes = sized(rare, "rare_sizes")
+        again = rare_sizes.where(F.col("blocks_b") > WIDE).select(*key)
+        spread = spread.unionByName(rare.drop("place").join(rare_sizes.where(F.col("blocks_b") <= WIDE), key))
+        if again.limit(1).count():
+            rarer = hold(second_meetings(rare.join(again, key, "left_semi"), sets).withColumn("band", F.lit(RARE)), "rarer")
+            spread = spread.unionByName(rarer.join(sized(rarer, "rarer_sizes"), key))
     # role 1: rows outside the bucket's largest component, with every block of role 2; role 2: all rows
     role1 = spread.where("component <> top").select(*key, "node", F.lit(1).alias("role"), F.pmod(F.xxhash64("node"), "blocks_a").cast("int").alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)).alias("block_b"))
     role2 = spread.select(*key, "node", F.lit(2).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)).alias("block_a"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks_b").cast("int").alias("block_b"))

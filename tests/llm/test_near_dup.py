@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -68,7 +69,6 @@ def test_a_group_around_the_threshold_is_compared_whole(spark, monkeypatch):
 def test_wide_buckets_meet_by_rare_shingles(spark, monkeypatch, wide):
     monkeypatch.setattr(near_dup, "BLOCK", 16)
     monkeypatch.setattr(near_dup, "WIDE", wide)
-    monkeypatch.setattr(near_dup, "ORDER_SETS", 20)
     shared = prose(6, 100)  # of all texts, which are below the threshold by their own words but for some
     rows = [(i, f"{shared} {prose(1000 + i // 2 if i % 10 < 2 else 2000 + i, 60)} {'end' * (i % 2)}") for i in range(120)]
     want = brute({i: shingles(t, 2) for i, t in rows})
@@ -77,6 +77,29 @@ def test_wide_buckets_meet_by_rare_shingles(spark, monkeypatch, wide):
     assert len(set(want.values())) == 108
 
 
+@pytest.mark.parametrize("wide", [0, 1])
+def test_buckets_of_rare_shingles_that_are_wide_are_split_again(spark, monkeypatch, wide):
+    """Sets around the threshold whose own shingles are those of many others."""
+    r, split = random.Random(4), []
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "WIDE", wide)
+    second = near_dup.second_meetings
+    monkeypatch.setattr(near_dup, "second_meetings", lambda *a: split.append(1) or second(*a))
+    shared, fields = prose(6, 90).split(" "), [f"{a}{b}" for a in "abcdefgh" for b in range(3)]
+    rows = [(i, " ".join([*shared, *(f"{k}:{r.choice(fields[:4])} {k}" for k in range(14))])) for i in range(150)]
+    want = brute({i: shingles(t, 2) for i, t in rows})
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2).collect()
+    assert {x.doc_id: x.component_id for x in got} == want and split and 10 < len(set(want.values())) < 150
+
+
+def test_a_centre_of_very_many_members(spark):
+    """One text and thousands that differ from it in a word: its set goes to each block of them, not to each."""
+    base = prose(7, 60).split(" ")
+    rows = [(i, " ".join([*base[:30], f"w{i}", *base[31:]])) for i in range(20_000)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), shingle=2)
+    assert got.where("component_id <> 0").count() == 0 and got.where("kept").count() == 1
+
+
 def test_recall_of_the_tensored_tables_at_the_threshold():
     scheme, r, met = near_dup.TENSORED, np.random.default_rng(3), 0
     for _ in range(300):
