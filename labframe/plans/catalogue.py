@@ -6,6 +6,7 @@ Durations of the access folds are scaled to the events at hand (two days for a l
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from labframe.functions import text as fn
 from labframe.operators import access, lookup, mutate, orders, results, search, textindex, validate
 from labframe.plans.tables import derived, table, with_tables
-from labframe.sources import io
+from labframe.sources import commit, io
 from labframe.sources.schema import SPECS, TableSpec
 from labframe.streaming import processors
 
@@ -28,6 +29,8 @@ DAY = 24 * 60
 PROPS = T.StructType().add("k", T.LongType()).add("absent", T.StringType())
 
 
+#: The driver of the database that comes with Spark.
+DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
 #: The declared schema that scan_table binds to the table of parts.
 PART = TableSpec("part", "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE", key="p_partkey")
 
@@ -92,6 +95,67 @@ def file_manifest_check(t: Tables) -> DataFrame:
     return t.pages.select("page_id", io.file_fault(mime, F.octet_length("html").cast("bigint") * 2000).alias("fault"))
 
 
+@query("SELECT p_size AS size, count(*) AS n, sum(p_retailprice) AS price FROM part WHERE p_size < 20 GROUP BY 1")
+def scan_database(t: Tables) -> DataFrame:
+    """The table of parts written to a database of this session and read from it in ranges of its key (sessions with executors elsewhere name a database of their own)."""
+    url = f"jdbc:derby:{io.scratch(t.spark, 'database').removeprefix('file:').replace('//', '/')};create=true"
+    io.write_jdbc(io.read_table(t.spark, f"{t.sf_dir}/part.parquet", PART), url, PART, "p_name VARCHAR(100), p_brand VARCHAR(20), p_type VARCHAR(50)", driver=DERBY)
+    rows = io.read_jdbc(t.spark, url, PART, 4, driver=DERBY).where("p_size < 20")
+    return rows.groupBy(F.col("p_size").alias("size")).agg(F.count("*").alias("n"), F.sum("p_retailprice").alias("price"))
+
+
+@query("""SELECT n_nationkey AS id, CASE n_nationkey % 6 WHEN 0 THEN 'MISSING' WHEN 1 THEN 'TYPE' WHEN 2 THEN 'SIZE' WHEN 3 THEN 'CONTENT' END AS fault, CASE n_nationkey % 6 WHEN 0 THEN NULL WHEN 2 THEN 3000001 ELSE 9 + strlen(n_name) END AS length FROM nation""")
+def file_manifest(t: Tables) -> DataFrame:
+    """Files written for all nations, listed and held against their stated types: missing, of another type, too large, with other bytes than stated."""
+    folder, kind = io.scratch(t.spark, "files"), F.col("n_nationkey") % 6
+    png, jpeg = "unhex('89504E470D0A1A0A')", "unhex('FFD8FFE000104A46')"
+    body = F.when(kind == 2, F.concat(F.expr(png), F.repeat(F.lit("x"), 3_000_000 - 8).cast("binary"))).when(kind == 3, F.concat(F.expr(jpeg), F.col("n_name").cast("binary"))).otherwise(F.concat(F.expr(png), F.col("n_name").cast("binary")))
+    t.nation.where(kind != 0).select("n_nationkey", body.cast("string").alias("value")).write.partitionBy("n_nationkey").text(folder)
+    listed = io.read_manifest(t.spark, folder).withColumn("id", F.regexp_extract("path", "n_nationkey=([0-9]+)/", 1).cast("bigint")).drop("path").withColumnRenamed("id", "path")
+    stated = t.nation.select(F.col("n_nationkey").cast("bigint").alias("path"), F.when(kind == 1, "text/html").otherwise("image/png").alias("mime"))
+    return io.manifest_faults(stated, listed).select(F.col("path").alias("id"), "fault", "length")
+
+
+@query("""SELECT 'orders' AS "table", count(*) AS n, sum(id)::BIGINT AS ids FROM service_orders UNION ALL SELECT 'items', count(*), sum(serviceOrderId)::BIGINT FROM items UNION ALL SELECT 'orders before', count(*), sum(id)::BIGINT FROM service_orders WHERE id % 2 = 0""", "service_orders", "items")
+def commit_tables(t: Tables) -> DataFrame:
+    """Orders and items in two commits; one is run again, and one that breaks off between its tables leaves nothing."""
+    root = io.scratch(t.spark, "tables")
+    batch = lambda k: {"orders": t.service_orders.where(f"id % 2 = {k}"), "items": t.items.where(f"serviceOrderId % 2 = {k}")}
+    commit.committed(t.spark, root, "even", batch(0))
+    for _ in range(2):
+        commit.committed(t.spark, root, "odd", batch(1))
+    with contextlib.suppress(InterruptedError):
+        commit.committed(t.spark, root, "broken", batch(0), before_publishing=_broken)
+    sums = lambda name, df, key: df.agg(F.lit(name).alias("table"), F.count("*").alias("n"), F.sum(key).alias("ids"))
+    read = lambda name, version=None: commit.read_published(t.spark, root, name, version)
+    return sums("orders", read("orders"), "id").unionByName(sums("items", read("items"), "serviceOrderId")).unionByName(sums("orders before", read("orders", 0), "id"))
+
+
+def _broken() -> None:
+    raise InterruptedError
+
+
+@query("""SELECT CASE WHEN event_id % 10 = 3 THEN 'rejected' ELSE 'events' END AS "table", event_id % 4 AS part, count(*) AS n, sum(CASE WHEN event_id % 10 <> 3 THEN event_id END)::BIGINT AS ids FROM events GROUP BY 1, 2""")
+def feed_commits(t: Tables) -> DataFrame:
+    """Events as lines of JSON, some of them cut short, in a feed that is stopped and started again: each line once, in its table or among the rejected."""
+    root, source, checkpoint = (io.scratch(t.spark, n) for n in ("tables", "source", "checkpoint"))
+    line = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    lines = t.events.select(F.when(F.col("event_id") % 10 == 3, F.substring(line, 1, 15)).otherwise(line).alias("value"), (F.col("event_id") % 4).alias("part"))
+    record = T.StructType.fromDDL("event_id BIGINT, user_id BIGINT, event_type STRING")
+
+    def tables(df: DataFrame) -> dict[str, DataFrame]:
+        good, bad = io.json_split(df, "value", record)
+        return {"events": good, "rejected": bad}
+
+    for turn in range(2):
+        lines.where(f"part div 2 = {turn}").write.mode("append").partitionBy("part").text(source)
+        feed = t.spark.readStream.schema("value STRING, part INT").option("maxFilesPerTrigger", 1).text(source)
+        commit.commit_sink(feed, root, "events", checkpoint, tables).trigger(availableNow=True).start().awaitTermination()
+    events = commit.read_published(t.spark, root, "events").select(F.lit("events").alias("table"), "part", "event_id")
+    rejected = commit.read_published(t.spark, root, "rejected").select(F.lit("rejected").alias("table"), "part", F.lit(None).cast("bigint").alias("event_id"))
+    return events.unionByName(rejected).groupBy("table", F.col("part").cast("bigint").alias("part")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("""SELECT id, CASE WHEN id % 3 = 0 THEN 'other' ELSE coalesce(NULL, 'study') END AS type, 60 AS durationMinutes, 'active' AS status, true AS isActive, TIMESTAMP '2024-01-01 00:00:00' AS createdAt FROM studies""", "studies")
 def insert_defaults(t: Tables) -> DataFrame:
     batch = t.studies.select("id", "name", "code", F.when(F.col("id") % 3 == 0, "other").alias("type"))

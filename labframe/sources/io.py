@@ -25,9 +25,23 @@ def read_table(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     return spark.read.schema(spec.struct).parquet(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, spec: TableSpec, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
-    """The same from a database, in ranges of the key (needs the database's driver on the class path)."""
-    return spark.read.jdbc(url, spec.name, column=spec.key, lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=options)
+def read_jdbc(spark: SparkSession, url: str, spec: TableSpec, partitions: int = 8, **options: str) -> DataFrame:
+    """The same from a database, in ranges of the key between its least and greatest value (needs the database's driver on the class path).
+
+    Filters and the columns asked for are sent to the database. An empty table is one range.
+    """
+    columns = {f.name for f in spec.struct.fields}
+    key = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(spec.key)
+    bounds = spark.read.jdbc(url, f"(SELECT MIN({key}) AS low, MAX({key}) AS high FROM {spec.name}) bounds_", properties=options).first()
+    low, high = (0, 0) if bounds[0] is None else (int(bounds[0]), int(bounds[1]))
+    out = spark.read.jdbc(url, spec.name, column=spec.key, lowerBound=low, upperBound=high + 1, numPartitions=max(1, min(partitions, high - low + 1)), properties=options)
+    names = {c.lower(): c for c in out.columns}
+    return out.select(*(F.col(names[f.name.lower()]).cast(f.dataType).alias(f.name) for f in spec.struct.fields if f.name in columns))
+
+
+def write_jdbc(df: DataFrame, url: str, spec: TableSpec, types: str, **options: str) -> None:
+    """Writes a table anew, with the database's own column types."""
+    df.write.option("createTableColumnTypes", types).jdbc(url, spec.name, mode="overwrite", properties=options)
 
 
 def as_text(schema: T.StructType) -> T.StructType:
@@ -50,6 +64,16 @@ def parsed(df: DataFrame, column: str, schema: T.StructType, to: str = "record")
     return df.withColumn(to, F.from_json(F.col(column), as_text(schema))).withColumn("present", F.json_object_keys(F.col(column)))
 
 
+def json_split(df: DataFrame, column: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows with the fields of their JSON text in place of it, rows whose text is no object of this schema, as they are)."""
+    corrupt = "text that is no record"
+    record = F.from_json(F.col(column), T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+    rows = df.withColumn("record_", record)
+    bad = F.col("record_").isNull() | F.col("record_")[corrupt].isNotNull()
+    rest = [c for c in df.columns if c != column]
+    return rows.where(~bad).select(*(F.col("record_")[f.name].alias(f.name) for f in schema.fields), *rest), rows.where(bad).select(*df.columns)
+
+
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
     """A stream of the files of a folder; one file has to be named by a pattern that it matches."""
     return spark.readStream.schema(schema).options(**options).parquet(path)
@@ -61,6 +85,30 @@ def file_fault(mime: Column, length: Column, required: bool = True, types: tuple
     return F.when(gone, F.lit("MISSING") if required else F.lit(None)).when(~mime.isin(*types), "TYPE").when(length > most, "SIZE")
 
 
+#: The bytes that files of these types begin with (a webp file has its mark after a length).
+MAGIC = {"image/jpeg": "^ffd8ff", "image/png": "^89504e470d0a1a0a", "image/webp": "^52494646........57454250"}
+
+
+def read_manifest(spark: SparkSession, path: str, most: int = IMAGE_BYTES) -> DataFrame:
+    """(path, length, modified, magic) of all files below a folder: names and sizes from the listing, and the type that a file's first bytes tell.
+
+    Files over `most` bytes are listed, but never opened. Files without a byte are not listed, so they count as missing.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    head = F.lower(F.hex(F.substring("content", 1, 12)))
+    kind = F.coalesce(*(F.when(head.rlike(pattern), mime) for mime, pattern in MAGIC.items()))
+    opened = found.where(F.col("length") <= most).select("path", "length", F.col("modificationTime").alias("modified"), kind.alias("magic"))
+    large = found.where(F.col("length") > most).select("path", "length", F.col("modificationTime").alias("modified"), F.lit(None).cast("string").alias("magic"))
+    return opened.unionByName(large)
+
+
+def manifest_faults(stated: DataFrame, manifest: DataFrame, required: bool = True, most: int = IMAGE_BYTES) -> DataFrame:
+    """stated (path, mime, ...) with the first fault or null: MISSING (no such file), TYPE, SIZE, CONTENT (the bytes are of another type)."""
+    out = stated.join(manifest.select("path", "length", "magic"), "path", "left")
+    fault = F.coalesce(file_fault(F.col("mime"), F.col("length"), required, most=most), F.when(F.col("length").isNotNull() & ~F.col("mime").eqNullSafe(F.col("magic")), "CONTENT"))
+    return out.select(*stated.columns, "length", fault.alias("fault"))
+
+
 def with_defaults(df: DataFrame, spec: TableSpec, as_of: Column) -> DataFrame:
     """The batch with the table's defaults for nulls, and its times set."""
     types = {f.name: f.dataType for f in spec.struct.fields}
