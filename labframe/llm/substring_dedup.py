@@ -7,6 +7,8 @@ Equal paragraphs are one class before banding, colliding classes are joined, and
 Jaccard similarity of their shingle sets (see near_dup.py, whose buckets are compared whole without emitting all
 pairs). In each component the first paragraph, by key and place, stays; the others are removed.
 
+Paragraphs of fewer words are classed by their words alone and counted, but stay.
+
 Passages are runs of at least MIN_WORDS words, over the ends of lines and inside longer lines. Of equal windows of
 that many words the first, by key and place, stays and the words of the others go. Windows are not compared one by
 one: equal windows have the same least hash of half as many words (winnowing), so a text falls into stretches of some
@@ -54,8 +56,11 @@ def tuned(similarity: float, miss: float = 3e-4, rows: int = 3) -> Scheme:
 LINES = 1 << 31
 
 
-def paragraphs(min_words: int):
-    """A unit function: lines with enough words, and runs of shorter ones between them and blank lines if they have enough together."""
+def paragraphs(min_words: int, shorter: bool = False):
+    """A unit function: lines with enough words, and runs of shorter ones between them and blank lines if they have enough together.
+
+    shorter: the runs that have some words, but not enough, instead.
+    """
 
     def units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         lines = pc.split_pattern(pc.fill_null(batch.column("text").cast(pa.large_string()), ""), "\n")
@@ -71,7 +76,8 @@ def paragraphs(min_words: int):
         first[1:] = ~(short[1:] & short[:-1] & (row[1:] == row[:-1]))
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(row))
-        keep = np.flatnonzero(np.add.reduceat(words, starts) >= min_words) if len(row) else starts
+        total = np.add.reduceat(words, starts) if len(row) else starts
+        keep = np.flatnonzero((total > 0) & (total < min_words) if shorter else total >= min_words)
         starts, ends = starts[keep], ends[keep]
         run, step = within(ends - starts)
         texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, ends - starts)), pa.int32()), flat.take(pa.array(starts[run] + step)).cast(pa.string())), "\n")
@@ -230,12 +236,37 @@ def passages(texts: DataFrame, min_words: int) -> DataFrame:
     return out
 
 
+def short_repeats(texts: DataFrame, min_words: int) -> DataFrame:
+    """(doc, n_short): of the texts (id, doc, text), paragraphs of fewer words that are found at another place, word for word.
+
+    They are classed by a 128-bit digest of their words. A sum for each class and task precedes the shuffle, and a class
+    of very many is joined in parts.
+    """
+    units = paragraphs(min_words, shorter=True)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", PASSAGE_BYTES):
+            row, place, found = units(batch)
+            words, offsets = words_of(found)
+            keys = [rolled(w, b, offsets[:-1], offsets[1:]).view(np.int64) for w, b in zip((words, mixed(words + np.uint64(1))), BASES, strict=True)] if len(row) else [np.zeros(0, np.int64)] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row)), pa.array(place), *map(pa.array, keys)], ["doc", "place", "wa", "wb"])
+
+    # repeated rows give equal places, so they are no repetition
+    each = stored(texts.select("doc", "text").mapInArrow(hashed, "doc bigint, place bigint, wa bigint, wb bigint").distinct(), "short")
+    twice = stored(each.groupBy("wa", "wb").count().where("count > 1").select("wa", "wb"), "short_twice")
+    out = stored(each.join(twice, ["wa", "wb"]).groupBy("doc").agg(F.count("*").alias("n_short")), "short_repeats")
+    discarded(each, twice)
+    return out
+
+
 def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """(id, n_repeated, n_removed, removed, origins, cuts, document) for each row of df.
+    """(id, n_repeated, n_removed, removed, origins, cuts, n_short, document) for each row of df.
 
     n_repeated: paragraphs in a component with others; removed: line numbers that go, being of near copies of
     paragraphs or whole in repeated passages; origins: keys of the documents whose paragraphs and passages stay
-    instead; cuts: places (low, high) of the characters in other lines that go; document: digest of key and text.
+    instead; cuts: places (low, high) of the characters in other lines that go; n_short: shorter paragraphs that are found word for
+    word at another place (greetings, headings and other lines of clean documents, so they stay); document: digest of
+    key and text.
     """
     guarded(df.columns, [id_column, text], "substring_dedup")
     scheme, units = tuned(similarity / 100), paragraphs(min_words)
@@ -245,17 +276,21 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_w
     each = stored(each, "each")
     discarded(rows, nodes, found)
     first = each.groupBy("component").agg(F.min(F.struct("id", "doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", F.col("first.id").alias("origin"), F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"))
-    hits = each.join(stored(first, "first"), "component").withColumn("goes", (F.col("doc") != F.col("first_doc")) | (F.col("place") != F.col("first_place")))
+    first = stored(first, "first")
+    hits = each.join(first, "component").withColumn("goes", (F.col("doc") != F.col("first_doc")) | (F.col("place") != F.col("first_place")))
     goes = lambda c: F.when(F.col("goes"), c)
     by_row = hits.groupBy("doc").agg(F.count("*").alias("n_repeated"), F.collect_list(goes(F.col("place"))).alias("places"), F.collect_set(goes(F.col("origin"))).alias("near"))
     texts = df.select(F.col(id_column).alias("id"), document(id_column, text).alias("doc"), F.col(text).alias("text"))
-    parts = passages(texts, min_words).withColumnRenamed("origins", "more")
-    out = texts.select("id", "doc").join(by_row, "doc", "left").join(parts, "doc", "left")
+    found, short = passages(texts, min_words), short_repeats(texts, min_words)
+    parts = found.withColumnRenamed("origins", "more")
+    out = texts.select("id", "doc").join(by_row, "doc", "left").join(parts, "doc", "left").join(short, "doc", "left")
     names = parts.schema["more"].dataType
     both = lambda a, b, kind: F.array_sort(F.array_union(F.coalesce(a, F.array().cast(kind)), F.coalesce(b, F.array().cast(kind))))
     removed = both(F.flatten(F.transform("places", lambda p: F.sequence(F.floor(p / LINES), F.pmod(p, F.lit(LINES))))), F.col("lines"), "array<bigint>")
     # a line that is removed as a near copy needs no cuts, but they do no harm
-    return out.select(F.col("id").alias(id_column), F.coalesce("n_repeated", F.lit(0)).cast("bigint").alias("n_repeated"), F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed"), both(F.col("near"), F.col("more"), names).alias("origins"), F.coalesce("cuts", F.array().cast(parts.schema["cuts"].dataType)).alias("cuts"), F.col("doc").alias("document"))
+    out = stored(out.select(F.col("id").alias(id_column), F.coalesce("n_repeated", F.lit(0)).cast("bigint").alias("n_repeated"), F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed"), both(F.col("near"), F.col("more"), names).alias("origins"), F.coalesce("cuts", F.array().cast(parts.schema["cuts"].dataType)).alias("cuts"), F.coalesce("n_short", F.lit(0)).cast("bigint").alias("n_short"), F.col("doc").alias("document")), "repeats")
+    discarded(each, first, found, short)
+    return out
 
 
 def without_repeats(df: DataFrame, marked: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from labframe.llm import common, near_dup, substring_dedup
 
@@ -267,3 +268,38 @@ def test_repeats_of_a_table_are_those_of_all_comparisons(spark, sf_dir):
             at, word = at + len(line) + 1, word + len(spans)
         assert (got[i].removed, [(c.low, c.high) for c in got[i].cuts]) == (sorted(near[i] | whole), cuts), i
     assert sum(map(len, near.values())) and any(g.any() for g in gone.values())
+
+
+def short_paragraphs(text, most):
+    """Words of the runs of neighbouring lines of fewer words, that have fewer together."""
+    runs, held = [], []
+    for line in [*(text or "").split("\n"), ""]:
+        words = tuple(WORD.findall(low(line)))
+        if 0 < len(words) < most:
+            held += words
+            continue
+        if 0 < len(held) < most:
+            runs.append(tuple(held))
+        held = []
+    return runs
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "made"])
+def test_shorter_paragraphs_that_are_found_elsewhere_are_counted(spark, size):
+    if size == "made":
+        edge = prose(70, 49)
+        rows = [(1, f"{edge}\n\n{prose(71, 60)}"), (2, f"{prose(72, 60)}\n{edge}"), (3, "Hello\n\nhello\n\nHELLO you"), (3, "Hello\n\nhello\n\nHELLO you"), (4, None), (5, f"{edge} more"), (None, "you"), (6, "\n\n")]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    else:
+        df = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")
+        rows = [tuple(r) for r in df.collect()]
+    places = defaultdict(set)
+    for i, t in rows:
+        for at, words in enumerate(short_paragraphs(t, 50)):
+            places[words].add((i, t, at))
+    want = {(i, t): sum(len(places[w]) > 1 for w in short_paragraphs(t, 50)) for i, t in rows}
+    texts = df.select(F.col("doc_id").alias("id"), near_dup.document("doc_id", "text").alias("doc"), "text")
+    got = texts.join(substring_dedup.short_repeats(texts, 50), "doc", "left").select("id", "text", F.coalesce("n_short", F.lit(0)).alias("n")).collect()
+    assert {(r.id, r.text): r.n for r in got} == want and sum(want.values()) > 3
+    if size == "made":
+        assert {r.doc_id: r.n_short for r in substring_dedup.repeated(df).collect()} == {1: 1, 2: 1, 3: 2, 4: 0, 5: 0, 6: 0, None: 0}
