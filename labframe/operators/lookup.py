@@ -63,6 +63,22 @@ def unique_batch(batch: DataFrame, table: DataFrame, on: list[str], sequence: st
     return out.withColumn("fault", F.when(whole & F.col("taken"), "TAKEN").when(whole & (F.col(sequence) > F.col("first")), "REPEATED")).drop("taken", "first")
 
 
+def key_table(table: DataFrame, on: list[str], name: str, buckets: int) -> DataFrame:
+    """The keys of a table, kept as a table of their own in buckets by key.
+
+    unique_batch, flagged and exists_by_key meet it where it lies: only the batch is dealt out, to the same buckets, so
+    a small batch does not shuffle a large table. Keys of stored batches are added by `key_table_grown`.
+    """
+    table.select(*on).distinct().write.bucketBy(buckets, *on).sortBy(*on).mode("overwrite").format("parquet").saveAsTable(name)
+    return table.sparkSession.table(name)
+
+
+def key_table_grown(batch: DataFrame, on: list[str], name: str, buckets: int) -> DataFrame:
+    """The key table after the keys of a batch that passed unique_batch."""
+    batch.select(*on).distinct().write.bucketBy(buckets, *on).sortBy(*on).mode("append").format("parquet").saveAsTable(name)
+    return batch.sparkSession.table(name)
+
+
 def same_parent(df: DataFrame, table: DataFrame, column: str, shared: str) -> DataFrame:
     """Rows whose reference exists under the same parent, and is active if the table says so."""
     there = active(table) if "isActive" in table.columns else table

@@ -7,6 +7,7 @@ Durations of the access folds are scaled to the events at hand (two days for a l
 from __future__ import annotations
 
 import contextlib
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -435,6 +436,17 @@ def insert_unique(t: Tables) -> DataFrame:
     return lookup.unique_batch(_batch(t), t.studies, ["code"]).select("batch_seq", "code", "fault")
 
 
+@query(f"SELECT batch_seq, code, CASE WHEN code IN (SELECT code FROM studies) THEN 'TAKEN' WHEN batch_seq > min(batch_seq) OVER (PARTITION BY code) AND code IS NOT NULL THEN 'REPEATED' END AS fault FROM ({_BATCH})", "studies")
+def insert_unique_bucketed(t: Tables) -> DataFrame:
+    """The same against a key table in buckets, of which a half came with an earlier batch."""
+    name = f"study_keys_{uuid.uuid4().hex}"
+    lookup.key_table(t.studies.where("id % 2 = 0"), ["code"], name, 8)
+    keys = lookup.key_table_grown(t.studies.where("id % 2 = 1"), ["code"], name, 8)
+    out = io.stored(lookup.unique_batch(_batch(t), keys, ["code"]).select("batch_seq", "code", "fault"), "unique")
+    t.spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 @query("SELECT c.id, c.licenseNumber, min(d.id) AS other FROM (SELECT id, CAST(id % 25 AS INTEGER) AS licenseNumber FROM doctors) c JOIN doctors d ON d.licenseNumber = c.licenseNumber AND d.id <> c.id GROUP BY 1, 2", "doctors")
 def conflict_on_update(t: Tables) -> DataFrame:
     changes = t.doctors.select("id", (F.col("id") % 25).cast("int").alias("licenseNumber"))

@@ -94,3 +94,33 @@ def test_a_restricted_descendant_refuses_the_root_alone(spark):
     tables |= {"studies": frame([(7,), (8,)], "id bigint"), "study_details": tables["study_details"].withColumn("studyId", F.when(F.col("id") == 5, 8).otherwise(7))}
     after, refused = mutate.cascaded(tables, "studies", frame([(7,), (8,)], "id bigint"))
     assert [x.id for x in refused.collect()] == [7] and [x.id for x in after["studies"].collect()] == [7] and after["study_details"].count() == 4
+
+
+def test_a_batch_meets_a_bucketed_key_table_where_it_lies(spark):
+    """Only the batch is dealt out, whatever Spark would broadcast."""
+    from labframe.operators import lookup
+
+    table, name = spark.range(1000).selectExpr("id", "concat('k', id) AS code"), "keys_of_a_test"
+    keys = lookup.key_table(table, ["code"], name, 4)
+    keys = lookup.key_table_grown(spark.createDataFrame([("x",), ("k5",)], "code string"), ["code"], name, 4)
+    batch = spark.createDataFrame([(1, "k7"), (2, "new"), (3, "new"), (4, None), (5, "x"), (6, "k5")], "batch_seq bigint, code string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lookup.unique_batch(batch, keys, ["code"])
+        assert {r.batch_seq: r.fault for r in out.collect()} == {1: "TAKEN", 2: None, 3: "REPEATED", 4: None, 5: "TAKEN", 6: "TAKEN"}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        scan = next(i for i, line in enumerate(plan.split("\n")) if "Scan parquet" in line)
+        above = plan.split("\n")[:scan]
+        depth = len(plan.split("\n")[scan]) - len(plan.split("\n")[scan].lstrip(" :+-*("))
+        parents = []
+        for line in reversed(above):
+            at = len(line) - len(line.lstrip(" :+-*("))
+            if at < depth:
+                parents.append(line)
+                depth = at
+        join = next(i for i, line in enumerate(parents) if "Join" in line)
+        assert not [line for line in parents[:join] if "Exchange" in line], plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"DROP TABLE {name}")
