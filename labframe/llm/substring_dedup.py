@@ -251,10 +251,11 @@ def short_repeats(texts: DataFrame, min_words: int) -> DataFrame:
             keys = [rolled(w, b, offsets[:-1], offsets[1:]).view(np.int64) for w, b in zip((words, mixed(words + np.uint64(1))), BASES, strict=True)] if len(row) else [np.zeros(0, np.int64)] * 2
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row)), pa.array(place), *map(pa.array, keys)], ["doc", "place", "wa", "wb"])
 
-    # repeated rows give equal places, so they are no repetition
-    each = stored(texts.select("doc", "text").mapInArrow(hashed, "doc bigint, place bigint, wa bigint, wb bigint").distinct(), "short")
-    twice = stored(each.groupBy("wa", "wb").count().where("count > 1").select("wa", "wb"), "short_twice")
-    out = stored(each.join(twice, ["wa", "wb"]).groupBy("doc").agg(F.count("*").alias("n_short")), "short_repeats")
+    each = stored(texts.select("doc", "text").mapInArrow(hashed, "doc bigint, place bigint, wa bigint, wb bigint"), "short")
+    # of a class only its first and last place are told; repeated rows give equal places, so they are no repetition
+    ends = each.groupBy("wa", "wb").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last"))
+    twice = stored(ends.where("first <> last").select("wa", "wb"), "short_twice")
+    out = stored(each.join(broadcast_if_small(twice), ["wa", "wb"]).groupBy("doc").agg(F.count_distinct("place").alias("n_short")), "short_repeats")
     discarded(each, twice)
     return out
 
