@@ -252,9 +252,9 @@ def short_repeats(texts: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row)), pa.array(place), *map(pa.array, keys)], ["doc", "place", "wa", "wb"])
 
     each = stored(texts.select("doc", "text").mapInArrow(hashed, "doc bigint, place bigint, wa bigint, wb bigint"), "short")
-    # of a class only its first and last place are told; repeated rows give equal places, so they are no repetition
-    ends = each.groupBy("wa", "wb").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last"))
-    twice = stored(ends.where("first <> last").select("wa", "wb"), "short_twice")
+    # a class is at several places if documents or places differ; repeated rows give equal ones, so they are no repetition
+    ends = each.groupBy("wa", "wb").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("doc", "place")))
+    twice = stored(ends.where("min_doc < max_doc OR min_place < max_place").select("wa", "wb"), "short_twice")
     out = stored(each.join(broadcast_if_small(twice), ["wa", "wb"]).groupBy("doc").agg(F.count_distinct("place").alias("n_short")), "short_repeats")
     discarded(each, twice)
     return out
