@@ -57,7 +57,8 @@ def _candidates(asked: DataFrame, index: DataFrame) -> DataFrame:
     second = ranked.where("rank = 2").select("term_id", F.col("segment").alias("segment_2"), F.col("pos").alias("at_2"), F.col("gram").alias("gram_2"))
     hits = found.join(first, "gram").select("term_id", "id", "field", "segment", (F.col("pos") - F.col("at")).alias("start")).join(second, "term_id", "left")
     alone = hits.where("gram_2 IS NULL").select("term_id", "id", "field")
-    other = found.select(F.col("gram").alias("gram_2"), "id", "field", F.col("pos").alias("pos_2"))
+    # both sides grow with the table, but lie compressed, so their files look small enough to be sent to the driver
+    other = found.select(F.col("gram").alias("gram_2"), "id", "field", F.col("pos").alias("pos_2")).hint("merge")
     both = hits.where("gram_2 IS NOT NULL").join(other, ["gram_2", "id", "field"]).where((F.col("segment") != F.col("segment_2")) | (F.col("start") == F.col("pos_2") - F.col("at_2")))
     return alone.unionByName(both.select("term_id", "id", "field")).distinct()
 
@@ -68,7 +69,7 @@ def matches(df: DataFrame, index: DataFrame, terms: DataFrame, columns: Sequence
     within = _candidates(asked, index.where(F.col("field").isin(*columns))).join(terms, "term_id")
     rows = df.select(F.col(key).alias("id"), *(F.col(c).alias(f"value of {c}") for c in columns))
     value = reduce(lambda out, c: F.when(F.col("field") == c, F.col(f"value of {c}")).otherwise(out), columns, F.lit(None).cast("string"))
-    found = within.join(rows, "id").where(like(value, F.col("q"))).select("term_id", "id")
+    found = within.join(rows.hint("merge"), "id").where(like(value, F.col("q"))).select("term_id", "id")
     plain = terms.join(asked, "term_id", "left_anti")
     if plain.limit(1).count():  # no gram to ask for
         hit = reduce(lambda a, b: a | b, [F.coalesce(like(F.col(f"value of {c}"), F.col("q")), F.lit(False)) for c in columns])

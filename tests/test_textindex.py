@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from labframe.operators import search, textindex
 from labframe.sources.io import stored
@@ -43,3 +44,13 @@ def test_plans_have_no_nested_loop(spark, table):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     best = search.top_of_terms(df, terms, ["name", "code"], search.keys("name"), 2)
     assert "NestedLoop" not in best._jdf.queryExecution().executedPlan().toString() and best.groupBy("term_id").count().where("count > 2").count() == 0
+
+
+def test_no_side_that_grows_is_broadcast(spark):
+    rows = spark.range(2000).select("id", F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("a"))
+    index = stored(textindex.text_index(rows, ["a"]), "index")
+    terms = spark.createDataFrame([(1, "#0%12"), (2, "0000"), (3, "99")], "term_id int, q string")
+    found = textindex.matches(rows, index, terms, ["a"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2
+    assert dict(found.groupBy("term_id").count().collect()) == {1: sum("12" in f"{i:09d}" for i in range(2000)), 2: 2000, 3: sum("99" in f"{i:09d}" for i in range(2000))}
