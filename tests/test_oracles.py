@@ -40,7 +40,7 @@ def test_every_query_has_sql():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["detail_insert", "detail_insert_faults"])
+@pytest.mark.parametrize("name", ["detail_insert", "detail_insert_faults", "detail_insert_chains"])
 def test_batches_of_details_beyond_a_million_ids(spark, duck, sf_dir, tmp_path, name):
     part = f"SELECT * REPLACE (p_partkey + k * 500000 AS p_partkey) FROM '{sf_dir}/part.parquet', range(4) r(k)"
     duck.sql(f"COPY ({part}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
