@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +30,57 @@ from labframe.sources.io import stored
 BLOCK_EVENTS = 100_000
 
 
-def dealt(events: DataFrame, key: str, rows: int = BLOCK_EVENTS) -> DataFrame:
-    """The stored events with `block`, a range of (key, t, event_id) of about so many rows."""
-    n = max(1, -(-events.count() // rows))
-    return stored(events.repartitionByRange(n, key, "t", "event_id").withColumn("block", F.spark_partition_id()), "blocks")
+def dealt(events: DataFrame, key: str, rows: int = BLOCK_EVENTS, dealt_rows: int = BLOCK_EVENTS) -> DataFrame:
+    """The stored events with `block`, a range of (key, t, event_id) of at most `rows` rows.
+
+    Small blocks are cut from sorted partitions of about `dealt_rows` rows, so there are no more tasks, whose reports
+    all go to the driver, than the number of events asks for.
+    """
+    n = max(1, -(-events.count() // max(rows, dealt_rows)))
+    ordered = events.repartitionByRange(n, key, "t", "event_id").sortWithinPartitions(key, "t", "event_id")
+    # ids go up within a partition and leave a wide gap after it, so blocks follow the order and end with the partition
+    return stored(ordered.withColumn("block", F.expr(f"monotonically_increasing_id() div {rows}")), "blocks")
+
+
+def grouped(rows: DataFrame, by: Sequence[str], order: Sequence[str], f: Callable[[dict[str, list]], Sequence[list]], schema: str) -> DataFrame:
+    """Rows dealt by `by` and sorted by it and `order`; f takes the columns of one group and gives those of its results.
+
+    Groups follow each other in a task's batches, so many small ones cost no more than their rows. Results are texts or
+    columns of the rows.
+    """
+    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+    dealt = rows.repartition(*map(F.col, by)).sortWithinPartitions(*by, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, types = None, {}, []
+
+        def results(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, types, strict=True)], names)
+
+        for batch in batches:
+            types = [batch.schema.field(c).type if c in batch.schema.names else pa.string() for c in names]
+            columns, out = {c: batch.column(c).to_pylist() for c in batch.schema.names}, [[] for _ in names]
+            of, start = list(zip(*(columns[c] for c in by), strict=True)), 0
+            while start < len(of):
+                end = start + 1
+                while end < len(of) and of[end] == of[start]:
+                    end += 1
+                if of[start] != at:
+                    for to, more in zip(out, f(held) if held else [], strict=bool(held)):
+                        to.extend(more)
+                    at, held = of[start], {c: [] for c in columns}
+                for c, values in columns.items():
+                    held[c].extend(values[start:end])
+                start = end
+            yield results(out)
+        if held:
+            yield results([list(x) for x in f(held)])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def in_blocks(blocks: DataFrame, key: str, fields: Sequence[str], phases: Sequence[tuple[tuple, Callable, Callable]], finish: Callable) -> DataFrame:
-    """(key, event_id, outcome) of dealt events.
+    """(key, event_id, outcome) of dealt events, whose keys are not null.
 
     Each phase is (state at the beginning, summed, applied): summed(columns, entries) gives the sum of a block as a JSON
     value, where entries are its states of the phases before; applied(sum, state) gives the state after it.
@@ -46,40 +89,38 @@ def in_blocks(blocks: DataFrame, key: str, fields: Sequence[str], phases: Sequen
     kind, number = blocks.schema[key].dataType.simpleString(), blocks.schema["event_id"].dataType.simpleString()
     known = blocks.select(key, "block").distinct().withColumn("entries", F.lit("[]"))
 
-    def columns(rows: pd.DataFrame) -> dict[str, list]:
-        return {c: rows[c].tolist() for c in ("t", *fields)}
+    def in_each(entries: DataFrame, f: Callable, schema: str) -> DataFrame:
+        # a block's entries are a row before its events, so no join has to bring them together
+        both = blocks.select(key, "block", "event_id", "t", *fields).unionByName(entries.select(key, "block", "entries"), allowMissingColumns=True)
+        return grouped(both.withColumn("event", F.col("entries").isNull()), [key, "block"], ["event", "t", "event_id"], f, schema)
 
-    def grouped(entries: DataFrame):
-        there = entries.select(F.col(key).alias("of"), F.col("block").alias("at"), "entries")
-        return blocks.join(there, F.col(key).eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).select(key, "block", "event_id", "t", *fields, "entries").groupBy(key, "block")
+    def columns(rows: dict[str, list]) -> dict[str, list]:
+        return {c: rows[c][1:] for c in ("t", *fields)}
 
-    def summing(summed: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def sum_up(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["t", "event_id"])
-            got = summed(columns(rows), json.loads(rows.entries.iloc[0]))
-            return rows[[key, "block", "entries"]].head(1).assign(sum=json.dumps(got))
+    def summing(summed: Callable) -> Callable[[dict[str, list]], Sequence[list]]:
+        def sum_up(rows: dict[str, list]) -> Sequence[list]:
+            return rows[key][:1], rows["block"][:1], rows["entries"][:1], [json.dumps(summed(columns(rows), json.loads(rows["entries"][0])))]
 
         return sum_up
 
-    def scanning(begin: tuple, applied: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def scan(rows: pd.DataFrame) -> pd.DataFrame:
-            rows, state, out = rows.sort_values("block"), begin, []
-            for entries, got in zip(rows.entries, rows["sum"], strict=True):
+    def scanning(begin: tuple, applied: Callable) -> Callable[[dict[str, list]], Sequence[list]]:
+        def scan(rows: dict[str, list]) -> Sequence[list]:
+            state, out = begin, []
+            for entries, got in zip(rows["entries"], rows["sum"], strict=True):
                 out.append(json.dumps([*json.loads(entries), state]))
                 state = applied(json.loads(got), state)
-            return rows[[key, "block"]].assign(entries=out)
+            return rows[key], rows["block"], out
 
         return scan
 
     for begin, summed, applied in phases:
-        sums = stored(grouped(known).applyInPandas(summing(summed), f"`{key}` {kind}, block int, entries string, sum string"), "sums")
-        known = stored(sums.groupBy(key).applyInPandas(scanning(begin, applied), f"`{key}` {kind}, block int, entries string"), "entries")
+        sums = stored(in_each(known, summing(summed), f"`{key}` {kind}, block bigint, entries string, sum string"), "sums")
+        known = stored(grouped(sums, [key], ["block"], scanning(begin, applied), f"`{key}` {kind}, block bigint, entries string"), "entries")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "event_id"])
-        return rows[[key, "event_id"]].assign(outcome=finish(columns(rows), json.loads(rows.entries.iloc[0])))
+    def run(rows: dict[str, list]) -> Sequence[list]:
+        return rows[key][1:], rows["event_id"][1:], finish(columns(rows), json.loads(rows["entries"][0]))
 
-    return grouped(known).applyInPandas(run, f"`{key}` {kind}, event_id {number}, outcome string")
+    return in_each(known, run, f"`{key}` {kind}, event_id {number}, outcome string")
 
 
 def runs(times: Sequence[int], exits: Sequence, until: int) -> list:

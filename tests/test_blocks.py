@@ -82,6 +82,16 @@ def test_a_million_events_of_one_user_are_folded_by_many_tasks(spark):
     assert total(one) == total(parts)
 
 
+def test_small_blocks_need_no_more_tasks(spark):
+    """Blocks keep their bound and follow the order of the events, cut from a few sorted partitions."""
+    events = many(spark, 20_000, "concat('u', id % 3)")
+    dealt = blocks.dealt(access._timed(events, "email", access.ACCESS_FIELDS), "email", 40, 5000)
+    assert dealt.select(F.input_file_name()).distinct().count() <= 4
+    found = dealt.groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct("email", "t", "event_id")).alias("low"), F.max(F.struct("email", "t", "event_id")).alias("high")).orderBy("block").collect()
+    assert max(x.n for x in found) == 40 and sum(x.n for x in found) == 20_000
+    assert all(tuple(a.high) < tuple(b.low) for a, b in zip(found, found[1:], strict=False))
+
+
 def test_keys_with_few_and_many_events_and_none(spark):
     events = many(spark, 3000, "CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 < 9 THEN concat('u', id % 50) END")
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
