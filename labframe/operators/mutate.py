@@ -20,7 +20,7 @@ from labframe.sources.schema import SPECS, Reference, TableSpec
 SEQUENCE = "batch_seq"
 
 
-def merged(patches: DataFrame, columns: Sequence[str], nullable: bool = True, sequence: str = SEQUENCE) -> DataFrame:
+def merged(patches: DataFrame, columns: Sequence[str], nullable: bool | Sequence[str] = True, sequence: str = SEQUENCE) -> DataFrame:
     """(id, fields, columns): one patch for each id, of each column what the last patch that gives it says, as if they came one after the other.
 
     Patches (id, columns) without `fields` give what is not null. Without a column `sequence` a batch has one patch an
@@ -30,7 +30,7 @@ def merged(patches: DataFrame, columns: Sequence[str], nullable: bool = True, se
     last = {}
     for c in columns:
         given = F.coalesce(F.array_contains("fields", c), F.lit(False)) if "fields" in patches.columns else F.col(c).isNotNull()
-        given = given if nullable else given & F.col(c).isNotNull()
+        given = given if nullable is True or (nullable and c in nullable) else given & F.col(c).isNotNull()
         last[c] = F.max(F.when(given, F.struct(seq.alias("seq"), F.col(c).alias("value")))).alias(c)
     out = patches.groupBy("id").agg(F.count("*").alias("n_"), *last.values())
     fields = F.filter(F.array(*(F.when(F.col(c).isNotNull(), c) for c in columns)), lambda c: c.isNotNull())
@@ -39,13 +39,14 @@ def merged(patches: DataFrame, columns: Sequence[str], nullable: bool = True, se
     return out.select("id", fields.alias("fields"), *(F.col(c)["value"].alias(c) for c in columns))
 
 
-def patched(table: DataFrame, patches: DataFrame, columns: Sequence[str], nullable: bool = True, sequence: str = SEQUENCE) -> DataFrame:
+def patched(table: DataFrame, patches: DataFrame, columns: Sequence[str], nullable: bool | Sequence[str] = True, sequence: str = SEQUENCE, many: bool = False) -> DataFrame:
     """The table with patches (id, fields, columns) applied to its active rows, several of one id in the order of `sequence`.
 
-    `fields` lists what the patch has, which tells an explicit null from nothing. nullable=False: a null keeps the old value.
+    `fields` lists what the patch has, which tells an explicit null from nothing. nullable=False: a null keeps the old value; the
+    columns that a null sets can be listed instead. Of `many` patches none are sent to the driver.
     """
     new = merged(patches, columns, nullable, sequence).select("id", "fields", *(F.col(c).alias(f"new_{c}") for c in columns))
-    out, on = table.join(new, "id", "left"), F.col("isActive") if "isActive" in table.columns else F.lit(True)
+    out, on = table.join(new.hint("merge") if many else new, "id", "left"), F.col("isActive") if "isActive" in table.columns else F.lit(True)
     for c in columns:
         given = on & F.coalesce(F.array_contains("fields", c), F.lit(False))
         out = out.withColumn(c, F.when(given, F.col(f"new_{c}")).otherwise(F.col(c)))
@@ -145,9 +146,10 @@ def with_status(table: DataFrame, patches: DataFrame) -> DataFrame:
     return table.join(new, "id", "left").withColumn("status", F.when(F.col("isActive") & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("status"))).select(*table.columns)
 
 
-def replaced_children(children: DataFrame, new: DataFrame, link: str) -> DataFrame:
-    """Parents that bring new children lose all old ones; parents that bring none keep theirs."""
-    return children.join(new.select(link).distinct(), link, "left_anti").select(*children.columns).unionByName(new.select(*children.columns))
+def replaced_children(children: DataFrame, new: DataFrame, link: str, many: bool = False) -> DataFrame:
+    """Parents that bring new children lose all old ones; parents that bring none keep theirs. `many`: see patched."""
+    parents = new.select(link).distinct()
+    return children.join(parents.hint("merge") if many else parents, link, "left_anti").select(*children.columns).unionByName(new.select(*children.columns))
 
 
 def soft_deleted(table: DataFrame, ids: DataFrame) -> DataFrame:

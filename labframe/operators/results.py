@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from labframe.operators.lookup import flagged
 from labframe.operators.mutate import SEQUENCE, patched, replaced_children
 from labframe.operators.search import active
+from labframe.sources.io import stored
+
+
+#: Rows from which a table is never sent to the driver to be broadcast: stored ones look smaller than they are.
+MANY_ROWS = 500_000
+
+
+def _met(df: DataFrame, many: bool) -> DataFrame:
+    """df as a side of a join: merged if it has many rows, else as Spark chooses."""
+    return df.hint("merge") if many else df
 
 
 def drafts(items: DataFrame, orders: DataFrame, results: DataFrame, details: DataFrame) -> DataFrame:
@@ -25,7 +35,7 @@ def drafts(items: DataFrame, orders: DataFrame, results: DataFrame, details: Dat
 def snapshot(values: DataFrame, details: DataFrame) -> DataFrame:
     """Submitted values with a found detail's label, unit and reference in place of their own, also where the detail has none."""
     known = details.select(F.col("id").alias("studyDetailId"), F.lit(True).alias("known"), *(F.col(c).alias(f"d_{c}") for c in ("name", "unit", "referenceValue")))
-    out = values.join(known, "studyDetailId", "left")
+    out = values.join(_met(known, details.count() > MANY_ROWS), "studyDetailId", "left")
     for to, of in {"label": "name", "unit": "unit", "referenceValue": "referenceValue"}.items():
         out = out.withColumn(to, F.when(F.col("known"), F.col(f"d_{of}")).otherwise(F.col(to)))
     return out.drop("known", "d_name", "d_unit", "d_referenceValue")
@@ -56,12 +66,15 @@ def results_patched(results: DataFrame, values: DataFrame, patches: DataFrame, n
     old = results.select("id", F.col("isActive").alias("there"), F.col("serviceOrderId").alias("o"), F.col("serviceOrderItemId").alias("i"))
     other = lambda c, was: F.coalesce(F.col(c) != F.col(was), F.lit(False))
     fault = F.when(~F.coalesce("there", F.lit(False)), "MISSING").when(other("serviceOrderId", "o"), "ORDER").when(other("serviceOrderItemId", "i"), "ITEM")
-    state = patches.join(old, "id", "left").withColumn("fault", fault).select(*patches.columns, "fault")
-    good = state.where("fault IS NULL")
-    out = patched(patched(results, good, ["sampleAt", "reportedAt"], nullable=False, sequence=sequence), good, ["method", "observations", "isDraft"], sequence=sequence)
+    # stored, as each of the three tables reads the patches and two of them the new values
+    state = stored(patches.join(old.hint("merge"), "id", "left").withColumn("fault", fault).select(*patches.columns, "fault"), "patches")
+    good, many = state.where("fault IS NULL"), state.count() > MANY_ROWS
+    out = patched(results, good, ["sampleAt", "reportedAt", "method", "observations", "isDraft"], ["method", "observations", "isDraft"], sequence=sequence, many=many)
     by = [sequence] if sequence in patches.columns and sequence in new_values.columns else []
-    mine = new_values.join(good.select(F.col("id").alias("studyResultId"), *by), ["studyResultId", *by], "left_semi")
+    mine = new_values.join(_met(good.select(F.col("id").alias("studyResultId"), *by), many), ["studyResultId", *by], "left_semi")
     if by:
+        mine = stored(mine, "good_values")
         last = mine.groupBy("studyResultId").agg(F.max(sequence).alias(sequence))
-        mine = mine.join(last, ["studyResultId", sequence], "left_semi")
-    return out, replaced_children(values, snapshot(mine, details).select(*values.columns), "studyResultId"), state
+        mine = mine.join(_met(last, many), ["studyResultId", sequence], "left_semi")
+    new = stored(snapshot(mine, details).select(*values.columns), "new_values")
+    return out, replaced_children(values, new, "studyResultId", many), state

@@ -124,3 +124,14 @@ def test_a_batch_meets_a_bucketed_key_table_where_it_lies(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_patches_of_results_are_judged_once_and_not_sent_to_the_driver(spark, sf_dir, monkeypatch):
+    """However many of the three tables are read, the sheets are not grouped again; sides with many rows are merged."""
+    from labframe.operators import results
+    from labframe.plans import catalogue
+
+    monkeypatch.setattr(results, "MANY_ROWS", 0)
+    for name in ("result_patch_values", "result_patch_in_turn"):
+        plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem.parquet" not in plan and "BroadcastHashJoin" not in plan
