@@ -130,10 +130,10 @@ def session_feed(events: DataFrame, minutes: int = SESSION, delay: str = "1 day"
         mark, out = state.getCurrentWatermarkMs(), []
         now.pruned(mark * 1000 - keep * MINUTE, life)
         if not state.hasTimedOut:
-            new = pd.concat(list(frames))
-            new = new.assign(turn=new.kind.map(TURN)).sort_values(["t", "turn", "event_id"])
-            for number, t, kind, jti in zip(*(new[c].astype(object).where(new[c].notna(), None).tolist() for c in ("event_id", "t", "kind", "jti")), strict=True):
-                out.append((group[0], number, now.step(int(t), kind, jti, life)))
+            # most users have few events, for which lists are many times quicker than frames
+            new = [x for frame in frames for x in zip(frame["t"].tolist(), (TURN.get(k, len(TURN)) for k in frame["kind"]), frame["event_id"].tolist(), frame["kind"].tolist(), frame["jti"].tolist(), strict=True)]
+            for t, _, number, kind, jti in sorted(new, key=lambda x: (*x[:2], x[2] != x[2], x[2])):
+                out.append((group[0], number if number == number else None, now.step(int(t), kind, jti if isinstance(jti, str) else None, life)))
         if now.known or now.logouts:
             state.update(now.state())
             state.setTimeoutTimestamp(mark + keep * 60_000 + 1)

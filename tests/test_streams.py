@@ -85,3 +85,11 @@ def test_a_stream_lets_a_token_serve_once(spark, tmp_path):
     events = feed(spark, rows).withColumnsRenamed({"jti": "token", "user_id": "email"}).withColumn("known", F.lit(True))
     got = dict(run(spark, events, processors.flow_stream, str(tmp_path), 3))
     assert [got[i] for i in range(8)] == ["SENT", "DONE", "INVALID", "SENT", "VALID", "INVALID", "DONE", "INVALID"]
+
+
+def test_feed_takes_events_of_one_time_in_turn(spark, tmp_path):
+    """Opened, ended and then asked for, whatever the order of the rows; ids decide last."""
+    rows = [(4, 60, "request", "a"), (3, 60, "logout", "a"), (9, 60, "open", "a"), (2, 30, "request", None), (1, 30, "request", "a"), (7, 59, "open", "b"), (8, 60, "request", "b")]
+    events = spark.createDataFrame(rows, "event_id bigint, s bigint, kind string, jti string").select("event_id", F.timestamp_seconds("s").alias("ts"), F.lit(1).alias("user_id"), "kind", "jti", F.lit(0).alias("part"))
+    got = dict(run(spark, events, lambda e: processors.session_feed(e, 15), tmp_path, 1))
+    assert got == {1: "NOT_FOUND", 2: "NO_JTI", 7: "OPENED", 9: "OPENED", 3: "LOGGED_OUT", 4: "REVOKED", 8: "OK"}
