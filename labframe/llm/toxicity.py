@@ -15,6 +15,7 @@ an empty table. Without labels of both classes there is nothing to learn, and an
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -269,13 +270,21 @@ def fold(key: Column) -> Column:
 
 
 def fitted(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", sample: dict[int, int] | None = None) -> Model:
-    """Trains on a bounded sample of the labelled rows outside fold 1 (see SAMPLE), which the driver gathers."""
+    """Trains on a bounded sample of the labelled rows outside fold 1 (see SAMPLE), in one task; the driver gets the model alone."""
     few = labels.where((fold(F.col(id_column)) != 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("key")).agg(F.max(F.col(label).cast("int")).alias("y"))
     few = [few.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(n) for y, n in (sample or SAMPLE).items()]
     rows = df.select(F.col(id_column).alias("key"), F.col(text).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES).join(F.broadcast(few[0].unionByName(few[1])), "key")
     rows = rows.groupBy("key").agg(F.max("y").alias("y"), F.min("t").alias("t"))  # repeated keys give one row
-    rows = sorted((r.key, r.y, r.t) for r in rows.collect())  # at most the sample's rows, each of bounded size
-    return trained([r[2] for r in rows], [r[1] for r in rows])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        if len({y for _, y, _ in some}) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained([t for *_, t in some], [y for _, y, _ in some]))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).mapInArrow(train, "model binary").collect()  # at most the sample's rows, each of bounded size
+    if not found:
+        raise ValueError("toxicity: the training rows need labels of both classes")
+    return pickle.loads(found[0].model)
 
 
 def scored(df: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -147,3 +148,15 @@ def test_fitting_uses_no_row_of_the_held_out_fold(spark):
     assert all((a.p[k] == b.p[k]).all() for k in a.p)
     with pytest.raises(ValueError):
         toxicity.fitted(docs, labels.where("toxic = 0"))
+
+
+def test_training_is_a_task_and_not_the_drivers(spark, monkeypatch):
+    rows = labelled(120, 8)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    used = docs.join(labels, "doc_id").where(toxicity.fold(docs.doc_id) != 1).orderBy("doc_id").collect()
+    train, driver = toxicity.trained, os.getpid()
+    own = train([r.text for r in used], [r.toxic for r in used])
+    monkeypatch.setattr(toxicity, "trained", lambda *a: pytest.fail("trained in the driver") if os.getpid() == driver else train(*a))
+    model = toxicity.fitted(docs, labels)
+    assert model.vocabulary == own.vocabulary and all(np.allclose(model.p[k], own.p[k], atol=1e-5) for k in own.p)
