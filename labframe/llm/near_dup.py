@@ -302,7 +302,9 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
     some = rows.where("n > 0")
     # sums by a key are stored before they are joined, so that both sides of the join are exchanges and a hot key can be split
     first = hold(some.groupBy(*NODE).agg(F.min(F.struct("doc", "place")).alias("first"), F.min("id").alias("least")).select(*NODE, "first.doc", "first.place", "least"), "first")
-    nodes = stored(some.join(first, [*NODE, "doc", "place"]).select(node_of().alias("node"), F.col("least").alias("id"), "doc", "place", *NODE, "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
+    # repeated rows lie together after the join, so they go without another shuffle
+    nodes = some.join(first, [*NODE, "doc", "place"]).dropDuplicates([*NODE, "doc", "place"])
+    nodes = stored(nodes.select(node_of().alias("node"), F.col("least").alias("id"), "doc", "place", *NODE, "n", "bands", "sketch"), "nodes")
     place = ["node", "doc", "place", *NODE]
 
     keyed = nodes.select("node", "bands", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias("i", "a"))

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labframe.llm.common import broadcast_if_small, by_bytes, discarded, guarded, stored
@@ -188,10 +188,11 @@ def passages(texts: DataFrame, min_words: int) -> DataFrame:
     """
     place = F.struct("id", "doc", "low", "high")
     all_of = stretches(texts, min_words)
-    differ = (F.min("wa") != F.max("wa")) | (F.min("wb") != F.max("wb")) | F.max("loops")
-    twice = stored(all_of.groupBy("anchor").agg(F.count("*").alias("n"), differ.alias("several")).where("n > 1 OR several").select("anchor", "several"), "twice")
-    met = stored(all_of.drop("loops").join(broadcast_if_small(twice), "anchor"), "met")
-    discarded(all_of, twice)
+    # one shuffle of the stretches gives each its anchor's sums: sums joined back would shuffle them all a second time
+    same = Window.partitionBy("anchor")
+    differ = (F.min("wa").over(same) != F.max("wa").over(same)) | (F.min("wb").over(same) != F.max("wb").over(same)) | F.max("loops").over(same)
+    met = stored(all_of.withColumns({"n": F.count("*").over(same), "several": differ}).where("n > 1 OR several").drop("n", "loops"), "met")
+    discarded(all_of)
     # repeated rows give equal places, so they are no repetition
     kinds = met.groupBy("wa", "wb").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("several").alias("several"))
     kinds = stored(kinds.select("wa", "wb", "first", (~F.col("first").eqNullSafe(F.col("last"))).alias("repeats"), "several").where("repeats OR several"), "kinds")
@@ -199,11 +200,10 @@ def passages(texts: DataFrame, min_words: int) -> DataFrame:
     copies = met.join(firsts, ["wa", "wb"]).where("doc <> first_doc OR low <> first_low").select("doc", "low", "high", "origin")
 
     loose = windows(texts, kinds.where("several").select("first.doc", "first.low", "first.high"), min_words)
-    ends = loose.groupBy("wa", "wb").agg(F.min(F.struct("id", "doc", "low")).alias("first"), F.max(F.struct("id", "doc", "low")).alias("last"))
-    ends = stored(ends.where(~F.col("first").eqNullSafe(F.col("last"))).select("wa", "wb", F.col("first.id").alias("origin"), F.col("first.doc").alias("first_doc"), F.col("first.low").alias("first_low")), "ends")
-    later = loose.join(ends, ["wa", "wb"]).where("doc <> first_doc OR low <> first_low").select("doc", "low", (F.col("low") + 1).alias("high"), "origin")
+    start = F.min(F.struct("id", "doc", "low")).over(Window.partitionBy("wa", "wb"))
+    later = loose.withColumn("first", start).where("doc <> first.doc OR low <> first.low").select("doc", "low", (F.col("low") + 1).alias("high"), F.col("first.id").alias("origin"))
     runs = stored(copies.unionByName(later).groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("found"), F.collect_set("origin").alias("origins")), "runs")
-    discarded(met, kinds, loose, ends)
+    discarded(met, kinds, loose)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", PASSAGE_BYTES):

@@ -303,3 +303,23 @@ def test_shorter_paragraphs_that_are_found_elsewhere_are_counted(spark, size):
     assert {(r.id, r.text): r.n for r in got} == want and sum(want.values()) > 3
     if size == "made":
         assert {r.doc_id: r.n_short for r in substring_dedup.repeated(df).collect()} == {1: 1, 2: 1, 3: 2, 4: 0, 5: 0, 6: 0, None: 0}
+
+
+def test_stretches_and_nodes_are_shuffled_once(docs, spark, monkeypatch):
+    plans = {}
+
+    def stored(df, name, *a):
+        plans[name] = plans.get(name, "") + df._jdf.queryExecution().executedPlan().toString()
+        return common.stored(df, name, *a)
+
+    for module in (near_dup, substring_dedup):
+        monkeypatch.setattr(module, "stored", stored)
+        monkeypatch.setattr(module, "broadcast_if_small", lambda df: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        substring_dedup.repeated(docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(p.count("hashpartitioning(anchor") for p in plans.values()) == 1
+    assert plans["nodes"].count("Exchange hashpartitioning") == 2  # the rows and the sums that they are joined with
