@@ -57,7 +57,7 @@ TENSORED = Scheme(12, 3, 8, 2)
 BLOCK, WIDE = 256, 64
 #: The band that stands for a rare shingle.
 RARE = -1
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 #: Estimates below this share of equal minhashes are dropped before verification: at 0.8 over five deviations away.
 LEAST_ESTIMATE = 0.45
 #: Fixed value: an odd base of the words' hashes.

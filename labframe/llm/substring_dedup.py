@@ -41,7 +41,7 @@ from labframe.llm.near_dup import BATCH_BYTES, SHINGLE, SIMILARITY, Scheme, clus
 #: Fewest words of a paragraph or passage that is compared.
 MIN_WORDS = 50
 #: Bytes of text in a batch.
-PASSAGE_BYTES = 2_000_000
+PASSAGE_BYTES = 1_000_000
 #: Odd bases of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
