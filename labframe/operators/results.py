@@ -34,11 +34,13 @@ def drafts(items: DataFrame, orders: DataFrame, results: DataFrame, details: Dat
 
 def snapshot(values: DataFrame, details: DataFrame) -> DataFrame:
     """Submitted values with a found detail's label, unit and reference in place of their own, also where the detail has none."""
-    known = details.select(F.col("id").alias("studyDetailId"), F.lit(True).alias("known"), *(F.col(c).alias(f"d_{c}") for c in ("name", "unit", "referenceValue")))
-    out = values.join(_met(known, details.count() > MANY_ROWS), "studyDetailId", "left")
+    # values without a detail have only null for a key, which would bring them all into one task; they go by all they hold
+    by = F.when(F.col("studyDetailId").isNull(), F.xxhash64(*values.columns)).otherwise(F.col("studyDetailId"))
+    known = details.select(F.col("id").alias("studyDetailId"), F.col("id").alias("by_"), F.lit(True).alias("known"), *(F.col(c).alias(f"d_{c}") for c in ("name", "unit", "referenceValue")))
+    out = values.withColumn("by_", by).join(_met(known, details.count() > MANY_ROWS), ["studyDetailId", "by_"], "left")
     for to, of in {"label": "name", "unit": "unit", "referenceValue": "referenceValue"}.items():
         out = out.withColumn(to, F.when(F.col("known"), F.col(f"d_{of}")).otherwise(F.col(to)))
-    return out.drop("known", "d_name", "d_unit", "d_referenceValue")
+    return out.drop("by_", "known", "d_name", "d_unit", "d_referenceValue")
 
 
 def created(batch: DataFrame, orders: DataFrame, items: DataFrame, results: DataFrame, sequence: str = "batch_seq") -> DataFrame:

@@ -135,3 +135,25 @@ def test_patches_of_results_are_judged_once_and_not_sent_to_the_driver(spark, sf
     for name in ("result_patch_values", "result_patch_in_turn"):
         plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "lineitem.parquet" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_values_without_a_detail_are_dealt_to_all_tasks(spark, monkeypatch):
+    """A merge by the detail alone would bring them all into one task, as null is their only key."""
+    from labframe.operators import results
+
+    monkeypatch.setattr(results, "MANY_ROWS", 0)
+    details = spark.range(20).selectExpr("id", "concat('d', id) AS name", "CAST(NULL AS STRING) AS unit", "'1-2' AS referenceValue")
+    rows = spark.range(4000).selectExpr("id AS studyResultId", "CASE WHEN id % 10 = 0 THEN id % 40 END AS studyDetailId", "'own' AS label", "'g' AS unit", "CAST(NULL AS STRING) AS referenceValue")
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        out = results.snapshot(rows, details)
+        tasks = [r["count"] for r in out.where("studyDetailId IS NULL").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 3600 and len(tasks) == 4 and max(tasks) < 1200
+        found = lambda i: i % 10 == 0 and i % 40 < 20
+        want = {(i, i % 40 if i % 10 == 0 else None, f"d{i % 40}" if found(i) else "own", None if found(i) else "g", "1-2" if found(i) else None) for i in range(4000)}
+        got = out.select("studyResultId", "studyDetailId", "label", "unit", "referenceValue").collect()
+        assert len(got) == 4000 and set(map(tuple, got)) == want
+    finally:
+        spark.conf.set(setting, before)
