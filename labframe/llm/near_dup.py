@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labframe.llm.common import broadcast_if_small, by_bytes, components, discarded, guarded, stored
+from labframe.llm.common import broadcast_if_small, by_bytes, components, discarded, guarded, merged, stored
 from labframe.llm.pieces import expanded
 
 #: Words in a shingle and the least similarity, in hundredths, unless the caller says otherwise.
@@ -212,10 +212,10 @@ def verified(pairs: DataFrame, full: DataFrame, similarity: int, scheme: Scheme)
     blocks = stored(blocks, "blocks")
     cell = lambda block: F.xxhash64("a", block).alias("cell")
     left = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select(F.col("a").alias("node"), F.lit(1).alias("role"), cell(F.col("block")))
-    right = pairs.join(blocks, "a").select(F.col("b").alias("node"), F.lit(2).alias("role"), cell(F.pmod(F.xxhash64("b"), "blocks").cast("int")))
+    right = pairs.join(merged(blocks), "a").select(F.col("b").alias("node"), F.lit(2).alias("role"), cell(F.pmod(F.xxhash64("b"), "blocks").cast("int")))
     cells = stored(left.unionByName(right), "pair_cells")
     groups = max(1, cells.count() // (2 * BLOCK))
-    rows = cells.join(full, "node").select("cell", F.lit(RARE).alias("band"), "role", "node", F.col("node").alias("component"), F.array(F.lit(0).cast("bigint")).alias("bands"), "members")
+    rows = cells.join(merged(full), "node").select("cell", F.lit(RARE).alias("band"), "role", "node", F.col("node").alias("component"), F.array(F.lit(0).cast("bigint")).alias("bands"), "members")
     out = stored(compared(rows, groups, similarity, scheme), "verified")
     discarded(blocks, cells)
     return out
@@ -279,7 +279,8 @@ def set_table(df: DataFrame, nodes: DataFrame, id_column: str, text: str, shingl
             right = [pc.equal(batch.column(c).take(row), pa.array(d)) for c, d in zip(("class_a", "class_b"), digests(values, offsets), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node").take(row), lists(values, offsets)], ["node", "members"]).filter(pc.and_(*right))
 
-    rows = df.select(document(id_column, text).alias("doc"), F.col(text).alias("text")).join(broadcast_if_small(nodes), "doc").select("node", "place", "class_a", "class_b", "text")
+    rows = df.select(document(id_column, text).alias("doc"), F.col(text).alias("text"))
+    rows = merged(rows).join(broadcast_if_small(nodes), "doc").select("node", "place", "class_a", "class_b", "text")
     return stored(rows.mapInArrow(collect, "node bigint, members array<bigint>").dropDuplicates(["node"]), "sets")
 
 
@@ -303,7 +304,7 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
     # sums by a key are stored before they are joined, so that both sides of the join are exchanges and a hot key can be split
     first = hold(some.groupBy(*NODE).agg(F.min(F.struct("doc", "place")).alias("first"), F.min("id").alias("least")).select(*NODE, "first.doc", "first.place", "least"), "first")
     # repeated rows lie together after the join, so they go without another shuffle
-    nodes = some.join(first, [*NODE, "doc", "place"]).dropDuplicates([*NODE, "doc", "place"])
+    nodes = some.join(merged(first), [*NODE, "doc", "place"]).dropDuplicates([*NODE, "doc", "place"])
     nodes = stored(nodes.select(node_of().alias("node"), F.col("least").alias("id"), "doc", "place", *NODE, "n", "bands", "sketch"), "nodes")
     place = ["node", "doc", "place", *NODE]
 
@@ -313,15 +314,15 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
     else:
         keyed = keyed.select("node", F.xxhash64("i", "a").alias("key"))
     centres = hold(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "centres")
-    stars = hold(keyed.join(centres, "key").where("node <> centre").select("key", "centre", "node"), "stars")
+    stars = hold(keyed.join(merged(centres), "key").where("node <> centre").select("key", "centre", "node"), "stars")
 
     info = nodes.select("node", "sketch", "n")
     met = hold(stars.select("centre", "node").distinct(), "met")
-    pairs = met.join(info.toDF("centre", "x", "nx"), "centre").join(info.toDF("node", "y", "ny"), "node")
+    pairs = met.join(merged(info.toDF("centre", "x", "nx")), "centre").join(merged(info.toDF("node", "y", "ny")), "node")
     pairs = pairs.where(100 * F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
     pairs = hold(pairs.withColumn("estimate", similarity_estimate("x", "y", scheme.hashes)).where(F.col("estimate") >= LEAST_ESTIMATE).select(F.col("centre").alias("a"), F.col("node").alias("b"), "estimate"), "pairs")
     touched = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    full = set_table(df, hold(nodes.select(*place).join(touched, "node", "left_semi"), "touched"), id_column, text, shingle, units)
+    full = set_table(df, hold(nodes.select(*place).join(merged(touched), "node", "left_semi"), "touched"), id_column, text, shingle, units)
     used.append(full)
 
     # the most promising link of each member, then those between components that remain
@@ -331,21 +332,21 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
     found = components(links)
     used.append(found)
     rest = labelled(pairs.select("a", "b"), found).where("ca <> cb").select("a", "b")
-    used.append(verified(rest.join(best, ["a", "b"], "left_anti"), full, similarity, scheme))
+    used.append(verified(rest.join(merged(best), ["a", "b"], "left_anti"), full, similarity, scheme))
     found = joined(found, used[-1])
     used.append(found)
 
     # components that share a bucket, but whose members were only compared with its centre, if at all
     open_pairs = labelled(met.toDF("a", "b"), found).where("ca <> cb").select("a", "b")
-    keys = stars.toDF("key", "a", "b").join(open_pairs, ["a", "b"], "left_semi").select("key").distinct()
-    inside = stars.join(keys, "key", "left_semi")
+    keys = stars.toDF("key", "a", "b").join(merged(open_pairs), ["a", "b"], "left_semi").select("key").distinct()
+    inside = stars.join(merged(keys), "key", "left_semi")
     inside = hold(inside.select("node").unionByName(inside.select(F.col("centre").alias("node"))).distinct(), "open")
-    missing = inside.join(full.select("node"), "node", "left_anti")
-    sets_of = full.join(inside, "node", "left_semi")
+    missing = inside.join(merged(full.select("node")), "node", "left_anti")
+    sets_of = full.join(merged(inside), "node", "left_semi")
     if missing.limit(1).count():
-        used.append(set_table(df, hold(nodes.select(*place).join(missing, "node", "left_semi"), "missing"), id_column, text, shingle, units))
+        used.append(set_table(df, hold(nodes.select(*place).join(merged(missing), "node", "left_semi"), "missing"), id_column, text, shingle, units))
         sets_of = sets_of.unionByName(used[-1])
-    member = nodes.join(inside, "node", "left_semi").select("node", "bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets_of, "node")
+    member = nodes.join(merged(inside), "node", "left_semi").select("node", "bands").join(merged(found), "node", "left").withColumn("component", F.coalesce("component", "node")).join(merged(sets_of), "node")
     found = joined(found, hold(residual(hold(member, "members"), similarity, scheme, hold), "links"))
     discarded(*used)
     return nodes, found
@@ -356,12 +357,12 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     guarded(df.columns, [id_column, text], "near_duplicates")
     rows = stored(signed(df, id_column, text, shingle, TENSORED), "signed")
     nodes, found = clustered(rows, df, id_column, text, shingle, similarity, TENSORED)
-    named = nodes.select("node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "id").join(merged(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "named")
     ids = stored(named.groupBy("component").agg(F.min("id").alias("component_id")), "ids")
-    least = stored(named.join(ids, "component").select("node", "component_id"), "least")
+    least = stored(named.join(merged(ids), "component").select("node", "component_id"), "least")
     discarded(nodes, found, named, ids)
-    out = rows.select("id", "n", F.when(F.col("n") > 0, node_of()).alias("node")).join(least, "node", "left")
+    out = rows.select("id", "n", F.when(F.col("n") > 0, node_of()).alias("node")).join(merged(least), "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
@@ -369,9 +370,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 def joined(found: DataFrame, links: DataFrame) -> DataFrame:
     """The components `found` after more links (a, b): only the components are linked, so the work grows with what is new."""
     new = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    known = found.unionByName(new.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+    known = found.unionByName(new.join(merged(found), "node", "left_anti").select("node", F.col("node").alias("component")))
     larger = components(labelled(links, found).select("ca", "cb"), "ca", "cb")
-    out = known.join(larger.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = known.join(merged(larger.toDF("component", "to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     out = stored(out, "components")
     discarded(larger)
     return out
@@ -379,7 +380,7 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
 
 def labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """pairs (a, b) with their components (ca, cb); a node without links is a component of its own."""
-    out = pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    out = pairs.join(merged(found.toDF("a", "ca")), "a", "left").join(merged(found.toDF("b", "cb")), "b", "left")
     return out.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
@@ -393,7 +394,7 @@ def ordered(member: DataFrame, similarity: int, hold: Callable[[DataFrame, str],
     n = F.size("members")
     loose = member.select("node", "component", n.alias("n"), F.explode("members").alias("m"))
     counts = hold(loose.groupBy("m").agg(F.count("*").alias("c")).where("c > 1"), "shingle_counts")
-    shared = loose.join(counts, "m").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("s"))
+    shared = loose.join(merged(counts), "m").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("s"))
     reach = (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") / 100) + 1).cast("int")
     placed = F.transform("s", lambda x, i: F.struct((F.col("n") - F.size("s") + i).alias("place"), x["m"].alias("m")))
     return hold(shared.select("node", "component", reach.alias("reach"), F.filter(placed, lambda x: x["place"] <= reach).alias("rare")), "ordered")
@@ -407,7 +408,7 @@ def first_meetings(sets: DataFrame) -> DataFrame:
 def second_meetings(met: DataFrame, sets: DataFrame) -> DataFrame:
     """The same for rows of `first_meetings`, by the next common shingle besides."""
     later = F.filter("rare", lambda x: x["place"] > F.col("place"))
-    rows = met.join(sets.select("node", "rare"), "node").select("node", "component", "bucket", F.inline(F.transform(later, lambda x: F.struct(x["m"].alias("m")))))
+    rows = met.join(merged(sets.select("node", "rare")), "node").select("node", "component", "bucket", F.inline(F.transform(later, lambda x: F.struct(x["m"].alias("m")))))
     return rows.select("node", "component", F.xxhash64("bucket", "m").alias("bucket"))
 
 
@@ -430,19 +431,19 @@ def residual(member: DataFrame, similarity: int, scheme: Scheme, hold: Callable[
 
     sizes = sized(spread, "sizes")
     wide = sizes.where(F.col("blocks_b") > WIDE).select(*key)
-    spread = spread.join(sizes.where(F.col("blocks_b") <= WIDE), key)
+    spread = spread.join(merged(sizes.where(F.col("blocks_b") <= WIDE)), key)
     if wide.limit(1).count():
         crowd = hold(member.select("node", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias(*key)).join(wide, key, "left_semi").select("node").distinct(), "crowd")
-        sets = ordered(hold(member.join(crowd, "node", "left_semi"), "wide"), similarity, hold)
+        sets = ordered(hold(member.join(merged(crowd), "node", "left_semi"), "wide"), similarity, hold)
         rare = hold(first_meetings(sets).withColumn("band", F.lit(RARE)), "rare")
         rare_sizes = sized(rare, "rare_sizes")
         again = rare_sizes.where(F.col("blocks_b") > WIDE).select(*key)
-        spread = spread.unionByName(rare.drop("place").join(rare_sizes.where(F.col("blocks_b") <= WIDE), key))
+        spread = spread.unionByName(rare.drop("place").join(merged(rare_sizes.where(F.col("blocks_b") <= WIDE)), key))
         if again.limit(1).count():
             rarer = hold(second_meetings(rare.join(again, key, "left_semi"), sets).withColumn("band", F.lit(RARE)), "rarer")
-            spread = spread.unionByName(rarer.join(sized(rarer, "rarer_sizes"), key))
+            spread = spread.unionByName(rarer.join(merged(sized(rarer, "rarer_sizes")), key))
     # role 1: rows outside the bucket's largest component, with every block of role 2; role 2: all rows
     role1 = spread.where("component <> top").select(*key, "node", F.lit(1).alias("role"), F.pmod(F.xxhash64("node"), "blocks_a").cast("int").alias("block_a"), F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)).alias("block_b"))
     role2 = spread.select(*key, "node", F.lit(2).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)).alias("block_a"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks_b").cast("int").alias("block_b"))
     cells = hold(role1.unionByName(role2).select("node", "role", "band", F.xxhash64(*key, "block_a", "block_b").alias("cell")), "cells")
-    return compared(cells.join(member, "node"), max(1, cells.count() // (2 * BLOCK)), similarity, scheme)
+    return compared(cells.join(merged(member), "node"), max(1, cells.count() // (2 * BLOCK)), similarity, scheme)

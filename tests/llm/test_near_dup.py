@@ -323,3 +323,26 @@ def test_stretches_and_nodes_are_shuffled_once(docs, spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sum(p.count("hashpartitioning(anchor") for p in plans.values()) == 1
     assert plans["nodes"].count("Exchange hashpartitioning") == 2  # the rows and the sums that they are joined with
+
+
+@pytest.mark.parametrize("wide", [0, 64])
+def test_only_what_was_counted_is_broadcast(spark, monkeypatch, wide):
+    """Spark takes exploded band keys for a small table; sides that grow with the table are merged whatever their estimate."""
+    plans, real = {}, common.stored
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def stored(df, name, *a):
+        plans[name] = plans.get(name, "") + plan(df)
+        return real(df, name, *a)
+
+    for module in (near_dup, common):
+        monkeypatch.setattr(module, "stored", stored)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "WIDE", wide)
+    shared = prose(6, 100)
+    rows = [(i, f"{shared} {prose(1000 + i // 2 if i % 10 < 2 else 2000 + i, 60)}") for i in range(60)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2)
+    sent = {name for name, p in plans.items() if "Broadcast" in p}
+    assert sent <= {"sets", "crowd", "rarer"}  # counted, or of buckets with thousands of members each
+    assert "Broadcast" not in plan(got) and plans["stars"].count("SortMergeJoin") == 1 and plans["labels"].count("SortMergeJoin") >= 3
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute({i: shingles(t, 2) for i, t in rows})
