@@ -58,6 +58,8 @@ BLOCK, WIDE = 256, 64
 #: The band that stands for a rare shingle.
 RARE = -1
 BATCH_BYTES = 2_000_000
+#: Band keys that a task makes and counts, most of which differ: about 100 MB.
+TASK_KEYS = 1_000_000
 #: Estimates below this share of equal minhashes are dropped before verification: at 0.8 over five deviations away.
 LEAST_ESTIMATE = 0.45
 #: Fixed value: an odd base of the words' hashes.
@@ -308,7 +310,9 @@ def clustered(rows: DataFrame, df: DataFrame, id_column: str, text: str, shingle
     nodes = stored(nodes.select(node_of().alias("node"), F.col("least").alias("id"), "doc", "place", *NODE, "n", "bands", "sketch"), "nodes")
     place = ["node", "doc", "place", *NODE]
 
-    keyed = nodes.select("node", "bands", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias("i", "a"))
+    # dealt out by number, as the files of some tasks would hold keys for all of an executor's memory
+    tasks = nodes.count() * scheme.a_bands * max(1, scheme.b_bands) // TASK_KEYS + 1
+    keyed = nodes.select("node", "bands").repartition(tasks, "node").select("node", "bands", F.posexplode(F.slice("bands", 1, scheme.a_bands)).alias("i", "a"))
     if scheme.b_bands:
         keyed = keyed.select("node", "i", "a", F.posexplode(F.slice("bands", scheme.a_bands + 1, scheme.b_bands)).alias("j", "b")).select("node", F.xxhash64("i", "a", "j", "b").alias("key"))
     else:

@@ -339,10 +339,12 @@ def test_only_what_was_counted_is_broadcast(spark, monkeypatch, wide):
         monkeypatch.setattr(module, "stored", stored)
     monkeypatch.setattr(near_dup, "BLOCK", 16)
     monkeypatch.setattr(near_dup, "WIDE", wide)
+    monkeypatch.setattr(near_dup, "TASK_KEYS", 960)
     shared = prose(6, 100)
     rows = [(i, f"{shared} {prose(1000 + i // 2 if i % 10 < 2 else 2000 + i, 60)}") for i in range(60)]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2)
     sent = {name for name, p in plans.items() if "Broadcast" in p}
     assert sent <= {"sets", "crowd", "rarer"}  # counted, or of buckets with thousands of members each
     assert "Broadcast" not in plan(got) and plans["stars"].count("SortMergeJoin") == 1 and plans["labels"].count("SortMergeJoin") >= 3
+    assert re.search(r"hashpartitioning\(node#\d+L, 6\), REPARTITION_BY_NUM", plans["centres"])  # 54 nodes of 96 keys
     assert {r.doc_id: r.component_id for r in got.collect()} == brute({i: shingles(t, 2) for i, t in rows})
